@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, sharding, simhash, url_filter, warc
+from . import ann, decontam, mixing, sharding, simhash, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_permutation_index": op2_permutation_index,
     "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op8_url_filter": op8_url_filter,
     "op10_mixing": op10_mixing,
