@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, mixing, sharding, simhash, url_filter, warc
+from . import ann, decontam, mixing, quality, sharding, simhash, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op10_mixing": op10_mixing,
 }
