@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, mixing, quality, sharding, simhash, url_filter, warc
+from . import ann, decontam, lm_score, mixing, quality, sharding, simhash, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -28,6 +28,10 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_permutation_index": op2_permutation_index,
+    "op3_lm_score": op3_lm_score,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
