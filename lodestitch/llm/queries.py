@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, lm_score, mixing, quality, sharding, simhash, url_filter, warc
+from . import ann, decontam, line_dedup, lm_score, mixing, quality, sharding, simhash, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -53,6 +53,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
