@@ -111,24 +111,22 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ),
         )
     )
-    laid = met_rows.withColumn("shifts", F.array_distinct(places)).select("doc_id", "text_key", "item_id", "words", "item_words", F.explode("shifts").alias("shift"))
-    words, item_words, shift = F.col("words"), F.col("item_words"), F.col("shift")
-    laid = laid.select(
-        "doc_id",
-        "text_key",
-        "item_id",
-        "shift",
-        F.least(F.size(item_words), F.lit(SPAN)).alias("span"),
-        F.transform(
-            _upto(0, F.size(item_words) - 1), lambda j: F.coalesce(F.get(words, shift + j) == F.get(item_words, j), F.lit(False))
-        ).alias("same"),
-    )
-    starts = F.filter(
-        _upto(0, F.size("same") - F.col("span")), lambda j: F.forall(F.slice("same", j + 1, F.col("span")), lambda x: x)
+    laid = met_rows.withColumn("shifts", F.array_distinct(places)).withColumn("span", F.least(F.size("item_words"), F.lit(SPAN)))
+    words, item_words, span = F.col("words"), F.col("item_words"), F.col("span")
+
+    def held(shift: Column, j: Column) -> Column:
+        """Item window j stands in the document, with the item laid at ``shift``."""
+        at = shift + j
+        return F.when(at < 0, F.lit(False)).otherwise(F.slice(words, F.greatest(at, F.lit(0)) + 1, span) == F.slice(item_words, j + 1, span))
+
+    starts = F.array_distinct(
+        F.flatten(
+            F.transform("shifts", lambda s: F.transform(F.filter(_upto(0, F.size(item_words) - span), lambda j: held(s, j)), lambda j: s + j))
+        )
     )
-    spans = laid.withColumn("starts", starts).where(F.size("starts") > 0)
+    spans = laid.select("doc_id", "text_key", "item_id", "span", starts.alias("starts")).where(F.size("starts") > 0)
     spans = spans.select(
-        "doc_id", "text_key", "item_id", F.transform("starts", lambda j: F.struct((F.col("shift") + j).alias("s"), (F.col("shift") + j + F.col("span")).alias("e"))).alias("spans")
+        "doc_id", "text_key", "item_id", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("span")).alias("e"))).alias("spans")
     )
     per_row = spans.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
