@@ -119,7 +119,7 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH c AS (SELECT l_orderkey AS table_id, l_linenumber % 3 AS col, max(l_quantity::INT) * max(greatest(l_suppkey % 20, 10))::DOUBLE * 0.8 / 72 AS width FROM lineitem GROUP BY 1, 2),
     t AS (SELECT table_id, sum(width) + 0.1 * count(*) + 0.1 * (count(*) - 1) AS total FROM c GROUP BY 1)
-    SELECT table_id, round(CASE WHEN total > 3.9 THEN 3.9 / total * 0.95 ELSE 1.0 END, 9) AS scale FROM t"""
+    SELECT table_id, round(CASE WHEN total > 3.7731 * 1.2 - 0.3 THEN (3.7731 * 1.2 - 0.3) / total * 0.95 ELSE 1.0 END, 4) AS scale FROM t"""
 )
 def text_box_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = T.table(spark, sf_dir, "lineitem").select(
@@ -128,7 +128,7 @@ def text_box_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text"),
         (F.col("l_suppkey") % 20).cast("double").alias("font_size"),
     )
-    return L.table_scale(cells).withColumn("scale", F.round("scale", 9))
+    return L.table_scale(cells, 3.7731).withColumn("scale", F.round("scale", 4))
 
 
 @query()
