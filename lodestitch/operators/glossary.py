@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestitch.functions import text as X
 
@@ -59,7 +60,7 @@ def tier_score(word: Column, word_chars: Column, term: Column, term_chars: Colum
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_score(word: pd.Series, term: pd.Series) -> pd.Series:
     """60 times the sequence similarity of two texts if that is over 0.6, else 0."""
     ratio = [SequenceMatcher(None, a, b).ratio() for a, b in zip(word, term)]
