@@ -42,14 +42,47 @@ def _upto(first: Column | int, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _zipped(left: Column, right: Column, n: Column, f) -> Column:
+    """f over the first n elements of two arrays; empty where n < 1."""
+    return F.when(n > 0, F.zip_with(F.slice(left, 1, n), right, f)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _doubled(values: Column, step: int, f) -> Column:
+    """f of each element and the one ``step`` further on."""
+    n = F.size(values) - step
+    return _zipped(values, F.slice(values, step + 1, F.greatest(n, F.lit(0))), n, f)
+
+
+def _eight_gram_hashes(words: Column) -> Column:
+    """Hashes of all 8-word grams, doubled from words over pairs and fours: three passes of two
+    hashed numbers each, where hashing every gram anew would read each word eight times."""
+    both = lambda a, b: F.xxhash64(a, b)
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return _let(hashed, lambda h1: _let(_doubled(h1, 1, both), lambda h2: _let(_doubled(h2, 2, both), lambda h4: _doubled(h4, 4, both))))
+
+
 def _gram_hashes(words: Column, gram: Column | int) -> Column:
     """Hashes of all grams of that many words; the length is part of the hash."""
+    if isinstance(gram, int) and gram == GRAM:
+        return _eight_gram_hashes(words)
     gram = F.lit(gram) if isinstance(gram, int) else gram
-    return F.transform(_upto(1, F.size(words) - gram + 1), lambda i: F.xxhash64(gram, F.slice(words, i, gram)))
+    sliced = F.transform(_upto(1, F.size(words) - gram + 1), lambda i: F.xxhash64(gram, F.slice(words, i, gram)))
+    return F.when(gram == GRAM, _eight_gram_hashes(words)).otherwise(sliced)
 
 
 def _least_per_window(hashes: Column) -> Column:
-    return F.transform(_upto(1, F.size(hashes) - KEEP + 1), lambda i: F.array_min(F.slice(hashes, i, KEEP)))
+    """The least of every 6 consecutive hashes, from the least of pairs and fours."""
+    low = lambda a, b: F.least(a, b)
+    n = F.size(hashes) - KEEP + 1
+    return _let(
+        _doubled(hashes, 1, low),
+        lambda m2: _let(_doubled(m2, 2, low), lambda m4: _zipped(m4, F.slice(m2, 5, F.greatest(n, F.lit(0))), n, low)),
+    )
 
 
 def _row_key() -> list[Column]:
@@ -63,7 +96,7 @@ def item_prints(items: DataFrame) -> DataFrame:
     long = long.withColumn("kept", F.array_distinct(_least_per_window(F.col("hashes"))))
     long = long.select("item", F.lit(GRAM).alias("gram"), F.posexplode("hashes").alias("at", "h"), "kept").where(F.array_contains("kept", F.col("h")))
     short = items.where(F.size("item_words").between(1, SPAN - 1)).select(
-        "item", F.size("item_words").alias("gram"), F.lit(0).alias("at"), F.xxhash64(F.size("item_words"), F.col("item_words")).alias("h")
+        "item", F.size("item_words").alias("gram"), F.lit(0).alias("at"), _gram_hashes(F.col("item_words"), F.size("item_words"))[0].alias("h")
     )
     return long.select("item", "gram", "at", "h").unionByName(short.select("item", "gram", "at", "h"))
 
