@@ -212,11 +212,10 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("word").agg(F.count("*").alias("terms"), F.min("place").cast("bigint").alias("first"))
 
 
-@query("SELECT doc_id, text || chr(10) || chr(10) AS text FROM documents WHERE length(text) <= 1000 AND NOT regexp_full_match(text, '" + PUNCT + "')")
+@query("SELECT doc_id, text || chr(10) || chr(10) AS text FROM documents WHERE NOT regexp_full_match(text, '" + PUNCT + "')")
 def identity_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short documents through segmentation, identity translation and assembly."""
-    short = _documents(spark, sf_dir).where(F.length("text") <= 1000)
-    done = R.translate_segments(S.txt_segments(short), [R.identity])
+    """Documents through segmentation by paragraphs, identity translation and assembly."""
+    done = R.translate_segments(S.txt_segments(_documents(spark, sf_dir), limit=1 << 30), [R.identity])
     return S.assemble_txt(done.withColumn("text", F.col("translated")))
 
 
