@@ -93,6 +93,38 @@ def test_stream_agrees_with_batch(spark):
     assert stream.agg(F.sum("count")).first()[0] == batch.count()
 
 
+def test_translate_stream(spark, tmp_path):
+    from lodestitch.operators import translation as R
+    from lodestitch.streaming import jobs as streams
+
+    rows = [(1, 0, "one two"), (1, 1, "..."), (2, 0, "three four")]
+    segments = spark.createDataFrame(rows, "doc_id int, seg_idx int, text string")
+    segments.repartition(2).write.parquet(f"{tmp_path}/in")
+    files = spark.readStream.schema(segments.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    work = lambda batch: R.translate_segments(batch, [R.reverse_words])
+    for _ in range(2):  # a second start finds nothing new
+        streams.translate_stream(files, f"{tmp_path}/out", f"{tmp_path}/state", work).awaitTermination()
+    got = sorted((r.doc_id, r.seg_idx, r.translated) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, 0, "two one"), (1, 1, "..."), (2, 0, "four three")]
+
+
+def test_admission_stream_keeps_slots(spark, tmp_path):
+    from lodestitch.streaming import jobs as streams
+
+    def put(i, rows):
+        df = spark.createDataFrame(rows, "queue string, id long, at string, status string").select("queue", "id", F.to_timestamp_ntz("at").alias("created_at"), "status")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        return df.schema
+
+    schema = put(0, [("q", i, f"2024-01-01 00:00:0{i}", "queued") for i in range(5)])
+    put(1, [("q", 0, "2024-01-01 00:01:00", "done")])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    started = streams.admit_stream(stream, 2)
+    out = started.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2]
+
+
 def test_without_corpus_operators(tmp_path):
     """The rest imports and runs where the corpus subpackage and the pipeline are not there."""
     code = (
