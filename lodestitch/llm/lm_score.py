@@ -10,11 +10,13 @@ there the count table is a window sum, so counts and occurrences meet in one shu
 the backoff then asks of the unigram table is pre-aggregated per (document, word) and joined
 by word, and per-document sums follow.
 
-Very frequent bigrams and words would fill single partitions. A sample of documents names up
-to ``HEAD`` of each; this decides the route only: their counts are exact, taken over all
-documents with map-side sums, broadcast (``HEAD`` rows at most), and applied in the map tasks.
+Frequent bigrams and words would fill single partitions. A sample of documents names up to
+``HEAD_BIGRAMS`` and ``HEAD_WORDS`` of them; this decides the route only: their counts are exact,
+taken over all documents with map-side sums, broadcast (a fixed number of rows at most), and
+applied in the map tasks.
 
-Words are runs outside ASCII white space, A-Z lower-cased. Defined results: a text without
+Words are runs outside ASCII white space, A-Z lower-cased. Defined results: a document's own
+uses of a word or bigram count up to 1,048,575 when they are left out; a text without
 words (null, empty) has 0 words and null scores; repeated rows are scored each on its own;
 an empty table gives no rows; only doc_id and text are read.
 """
@@ -30,12 +32,15 @@ from pyspark.sql import functions as F
 from . import shared
 
 BACKOFF = 0.4
-HEAD = 1 << 16
+#: Most words and bigrams in the head: at most 4 and 8 MB are broadcast.
+HEAD_WORDS = 1 << 18
+HEAD_BIGRAMS = 1 << 19
 #: Documents whose n-grams name the frequent ones.
 HEAD_SAMPLE = 20_000
 UNSEEN = 0.5
 #: Words that a map task works on at a time (a longer text is taken whole).
-FLUSH = 1 << 18
+FLUSH = 1 << 19
+WORD, PAIR, HEAD_WORD = 0, 1, 2
 BIGRAM, DEMAND, DOCUMENT = 0, 1, 2
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -90,113 +95,158 @@ def _batch(names, arrays) -> pa.RecordBatch:
 
 
 def _count_rows(heads):
-    """kind (0 word, 1 bigram), key, n; bigrams all where ``heads`` is None, else those heads."""
+    """kind, key, n: words outside the head, bigrams of the head, words of the head. Without
+    ``heads`` all words and bigrams, to choose the heads from."""
 
     def run(batches):
         for _, lengths, hashes in _flushes(batches, []):
             _, second = _pairs(lengths, hashes)
-            keys = _mix(hashes[second - 1], hashes[second])
+            word, n_word = np.unique(hashes, return_counts=True)
+            pair, n_pair = np.unique(_mix(hashes[second - 1], hashes[second]), return_counts=True)
+            kind = np.full(len(word), WORD, np.int32)
             if heads is not None:
-                keys = keys[_find(heads.value, keys) >= 0]
-            for kind, values in ((0, hashes), (1, keys)):
-                if len(values):
-                    key, n = np.unique(values, return_counts=True)
-                    yield _batch(["kind", "key", "n"], [np.full(len(key), kind, np.int32), key.view(np.int64), n.astype(np.int64)])
+                words, bigrams = heads.value
+                kind[_find(words, word) >= 0] = HEAD_WORD
+                known = _find(bigrams, pair) >= 0
+                pair, n_pair = pair[known], n_pair[known]
+            kind = np.r_[kind, np.full(len(pair), PAIR, np.int32)]
+            yield _batch(["kind", "key", "n"], [kind, np.r_[word, pair].view(np.int64), np.r_[n_word, n_pair].astype(np.int64)])
 
     return run
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Index of each key in a sorted table, or -1."""
+    """Index of each key in a sorted table, or -1 (fastest for sorted keys)."""
     if not len(table):
         return np.full(len(keys), -1)
     at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
     return np.where(table[at] == keys, at, -1)
 
 
-def _top(counts: DataFrame, kind: int, head: int) -> np.ndarray:
-    rows = counts.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(head).select("key").toPandas()
-    return np.sort(rows["key"].to_numpy(np.int64).view(np.uint64))
+def _most_frequent(counts: DataFrame, kind: int, head: int) -> np.ndarray:
+    """Sorted keys of the counts above a threshold that at most ``head`` keys pass; no sort."""
+    at_least, room = None, head
+    for n, keys in counts.where(F.col("kind") == kind).groupBy("n").agg(F.count("*").alias("keys")).orderBy(F.desc("n")).collect():
+        if keys > room:
+            break
+        at_least, room = n, room - keys
+    if at_least is None:
+        return np.zeros(0, np.uint64)
+    keys = counts.where((F.col("kind") == kind) & (F.col("n") >= at_least)).select("key").toPandas()["key"]
+    return np.sort(keys.to_numpy(np.int64).view(np.uint64))
 
 
-def _lookup(counts: DataFrame, kind: int, keys: np.ndarray) -> np.ndarray:
-    """Exact counts of the head keys."""
-    spark = counts.sparkSession
-    if not len(keys):
-        return np.zeros(0, np.int64)
-    listed = spark.createDataFrame(pa.table({"key": keys.view(np.int64)}))
-    got = counts.where(F.col("kind") == kind).join(F.broadcast(listed), "key").select("key", "n").toPandas()
+def _exact(counts: DataFrame, kind: int, keys: np.ndarray) -> np.ndarray:
+    """The head keys' counts, in their order."""
     out = np.zeros(len(keys), np.int64)
-    out[np.searchsorted(keys, got["key"].to_numpy(np.int64).view(np.uint64))] = got["n"]
+    if len(keys):
+        got = counts.where(F.col("kind") == kind).select("key", "n").toPandas()
+        out[np.searchsorted(keys, got["key"].to_numpy(np.int64).view(np.uint64))] = got["n"]
     return out
 
 
-ROWS = "kind int, uid long, k1 long, k2 long, n int, t1 int, t2 int, v double"
+#: A bigram row. Words of the head are coded by their place from 1, others by their hash with
+#: the top bit set. Two head words share ``k1`` (its upper 40 bits) and leave ``k2`` 0; else each
+#: has its own. ``small`` packs the bigram's and both words' own counts. The bytes that vary
+#: between neighbouring rows stand side by side, so the shuffle compresses well.
+ROWS = "uid long, k2 long, k1 long, small long, v double, kind int"
+_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+_CODE_BITS, _SHIFT = 20, 24
+#: Bits of a count in ``small``: a byte where all three fit, else 20 bits and the mark.
+_FIELD, _MARK = 20, 1 << 62
+_MOST = (1 << _FIELD) - 1
+_TOP = np.uint64(1 << 63)
+
+
+def _pack(n: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    n, t1, t2 = (np.minimum(x, _MOST).astype(np.int64) for x in (n, t1, t2))
+    wide = _MARK | n | t1 << _FIELD | t2 << 2 * _FIELD
+    return np.where(np.maximum(np.maximum(n, t1), t2) < 256, n | t1 << 8 | t2 << 16, wide)
+
+
+def _field(i: int):
+    small = F.col("small")
+    wide = F.shiftright(small, i * _FIELD).bitwiseAND(F.lit(_MOST))
+    return F.when(small < _MARK, F.shiftright(small, 8 * i).bitwiseAND(F.lit(255))).otherwise(wide)
 
 
 def _score_rows(heads, total: int, own: bool):
-    """Rows for the shuffle: bigrams outside the head, demands on words outside the head, and
-    one row per document (k2: its id, n: its words, v: all that the head tables settle)."""
+    """Rows for the shuffle: bigrams outside the head, demands on words outside the head (k1:
+    the document, k2: the word; their own count may be negative and is ``v``), and one row
+    per document (k2: its id, small: its words, v: all that the head tables settle)."""
 
     def run(batches):
         words, word_n, bigrams, bigram_n = heads.value
         for rows, lengths, hashes in _flushes(batches, ["uid", "doc_id"]):
             uid = np.array(rows["uid"], np.int64)
             row, second = _pairs(lengths, hashes)
-            rest = np.log(np.maximum(total - (lengths if own else 0), 1))
+            rest = np.log(np.maximum(total - lengths * int(own), 1))
             value = np.zeros(len(lengths))
-            # times of each word in its document, at each position
-            _, at, times = np.unique(_mix(hashes, row.astype(np.uint64)), return_inverse=True, return_counts=True)
-            times = times[at]
-            # distinct bigrams of each document, with their times
+            # code and count of each word, and its times in its document
+            distinct, at = np.unique(hashes, return_inverse=True)
+            known = _find(words, distinct)
+            code = np.where(known >= 0, known + 1, (distinct | _TOP).view(np.int64))[at]
+            held = np.where(known >= 0, word_n[known] if len(words) else 0, -1)[at]
+            _, place, times = np.unique(at * np.int64(len(lengths)) + row, return_inverse=True, return_counts=True)
+            times = times[place]
+            # distinct bigrams of each document: sorted by key, documents stay in order
             key = _mix(hashes[second - 1], hashes[second])
-            _, first, n = np.unique(_mix(key, row[second].astype(np.uint64)), return_index=True, return_counts=True)
-            pos, key = second[first], key[first]
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], second[order]
+            fresh = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[pos[1:]] != row[pos[:-1]])]) if len(key) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[fresh, len(key)])
+            key, pos = key[fresh], pos[fresh]
             head = _find(bigrams, key)
-            tail = head < 0
+            tail = np.flatnonzero(head < 0)
+            tail = tail[np.argsort(row[pos[tail]], kind="stable")]  # a document's rows stay together
             p = pos[tail]
+            c1, c2 = code[p - 1], code[p]
+            both = (c1 > 0) & (c2 > 0)
             yield _batch(
-                [x.split()[0] for x in ROWS.split(", ")],
+                _NAMES,
                 [
-                    np.full(len(p), BIGRAM, np.int32), uid[row[p]], hashes[p - 1].view(np.int64), hashes[p].view(np.int64),
-                    n[tail].astype(np.int32), times[p - 1].astype(np.int32), times[p].astype(np.int32), np.zeros(len(p)),
+                    uid[row[p]], np.where(both, 0, c2), np.where(both, (c1 << _CODE_BITS | c2) << _SHIFT, c1),
+                    _pack(n[tail], times[p - 1], times[p]), np.zeros(len(p)), np.full(len(p), BIGRAM, np.int32),
                 ],
             )
             # bigrams of the head are settled here, down to a demand on one word each
-            p, n = pos[~tail], n[~tail]
-            seen = bigram_n[head[~tail]] - (n if own else 0)
+            p, n, head = pos[head >= 0], n[head >= 0], head[head >= 0]
+            seen = (bigram_n[head] if len(bigrams) else head) - (n if own else 0)
             found = seen > 0
             np.add.at(value, row[p], n * np.where(found, np.log(np.maximum(seen, 1)), np.log(BACKOFF) - rest[row[p]]))
             starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
             np.add.at(value, row[starts], -rest[row[starts]])
-            word_at = np.r_[np.where(found, p - 1, p), starts]
+            w = np.r_[np.where(found, p - 1, p), starts]
             sign = np.r_[np.where(found, -n, n), np.ones(len(starts), np.int64)]
-            known = _find(words, hashes[word_at])
-            k = known >= 0
-            left = np.maximum(word_n[known[k]] - (times[word_at[k]] if own else 0), UNSEEN)
-            np.add.at(value, row[word_at[k]], sign[k] * np.log(left))
-            w, s = word_at[~k], sign[~k]
-            zero = np.zeros(len(w), np.int32)
+            k = held[w] >= 0
+            left = np.maximum(held[w[k]] - (times[w[k]] if own else 0), UNSEEN)
+            np.add.at(value, row[w[k]], sign[k] * np.log(left))
+            w, sign = w[~k], sign[~k]
+            one = np.ones(len(w), np.int64)
             yield _batch(
-                [x.split()[0] for x in ROWS.split(", ")],
-                [
-                    np.full(len(w), DEMAND, np.int32), uid[row[w]], uid[row[w]], hashes[w].view(np.int64),
-                    s.astype(np.int32), zero, times[w].astype(np.int32), np.zeros(len(w)),
-                ],
-            )
-            empty = np.zeros(len(lengths), np.int32)
+                _NAMES,
+                [uid[row[w]], code[w], uid[row[w]], _pack(one, one, times[w]), sign.astype(np.float64), np.full(len(w), DEMAND, np.int32)],
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(lengths), DOCUMENT, np.int32)), pa.array(uid), pa.array(uid), pa.array(rows["doc_id"], pa.int64()),
-                    pa.array(lengths.astype(np.int32)), pa.array(empty), pa.array(empty), pa.array(value),
+                    pa.array(uid), pa.array(rows["doc_id"], pa.int64()), pa.array(uid), pa.array(lengths.astype(np.int64)),
+                    pa.array(value), pa.array(np.full(len(lengths), DOCUMENT, np.int32)),
                 ],
-                names=[x.split()[0] for x in ROWS.split(", ")],
+                names=_NAMES,
             )
 
     return run
 
 
-def score_documents(docs: DataFrame, train: DataFrame | None = None, *, head: int = HEAD) -> DataFrame:
+#: Logarithms are summed as whole billionths: sums do not depend on the order of tasks.
+NANO = 1e9
+
+
+def _nano(x):
+    return F.round(x * NANO).cast("long")
+
+
+def score_documents(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S) and mean_log_score for every row of ``docs``."""
     spark = docs.sparkSession
     corpus = (docs if train is None else train).select("text")
@@ -205,38 +255,51 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None, *, head: in
     sample = corpus if texts <= HEAD_SAMPLE else corpus.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 20)) < int((1 << 20) * HEAD_SAMPLE / texts))
     sampled = sample.mapInArrow(_count_rows(None), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     sampled = shared.materialize(sampled.where("n > 1"), "sampled")
-    words, bigrams = _top(sampled, 0, head), _top(sampled, 1, head)
-    counts = shared.materialize(
-        corpus.mapInArrow(_count_rows(spark.sparkContext.broadcast(bigrams)), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")),
-        "counts",
-    )
-    total = counts.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    tables = (words, _lookup(counts, 0, words), bigrams, _lookup(counts, 1, bigrams))
+    words, bigrams = _most_frequent(sampled, WORD, HEAD_WORDS), _most_frequent(sampled, PAIR, HEAD_BIGRAMS)
+    named = spark.sparkContext.broadcast((words, bigrams))
+    counts = corpus.mapInArrow(_count_rows(named), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = shared.materialize(counts, "counts")
+    total = counts.where(F.col("kind") != PAIR).agg(F.sum("n")).first()[0] or 0
+    tables = (words, _exact(counts, HEAD_WORD, words), bigrams, _exact(counts, PAIR, bigrams))
     heads = spark.sparkContext.broadcast(tables)
-    head_words = F.broadcast(spark.createDataFrame(pa.table({"hw": words.view(np.int64), "hc": tables[1]})))
+
+    def coded(batches):
+        for b in batches:
+            place = np.searchsorted(heads.value[0], b.column("key").to_numpy().view(np.uint64)) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), b.column("n")], names=["hw", "hc"])
+
+    head_words = F.broadcast(counts.where(F.col("kind") == HEAD_WORD).select("key", "n").mapInArrow(coded, "hw long, hc long"))
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     rows = keyed.mapInArrow(_score_rows(heads, total, own), ROWS)
-    counted = F.when(F.col("kind") == BIGRAM, F.col("n"))
+    counted = F.when(F.col("kind") == BIGRAM, _field(0))
     if not own:
         trained = train.select(F.lit(-1).cast("long").alias("uid"), F.lit(None).cast("long").alias("doc_id"), "text")
         rows = rows.unionByName(trained.mapInArrow(_score_rows(heads, total, own), ROWS).where(F.col("kind") == BIGRAM))
-        counted = F.when(F.col("uid") == -1, F.col("n"))
+        counted = F.when(F.col("uid") == -1, _field(0))
     rows = rows.withColumn("c", F.sum(counted).over(Window.partitionBy("k1", "k2"))).where("uid != -1")
-    seen = F.coalesce("c", F.lit(0)) - (F.col("n") if own else F.lit(0))
-    is_bigram, found = F.col("kind") == BIGRAM, F.col("found")
-    step = rows.withColumn("seen", seen).withColumn("found", (F.col("kind") == BIGRAM) & (F.col("seen") > 0))
+    is_bigram, found, n = F.col("kind") == BIGRAM, F.col("found"), F.col("n")
+    paired = is_bigram & (F.col("k2") == 0)
+    step = rows.withColumn("n", F.when(is_bigram, _field(0)))
+    step = step.withColumn("seen", F.coalesce("c", F.lit(0)) - (n if own else F.lit(0))).withColumn("found", is_bigram & (F.col("seen") > 0))
     # Backed-off bigrams still lack the 1 / N of their document; that is added by their number at the end.
+    code = F.when(found, F.when(paired, F.shiftright("k1", _CODE_BITS + _SHIFT)).otherwise(F.col("k1"))).otherwise(
+        F.when(paired, F.shiftright("k1", _SHIFT).bitwiseAND(F.lit((1 << _CODE_BITS) - 1))).otherwise(F.col("k2"))
+    )
     step = step.select(
         "uid",
         "kind",
         F.when(F.col("kind") == DOCUMENT, F.col("k2")).alias("doc_id"),
-        F.when(F.col("kind") == DOCUMENT, F.col("n")).alias("n_words"),
-        F.when(found, F.col("n") * F.log(F.greatest("seen", F.lit(1)))).when(is_bigram, F.col("n") * float(np.log(BACKOFF))).otherwise(F.col("v")).alias("v"),
-        F.when(is_bigram & ~found, F.col("n")).otherwise(F.lit(0)).alias("backed"),
-        F.when(F.col("kind") != DOCUMENT, F.when(found, F.col("k1")).otherwise(F.col("k2"))).alias("word"),
-        F.when(F.col("kind") != DOCUMENT, F.when(found, -F.col("n")).otherwise(F.col("n"))).alias("d"),
-        F.when(found, F.col("t1")).otherwise(F.col("t2")).alias("t"),
+        F.when(F.col("kind") == DOCUMENT, F.col("small")).alias("n_words"),
+        F.when(found, n * F.log(F.greatest("seen", F.lit(1))))
+        .when(is_bigram, n * float(np.log(BACKOFF)))
+        .when(F.col("kind") == DOCUMENT, F.col("v"))
+        .otherwise(F.lit(0.0))
+        .alias("v"),
+        F.when(is_bigram & ~found, n).otherwise(F.lit(0)).alias("backed"),
+        F.when(F.col("kind") != DOCUMENT, code).alias("word"),
+        F.when(found, -n).when(is_bigram, n).when(F.col("kind") == DEMAND, F.col("v").cast("long")).alias("d"),
+        F.when(found, _field(1)).otherwise(_field(2)).alias("t"),
     )
     step = step.join(head_words, F.col("word") == F.col("hw"), "left")
     log_count = lambda c: F.log(F.greatest(c - (F.col("t") if own else F.lit(0)), F.lit(UNSEEN)))
@@ -245,20 +308,21 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None, *, head: in
     asked = (
         step.select(
             "uid", "doc_id", "n_words", "v", "backed",
-            F.when(~settled, F.col("word")).otherwise(F.xxhash64("uid")).alias("key"),
+            F.when(~settled, F.col("word")).otherwise(F.col("uid")).alias("key"),
             settled.alias("settled"),
             F.when(~settled, F.col("d")).alias("d"),
             F.when(~settled, F.col("t")).alias("t"),
         )
         .groupBy("key", "settled", "uid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("v").alias("v"), F.sum("backed").alias("backed"), F.sum("d").alias("d"), F.max("t").alias("t"))
+        .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(_nano(F.col("v"))).alias("v"), F.sum("backed").alias("backed"), F.sum("d").alias("d"), F.max("t").alias("t"))
     )
-    unigrams = counts.where("kind = 0").select(F.col("key").alias("uk"), F.col("n").alias("uc"))
+    top = F.lit(-(1 << 63)).cast("long")
+    unigrams = counts.where(F.col("kind") == WORD).groupBy(F.col("key").bitwiseOR(top).alias("uk")).agg(F.sum("n").alias("uc"))
     joined = asked.join(unigrams, (F.col("key") == F.col("uk")) & ~F.col("settled"), "left")
-    late = F.when(~F.col("settled"), F.col("d") * log_count(F.coalesce("uc", F.lit(0)))).otherwise(F.lit(0.0))
+    late = F.when(~F.col("settled"), _nano(F.col("d") * log_count(F.coalesce("uc", F.lit(0))))).otherwise(F.lit(0))
     summed = joined.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sum(F.col("v") + late).alias("v"), F.sum("backed").alias("backed")
     )
     rest = F.log(F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1)))
-    score = F.when(F.col("n_words") > 0, F.col("v") - F.col("backed") * rest)
+    score = F.when(F.col("n_words") > 0, F.col("v") / NANO - F.col("backed") * rest)
     return summed.select("doc_id", "n_words", score.alias("log_score"), (score / F.nullif("n_words", F.lit(0))).alias("mean_log_score"))
