@@ -26,14 +26,15 @@ MIN_PAGES = 5
 BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 CUT = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>|[\r\n]+"
-TAG = r"<[^>]*>"
+TAG = r"<[^>\n]*>"
 
 
 def lines_of(html: Column) -> Column:
     """Visible lines, trimmed, blanks collapsed, empty ones left out."""
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
-    clean = F.transform(F.split(shown, CUT), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, TAG, " "), r"[ \t]+", " ")))
-    return F.filter(clean, lambda x: x != "")
+    bare = F.regexp_replace(F.regexp_replace(shown, CUT, "\n"), TAG, " ")
+    even = F.regexp_replace(bare, r"[ \t]+", " ")
+    return F.filter(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def drop_boilerplate(pages: DataFrame, *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
