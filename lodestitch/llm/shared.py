@@ -39,6 +39,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in written:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/lodestitch/" in folder:
+                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True if a written table has at most ``limit`` rows (counts from its footers)."""
     return df.count() <= limit
