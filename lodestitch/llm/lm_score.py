@@ -15,8 +15,7 @@ Frequent bigrams and words would fill single partitions. A sample of documents n
 taken over all documents with map-side sums, broadcast (a fixed number of rows at most), and
 applied in the map tasks.
 
-Words are runs outside ASCII white space, A-Z lower-cased. Defined results: a document's own
-uses of a word or bigram count up to 1,048,575 when they are left out; a text without
+Words are runs outside ASCII white space, A-Z lower-cased. Defined results: a text without
 words (null, empty) has 0 words and null scores; repeated rows are scored each on its own;
 an empty table gives no rows; only doc_id and text are read.
 """
@@ -152,22 +151,28 @@ def _exact(counts: DataFrame, kind: int, keys: np.ndarray) -> np.ndarray:
 ROWS = "uid long, k2 long, k1 long, small long, v double, kind int"
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 _CODE_BITS, _SHIFT = 20, 24
-#: Bits of a count in ``small``: a byte where all three fit, else 20 bits and the mark.
+#: Bits of a count in ``small``: a byte where all three fit, else 20 bits and the mark. Where
+#: these are too few, ``small`` is negative, has 31 bits for each word's count (a text has fewer
+#: words) and a bigram's own count stands in ``v``, so that no count is cut.
 _FIELD, _MARK = 20, 1 << 62
-_MOST = (1 << _FIELD) - 1
+_HUGE_FIELD, _HUGE = 31, -(1 << 63)
 _TOP = np.uint64(1 << 63)
 
 
-def _pack(n: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
-    n, t1, t2 = (np.minimum(x, _MOST).astype(np.int64) for x in (n, t1, t2))
-    wide = _MARK | n | t1 << _FIELD | t2 << 2 * _FIELD
-    return np.where(np.maximum(np.maximum(n, t1), t2) < 256, n | t1 << 8 | t2 << 16, wide)
+def _pack(n: np.ndarray, t1: np.ndarray, t2: np.ndarray, field: int) -> np.ndarray:
+    n, t1, t2 = (x.astype(np.int64) for x in (n, t1, t2))
+    most = np.maximum(np.maximum(n, t1), t2)
+    wide = _MARK | n | t1 << field | t2 << 2 * field
+    huge = _HUGE | t1 | t2 << _HUGE_FIELD
+    return np.where(most < 256, n | t1 << 8 | t2 << 16, np.where(most < 1 << field, wide, huge))
 
 
 def _field(i: int):
-    small = F.col("small")
-    wide = F.shiftright(small, i * _FIELD).bitwiseAND(F.lit(_MOST))
-    return F.when(small < _MARK, F.shiftright(small, 8 * i).bitwiseAND(F.lit(255))).otherwise(wide)
+    """Count ``i`` of a row: the bigram's (of bigram rows only), or a word's."""
+    small, mask = F.col("small"), lambda bits: F.lit((1 << bits) - 1)
+    wide = F.shiftright(small, i * _FIELD).bitwiseAND(mask(_FIELD))
+    huge = F.col("v").cast("long") if i == 0 else F.shiftright(small, (i - 1) * _HUGE_FIELD).bitwiseAND(mask(_HUGE_FIELD))
+    return F.when(small < 0, huge).when(small < _MARK, F.shiftright(small, 8 * i).bitwiseAND(F.lit(255))).otherwise(wide)
 
 
 def _score_rows(heads, total: int, own: bool):
@@ -175,6 +180,8 @@ def _score_rows(heads, total: int, own: bool):
     the document, k2: the word; their own count may be negative and is ``v``), and one row
     per document (k2: its id, small: its words, v: all that the head tables settle)."""
 
+    field = _FIELD
+
     def run(batches):
         words, word_n, bigrams, bigram_n = heads.value
         for rows, lengths, hashes in _flushes(batches, ["uid", "doc_id"]):
@@ -202,11 +209,12 @@ def _score_rows(heads, total: int, own: bool):
             p = pos[tail]
             c1, c2 = code[p - 1], code[p]
             both = (c1 > 0) & (c2 > 0)
+            small = _pack(n[tail], times[p - 1], times[p], field)
             yield _batch(
                 _NAMES,
                 [
                     uid[row[p]], np.where(both, 0, c2), np.where(both, (c1 << _CODE_BITS | c2) << _SHIFT, c1),
-                    _pack(n[tail], times[p - 1], times[p]), np.zeros(len(p)), np.full(len(p), BIGRAM, np.int32),
+                    small, np.where(small < 0, n[tail], 0).astype(np.float64), np.full(len(p), BIGRAM, np.int32),
                 ],
             )
             # bigrams of the head are settled here, down to a demand on one word each
@@ -225,7 +233,7 @@ def _score_rows(heads, total: int, own: bool):
             one = np.ones(len(w), np.int64)
             yield _batch(
                 _NAMES,
-                [uid[row[w]], code[w], uid[row[w]], _pack(one, one, times[w]), sign.astype(np.float64), np.full(len(w), DEMAND, np.int32)],
+                [uid[row[w]], code[w], uid[row[w]], _pack(one, one, times[w], field), sign.astype(np.float64), np.full(len(w), DEMAND, np.int32)],
             )
             yield pa.RecordBatch.from_arrays(
                 [
