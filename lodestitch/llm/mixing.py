@@ -119,23 +119,21 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 
 def draw_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, whole rows of ``docs``, each as often as it is taken.
-
-    A pass takes a prefix of its source's order, so a document's count follows from two
-    cut points of its source; texts are neither shuffled nor joined by row."""
-    summed, targets, buckets = _plan(docs, **options)
-    here = F.struct("bucket", "place")
-    cuts = shared.materialize(
-        summed.groupBy("rank").agg(F.max(F.when(_taken_in(0), here)).alias("cut0"), F.max(F.when(_taken_in(1), here)).alias("cut1")), "cuts"
-    )
-    per_source = shared.materialize(targets.join(cuts, "rank").select(F.struct("source").alias("s"), "cut0", "cut1"), "cuts_by_source")
-    own, key, cut0, cut1 = (shared.fresh(docs, f"mix_{x}") for x in ("source", "key", "cut0", "cut1"))
-    renamed = per_source.select(F.col("s.source").alias(own), F.col("cut0").alias(cut0), F.col("cut1").alias(cut1))
-    place = order_key()
-    keyed = docs.withColumn(key, F.struct(F.pmod(place, F.lit(buckets)).alias("bucket"), place.alias("place")))
-    times = F.coalesce((F.col(key) <= F.col(cut0)).cast("int"), F.lit(0)) + F.coalesce(
-        ((F.col(key) <= F.col(cut1)) & (n_words(F.col("text")) > 0)).cast("int"), F.lit(0)
-    )
-    joined = keyed.join(shared.maybe_broadcast(renamed, 100_000), F.col("source").eqNullSafe(F.col(own)))
-    copies = joined.where(times > 0).withColumn(key, F.explode(F.when(times > 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
-    return copies.select(*docs.columns)
+    """The documents of the mix, whole rows of ``docs``, one for each pass that takes them, sorted
+    by the training position of that pass.
+
+    Positions are found on narrow rows and joined by source and place. Rows that agree in both
+    are copies of one document, and are dealt the copies' positions by their number."""
+    summed, targets, _ = _plan(docs, **options)
+    key, turn, copies, position = (shared.fresh(docs, f"mix_{x}") for x in ("key", "turn", "copies", "position"))
+    passes = F.filter(F.array(_position(0), _position(1)), lambda x: x.isNotNull())
+    taken = summed.select("rank", "place", passes.alias("passes")).groupBy("rank", "place").agg(F.sort_array(F.collect_list("passes")).alias(copies))
+    names = targets.select(F.col("rank").alias("r"), "source")
+    taken = taken.join(shared.maybe_broadcast(names, 100_000), F.col("rank") == F.col("r")).select(F.struct("source", "place").alias(key), copies)
+    taken = shared.materialize(taken.where(F.exists(copies, lambda x: F.size(x) > 0)), "positions")
+    keyed = docs.withColumn(key, F.struct(F.col("source").alias("source"), order_key().alias("place"))).join(taken, key)
+    # Texts meet by key once more only where there are such copies.
+    repeated = taken.where(F.size(copies) > 1).limit(1).count() > 0
+    dealt = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(key).orderBy("doc_id")) if repeated else F.lit(1))
+    drawn = dealt.withColumn(position, F.explode(F.element_at(copies, F.col(turn))))
+    return drawn.orderBy(position, "doc_id").select(*docs.columns)

@@ -36,3 +36,17 @@ def test_lm_packed_counts(spark):
     held = [(int(s), float(x) if s < 0 else 0.0) for s, x in zip(small, n)]
     got = spark.createDataFrame(held, "small long, v double").select(*[lm_score._field(i).alias(f"f{i}") for i in range(3)]).collect()
     assert [tuple(r) for r in got] == counts
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_draw_mix_order(docs, unique):  # noqa: F811
+    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]) if unique else docs
+    passes = []
+    for r in mixing.mix_sources(docs).collect():
+        passes += [(p, r.doc_id, r.size) for p in (r.position, r.second_position) if p is not None]
+    want = [x[1:] for x in sorted(passes, key=key)]
+    drawn = [(r.doc_id, len(SPACE.findall(r.text or ""))) for r in mixing.draw_mix(docs.repartition(3)).collect()]
+    at = sorted(x[0] for x in passes)
+    assert Counter(drawn) == Counter(want)
+    ties = {i for i in range(len(at)) if at.count(at[i]) > 1}
+    assert [x for i, x in enumerate(drawn) if i not in ties] == [x for i, x in enumerate(want) if i not in ties]
