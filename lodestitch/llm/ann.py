@@ -7,8 +7,9 @@ lists that it shares with the queries give the footrule distance of the permutat
 nearest ``share`` of the segment by that distance is reranked by exact Euclidean distance in
 double precision, and the best of each segment are merged.
 
-Equal vectors are one class in the index, which carries its smallest ids; a search for k
-neighbours can never return more than k + 1 of them, so nothing is lost by that. Pivots are
+Equal vectors are one class in the index, which carries the rows of its k + 1 smallest distinct
+ids, each at most k times. A query leaves out its own id, however often that stands, so k
+other rows remain wherever there are as many; cuts are made by distinct ids throughout. Pivots are
 drawn by hash from the classes; their number is fixed, and they are all that is broadcast.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components,
@@ -93,10 +94,13 @@ def search(
     rows = rows.where(F.size("vector") == sizes[0]["n"]).withColumn("class", _class_key())
     first = Window.partitionBy("class").orderBy("id")
     classes = shared.materialize(
-        rows.withColumn("turn", F.row_number().over(first))
+        rows.groupBy("class", "id")
+        .agg(F.count("*").alias("times"), F.first("vector").alias("vector"))
+        .withColumn("turn", F.row_number().over(first))
         .where(F.col("turn") <= k + 1)
+        .withColumn("copies", F.array_repeat("id", F.least("times", F.lit(k)).cast("int")))
         .groupBy("class")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector")),
+        .agg(F.array_sort(F.flatten(F.collect_list("copies"))).alias("ids"), F.first("vector").alias("vector")),
         "classes",
     )
     asked = rows.where(F.col("id") % every == 0)
@@ -122,14 +126,16 @@ def search(
             n, ids, names = len(v), left["ids"].combine_chunks(), right["class"].combine_chunks()
             most = min(n, max(LEAST, 4 * k, int(np.ceil(share * n))))
             places = _places(v, centre.value, prefix)
+            least = np.array([x[0] for x in ids.to_pylist()])
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
                 near = _closeness(_places(part, centre.value, prefix), places, prefix)
                 found = np.argpartition(-near, most - 1, axis=1)[:, :most]
                 for i, c in enumerate(found):
                     d = np.sqrt(((v[c] - part[i]) ** 2).sum(axis=1))
-                    top = np.lexsort((c, d))[: k + 1]
-                    edge = d[top[-1]]
+                    order = np.lexsort((c, d))
+                    fresh = np.sort(np.unique(least[c[order]], return_index=True)[1])[: k + 1]
+                    edge = d[order[fresh[-1] if len(fresh) > k else -1]]  # there are k + 1 ids up to here
                     keep = c[d <= edge]  # ties at the edge stay, the merge decides them by id
                     out["query"].append(pa.array(np.full(len(keep), at + i)))
                     out["ids"].append(pa.array(keep))
@@ -144,8 +150,10 @@ def search(
         .cogroup(queries.groupBy("segment", "block"))
         .applyInArrow(meet, f"class {class_type}, ids array<bigint>, score double")
     )
-    ranked = Window.partitionBy("class").orderBy("score", "id")
-    best = met.select("class", F.explode("ids").alias("id"), "score").withColumn("turn", F.row_number().over(ranked)).where(F.col("turn") <= k + 1)
+    same = Window.partitionBy("class", "id")
+    ranked = Window.partitionBy("class").orderBy("nearest", "id")
+    best = met.select("class", F.explode("ids").alias("id"), "score").withColumn("turn", F.row_number().over(same.orderBy("score"))).where(F.col("turn") <= k)
+    best = best.withColumn("nearest", F.min("score").over(same)).withColumn("turn", F.dense_rank().over(ranked)).where(F.col("turn") <= k + 1)
     final = Window.partitionBy("query_row").orderBy("score", "vec_id")
     return (
         asked.select(F.col("id").alias("query_id"), "class", F.monotonically_increasing_id().alias("query_row"))

@@ -50,3 +50,19 @@ def test_draw_mix_order(docs, unique):  # noqa: F811
     assert Counter(drawn) == Counter(want)
     ties = {i for i in range(len(at)) if at.count(at[i]) > 1}
     assert [x for i, x in enumerate(drawn) if i not in ties] == [x for i, x in enumerate(want) if i not in ties]
+
+
+@pytest.mark.parametrize("times", [2, 12])
+@pytest.mark.parametrize("apart", [0.0, 1e-3])
+def test_search_with_repeated_query_rows(spark, times, apart):
+    vectors = np.random.default_rng(2).normal(size=(300, 8)).astype(np.float32)
+    table = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table += [(0, (vectors[0] + np.float32(apart * m)).tolist()) for m in range(1, times)] + [table[7]] * 3
+    got = ann.search(spark.createDataFrame(table, "vec_id long, embedding array<float>")).collect()
+    arrays = [(i, np.array(v, np.float32).astype(float)) for i, v in table]
+    want = []
+    for q, x in arrays:
+        if q % 100 == 0:
+            near = sorted((np.sqrt(((x - v) ** 2).sum()), i) for i, v in arrays if i != q)[:10]
+            want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(want)
