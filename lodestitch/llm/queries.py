@@ -54,7 +54,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "pages"))
+    return line_dedup.drop_boilerplate(_table(spark, sf_dir, "pages"), min_pages=2)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

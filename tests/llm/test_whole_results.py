@@ -66,3 +66,11 @@ def test_search_with_repeated_query_rows(spark, times, apart):
             near = sorted((np.sqrt(((x - v) ** 2).sum()), i) for i, v in arrays if i != q)[:10]
             want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(want)
+
+
+def test_registered_line_dedup_covers_small_hosts(spark, tmp_path):
+    page = lambda body: f"<nav>Home</nav><p>{body}</p>"
+    pages = [(10 * n + i, f"http://h{n}.org/", page(f"own {i}")) for n in (1, 2, 3, 4) for i in range(n)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in registered.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {10 * n + i: f"Home\nown {i}" if n == 1 else f"own {i}" for n in (1, 2, 3, 4) for i in range(n)}
