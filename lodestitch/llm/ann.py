@@ -1,39 +1,50 @@
 """Approximate nearest neighbours with a permutation index.
 
-A vector is represented by its nearest pivots in order. The index is cut into segments of
-bounded size; in a segment every vector is posted in the inverted files of its first
-``prefix`` pivots with its place there. A block of queries meets a segment once: the posting
-lists that it shares with the queries give the footrule distance of the permutations, the
-nearest ``share`` of the segment by that distance is reranked by exact Euclidean distance in
-double precision, and the best of each segment are merged.
+A vector is represented by its ``prefix`` nearest pivots in order; that representation is
+computed once per distinct vector and written as a table, the index. The index is cut into
+segments, and in a segment every vector is posted in the inverted file of each pivot of its
+prefix, with its place there. A block of queries meets a segment once: only the posting lists
+of a query's own pivots are read, they give the footrule distance of the permutations, the
+nearest by that distance are reranked by exact Euclidean distance in double precision, and
+the best of each segment are merged.
+
+All sizes follow the square root of the number n of distinct vectors, without a switch: there
+are ``pivots * sqrt(n)`` pivots (``MOST_PIVOTS`` at most, which bounds the broadcast), so a
+posting list holds ``prefix / pivots * sqrt(n)`` of n vectors; ``candidates * sqrt(n)`` vectors
+are reranked for a query; and a segment holds ``SEGMENT * sqrt(n)`` vectors. So a query's work
+and its copies grow with the root of the table, not with the table.
 
 Equal vectors are one class in the index, which carries the rows of its k + 1 smallest distinct
 ids, each at most k times. A query leaves out its own id, however often that stands, so k
-other rows remain wherever there are as many; cuts are made by distinct ids throughout. Pivots are
-drawn by hash from the classes; their number is fixed, and they are all that is broadcast.
+other rows remain wherever there are as many; cuts are made by distinct ids throughout.
 
 Defined results: vectors that are null, empty or zero, hold null or non-finite components,
 or have another length than most, take no part; rows with a null id neither; repeated
-(id, vector) rows count once each; ties go to the smaller id; an empty table or one vector
-gives no rows. Only the id and vector columns are read.
+(id, vector) rows count once each; ties in footrule distance and in distance go to the
+smaller id, and rows are ordered by id before any arithmetic, so reruns agree whatever the
+order of arrival; an empty table or one vector gives no rows. Only the id and vector columns
+are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
-PIVOTS = 128
+#: Multiples of the root of the number of distinct vectors.
+PIVOTS = 6.0
+CANDIDATES = 16.0
+SEGMENT = 36.0
+#: Pivots of a vector that are kept, in order.
 PREFIX = 64
-SHARE = 0.25
-#: A segment reranks at least so many, so that small tables are searched exactly.
-LEAST = 256
-SEGMENT_ROWS = 1024
-BLOCK_ROWS = 2048
+MOST_PIVOTS = 1 << 16
+BLOCK_ROWS = 1 << 14
 SEED = 7
 
 
@@ -51,23 +62,29 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1)
 
 
-def _places(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Each pivot's place among a vector's nearest pivots; ``prefix`` for those further off."""
+def _prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The numbers of each vector's nearest pivots, nearest first."""
     d = (pivots**2).sum(1)[None, :] - 2 * vectors @ pivots.T
-    order = np.argsort(d, axis=1, kind="stable")[:, :prefix]
-    places = np.full(d.shape, prefix, np.int32)
-    np.put_along_axis(places, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
-    return places
-
-
-def _closeness(queries: np.ndarray, members: np.ndarray, prefix: int) -> np.ndarray:
-    """How far each (query, member) stays below the largest footrule distance, summed over the
-    pivots' inverted files: a pivot in both prefixes lowers it by twice what is added here."""
-    out = np.zeros((len(queries), len(members)), np.int32)
-    for p in range(queries.shape[1]):
-        q, v = np.flatnonzero(queries[:, p] < prefix), np.flatnonzero(members[:, p] < prefix)  # the posting lists
-        if len(q) and len(v):
-            out[np.ix_(q, v)] += prefix - np.maximum(queries[q, p][:, None], members[v, p][None, :])
+    return np.argsort(d, axis=1, kind="stable")[:, :prefix].astype(np.int32)
+
+
+def _inverted(prefixes: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The inverted files of a segment: where each pivot's list starts, members, their places."""
+    flat = prefixes.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.searchsorted(flat[order], np.arange(n_pivots + 1))
+    member, place = np.divmod(order, prefixes.shape[1])
+    return starts, member, place
+
+
+def _closeness(query: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """How far each of n members stays below the largest footrule distance to a query, summed
+    over the query's posting lists: a pivot in both prefixes lowers it by twice what is added."""
+    starts, member, place = files
+    out = np.zeros(n, np.int64)
+    for at, pivot in enumerate(query):
+        part = slice(starts[pivot], starts[pivot + 1])
+        out[member[part]] += len(query) - np.maximum(place[part], at)
     return out
 
 
@@ -78,9 +95,9 @@ def search(
     vector: str = "embedding",
     every: int = 100,
     k: int = 10,
-    pivots: int = PIVOTS,
+    pivots: float = PIVOTS,
     prefix: int = PREFIX,
-    share: float = SHARE,
+    candidates: float = CANDIDATES,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
@@ -106,40 +123,55 @@ def search(
     asked = rows.where(F.col("id") % every == 0)
     asked_classes = shared.materialize(asked.groupBy("class").agg(F.first("vector").alias("vector")), "asked")
     n_classes, n_asked = classes.count(), asked_classes.count()
-    drawn = classes.orderBy(F.xxhash64(F.lit(SEED), "class.k1", "class.k2"), "class").limit(pivots).select("vector").collect()
+    root = max(n_classes, 1) ** 0.5
+    n_pivots = max(2, min(MOST_PIVOTS, round(pivots * root)))
+    drawn = classes.orderBy(F.xxhash64(F.lit(SEED), "class.k1", "class.k2"), "class").limit(n_pivots).select("vector").collect()
     centre = spark.sparkContext.broadcast(np.array([r["vector"] for r in drawn], np.float64))
-    prefix = min(prefix, len(drawn))
-    segments, blocks = max(1, -(-n_classes // SEGMENT_ROWS)), max(1, -(-n_asked // BLOCK_ROWS))
+    prefix, rerank = min(prefix, max(1, len(drawn) // 2)), candidates / root
+    segments, blocks = max(1, round(n_classes / (SEGMENT * root))), max(1, -(-n_asked // BLOCK_ROWS))
+
+    def represent(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, max(1, (1 << 21) // len(centre.value))):
+                part = batch.slice(at, max(1, (1 << 21) // len(centre.value)))
+                near = _prefixes(_matrix(part.column("vector")), centre.value, prefix)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), prefix).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "prefix"])
+
+    def indexed(df: DataFrame, label: str) -> DataFrame:
+        return shared.materialize(df.mapInArrow(represent, T.StructType([*df.schema.fields, T.StructField("prefix", T.ArrayType(T.IntegerType()))])), label)
 
     def dealt(df: DataFrame, own: str, n: int, other: str, others: int) -> DataFrame:
         """Rows in part ``own`` of ``n``, once for each of the ``others`` parts that they meet."""
         hashed = F.pmod(F.xxhash64(F.lit(SEED), "class.k1", "class.k2"), F.lit(n).cast("bigint"))
         return df.withColumn(own, hashed).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
 
-    index = dealt(classes, "segment", segments, "block", blocks).select("segment", "block", "class", "ids", "vector")
-    queries = dealt(asked_classes, "block", blocks, "segment", segments).select("segment", "block", "class", "vector")
+    index = dealt(indexed(classes, "index"), "segment", segments, "block", blocks).select("segment", "block", "class", "ids", "vector", "prefix")
+    queries = dealt(indexed(asked_classes, "queries"), "block", blocks, "segment", segments).select("segment", "block", "class", "vector", "prefix")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query": [], "ids": [], "score": []}
         if left.num_rows and right.num_rows:
+            left = left.append_column("least", pc.list_element(left["ids"], 0)).sort_by("least")
+            right = right.append_column("k1", pc.struct_field(right["class"], "k1")).sort_by("k1")
             v, q = _matrix(left["vector"]), _matrix(right["vector"])
+            asks = right["prefix"].combine_chunks().flatten().to_numpy().reshape(len(q), -1)
             n, ids, names = len(v), left["ids"].combine_chunks(), right["class"].combine_chunks()
-            most = min(n, max(LEAST, 4 * k, int(np.ceil(share * n))))
-            places = _places(v, centre.value, prefix)
-            least = np.array([x[0] for x in ids.to_pylist()])
-            for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                near = _closeness(_places(part, centre.value, prefix), places, prefix)
-                found = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                for i, c in enumerate(found):
-                    d = np.sqrt(((v[c] - part[i]) ** 2).sum(axis=1))
-                    order = np.lexsort((c, d))
-                    fresh = np.sort(np.unique(least[c[order]], return_index=True)[1])[: k + 1]
-                    edge = d[order[fresh[-1] if len(fresh) > k else -1]]  # there are k + 1 ids up to here
-                    keep = c[d <= edge]  # ties at the edge stay, the merge decides them by id
-                    out["query"].append(pa.array(np.full(len(keep), at + i)))
-                    out["ids"].append(pa.array(keep))
-                    out["score"].append(pa.array(d[d <= edge]))
+            files = _inverted(left["prefix"].combine_chunks().flatten().to_numpy().reshape(n, -1), len(centre.value))
+            most = min(n, max(k + 1, int(np.ceil(rerank * n))))
+            least = left["least"].to_numpy()
+            smaller_first = np.arange(n - 1, -1, -1)
+            for i in range(len(q)):
+                near = _closeness(asks[i], files, n) * n + smaller_first
+                c = np.argpartition(-near, most - 1)[:most]
+                d = np.sqrt(((v[c] - q[i]) ** 2).sum(axis=1))
+                order = np.lexsort((c, d))
+                fresh = np.sort(np.unique(least[c[order]], return_index=True)[1])[: k + 1]
+                edge = d[order[fresh[-1] if len(fresh) > k else -1]]  # there are k + 1 ids up to here
+                keep = c[d <= edge]  # ties at the edge stay, the merge decides them by id
+                out["query"].append(pa.array(np.full(len(keep), i)))
+                out["ids"].append(pa.array(keep))
+                out["score"].append(pa.array(d[d <= edge]))
             take = {x: pa.chunked_array(y).combine_chunks() for x, y in out.items()}
             return pa.table({"class": names.take(take["query"]), "ids": ids.take(take["ids"]), "score": take["score"]})
         return pa.table({"class": right["class"].slice(0, 0), "ids": left["ids"].slice(0, 0), "score": pa.array([], pa.float64())})
