@@ -41,6 +41,9 @@ UNSEEN = 0.5
 FLUSH = 1 << 19
 WORD, PAIR, HEAD_WORD = 0, 1, 2
 BIGRAM, DEMAND, DOCUMENT = 0, 1, 2
+#: Parts of scores (columns part, key, whose, v, n, d, t): a partition's sum for a document (key), a
+#: document's demand on a word (key), a document (key) with its doc_id and number of words.
+OF_SUM, OF_WORD, OF_DOCUMENT = 0, 1, 2
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,8 +97,8 @@ def _batch(names, arrays) -> pa.RecordBatch:
 
 
 def _count_rows(heads):
-    """kind, key, n: words outside the head, bigrams of the head, words of the head. Without
-    ``heads`` all words and bigrams, to choose the heads from."""
+    """kind, key, n: words outside the head by hash, bigrams and words of the head by their place
+    in it. Without ``heads`` all words and bigrams by hash, to choose the heads from."""
 
     def run(batches):
         for _, lengths, hashes in _flushes(batches, []):
@@ -105,11 +108,13 @@ def _count_rows(heads):
             kind = np.full(len(word), WORD, np.int32)
             if heads is not None:
                 words, bigrams = heads.value
-                kind[_find(words, word) >= 0] = HEAD_WORD
-                known = _find(bigrams, pair) >= 0
-                pair, n_pair = pair[known], n_pair[known]
+                at = _find(words, word)
+                kind[at >= 0] = HEAD_WORD
+                word = np.where(at >= 0, at, word.view(np.int64))
+                pair = _find(bigrams, pair)
+                pair, n_pair = pair[pair >= 0], n_pair[pair >= 0]
             kind = np.r_[kind, np.full(len(pair), PAIR, np.int32)]
-            yield _batch(["kind", "key", "n"], [kind, np.r_[word, pair].view(np.int64), np.r_[n_word, n_pair].astype(np.int64)])
+            yield _batch(["kind", "key", "n"], [kind, np.r_[word.view(np.int64), pair.view(np.int64)], np.r_[n_word, n_pair].astype(np.int64)])
 
     return run
 
@@ -135,12 +140,12 @@ def _most_frequent(counts: DataFrame, kind: int, head: int) -> np.ndarray:
     return np.sort(keys.to_numpy(np.int64).view(np.uint64))
 
 
-def _exact(counts: DataFrame, kind: int, keys: np.ndarray) -> np.ndarray:
-    """The head keys' counts, in their order."""
-    out = np.zeros(len(keys), np.int64)
-    if len(keys):
+def _exact(counts: DataFrame, kind: int, head: np.ndarray) -> np.ndarray:
+    """The counts of a head's words or bigrams, in its order."""
+    out = np.zeros(len(head), np.int64)
+    if len(head):
         got = counts.where(F.col("kind") == kind).select("key", "n").toPandas()
-        out[np.searchsorted(keys, got["key"].to_numpy(np.int64).view(np.uint64))] = got["n"]
+        out[got["key"].to_numpy(np.int64)] = got["n"]
     return out
 
 
@@ -271,12 +276,7 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None) -> DataFram
     tables = (words, _exact(counts, HEAD_WORD, words), bigrams, _exact(counts, PAIR, bigrams))
     heads = spark.sparkContext.broadcast(tables)
 
-    def coded(batches):
-        for b in batches:
-            place = np.searchsorted(heads.value[0], b.column("key").to_numpy().view(np.uint64)) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), b.column("n")], names=["hw", "hc"])
-
-    head_words = F.broadcast(counts.where(F.col("kind") == HEAD_WORD).select("key", "n").mapInArrow(coded, "hw long, hc long"))
+    head_words = F.broadcast(counts.where(F.col("kind") == HEAD_WORD).select((F.col("key") + 1).alias("hw"), F.col("n").alias("hc")))
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text")
     rows = keyed.mapInArrow(_score_rows(heads, total, own), ROWS)
@@ -311,25 +311,31 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None) -> DataFram
     )
     step = step.join(head_words, F.col("word") == F.col("hw"), "left")
     log_count = lambda c: F.log(F.greatest(c - (F.col("t") if own else F.lit(0)), F.lit(UNSEEN)))
-    settled = F.col("hc").isNotNull() | (F.col("kind") == DOCUMENT)
-    step = step.withColumn("v", F.col("v") + F.when(F.col("hc").isNotNull(), F.col("d") * log_count(F.col("hc"))).otherwise(F.lit(0.0)))
-    asked = (
-        step.select(
-            "uid", "doc_id", "n_words", "v", "backed",
-            F.when(~settled, F.col("word")).otherwise(F.col("uid")).alias("key"),
-            settled.alias("settled"),
-            F.when(~settled, F.col("d")).alias("d"),
-            F.when(~settled, F.col("t")).alias("t"),
-        )
-        .groupBy("key", "settled", "uid")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum(_nano(F.col("v"))).alias("v"), F.sum("backed").alias("backed"), F.sum("d").alias("d"), F.max("t").alias("t"))
-    )
+    value = F.col("v") + F.when(F.col("hc").isNotNull(), F.col("d") * log_count(F.col("hc"))).otherwise(F.lit(0.0))
+    # What a partition has settled of a document is one row of it; words outside the head are asked
+    # for once per document, and what their bigrams have settled goes along.
+    document, open_word = F.col("kind") == DOCUMENT, F.col("word").isNotNull() & F.col("hc").isNull()
+    parts = step.select(
+        F.when(document, OF_DOCUMENT).when(open_word, OF_WORD).otherwise(OF_SUM).alias("part"),
+        F.when(open_word, F.col("word")).otherwise(F.col("uid")).alias("key"),
+        F.when(document, F.col("doc_id")).when(open_word, F.col("uid")).alias("whose"),
+        _nano(value).alias("v"),
+        F.when(document, F.col("n_words")).otherwise(F.col("backed")).alias("n"),
+        F.when(open_word, F.col("d")).alias("d"),
+        F.when(open_word, F.col("t")).alias("t"),
+    )
+    parts = parts.groupBy("part", "key", "whose").agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("t").alias("t"))
     top = F.lit(-(1 << 63)).cast("long")
     unigrams = counts.where(F.col("kind") == WORD).groupBy(F.col("key").bitwiseOR(top).alias("uk")).agg(F.sum("n").alias("uc"))
-    joined = asked.join(unigrams, (F.col("key") == F.col("uk")) & ~F.col("settled"), "left")
-    late = F.when(~F.col("settled"), _nano(F.col("d") * log_count(F.coalesce("uc", F.lit(0))))).otherwise(F.lit(0))
-    summed = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").cast("long").alias("n_words"), F.sum(F.col("v") + late).alias("v"), F.sum("backed").alias("backed")
+    asks = F.col("part") == OF_WORD
+    joined = parts.join(unigrams, (F.col("key") == F.col("uk")) & asks, "left")
+    late = F.when(asks, _nano(F.col("d") * log_count(F.coalesce("uc", F.lit(0))))).otherwise(F.lit(0))
+    of_document = F.col("part") == OF_DOCUMENT
+    summed = joined.groupBy(F.when(asks, F.col("whose")).otherwise(F.col("key")).alias("uid")).agg(
+        F.max(F.when(of_document, F.col("whose"))).alias("doc_id"),
+        F.max(F.when(of_document, F.col("n"))).cast("long").alias("n_words"),
+        F.sum(F.col("v") + late).alias("v"),
+        F.sum(F.when(of_document, F.lit(0)).otherwise(F.col("n"))).alias("backed"),
     )
     rest = F.log(F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1)))
     score = F.when(F.col("n_words") > 0, F.col("v") / NANO - F.col("backed") * rest)
