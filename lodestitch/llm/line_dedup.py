@@ -8,8 +8,9 @@ most ``mean lines per page / ratio`` lines above the ratio, so its boilerplate i
 array; pages are joined to it by host, and lines are dropped inside the row.
 
 Defined results: null html has no lines and an empty text; null URLs and URLs without
-``://`` belong to the empty host; hosts with fewer than ``min_pages`` pages keep all lines;
-a line counts once per page; repeated rows are pages of their own; an empty table gives no
+``://`` belong to the empty host; a line counts once per page, and one that stands on fewer
+than ``support`` pages of its host repeats nothing and stays whatever the ratio (so a host
+with one page keeps all lines; ``support=1`` leaves the ratio alone to decide); repeated rows are pages of their own; an empty table gives no
 rows; only page_id, url and html are read.
 """
 
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 RATIO = 0.3
-MIN_PAGES = 5
+#: Least pages of a host that hold a line of boilerplate.
+SUPPORT = 2
 #: Elements that end a line.
 BLOCKS = "address article aside blockquote body br dd div dl dt footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+HIDDEN = r"(?is)<script\b.*?</script[ \t\n\x0B\f\r]*>|<style\b.*?</style[ \t\n\x0B\f\r]*>|<!--.*?-->"
 CUT = rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>|[\r\n]+"
 TAG = r"<[^>\n]*>"
 
@@ -37,7 +39,7 @@ def lines_of(html: Column) -> Column:
     return F.filter(F.transform(F.split(even, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, ratio: float = RATIO, support: int = SUPPORT) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text (the lines that stay) for every page."""
     host = shared.host_of(F.col("url"))
     counted = (
@@ -45,9 +47,9 @@ def drop_boilerplate(pages: DataFrame, *, ratio: float = RATIO, min_pages: int =
         .groupBy("host", "line")
         .agg(F.count("*").alias("n"))
     )
-    totals = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     common = (
-        counted.where("n > 1")
+        counted.where(F.col("n") >= support)
         .join(totals, "host")
         .where(F.col("n") > ratio * F.col("pages"))
         .groupBy("host")
