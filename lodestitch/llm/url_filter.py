@@ -1,11 +1,13 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact join.
 
 A rule is ``host/path``; it fits its host and every subdomain, for URL paths that start
-with its path, and the longest fitting rule wins. Each distinct (host, path) of the input
-is expanded only to the (label count, path length) shapes that occur in the list. The
-Bloom filter, whose size has a fixed upper bound, lets possible hits through; the exact
-hash join on the listed key then removes its false positives. A saturated filter costs
-time, never a wrong verdict.
+with its path, and the longest fitting rule wins. The canonical key of a rule is its host with
+its path's directory; a URL has one for each host suffix and each directory above it, so their
+number depends on the URL and not on the list. The Bloom filter of the listed keys, whose size
+has a fixed upper bound, is probed on the page's own row, before any shuffle; pages without a
+possible hit are done. The others are joined to the listed directories, which removes false
+positives, and by the lengths that a directory lists to the exact rules. A saturated filter
+costs time, never a wrong verdict.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path and get the
 default verdict; an empty rule list gives every row the default; repeated rows are judged
@@ -65,16 +67,35 @@ def build_filter(keys: DataFrame, column: str, n_keys: int, max_blocks: int = MA
     return words
 
 
-def _might_contain(words) -> Column:
-    @F.pandas_udf(T.BooleanType())
-    def test(h: pd.Series) -> pd.Series:
+def _possible(words) -> Column:
+    """Of an array of hashes, the places (from 0) of those that the filter lets through."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def test(hashes: pd.Series) -> pd.Series:
         table = words.value
-        at, bits = _words(h.to_numpy(np.int64).view(np.uint64), len(table) // WORDS_PER_BLOCK)
-        return pd.Series(((table[at.astype(np.int64)] & bits) == bits).all(axis=1))
+        sizes = hashes.map(len).to_numpy()
+        at, bits = _words(np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64), len(table) // WORDS_PER_BLOCK)
+        through = ((table[at.astype(np.int64)] & bits) == bits).all(axis=1)
+        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.split(through, np.cumsum(sizes)[:-1])])
 
     return test
 
 
+def _directory(path: Column) -> Column:
+    """A path up to its last separator."""
+    return F.regexp_extract(path, r"(?s)^(.*/)?", 1)
+
+
+def _directories(host: Column, path: Column) -> Column:
+    """Canonical keys of a URL: each host suffix with each of the path's directories, and with
+    none. As many as the URL has labels times separators, whatever the list holds."""
+    labels = F.split(host, r"\.")
+    hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    cuts = F.split(path, "/")
+    paths = F.transform(cuts, lambda _, i: F.concat(F.array_join(F.slice(cuts, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
+    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+
+
 def judge_urls(
     pages: DataFrame, rules: DataFrame, *, key: str = "page_id", url: str = "url", default: str = "allow", max_blocks: int = MAX_BLOCKS
 ) -> DataFrame:
@@ -82,47 +103,45 @@ def judge_urls(
 
     Returns key, host, path, rule (null if none fits) and verdict."""
     spark = pages.sparkSession
+    rule_host, rule_path = F.regexp_extract("rule", r"(?s)^([^/]*)", 1), F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1)
     listed = shared.materialize(
         rules.where(F.col("rule").isNotNull())
-        .select(
-            F.concat(
-                shared.ascii_lower(F.regexp_extract("rule", r"(?s)^([^/]*)", 1)), F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1)
-            ).alias("rule"),
-            "verdict",
-        )
+        .select(F.concat(shared.ascii_lower(rule_host), rule_path).alias("rule"), "verdict")
         .groupBy("rule")
         .agg(F.max("verdict").alias("verdict"))
-        .withColumn("labels", F.size(F.split(F.regexp_extract("rule", r"(?s)^([^/]*)", 1), r"\.")))
-        .withColumn("chars", F.length(F.regexp_extract("rule", r"(?s)^[^/]*(.*)", 1))),
+        .withColumn("directory", F.concat(rule_host, _directory(rule_path))),
         "rules",
     )
-    # Bounded: label counts times path lengths that a URL can have, whatever the list's size.
-    shapes = listed.select("labels", "chars").distinct().collect()
-    base = pages.select(F.col(key).alias(key), shared.host_of(F.col(url)).alias("host"), shared.path_of(F.col(url)).alias("path"))
-    if not shapes:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    words = spark.sparkContext.broadcast(build_filter(listed, "rule", listed.count(), max_blocks))
-    labels = F.split("host", r"\.")
-    keys = F.array(
-        *[
-            F.when(
-                (F.size(labels) >= s.labels) & (F.length("path") >= s.chars),
-                F.concat(F.array_join(F.slice(labels, -s.labels, s.labels), "."), F.substring("path", 1, s.chars)),
-            )
-            for s in shapes
-        ]
+    directories = shared.materialize(
+        listed.groupBy("directory").agg(F.collect_set(F.length("rule") - F.length("directory")).alias("tails")), "directories"
     )
-    possible = (
-        base.select("host", "path")
-        .distinct()
-        .select("host", "path", F.explode(F.array_compact(keys)).alias("rule"))
-        .where(_might_contain(words)(F.xxhash64("rule")))
+    words = spark.sparkContext.broadcast(build_filter(directories, "directory", directories.count(), max_blocks))
+    asked = pages.select(F.col(key).alias(key), shared.host_of(F.col(url)).alias("host"), shared.path_of(F.col(url)).alias("path"))
+    hashes = F.transform(_directories(F.col("host"), F.col("path")), lambda k: F.xxhash64(k))
+    # The filter is probed on the page's own row; only rows that may be hit are shuffled.
+    probed = shared.materialize(
+        asked.withColumn("possible", _possible(words)(hashes)).withColumn("row", F.monotonically_increasing_id()), "probed"
     )
+    missed = probed.where(F.size("possible") == 0).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    hit = (
+        probed.where(F.size("possible") > 0)
+        .select(key, "host", "path", "row", F.explode(F.transform("possible", lambda i: F.element_at(_directories(F.col("host"), F.col("path")), i + 1))).alias("directory"))
+    )
+    rest = F.regexp_extract("directory", r"(?s)^[^/]*(.*)", 1)
+    sized = hit.join(shared.maybe_broadcast(directories), "directory", "left").withColumn("rest", F.substring(F.col("path"), F.length(rest) + 1, F.length("path")))
+    keyed = sized.select(
+        key, "host", "path", "row",
+        F.explode_outer(F.transform(F.filter("tails", lambda n: n <= F.length("rest")), lambda n: F.concat("directory", F.substring(F.col("rest"), F.lit(1), n)))).alias("rule"),
+    )
     best = (
-        possible.join(shared.maybe_broadcast(listed.select("rule", "verdict")), "rule")
-        .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best"))
+        keyed.join(shared.maybe_broadcast(listed.select("rule", "verdict")), "rule", "left")
+        .groupBy("row")
+        .agg(
+            F.first(F.struct(F.col(key).alias("key"), "host", "path")).alias("page"),
+            F.max(F.when(F.col("verdict").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best"),
+        )
     )
-    return base.join(best, ["host", "path"], "left").select(
-        key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
+    judged = best.select(
+        F.col("page.key").alias(key), F.col("page.host").alias("host"), F.col("page.path").alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
+    return missed.unionByName(judged)
