@@ -3,14 +3,18 @@
 Writing: a payload is cut into segments of bounded size, each a WARC record of its own
 (``response`` and its ``continuation`` records, with segment numbers, origin and total
 length), so a row never grows beyond a segment. Spark's text sink writes them with CRLF as
-line end, gzip-compressed, to any file system that Spark reaches; archives are balanced by
-hashed page and bounded in size. Copies of a payload of at least ``least`` bytes are written
-once; the others become ``revisit`` records that refer to it.
+line end, gzip-compressed, to any file system that Spark reaches. Archives are bounded in
+size: every ``RUN`` segments of a payload are dealt anew, so a payload of any length is spread
+over many archives and none holds it whole. Copies of a payload of at least ``least`` bytes are
+written once; the others become ``revisit`` records that refer to it.
 
 Reading: each archive streams through an incremental decompressor and parser, which yields
 rows (record identifier, chunk number) with at most ``chunk_bytes`` of payload, the bytes so
-far and the running SHA-1, and checks the digest in the header at a record's end. No record
-is ever held whole.
+far and, where the record began in this archive, the running SHA-1. Rows of an oversized
+(segmented) record carry their bytes: they are shuffled by record, sorted by chunk number and
+streamed through an incremental digest, a few chunks at a time; what fits in one segment has
+its digest already and sends none. Digests are checked against the record headers. No
+record is ever held whole.
 
 Defined results: null payloads are empty; a null page_id is written as such and loses to any
 other as keeper of a payload; rows that share page and payload with the keeper are all
@@ -33,11 +37,18 @@ from . import shared
 CRLF = "\r\n"
 SEGMENT_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 16
+#: Segments of a payload that stay together.
+RUN = 16
+#: Chunk numbers of a segment start at its number, from 0, times this.
+SEGMENT_CHUNKS = 1 << 20
+#: Chunk rows of an oversized record that a task holds at a time.
+HELD_CHUNKS = 64
 #: Payload bytes that an archive should hold, before compression.
 ARCHIVE_BYTES = 24 << 20
 REVISIT_LEAST = 1000
 #: Record date and revisit profile, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
+CONTROLS = [*range(32), 127]
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -46,6 +57,14 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(CRLF)), F.lit(""))
 
 
+def encoded_url(url: Column) -> Column:
+    """Control characters, which would break a header, as percent and code."""
+    out = url
+    for code in CONTROLS:
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike(r"[\x00-\x1F\x7F]"), out).otherwise(url)
+
+
 def plan_records(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
     """page_id, uid, url, payload, digest, bytes and refers_to (null for responses)."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
@@ -87,7 +106,7 @@ def _render(segments: DataFrame) -> DataFrame:
         F.when(revisit, "revisit").when(first, "response").otherwise("continuation"),
         F.lit(f"{CRLF}WARC-Date: {DATE}{CRLF}"),
         _field("WARC-Record-ID", F.concat(F.lit("<"), name, F.when(first, F.lit("")).otherwise(F.concat(F.lit(":"), F.col("part"))), F.lit(">"))),
-        _field("WARC-Target-URI", F.when(first, F.regexp_replace("url", r"[\x00-\x1F\x7F]", "%0A"))),
+        _field("WARC-Target-URI", F.when(first, encoded_url(F.col("url")))),
         _field("WARC-Page-ID", F.when(first, F.col("page_id"))),
         _field("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
@@ -108,7 +127,8 @@ def write_archives(
     """Write a WARC record per page to gzip archives under ``path``."""
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     segments = _segments(plan_records(pages, least), segment_bytes)
-    dealt = segments.repartition(max(1, -(-total // archive_bytes)), "page_id").sortWithinPartitions("page_id", "uid", "part")
+    run = F.floor((F.col("part") - 1) / RUN)
+    dealt = segments.repartition(max(1, -(-total // archive_bytes)), "uid", run).sortWithinPartitions("page_id", "uid", "part")
     _render(dealt).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
@@ -172,73 +192,77 @@ class _Input:
 
 
 def read_records(content: bytes, chunk_bytes: int = CHUNK_BYTES) -> Iterator[dict]:
-    """Chunk rows of an archive: headers, chunk number, data, bytes and SHA-1 so far, last."""
+    """Chunk rows of an archive: the record's identifier and headers (None where it began
+    elsewhere), chunk number, data, bytes and SHA-1 so far (None likewise), last, whole."""
     source = _Input(content)
-    origin: dict | None = None
+    at: dict = {}
     while (head := source.until(b"\r\n\r\n")) is not None:
         lines = head.lstrip(b"\r\n").decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]}")
         fields = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+        number = int(fields.get("warc-segment-number", 1))
         if fields["warc-type"] == "continuation":
-            if origin is None or fields["warc-segment-origin-id"] != origin["fields"]["warc-record-id"]:
-                raise ValueError("continuation without its first segment")
+            name = fields["warc-segment-origin-id"]
+            if at.get("name") != name or at["number"] != number - 1:
+                at = {"name": name, "fields": None, "sha1": None, "bytes": None}
         else:
-            origin = {"fields": fields, "sha1": hashlib.sha1(), "bytes": 0, "chunk": 0}
-        length = int(fields["content-length"])
+            at = {"name": fields["warc-record-id"], "fields": fields, "sha1": hashlib.sha1(), "bytes": 0}
+        at["number"] = number
+        left = length = int(fields["content-length"])
         ends = "warc-segment-number" not in fields or "warc-segment-total-length" in fields
-        left = length
-        for data in source.pieces(length, chunk_bytes) if length else [b""]:
+        for i, data in enumerate(source.pieces(length, chunk_bytes) if length else [b""]):
             left -= len(data)
-            origin["sha1"].update(data)
-            origin["bytes"] += len(data)
-            last = ends and not left
-            if last and origin["fields"]["warc-type"] == "response" and origin["fields"].get("warc-payload-digest", "").startswith("sha1:"):
-                if origin["sha1"].hexdigest() != origin["fields"]["warc-payload-digest"][5:]:
-                    raise ValueError(f"digest differs in {origin['fields']['warc-record-id']}")
-            yield {"fields": origin["fields"], "chunk": origin["chunk"], "data": data, "bytes": origin["bytes"], "sha1": origin["sha1"], "last": last}
-            origin["chunk"] += 1
+            if at["sha1"]:
+                at["sha1"].update(data)
+                at["bytes"] += len(data)
+            yield {
+                "name": at["name"].strip("<>"), "fields": at["fields"], "segmented": "warc-segment-number" in fields, "chunk": (number - 1) * SEGMENT_CHUNKS + i,
+                "data": data, "bytes": at["bytes"], "sha1": at["sha1"] and at["sha1"].hexdigest(), "last": ends and not left,
+            }
         if source.until(b"\r\n\r\n") is None:
             raise ValueError("record without its end")
 
 
 CHUNK_SCHEMA = (
-    "record_id string, chunk_no int, page_id long, record_type string, url string, refers_to long, "
-    "declared_digest string, data binary, bytes_so_far long, sha1_so_far string, last boolean"
+    "record_id string, chunk_no long, page_id long, record_type string, url string, refers_to long, "
+    "declared_digest string, segmented boolean, data binary, chunk_bytes long, bytes_so_far long, sha1_so_far string, last boolean"
 )
+_CHUNK_TYPES = [
+    pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_(),
+]
 
 
-def read_chunks(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True, only_last: bool = False) -> DataFrame:
-    """The chunked record table of the archives under ``path`` (``CHUNK_SCHEMA``).
-
-    ``only_last`` leaves one row per record, with the digest and length of its whole payload."""
+def read_chunks(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTES, oversized_only: bool = False) -> DataFrame:
+    """The chunked record table of the archives under ``path`` (``CHUNK_SCHEMA``). Headers stand on
+    rows whose record began in the same archive. With ``oversized_only`` only rows of segmented
+    records carry their data."""
 
     def rows(contents: Iterable[bytes]) -> Iterator[tuple]:
         number = lambda x: int(x) if x is not None else None
         for content in contents:
             for r in read_records(content, chunk_bytes):
-                if only_last and not r["last"]:
-                    continue
-                f = r["fields"]
+                f = r["fields"] or {}
                 yield (
-                    f["warc-record-id"].strip("<>"), r["chunk"], number(f.get("warc-page-id")), f["warc-type"], f.get("warc-target-uri"),
-                    number(f.get("warc-refers-to-page")), f.get("warc-payload-digest", "")[5:] or None, r["data"] if with_data else None,
-                    r["bytes"], r["sha1"].hexdigest(), r["last"],
+                    r["name"], r["chunk"], number(f.get("warc-page-id")), f.get("warc-type"), f.get("warc-target-uri"), number(f.get("warc-refers-to-page")),
+                    f.get("warc-payload-digest", "")[5:] or None, r["segmented"], r["data"] if r["segmented"] or not oversized_only else None,
+                    len(r["data"]), r["bytes"], r["sha1"], r["last"],
                 )
 
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
 
     def batch(part: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part), _CHUNK_TYPES)], names=names)
 
     def run(batches):
         part: list[tuple] = []
+        held = 0
         for r in rows(x.as_py() for b in batches for x in b.column("content")):
             part.append(r)
-            if len(part) >= (64 if with_data else 4096):
+            held += r[8] is not None
+            if held >= HELD_CHUNKS or len(part) >= 4096:
                 yield batch(part)
-                part = []
+                part, held = [], 0
         if part:
             yield batch(part)
 
@@ -246,31 +270,59 @@ def read_chunks(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTE
     return files.mapInArrow(run, CHUNK_SCHEMA)
 
 
+def _digests(batches):
+    """Whole length and SHA-1 of each record, from chunk rows in order."""
+    name, sha1, size, ended = None, None, 0, False
+    for batch in batches:
+        out = []
+        for record, data, last in zip(*(batch.column(c) for c in ("record_id", "data", "last"))):
+            if record.as_py() != name:
+                if name is not None:
+                    out.append((name, size, sha1.hexdigest(), ended))
+                name, sha1, size = record.as_py(), hashlib.sha1(), 0
+            sha1.update(data.as_buffer())
+            size, ended = size + len(data.as_buffer()), last.as_py()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["record_id", "bytes", "sha1", "complete"])
+    if name is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, size, sha1.hexdigest(), ended)], names=["record_id", "bytes", "sha1", "complete"])
+
+
+def read_whole(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """A written row per record of the archives: record_id, page_id, record_type, url, refers_to,
+    declared_digest, and bytes and sha1 of the whole payload as it was read."""
+    chunks = read_chunks(spark, path, chunk_bytes=chunk_bytes, oversized_only=True)
+    chunks = shared.materialize(chunks, "chunks")
+    headers = ["page_id", "record_type", "url", "refers_to", "declared_digest"]
+    short = chunks.where("not segmented").groupBy("record_id").agg(
+        F.max_by(F.struct(*headers, F.col("bytes_so_far").alias("bytes"), F.col("sha1_so_far").alias("sha1"), F.col("last").alias("complete")), "chunk_no").alias("r")
+    )
+    oversized = chunks.where("segmented").repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
+    key, held = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, str(HELD_CHUNKS))
+    try:
+        sums = shared.materialize(oversized.select("record_id", "data", "last").mapInArrow(_digests, "record_id string, bytes long, sha1 string, complete boolean"), "oversized")
+    finally:
+        spark.conf.set(key, held)
+    first = chunks.where("segmented and chunk_no = 0").select("record_id", *headers)
+    records = short.select("record_id", "r.*").unionByName(first.join(sums, "record_id", "full"))
+    sound = F.col("complete") & (F.col("record_type").isNotNull()) & ((F.col("record_type") != "response") | (F.col("sha1") == F.coalesce("declared_digest", "sha1")))
+    damaged = F.concat(F.lit("record is cut off or its digest differs: "), F.col("record_id"))
+    return shared.materialize(records.withColumn("sha1", F.when(F.coalesce(sound, F.lit(False)), F.col("sha1")).otherwise(F.raise_error(damaged))).drop("complete"), "records")
+
+
 def archive_round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write the pages' archives, read them back: page_id, payload_bytes, payload_digest,
     record_type, refers_to, and url. A revisit takes length and digest from its response."""
     spark = pages.sparkSession
     path = path or shared.fresh_path(spark, "warc")
     write_archives(pages, path, **options)
-    records = shared.materialize(read_chunks(spark, path, with_data=False, only_last=True), "records")
-    responses = records.where("record_type = 'response'").select("page_id", "bytes_so_far", "sha1_so_far", "record_type", "refers_to", "url")
-    revisits = records.where("record_type = 'revisit'")
-    targets = revisits.select(F.col("refers_to").alias("target"), F.col("declared_digest").alias("sha1")).distinct()
-    full = (
-        responses.join(targets, (F.col("page_id") == F.col("target")) & (F.col("sha1_so_far") == F.col("sha1")), "left_semi")
-        .select(F.col("page_id").alias("target"), "sha1_so_far", "bytes_so_far")
-        .distinct()
-    )
-    again = (
-        revisits.select("page_id", "refers_to", "declared_digest", "record_type", "url")
-        .join(full, (F.col("refers_to") == F.col("target")) & (F.col("declared_digest") == F.col("sha1_so_far")))
-        .select("page_id", "bytes_so_far", "sha1_so_far", "record_type", "refers_to", "url")
-    )
-    return responses.unionByName(again).select(
-        "page_id",
-        F.col("bytes_so_far").alias("payload_bytes"),
-        F.col("sha1_so_far").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-        "url",
+    records = read_whole(spark, path)
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    targets = revisits.select(F.col("refers_to").alias("page_id"), F.col("declared_digest").alias("sha1")).distinct()
+    full = responses.join(targets, ["page_id", "sha1"], "left_semi").select(F.col("page_id").alias("target"), "sha1", "bytes").distinct()
+    again = revisits.select("page_id", "refers_to", "declared_digest", "record_type", "url").join(
+        full, (F.col("refers_to") == F.col("target")) & (F.col("declared_digest") == F.col("sha1"))
     )
+    columns = ["page_id", F.col("bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", "refers_to", "url"]
+    return responses.select(*columns).unionByName(again.select(*columns))
