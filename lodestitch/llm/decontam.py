@@ -6,9 +6,12 @@ one whole window of hashes, so both texts keep the same fingerprint there: no sh
 of 13 words is missed. Items of fewer words are fingerprinted by one gram of their own
 length, and documents are hashed at the few lengths that occur.
 
-Documents meet the benchmark on fingerprints only. Texts that collide are read again,
-tokenised and extended: along each diagonal (document position minus item position) the
-words themselves are compared, and every run that holds a whole window is a hit.
+Documents meet the benchmark on fingerprints only. Documents that collide are read again and
+their hits are extended to every window: windows of 13 words (or of a shorter item's length)
+are joined to the items' distinct windows, both under two independent 64-bit hashes. A
+document's position is in one row for each length and meets one row at most, so repeated
+text, however long, costs rows in proportion to its words, and a passage that many documents
+share is many rows of a join, not one task.
 
 Defined results: a null or wordless document has no words, no hits and is clean; a null
 or wordless item hits nothing; an item with a null id hits but is not listed; items that
@@ -90,81 +93,60 @@ def _row_key() -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("text").alias("text_key")]
 
 
-def item_prints(items: DataFrame) -> DataFrame:
-    """One row per fingerprint of an item: item (row key), gram, h, at (first word, from 0)."""
-    long = items.where(F.size("item_words") >= SPAN).withColumn("hashes", _gram_hashes(F.col("item_words"), GRAM))
-    long = long.withColumn("kept", F.array_distinct(_least_per_window(F.col("hashes"))))
-    long = long.select("item", F.lit(GRAM).alias("gram"), F.posexplode("hashes").alias("at", "h"), "kept").where(F.array_contains("kept", F.col("h")))
-    short = items.where(F.size("item_words").between(1, SPAN - 1)).select(
-        "item", F.size("item_words").alias("gram"), F.lit(0).alias("at"), _gram_hashes(F.col("item_words"), F.size("item_words"))[0].alias("h")
+def _windows(words: Column, span: Column) -> Column:
+    """For each window of ``span`` words its two hashes; those of 13 words are put together from
+    the 8-grams at both ends, which overlap by three words."""
+    grams = _gram_hashes(words, GRAM)
+    long = lambda seed: _doubled_at(grams, SPAN - GRAM, lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), F.xxhash64(F.lit(seed), b, a).alias("g")))
+    sliced = F.transform(
+        _upto(1, F.size(words) - span + 1),
+        lambda i: F.struct(F.xxhash64(span, F.slice(words, i, span)).alias("h"), F.xxhash64(F.lit(2), F.slice(words, i, span)).alias("g")),
+    )
+    return F.when(span == SPAN, long(2)).otherwise(sliced)
+
+
+def _doubled_at(values: Column, step: int, f) -> Column:
+    """As ``_doubled``, for structs of hashes."""
+    return _let(
+        values,
+        lambda v: F.when(
+            F.size(v) > step, F.zip_with(F.slice(v, 1, F.greatest(F.size(v) - step, F.lit(0))), F.slice(v, step + 1, F.greatest(F.size(v) - step, F.lit(0))), f)
+        ).otherwise(F.array().cast("array<struct<h:bigint,g:bigint>>")),
     )
-    return long.select("item", "gram", "at", "h").unionByName(short.select("item", "gram", "at", "h"))
+
+
+def item_prints(items: DataFrame) -> DataFrame:
+    """One row per distinct fingerprint of the items: h, and span, the length of their windows."""
+    long = items.where(F.size("item_words") >= SPAN).select(F.lit(SPAN).alias("span"), _least_per_window(_gram_hashes(F.col("item_words"), GRAM)).alias("kept"))
+    short = items.where(F.size("item_words").between(1, SPAN - 1)).select(F.size("item_words").alias("span"), _gram_hashes(F.col("item_words"), F.size("item_words")).alias("kept"))
+    return long.unionByName(short).select("span", F.explode("kept").alias("h")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_hit and items (distinct ids as strings) of documents with a hit."""
+    """doc_id, text_key, n_hit, n_items and items_sha256 of documents with a hit."""
     items = shared.materialize(
-        benchmark.select("item_id", words_of(F.col("text")).alias("item_words"))
-        .where(F.size("item_words") > 0)
-        .distinct()
-        .withColumn("item", F.monotonically_increasing_id()),
+        benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("item_words")).where(F.size("item_words") > 0).distinct(),
         "items",
     )
     prints = shared.materialize(item_prints(items), "item-prints")
-    short = sorted(r["gram"] for r in prints.where(F.col("gram") != GRAM).select("gram").distinct().collect())  # lengths below 13
-    short += [GRAM] if items.where(F.size("item_words") == GRAM).limit(1).count() else []
+    short = sorted(r["span"] for r in prints.where(F.col("span") != SPAN).select("span").distinct().collect())  # lengths below 13
     keyed = docs.select(*_row_key(), words_of(F.col("text")).alias("words"))
     kept = _least_per_window(F.col("hashes"))
     for gram in short:
         kept = F.concat(kept, _gram_hashes(F.col("words"), gram))
     posted = keyed.withColumn("hashes", _gram_hashes(F.col("words"), GRAM)).select("doc_id", "text_key", F.explode(F.array_distinct(kept)).alias("h"))
-    met = posted.join(shared.maybe_broadcast(shared.materialize(prints.select("h").distinct(), "prints")), "h")
-    met = shared.materialize(met.distinct(), "collisions")
-    pairs = (
-        met.join(shared.maybe_broadcast(prints), "h")
-        .groupBy("doc_id", "text_key", "item", "gram")
-        .agg(F.collect_list(F.struct("h", "at")).alias("marks"))
-        .join(shared.maybe_broadcast(items, 50_000), "item")
-        .withColumnRenamed("doc_id", "hit_doc")
-        .withColumnRenamed("text_key", "hit_key")
-    )
+    met = posted.join(shared.maybe_broadcast(prints), "h").groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    met = shared.materialize(met.withColumnsRenamed({"doc_id": "hit_doc", "text_key": "hit_key"}), "collisions")
     same_row = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key"))
-    flagged = shared.maybe_broadcast(
-        shared.materialize(met.select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key")).distinct(), "flagged")
-    )
-    texts = docs.select(*_row_key(), "text").join(flagged, same_row, "left_semi").dropDuplicates(["doc_id", "text_key"])
-    texts = texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
-    met_rows = texts.join(pairs, same_row).withColumn("hashes", _gram_hashes(F.col("words"), F.col("gram")))
-    places = F.flatten(
-        F.transform(
-            "marks",
-            lambda m: F.transform(
-                F.filter(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: x["h"] == m["h"]),
-                lambda x: x["i"] - m["at"],
-            ),
-        )
-    )
-    laid = met_rows.withColumn("shifts", F.array_distinct(places)).withColumn("span", F.least(F.size("item_words"), F.lit(SPAN)))
-    words, item_words, span = F.col("words"), F.col("item_words"), F.col("span")
-
-    def held(shift: Column, j: Column) -> Column:
-        """Item window j stands in the document, with the item laid at ``shift``."""
-        at = shift + j
-        return F.when(at < 0, F.lit(False)).otherwise(F.slice(words, F.greatest(at, F.lit(0)) + 1, span) == F.slice(item_words, j + 1, span))
-
-    starts = F.array_distinct(
-        F.flatten(
-            F.transform("shifts", lambda s: F.transform(F.filter(_upto(0, F.size(item_words) - span), lambda j: held(s, j)), lambda j: s + j))
-        )
-    )
-    spans = laid.select("doc_id", "text_key", "item_id", "span", starts.alias("starts")).where(F.size("starts") > 0)
-    spans = spans.select(
-        "doc_id", "text_key", "item_id", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + F.col("span")).alias("e"))).alias("spans")
-    )
-    per_row = spans.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
-    )
+    texts = docs.select(*_row_key(), "text").join(shared.maybe_broadcast(met), same_row).dropDuplicates(["doc_id", "text_key"])
+    texts = texts.select("doc_id", "text_key", words_of(F.col("text")).alias("words"), F.explode("spans").alias("span"))
+    laid = texts.select("doc_id", "text_key", "span", F.posexplode(_windows(F.col("words"), F.col("span"))).alias("at", "w"))
+    laid = laid.select("doc_id", "text_key", "span", "at", "w.h", "w.g")
+    windows = items.withColumn("span", F.least(F.size("item_words"), F.lit(SPAN))).select("item", "span", F.explode(_windows(F.col("item_words"), F.col("span"))).alias("w"))
+    windows = shared.materialize(windows.select("item", "span", "w.h", "w.g").distinct(), "item-windows")
+    distinct = shared.materialize(windows.select("span", "h", "g").distinct(), "windows")
+    found = shared.materialize(laid.join(shared.maybe_broadcast(distinct), ["span", "h", "g"], "left_semi"), "found")
+    per_row = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("span")).alias("e")))).alias("spans"))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
     merged = F.aggregate(
         "spans",
@@ -175,7 +157,19 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["n"],
     )
-    return per_row.select("doc_id", "text_key", merged.alias("n_hit"), "items")
+    named = (
+        found.select("doc_id", "text_key", "span", "h", "g")
+        .distinct()
+        .join(shared.maybe_broadcast(windows), ["span", "h", "g"])
+        .groupBy("doc_id", "text_key")
+        .agg(F.array_sort(F.collect_set("item")).alias("items"))
+        .select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), F.size("items").cast("long").alias("n_items"), _sha_of("items").alias("items_sha256"))
+    )
+    return per_row.select("doc_id", "text_key", merged.alias("n_hit")).join(named, same_row, "left").drop("hit_doc", "hit_key")
+
+
+def _sha_of(listed) -> Column:
+    return F.sha2(F.array_join(listed, ","), 256)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20) -> DataFrame:
@@ -186,13 +180,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, *, least_share: int = 20) -> Da
     base = docs.select(*_row_key(), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     same_row = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & F.col("text_key").eqNullSafe(F.col("hit_key"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    listed = F.coalesce("items", F.array().cast("array<string>"))
     return base.join(shared.maybe_broadcast(found, 100_000), same_row, "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (least_share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
