@@ -1,10 +1,13 @@
 """SimHash near-duplicates by ball hashing.
 
 Fingerprints come from whole texts, one Arrow batch at a time, in slices of bounded length.
-Links: of two fingerprints that differ in at most ``r`` bits, one 32-bit half differs in at
-most ``r // 2`` bits. So every distinct fingerprint posts its two halves, and emits every
-variant of each half within half the radius; both are shuffled on the half's value, and
-what collides is verified on all 64 bits inside the join and then deduplicated. Copies have
+Links meet in the middle: a fingerprint emits every variant within half the radius, on one
+side the ball of the smaller half and on the other that of the larger, all are shuffled on the
+variant, and what collides is verified on all 64 bits inside the join and then deduplicated.
+With ``parts=1`` the balls are around whole fingerprints: 65 and 2,081 variants at radius 3.
+With ``parts=2`` (the default, see the README for figures of both) they are around 32-bit
+halves: of two fingerprints within ``r`` bits one half differs in at most ``r // 2``, so at
+radius 3 the balls have 1 and 33 variants. Both give the same links. Copies have
 one fingerprint and so one node; only true links between different fingerprints leave the
 join. Components come from alternating large-star and small-star rounds over the links,
 each round a written table.
@@ -31,6 +34,8 @@ from . import shared
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
+#: Parts of a fingerprint around which balls are emitted.
+PARTS = 2
 #: Shingles hashed at a time; bounds memory on very long texts.
 SLICE = 1 << 16
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -64,24 +69,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint")
 
 
-def _masks(radius: int) -> list[int]:
-    """All changes of a 32-bit half in at most ``radius`` bits."""
-    return [reduce(lambda m, b: m | 1 << b, bits, 0) for r in range(radius + 1) for bits in combinations(range(32), r)]
+def _ball(fp: Column, part: int, width: int, radius: int) -> Column:
+    """Keys of all variants of a part of ``width`` bits within ``radius`` bits. Parts of less than
+    64 bits have their number in the key."""
+    masks = [reduce(lambda m, b: m | 1 << b, bits, 0) for r in range(radius + 1) for bits in combinations(range(width), r)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint") for m in masks])
+    own = fp if width == 64 else F.shiftrightunsigned(fp, width * part).bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(part << width))
+    return F.transform(signed, lambda m: m.bitwiseXOR(own))
 
 
-def _halves(fp: Column) -> Column:
-    """The halves as 33-bit keys: which half, then its value."""
-    low = F.lit((1 << 32) - 1)
-    return F.array(F.shiftrightunsigned(fp, 32).bitwiseAND(low), fp.bitwiseAND(low).bitwiseOR(F.lit(1 << 32)))
-
-
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints ``fp`` that differ in at most ``radius`` bits."""
-    posted = nodes.select(F.col("fp").alias("a"), F.explode(_halves(F.col("fp"))).alias("key"))
-    masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(radius // 2)])
-    variants = nodes.select(F.col("fp").alias("b"), F.explode(_halves(F.col("fp"))).alias("half")).select(
-        "b", F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("half")))).alias("key")
-    )
+    if parts not in (1, 2, 4):
+        raise ValueError("parts must be 1, 2 or 4")
+    width, inner = 64 // parts, radius // parts
+    spread = nodes.select("fp").repartition("fp")  # the written table may be a few files; a row becomes many
+    balls = lambda r: F.explode(F.concat(*[_ball(F.col("fp"), p, width, r) for p in range(parts)])).alias("key")
+    posted = spread.select(F.col("fp").alias("a"), balls(inner // 2))
+    variants = spread.select(F.col("fp").alias("b"), balls(inner - inner // 2))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     hits = posted.join(variants, (posted["key"] == variants["key"]) & (F.col("a") != F.col("b")) & close)
     return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -116,19 +121,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def groups(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """fp, component_id and members (rows of that fingerprint) for every distinct fingerprint."""
     nodes = shared.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("members")), "prints")
-    tied = shared.materialize(components(links(nodes, radius)), "components")
+    tied = shared.materialize(components(links(nodes, radius, parts)), "components")
     rooted = nodes.join(tied.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return rooted.join(named, "root").select("fp", "component_id", "members")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for every row."""
     prints = shared.materialize(fingerprints(docs, shingle), "fingerprints")
-    return prints.join(groups(prints, radius), "fp").select(
+    return prints.join(groups(prints, radius, parts), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -90,20 +90,27 @@ def test_simhash(spark, docs, rows):
     assert got == want
 
 
-def test_links_at_every_distance(spark):
+@pytest.mark.parametrize("parts,radius", [(1, 3), (2, 3), (4, 3), (2, 5), (4, 6), (1, 2)])
+def test_links_at_every_distance(spark, parts, radius):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(60)]
     prints = set(base)
     for p in base:
-        for d in range(1, 6):
+        for d in range(1, 8):
             prints.add(p ^ sum(1 << b for b in rng.sample(range(64), d)))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), radius, parts).collect()}
     mask = (1 << 64) - 1
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= 3}
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & mask).bit_count() <= radius}
     assert got == want
 
 
+def test_fingerprint_of_a_text_longer_than_a_slice():
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(300)}" for _ in range(simhash.SLICE + 5_000))
+    assert simhash.fingerprint(text) == plain_print(text)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (100, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
