@@ -10,15 +10,18 @@ training position; documents are range-sorted by it. A document is taken once fo
 pass in which its middle word lies within the target, so a source misses its target by at
 most half a document.
 
-Cumulative sums are taken per (source, hash bucket) and the buckets' totals are summed on
+A document's place in the hashed order has 60 bits and their first ones are its bucket, so the
+order does not depend on the number of buckets. Cumulative sums are taken per (source, bucket) and the buckets' totals are summed on
 their own, so that a source with a third of all rows is many small windows.
 
 Defined results: null texts have size 0 and are taken 0 words; null is a source, the last;
-repeated rows are separate documents; empty input gives no rows; extra columns are ignored.
+repeated rows are separate documents (those of one id and text share a bucket); empty input gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +29,11 @@ from . import shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-SEED = 17
+#: Most times that a source is taken.
+CAP = 2.0
+PLACE_BITS = 60
 ROWS_PER_BUCKET = 4096
-LEAST_BUCKETS = 256
+LEAST_BUCKET_BITS = 8
 
 
 def n_words(text: Column) -> Column:
@@ -36,11 +41,13 @@ def n_words(text: Column) -> Column:
 
 
 def order_key() -> Column:
-    """A document's place in its source's shuffled order."""
-    return F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text"))
+    """A document's place in its source's shuffled order: 60 bits of a digest."""
+    own = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n"))
+    digest = F.md5(F.concat(own, F.lit(":"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("n"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap: float = 2.0, tilt: float = 0.5) -> DataFrame:
+def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap: float = CAP, tilt: float = 0.5) -> DataFrame:
     """One row per source: source, source_size, rank, weight, target, tilt.
 
     ``sizes`` has source and source_size, a row per source; only that table meets in one task."""
@@ -68,16 +75,16 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = 1.5, cap:
 
 
 def _plan(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, int]:
-    """Rows with their cumulative words, the targets, and the bucket count."""
+    """Rows with their cumulative words, the targets, and the most passes that a source gets."""
     narrow = shared.materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order_key().alias("place")), "sizes")
-    buckets = LEAST_BUCKETS
-    while buckets * ROWS_PER_BUCKET < narrow.count() and buckets < 1 << 24:
-        buckets *= 2
+    bits, rows = LEAST_BUCKET_BITS, narrow.count()
+    while ROWS_PER_BUCKET << bits < rows and bits < 24:
+        bits += 1
     targets = shared.materialize(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), **options), "targets")
     placed = (
         narrow.withColumnRenamed("source", "own")
         .join(shared.maybe_broadcast(targets, 100_000), F.col("own").eqNullSafe(F.col("source")))
-        .select("doc_id", "size", "place", "rank", "source_size", "target", "tilt", F.pmod("place", F.lit(buckets)).alias("bucket"))
+        .select("doc_id", "size", "place", "rank", "source_size", "target", "tilt", F.shiftright("place", PLACE_BITS - bits).alias("bucket"))
     )
     starts = (
         placed.groupBy("rank", "bucket")
@@ -87,7 +94,7 @@ def _plan(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame, int]:
     )
     inner = Window.partitionBy("rank", "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(starts, ["rank", "bucket"])
-    return summed.withColumn("middle", F.col("start") + F.col("before") + F.col("size") / 2), targets, buckets
+    return summed.withColumn("middle", F.col("start") + F.col("before") + F.col("size") / 2), targets, max(1, math.ceil(options.get("cap", CAP)))
 
 
 def _taken_in(p: int) -> Column:
@@ -105,16 +112,16 @@ def _position(p: int) -> Column:
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per document, sorted by first training position (documents left out come last):
     doc_id, size, source_size, target, taken, position, second_position."""
-    summed, _, _ = _plan(docs, **options)
-    passes = _taken_in(0).cast("long") + _taken_in(1).cast("long")
+    summed, _, most = _plan(docs, **options)
+    passes = sum((_taken_in(p).cast("long") for p in range(1, most)), _taken_in(0).cast("long"))
     return summed.select(
         "doc_id",
         "size",
         "source_size",
-        "target",
+        F.round("target", 6).alias("target"),
         (F.col("size") * passes).alias("taken"),
-        _position(0).alias("position"),
-        _position(1).alias("second_position"),
+        F.round(_position(0), 12).alias("position"),
+        F.round(_position(1), 12).alias("second_position"),
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -124,9 +131,9 @@ def draw_mix(docs: DataFrame, **options) -> DataFrame:
 
     Positions are found on narrow rows and joined by source and place. Rows that agree in both
     are copies of one document, and are dealt the copies' positions by their number."""
-    summed, targets, _ = _plan(docs, **options)
+    summed, targets, most = _plan(docs, **options)
     key, turn, copies, position = (shared.fresh(docs, f"mix_{x}") for x in ("key", "turn", "copies", "position"))
-    passes = F.filter(F.array(_position(0), _position(1)), lambda x: x.isNotNull())
+    passes = F.filter(F.array(*map(_position, range(most))), lambda x: x.isNotNull())
     taken = summed.select("rank", "place", passes.alias("passes")).groupBy("rank", "place").agg(F.sort_array(F.collect_list("passes")).alias(copies))
     names = targets.select(F.col("rank").alias("r"), "source")
     taken = taken.join(shared.maybe_broadcast(names, 100_000), F.col("rank") == F.col("r")).select(F.struct("source", "place").alias(key), copies)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontam, line_dedup, lm_score, mixing, quality, sharding, simhash, url_filter, warc
+from . import ann, decontam, line_dedup, lm_score, mixing, quality, sharding, simhash, sql, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -29,7 +30,8 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    scores = lm_score.score_documents(_table(spark, sf_dir, "documents"))
+    return scores.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +76,11 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_lm_score": sql.OP3,
+    "op4_warc": sql.OP4,
+    "op5_decontamination": sql.OP5,
+    "op8_url_filter": sql.url_sql(URL_RULES),
+    "op9_line_dedup": sql.OP9,
+    "op10_mixing": sql.OP10,
+}

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,18 +69,22 @@ def build_filter(keys: DataFrame, column: str, n_keys: int, max_blocks: int = MA
     return words
 
 
-def _possible(words) -> Column:
-    """Of an array of hashes, the places (from 0) of those that the filter lets through."""
+def _possible(words):
+    """Batches with, in place of the hashes, the places (from 0) of those that the filter lets through."""
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def test(hashes: pd.Series) -> pd.Series:
-        table = words.value
-        sizes = hashes.map(len).to_numpy()
-        at, bits = _words(np.concatenate([*hashes, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64), len(table) // WORDS_PER_BLOCK)
-        through = ((table[at.astype(np.int64)] & bits) == bits).all(axis=1)
-        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.split(through, np.cumsum(sizes)[:-1])])
+    def probe(batches):
+        for batch in batches:
+            table, hashes = words.value, batch.column("hashes")
+            at, bits = _words(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), len(table) // WORDS_PER_BLOCK)
+            through = ((table[at.astype(np.int64)] & bits) == bits).all(axis=1)
+            ends = np.r_[0, np.cumsum(pc.list_value_length(hashes).to_numpy(zero_copy_only=False))]
+            passed = np.r_[0, np.cumsum(through)][ends]
+            place = np.arange(len(through)) - np.repeat(ends[:-1], np.diff(ends))
+            possible = pa.ListArray.from_arrays(pa.array(passed, pa.int32()), pa.array(place[through], pa.int32()))
+            columns = [possible if n == "hashes" else c for n, c in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=["possible" if n == "hashes" else n for n in batch.schema.names])
 
-    return test
+    return probe
 
 
 def _directory(path: Column) -> Column:
@@ -119,9 +125,9 @@ def judge_urls(
     asked = pages.select(F.col(key).alias(key), shared.host_of(F.col(url)).alias("host"), shared.path_of(F.col(url)).alias("path"))
     hashes = F.transform(_directories(F.col("host"), F.col("path")), lambda k: F.xxhash64(k))
     # The filter is probed on the page's own row; only rows that may be hit are shuffled.
-    probed = shared.materialize(
-        asked.withColumn("possible", _possible(words)(hashes)).withColumn("row", F.monotonically_increasing_id()), "probed"
-    )
+    hashed = asked.withColumn("hashes", hashes)
+    schema = T.StructType([*asked.schema.fields, T.StructField("possible", T.ArrayType(T.IntegerType()))])
+    probed = shared.materialize(hashed.mapInArrow(_possible(words), schema).withColumn("row", F.monotonically_increasing_id()), "probed")
     missed = probed.where(F.size("possible") == 0).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     hit = (
         probed.where(F.size("possible") > 0)
