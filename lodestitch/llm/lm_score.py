@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 BACKOFF = 0.4
-#: Most words and bigrams in the head: at most 4 and 8 MB are broadcast.
+#: Most words and bigrams in the head: at most 4 and 16 MB are broadcast.
 HEAD_WORDS = 1 << 18
-HEAD_BIGRAMS = 1 << 19
+HEAD_BIGRAMS = 1 << 20
 #: Documents whose n-grams name the frequent ones.
 HEAD_SAMPLE = 20_000
 UNSEEN = 0.5
@@ -136,16 +136,16 @@ def _most_frequent(counts: DataFrame, kind: int, head: int) -> np.ndarray:
         at_least, room = n, room - keys
     if at_least is None:
         return np.zeros(0, np.uint64)
-    keys = counts.where((F.col("kind") == kind) & (F.col("n") >= at_least)).select("key").toPandas()["key"]
-    return np.sort(keys.to_numpy(np.int64).view(np.uint64))
+    keys = counts.where((F.col("kind") == kind) & (F.col("n") >= at_least)).select("key").toArrow()["key"]
+    return np.sort(keys.to_numpy().view(np.uint64))
 
 
 def _exact(counts: DataFrame, kind: int, head: np.ndarray) -> np.ndarray:
     """The counts of a head's words or bigrams, in its order."""
     out = np.zeros(len(head), np.int64)
     if len(head):
-        got = counts.where(F.col("kind") == kind).select("key", "n").toPandas()
-        out[got["key"].to_numpy(np.int64)] = got["n"]
+        got = counts.where(F.col("kind") == kind).select("key", "n").toArrow()
+        out[got["key"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -269,6 +269,7 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None) -> DataFram
     sampled = sample.mapInArrow(_count_rows(None), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     sampled = shared.materialize(sampled.where("n > 1"), "sampled")
     words, bigrams = _most_frequent(sampled, WORD, HEAD_WORDS), _most_frequent(sampled, PAIR, HEAD_BIGRAMS)
+    shared.discard(sampled)
     named = spark.sparkContext.broadcast((words, bigrams))
     counts = corpus.mapInArrow(_count_rows(named), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = shared.materialize(counts, "counts")
