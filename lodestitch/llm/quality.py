@@ -1,12 +1,15 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are a text's byte-class bigrams (letters by case, digits, blanks, line ends, non-ASCII,
-each punctuation mark) and a few bucketed shape terms (length, share of words that repeat the
-word before, share of distinct words). Latent axes come from the leading eigenvectors of the
-term products of a labelled sample, weighted by log counts and inverse document frequency.
+Terms are of three kinds: a text's words (A-Z lower-cased, hashed to ``WORD_BUCKETS``), its
+byte-class bigrams (letters by case, digits, blanks, line ends, non-ASCII, each punctuation
+mark), and bucketed shape terms (length, share of words that repeat the word before, share of
+distinct words). Counts are damped by logarithms and inverse document frequency; each kind is
+scaled to the same length and weighted by ``KINDS``, so that none outweighs the others by mere
+numbers. Latent axes are the leading right singular vectors of a labelled sample's term matrix.
 The sample's vectors and labels are broadcast; every document's whole text is projected
 and its exact cosine with each labelled vector is computed in blocks; the nearest vote with
-their label, weighted by a power of the similarity.
+their label, weighted by a power of the similarity. All that are as near as the last of the
+nearest vote too, so ties need no order.
 
 ``FIT_ROWS`` bounds the labelled sample (and with it all that reaches the driver or is
 broadcast: 2,048 vectors of 64 numbers). It is drawn by hash of the id from labels whose
@@ -22,10 +25,12 @@ rows score alike; other columns are not read (or, in ``keep_good``, carried alon
 from __future__ import annotations
 
 import operator
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +47,12 @@ SLICE = 1 << 20
 
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _N_CLASSES = 7 + len(_PUNCTUATION)
+_PAIRS = _N_CLASSES**2
+WORD_BUCKETS = 4096
 _BUCKETS = 12
-N_TERMS = _N_CLASSES**2 + 3 * _BUCKETS
-#: Weight of a shape term, as a count of a bigram.
-_SHAPE_COUNT = 400.0
+N_TERMS = _PAIRS + WORD_BUCKETS + 3 * _BUCKETS
+#: Where each kind of terms stands, and its weight: class bigrams, words, shape.
+KINDS = ((0, _PAIRS, 1.0), (_PAIRS, _PAIRS + WORD_BUCKETS, 0.3), (_PAIRS + WORD_BUCKETS, N_TERMS, 0.5))
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -64,47 +71,53 @@ def terms(text: str | None) -> np.ndarray:
     """Term counts of a text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(N_TERMS, np.float32)
-    pairs = _N_CLASSES**2
     for at in range(0, len(raw) - 1, SLICE):
         kind = _KIND[np.frombuffer(raw, np.uint8, count=min(SLICE + 1, len(raw) - at), offset=at)]
-        out[:pairs] += np.bincount(kind[:-1] * _N_CLASSES + kind[1:], minlength=pairs)
+        out[:_PAIRS] += np.bincount(kind[:-1] * _N_CLASSES + kind[1:], minlength=_PAIRS)
     words = raw.translate(_FOLD).split()
-    n = len(words)
+    n, counted = len(words), Counter(words)
+    buckets = np.fromiter((xxhash.xxh32_intdigest(w, SEED) for w in counted), np.int64, len(counted)) % WORD_BUCKETS
+    out[_PAIRS : _PAIRS + WORD_BUCKETS] = np.bincount(buckets, weights=list(counted.values()), minlength=WORD_BUCKETS)
     again = sum(map(operator.eq, words, words[1:])) / max(n - 1, 1)
-    spread = len(set(words)) / max(n, 1) ** 0.75
+    spread = len(counted) / max(n, 1) ** 0.75
     for i, bucket in enumerate((np.log2(n + 1), 0 if again < 0.02 else 1 + 10 * again, 6 * spread)):
-        out[pairs + i * _BUCKETS + min(int(bucket), _BUCKETS - 1)] = _SHAPE_COUNT
+        out[_PAIRS + WORD_BUCKETS + i * _BUCKETS + min(int(bucket), _BUCKETS - 1)] = 1
     return out
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+
 class Model:
     """Axes, labelled vectors and labels; small by construction."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int, neighbours: int, power: int):
         self.labels, self.neighbours, self.power = labels.astype(np.float64), min(neighbours, len(labels)), power
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32) if len(labels) else np.ones(N_TERMS, np.float32)
+        self.idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
         weighted = self._weighted(counts)
-        _, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :axes], dtype=np.float32)
+        # right singular vectors by way of the rows' products: the sample has fewer rows than terms
+        values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+        kept = [i for i in range(len(values) - 1, -1, -1) if values[i] > 1e-6][:axes]
+        self.axes = np.ascontiguousarray(weighted.T @ (left[:, kept] / np.sqrt(values[kept])), dtype=np.float32)
         self.vectors = self.project(counts)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        return np.hstack([weight * _unit(x[:, first:end]) for first, end, weight in KINDS]).astype(np.float32)
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        z = self._weighted(counts) @ self.axes
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+        return _unit(self._weighted(counts) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not self.neighbours:
             return np.full(len(counts), self.prior)
-        near = self.project(counts) @ self.vectors.T
-        top = np.argpartition(-near, self.neighbours - 1, axis=1)[:, : self.neighbours]
-        weight = np.maximum(np.take_along_axis(near, top, axis=1).astype(np.float64), 0) ** self.power
+        near = (self.project(counts) @ self.vectors.T).astype(np.float64)
+        last = np.partition(near, -self.neighbours, axis=1)[:, -self.neighbours]
+        weight = np.where(near >= last[:, None], np.maximum(near, 0), 0) ** self.power
         total = weight.sum(axis=1)
-        voted = (weight * self.labels[top]).sum(axis=1) / np.where(total > 0, total, 1)
+        voted = weight @ self.labels / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 1e-12, voted, self.prior), 0, 1)
 
 

@@ -344,6 +344,29 @@ def test_quality_held_out(spark):
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in scored["doc_id"])
 
 
+def test_quality_vote_equals_plain_vote():
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(words[: 5 + i % 30], k=rng.randrange(1, 40))) for i in range(60)] + ["", None, "! ! !", "word1"]
+    counts = np.stack([quality.terms(t) for t in [*texts, texts[3], texts[3]]])  # ties among the labelled
+    labels = np.array([rng.random() < 0.5 for _ in range(len(counts))], float)
+    model = quality.Model(counts[:40], labels[:40], 8, 5, 8)
+    vectors, asked = model.vectors.astype(float), model.project(counts).astype(float)
+    for got, x in zip(model.score(counts), asked):
+        near = [float(np.dot(x, v)) for v in vectors]
+        last = sorted(near, reverse=True)[4]
+        votes = [(max(n, 0) ** 8, y) for n, y in zip(near, labels) if n >= last - 1e-6]
+        assert abs(got - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 1e-3
+
+
+def test_quality_terms_of_a_sliced_text(monkeypatch):
+    text = "Some Words, é and 12 more!\n" * 50
+    whole = quality.terms(text)
+    monkeypatch.setattr(quality, "SLICE", 7)
+    assert (quality.terms(text) == whole).all() and whole[: quality._PAIRS].sum() == len(text.encode()) - 1
+    assert whole[quality._PAIRS : quality._PAIRS + quality.WORD_BUCKETS].sum() == len(text.split())
+
+
 def test_quality_odd_tables(spark, docs, rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (4, None, 0), (None, 1, 0), (3, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int")
     out = quality.score_documents(docs, labels).collect()
