@@ -39,13 +39,45 @@ REFUSALS = (
     "Lo siento,",
 )
 UNIT_SIGNS = "•℃VAhH"
-#: Marks, shapes and the mathematical operators block (U+2200 on), as listed by the filter.
-SYMBOLS = "★☆♥♦♣♠♀♂☼☾☽♪♫♬☑☒✓✔✕✖✗✘⊕⊗∏∑ΠπΠ±×÷√∛∜∝∞" + r"\x{2201}-\x{22ff}"
+#: Signs that make a span a symbol, as the filter lists them.
+SYMBOLS = (
+    "★☆♥♦♣♠♀♂☼☾☽♪♫♬☑☒✓✔✕✖✗✘⊕⊗∞∑∏πΠ±×÷√∛∜∫∮∇∂∆∏∑√∝∞∟∠∡∢∣∤∥∦∧∨∩∪∫∬∭∮∯∰∱∲∳∴∵∶∷∸∹∺∻∼∽∾∿"
+    "≀≁≂≃≄≅≆≇≈≉≊≋≌≍≎≏≐≑≒≓≔≕≖≗≘≙≚≛≜≝≞≟≠≡≢≣≤≥≦≧≨≩≪≫≬≭≮≯≰≱≲≳≴≵≶≷≸≹≺≻≼≽≾≿"
+    "⊀⊁⊂⊃⊄⊅⊆⊇⊈⊉⊊⊋⊌⊍⊎⊏⊐⊑⊒⊓⊔⊕⊖⊗⊘⊙⊚⊛⊜⊝⊞⊟⊠⊡⊢⊣⊤⊥⊦⊧⊨⊩⊪⊫⊬⊭⊮⊯⊰⊱⊲⊳⊴⊵⊶⊷⊸⊹⊺⊻⊼⊽⊾⊿"
+    "⋀⋁⋂⋃⋄⋅⋆⋇⋈⋉⋊⋋⋌⋍⋎⋏⋐⋑⋒⋓⋔⋕⋖⋗⋘⋙⋚⋛⋜⋝⋞⋟⋠⋡⋢⋣⋤⋥⋦⋧⋨⋩⋪⋫⋬⋭⋮⋯⋰⋱⋲⋳⋴⋵⋶⋷⋸⋹⋺⋻⋼⋽⋾⋿"
+)
 NUMBERS = r"^[\p{Nd}" + SPACE + r".,\-+*/()\[\]{}]+$"
 TITLE_NUMBER = r"^\p{Nd}+(?:\.\p{Nd}+)*\.?[" + SPACE + "]*$"
 EXPLANATIONS = ("翻译", "根据上下文", "答案是", "结果", "应该是", "输出", "输入", "让我分析", "根据", "记住")
 ABNORMAL_SIGNS = "♂☼⚡"
-ABNORMAL_PUNCTUATION = "，。！？、；：\"'（）【】“”‘’"
+ABNORMAL_PUNCTUATION = "，。！？、；：\"（）【】"
+#: Prompt hints that models repeat, as patterns over lines, case-blind.
+HINTS = (
+    r"The text originates from the domains of.*?document fields\.",
+    r"This text is from the engineering vehicle.*?administrative documents\.",
+    r"This text is from the automotive and governmental domains.*?Certificate domains\.",
+    r"engineering vehicles.*?administrative documents",
+    r"heavy machinery.*?construction equipment",
+    r"professional terminologies.*?administrative processes",
+    r"technical accuracy.*?industry-specific jargon",
+    r"formal and precise technical description.*?engineering documents",
+    r"rigorous.*?formal.*?official style.*?government communication",
+    r"automotive and governmental domains.*?Agreement & Certificate domains",
+    r"このテキストは自動車および政府関連の分野に属します.*?整合させるようにしてください[。.]",
+    r"自動車および政府関連の分野",
+    r"技術仕様.*?安全指示.*?メンテナンス手順",
+    r"車両のユーザーマニュアル",
+    r"公式かつ正確で標準化された表現",
+    r"政府の公文書",
+    r"「機械」と「契約・証明書」の分野",
+    r"用語は.*?整合させる",
+    r"O texto se origina dos domínios de.*?campos de documentos[.]",
+    r"Os domínios de.*?documentos oficiais",
+    r"máquinas pesadas.*?equipamentos de construção",
+    r"terminologias profissionais.*?processos administrativos",
+)
+#: Private-use characters that stand for icons.
+ICONS = r"\x{f000}-\x{f8ff}"
 LANGUAGE_IGNORED = SPACE + r"\p{Nd}.,;:!?()\[\]{}\"'\-"
 # -------------------------------------------------------------------------------------
 
@@ -98,23 +130,51 @@ def sentences(text: Column) -> Column:
 def pack_parts(pieces: Column, limit: int) -> Column:
     """Greedy parts of at most ``limit`` characters (joining spaces not counted); a longer
     piece that opens a part stands alone."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("size")
-    )
+    start = F.struct(F.array().cast("array<struct<at:int,n:int>>").alias("cuts"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("size"))
 
     def step(acc: Column, piece: Column) -> Column:
+        """``at`` and ``n`` delimit the open part among the pieces; only places are kept."""
         size = F.length(piece)
-        joined = F.array_join(acc["open"], " ")
-        fits, held = acc["size"] + size <= limit, F.size(acc["open"]) > 0
-        done = F.when(fits, acc["done"]).when(held, F.array_append(acc["done"], joined)).otherwise(F.array_append(acc["done"], piece))
-        opened = F.when(fits, F.array_append(acc["open"], piece)).when(held, F.array(piece)).otherwise(F.array().cast("array<string>"))
-        length = F.when(fits, acc["size"] + size).when(held, size).otherwise(F.lit(0))
-        return F.struct(done.alias("done"), opened.alias("open"), length.alias("size"))
+        fits, held = acc["size"] + size <= limit, acc["n"] > 0
+        end = acc["at"] + acc["n"]
+        cut = F.struct(acc["at"].alias("at"), F.when(held, acc["n"]).otherwise(F.lit(1)).alias("n"))
+        return F.struct(
+            F.when(fits, acc["cuts"]).otherwise(F.array_append(acc["cuts"], cut)).alias("cuts"),
+            F.when(fits, acc["at"]).when(held, end).otherwise(end + 1).alias("at"),
+            F.when(fits, acc["n"] + 1).when(held, F.lit(1)).otherwise(F.lit(0)).alias("n"),
+            F.when(fits, acc["size"] + size).when(held, size).otherwise(F.lit(0)).alias("size"),
+        )
 
     def finish(acc: Column) -> Column:
-        return F.when(F.size(acc["open"]) > 0, F.array_append(acc["done"], F.array_join(acc["open"], " "))).otherwise(acc["done"])
+        return F.when(acc["n"] > 0, F.array_append(acc["cuts"], F.struct(acc["at"].alias("at"), acc["n"].alias("n")))).otherwise(acc["cuts"])
+
+    return F.transform(F.aggregate(pieces, start, step, finish), lambda c: F.array_join(F.slice(pieces, c["at"] + 1, c["n"]), " "))
 
-    return F.aggregate(pieces, start, step, finish)
+
+def pack_lines(text: Column, limit: int = 1000) -> Column:
+    """Lines of a text in parts of at most ``limit`` characters, each line with its end: lines of
+    nothing but signs are left out, blank ones stay; a longer line closes the open part and is
+    packed by sentences. Array of struct(text, sub): ``sub`` marks parts of a longer line; the text
+    of a part that needs no translation is empty."""
+    lines = F.filter(F.split(text, "\n"), lambda x: needs_translation(x) | (stripped(x) == ""))
+    start = F.struct(F.array().cast("array<struct<text:string,sub:boolean>>").alias("done"), F.lit("").alias("open"))
+    part = lambda c, sub: F.struct(c.alias("text"), F.lit(sub).alias("sub"))
+
+    def step(acc: Column, line: Column) -> Column:
+        closed = F.when(acc["open"] != "", F.array_append(acc["done"], part(acc["open"], False))).otherwise(acc["done"])
+        long = F.length(line) > limit
+        over = F.length(acc["open"]) + F.length(line) > limit
+        whole = F.concat(line, F.lit("\n"))
+        return F.struct(
+            F.when(long, F.concat(closed, F.transform(pack_sentences(line, limit), lambda s: part(s, True)))).when(over, closed).otherwise(acc["done"]).alias("done"),
+            F.when(long, F.lit("")).when(over, whole).otherwise(F.concat(acc["open"], whole)).alias("open"),
+        )
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["open"] != "", F.array_append(acc["done"], part(acc["open"], False))).otherwise(acc["done"])
+
+    shown = lambda x: F.struct(F.when(needs_translation(x["text"]), x["text"]).otherwise(F.lit("")).alias("text"), x["sub"].alias("sub"))
+    return F.transform(F.aggregate(lines, start, step, finish), shown)
 
 
 def pack_sentences(text: Column, limit: int = 1000) -> Column:
@@ -241,11 +301,21 @@ def restore_edges(text: Column, leading: Column, trailing: Column) -> Column:
 
 
 def restore_numbering(source: Column, target: Column) -> Column:
-    """A leading number (with point, blanks and signs) that ``target`` lost is put back."""
+    """What ``target`` lost of the source's beginning is put back: a leading number (with point,
+    blanks and signs); without a number, icons that begin within the first 20 characters, with
+    what stands before them."""
     prefix = F.regexp_extract(source, r"^[" + SPACE + r"]*\p{Nd}+\.?[" + SPACE + r"]*[^" + WORD + "]*", 0)
-    lost = (prefix != "") & ~F.startswith(target, prefix)
     bare = F.regexp_replace(target, f"^[{SPACE}]+", "")
-    return F.when(F.coalesce((source == "") | (target == ""), F.lit(True)), target).when(lost, F.concat(prefix, bare)).otherwise(target)
+    missing = F.filter(F.regexp_extract_all(source, F.lit(f"[{ICONS}]"), 0), lambda icon: ~F.contains(target, icon))
+    at = F.instr(source, F.get(missing, F.lit(0))) - 1
+    icons = F.concat(F.substring(source, F.lit(1), at), F.array_join(missing, ""))
+    lost_icons = (F.size(missing) > 0) & (at < 20) & ~F.startswith(target, icons)
+    return (
+        F.when(F.coalesce((source == "") | (target == ""), F.lit(True)), target)
+        .when(prefix != "", F.when(F.startswith(target, prefix), target).otherwise(F.concat(prefix, bare)))
+        .when(lost_icons, F.concat(icons, bare))
+        .otherwise(target)
+    )
 
 
 def placeholders_too_dense(text: Column, mark: str = "♂") -> Column:
@@ -294,13 +364,15 @@ def clean_result(text: Column) -> Column:
     return stripped(F.regexp_replace(out, f"[{SPACE}]+", " "))
 
 
-def remove_hints(text: Column, patterns: list[str]) -> Column:
-    """Leaked prompt hints removed by case-blind patterns over lines; blank lines and edges trimmed."""
+def remove_hints(text: Column, patterns: tuple[str, ...] = HINTS) -> Column:
+    """Leaked prompt hints removed by case-blind patterns over lines; blank lines and the ends of
+    lines trimmed."""
     out = text
     for p in patterns:
-        out = F.regexp_replace(out, f"(?is){p}", "")
-    out = F.regexp_replace(out, r"(?i)^(领域提示|Domain Hint|领域说明|Domain Description)[:：]\s*", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n\s*\n", "\n"), r"(?m)^\s+|\s+$", "")
+        out = F.regexp_replace(out, f"(?isu){p}", "")
+    out = F.regexp_replace(out, f"(?i)^(领域提示|Domain Hint|领域说明|Domain Description)[:：][{SPACE}]*", "")
+    out = F.regexp_replace(out, f"\n[{SPACE}]*\n", "\n")
+    out = F.regexp_replace(out, f"(?md)^[{SPACE}]+|[{SPACE}]+$", "")
     return stripped(F.replace(out, F.lit("♦"), F.lit("")))
 
 

@@ -1,9 +1,11 @@
 """Glossary retrieval: merge term bases, score terms against texts, keep the best.
 
 Words are scored once each, however often they occur. A small base (``SMALL`` terms at most,
-checked by a count) rides along as one array and is scored inside the word's row; a larger
-one is reached by an equi-join on its words (posting lists), so no pair is formed that does
-not share a word. Ties go by place in the text, then by the base's order.
+checked by a count) rides along as one array; characters that words and terms share are
+counted on bit masks over the base's alphabet, and the sequence matcher sees only pairs whose
+lengths and characters allow its threshold. A larger base is reached by an equi-join on its
+words (posting lists), so no pair is formed that does not share a word. Ties go by place in
+the text, then by the base's order, which is (base, term id, source) and needs no numbering.
 """
 
 from __future__ import annotations
@@ -47,10 +49,10 @@ def _chars(s: Column) -> Column:
     return F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
 
 
-def tier_score(word: Column, word_chars: Column, term: Column, term_chars: Column) -> Column:
+def _tiers(word: Column, term: Column, common: Column, most: Column) -> Column:
     """100 equal, 90 word in term, 85 term in word, else 70 times the share of common
-    characters if that is over one half; 0 otherwise. Both sides lower-case."""
-    share = F.size(F.array_intersect(word_chars, term_chars)) / F.greatest(F.size(word_chars), F.size(term_chars))
+    characters if that is over one half; 0 otherwise."""
+    share = common / most
     return (
         F.when(word == term, 100.0)
         .when(F.contains(term, word), 90.0)
@@ -60,19 +62,49 @@ def tier_score(word: Column, word_chars: Column, term: Column, term_chars: Colum
     )
 
 
+def tier_score(word: Column, word_chars: Column, term: Column, term_chars: Column) -> Column:
+    """The tiers of lower-case texts with their distinct characters."""
+    return _tiers(word, term, F.size(F.array_intersect(word_chars, term_chars)), F.greatest(F.size(word_chars), F.size(term_chars)))
+
+
+#: Least sequence similarity that scores.
+LEAST_RATIO = 0.6
+
+
+def may_be_similar(word: Column, word_chars: Column, term: Column, term_chars: Column, common: Column) -> Column:
+    """False only where the sequence similarity cannot exceed the threshold: a matcher pairs at
+    most the characters of a text that the other one has too."""
+    lengths = F.length(word) + F.length(term)
+    most = F.least(F.length(word) - (word_chars - common), F.length(term) - (term_chars - common))
+    return 2 * most > LEAST_RATIO * lengths
+
+
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(word: pd.Series, term: pd.Series) -> pd.Series:
     """60 times the sequence similarity of two texts if that is over 0.6, else 0."""
     ratio = [SequenceMatcher(None, a, b).ratio() for a, b in zip(word, term)]
-    return pd.Series([r * 60.0 if r > 0.6 else 0.0 for r in ratio])
+    return pd.Series([r * 60.0 if r > LEAST_RATIO else 0.0 for r in ratio])
 
 
 def text_term_score(text: Column, term: Column) -> Column:
     """Whole-text score: contained 100, case-blind 95, else 70 times the share of the term's
-    words that the text has (the fuzzy tier below that is :func:`fuzzy_score`'s)."""
+    words that the text has, else 50 times a sequence similarity over 0.3."""
     split = lambda s: F.array_distinct(F.filter(F.split(F.lower(s), f"[{X.SPACE}]+"), lambda w: w != ""))
     share = F.size(F.array_intersect(split(text), split(term))) / F.greatest(F.size(split(term)), F.lit(1))
-    return F.when((text == "") | (term == ""), 0.0).when(F.contains(text, term), 100.0).when(F.contains(F.lower(text), F.lower(term)), 95.0).otherwise(share * 70.0)
+    return (
+        F.when((text == "") | (term == ""), 0.0)
+        .when(F.contains(text, term), 100.0)
+        .when(F.contains(F.lower(text), F.lower(term)), 95.0)
+        .when(share > 0, share * 70.0)
+        .otherwise(sequence_score(F.lower(text), F.lower(term)))
+    )
+
+
+@F.pandas_udf(T.DoubleType())
+def sequence_score(text: pd.Series, term: pd.Series) -> pd.Series:
+    """50 times the sequence similarity of two texts if that is over 0.3, else 0."""
+    ratio = [SequenceMatcher(None, a, b).ratio() if a is not None and b is not None else 0.0 for a, b in zip(text, term)]
+    return pd.Series([r * 50.0 if r > 0.3 else 0.0 for r in ratio])
 
 
 def inverted_index(terms: DataFrame) -> DataFrame:
@@ -87,31 +119,48 @@ def _words(segments: DataFrame) -> DataFrame:
 
 
 def _scored(pairs: DataFrame, fuzzy: bool) -> DataFrame:
-    score = F.when(F.col("tier") > 0, F.col("tier"))
+    """``score`` of pairs with word, source, tier and, for the sequence matcher, near."""
+    sure = pairs.where("tier > 0").withColumn("score", F.col("tier"))
     if fuzzy:
-        score = score.otherwise(fuzzy_score(F.col("word"), F.lower("source")))
-    return pairs.withColumn("score", score).where("score > 0").drop("tier")
+        left = pairs.where("tier = 0 and near").withColumn("score", fuzzy_score(F.col("word"), F.lower("source")))
+        sure = sure.unionByName(left.where("score > 0"))
+    return sure.drop("tier", "near")
+
+
+def _masks(chars: Column, alphabet: list[str]) -> list[Column]:
+    """The characters of a text that are in the alphabet, as bits of as many longs as it takes."""
+    bits = lambda part: F.aggregate(
+        chars, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.coalesce(F.get(F.array(*[F.lit(1 << i) for i in range(len(part))]), F.instr(F.lit("".join(part)), c) - 1), F.lit(0)).cast("long"))
+    )
+    return [bits(alphabet[i : i + 62]) for i in range(0, max(1, len(alphabet)), 62)]
 
 
 def _small_base(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
     """Per distinct word its best terms, by score and place."""
-    row = F.struct("place", "source", "target", F.lower("source").alias("low"), _chars(F.lower("source")).alias("chars"))
+    chars = terms.select(F.explode(_chars(F.lower("source"))).alias("c")).distinct()
+    alphabet = sorted(r["c"] for r in chars.collect())  # of at most SMALL terms
+    low = F.lower("source")
+    row = F.struct("place", "source", "target", low.alias("low"), F.size(_chars(low)).alias("n"), F.array(*_masks(_chars(low), alphabet)).alias("masks"))
     base = terms.agg(F.array_sort(F.collect_list(row)).alias("base"))  # one row, at most SMALL terms
-    distinct = words.select("word").distinct().withColumn("wc", _chars(F.col("word")))
-    paired = distinct.join(F.broadcast(base), F.lit(True))
-    hits = F.transform("base", lambda t: F.struct(tier_score(F.col("word"), F.col("wc"), t["low"], t["chars"]).alias("tier"), t["place"].alias("place"), t["source"].alias("source"), t["target"].alias("target")))
-    if not fuzzy:
-        hits = F.filter(hits, lambda h: h["tier"] > 0)
-    pairs = paired.select("word", F.explode(hits).alias("h")).select("word", "h.*")
-    best = Window.partitionBy("word").orderBy(F.desc("score"), "place")
+    distinct = words.select("word").distinct()
+    distinct = distinct.select("word", F.size(_chars(F.col("word"))).alias("wn"), F.array(*_masks(_chars(F.col("word")), alphabet)).alias("wm"))
+    pairs = distinct.join(F.broadcast(base), F.lit(True)).select("word", "wn", "wm", F.posexplode("base").alias("nth", "t"))
+    both = [F.bit_count(F.col("wm")[i].bitwiseAND(F.col("t.masks")[i])) for i in range(-(-max(1, len(alphabet)) // 62))]
+    common = sum(both[1:], both[0])
+    pairs = pairs.select(
+        "word", "nth", F.col("t.source").alias("source"), F.col("t.target").alias("target"),
+        _tiers(F.col("word"), F.col("t.low"), common, F.greatest("wn", "t.n")).alias("tier"),
+        may_be_similar(F.col("word"), F.col("wn"), F.col("t.low"), F.col("t.n"), common).alias("near"),
+    )
+    best = Window.partitionBy("word").orderBy(F.desc("score"), "nth")
     return _scored(pairs, fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
 
 
 def _large_base(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
     pairs = words.select("word").distinct().join(inverted_index(terms), "word")
-    low = F.lower("source")
-    pairs = pairs.withColumn("tier", tier_score(F.col("word"), _chars(F.col("word")), low, _chars(low)))
-    return _scored(pairs, fuzzy).withColumn("in_word", F.col("place"))
+    low, mine, its = F.lower("source"), _chars(F.col("word")), _chars(F.lower("source"))
+    pairs = pairs.withColumn("tier", tier_score(F.col("word"), mine, low, its))
+    return _scored(pairs.withColumn("near", may_be_similar(F.col("word"), F.size(mine), low, F.size(its), F.size(F.array_intersect(mine, its)))), fuzzy)
 
 
 def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
@@ -119,24 +168,23 @@ def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
     characters) phrases of two to five words. ``stage`` and ``at`` keep the order."""
     raw = F.regexp_extract_all(F.col("text"), F.lit(f"[{X.WORD}]+"), 0)
     base = segments.select("doc_id", "seg_idx", raw.alias("w"), (F.length("text") < 200).alias("short"))
+    at = lambda n, i: F.struct(n.alias("n"), i.alias("i"))
     phrases = F.when(
         F.col("short") & (F.size("w") >= 2),
         F.flatten(
             F.transform(
                 F.sequence(F.lit(2), F.least(F.lit(5), F.size("w"))),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct((n * 100000 + i).alias("at"), F.array_join(F.slice("w", i, n), " ").alias("p"))
-                ),
+                lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(at(n, i).alias("at"), F.array_join(F.slice("w", i, n), " ").alias("p"))),
             )
         ),
-    ).otherwise(F.array().cast("array<struct<at:int,p:string>>"))
-    singles = F.transform("w", lambda x, i: F.struct(i.alias("at"), x.alias("p")))
+    ).otherwise(F.array().cast("array<struct<at:struct<n:int,i:int>,p:string>>"))
+    singles = F.transform("w", lambda x, i: F.struct(at(F.lit(1), i).alias("at"), x.alias("p")))
     spread = base.select("doc_id", "seg_idx", F.explode(F.concat(singles, phrases)).alias("x")).select("doc_id", "seg_idx", "x.at", "x.p")
-    single = F.col("at") < 100000
-    same = spread.join(terms, spread["p"] == terms["source"]).select("doc_id", "seg_idx", "source", "target", "place", F.when(single, 0).otherwise(2).alias("stage"), "at", F.lit(100.0).alias("score"))
-    blind = spread.join(terms, F.lower("p") == F.lower("source")).select(
-        "doc_id", "seg_idx", "source", "target", "place", F.when(single, 1).otherwise(3).alias("stage"), "at", F.lit(95.0).alias("score")
+    found = lambda joined, stage, score: joined.select(
+        "doc_id", "seg_idx", "source", "target", "place", F.when(F.col("at.n") == 1, stage).otherwise(stage + 2).alias("stage"), "at", F.lit(score).alias("score")
     )
+    same = found(spread.join(terms, spread["p"] == terms["source"]), 0, 100.0)
+    blind = found(spread.join(terms, F.lower("p") == F.lower("source")), 1, 95.0)
     order = F.struct("stage", "at", "place")
     return same.unionByName(blind).groupBy("doc_id", "seg_idx", "source", "target", "place").agg(F.min(order).alias("o"), F.max("score").alias("score"))
 
@@ -144,18 +192,17 @@ def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
 def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int = SMALL) -> DataFrame:
     """doc_id, seg_idx, rank, source, target, score: the best k terms of each segment."""
     k = min(MOST_TERMS, k)
-    terms = numbered(merged)
+    terms = merged.select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
     words = _words(segments)
+    order = lambda place: F.min(F.struct(F.lit(4).alias("stage"), F.struct(F.lit(1).alias("n"), F.col("at").alias("i")).alias("at"), place.alias("place"))).alias("o")
     if terms.count() <= small:
         found = words.join(_small_base(words, terms, fuzzy), "word")
-        order = F.struct(F.lit(4).alias("stage"), F.col("at"), F.col("in_word").alias("place"))
-        scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), F.min(order).alias("o"))
+        scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), order(F.col("in_word")))
         exact = None
     else:
         exact = _exact(segments, terms)
         found = words.join(_large_base(words, terms, fuzzy), "word")
-        order = F.struct(F.lit(4).alias("stage"), F.col("at"), F.col("place"))
-        scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), F.min(order).alias("o"))
+        scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), order(F.col("place")))
         both = scored.unionByName(exact.select("doc_id", "seg_idx", "source", "target", "score", "o"))
         scored = both.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), F.min("o").alias("o"))
         # k exact finds end the search: then text order decides among them.
@@ -169,6 +216,14 @@ def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS,
     return ranked.select("doc_id", "seg_idx", "rank", "source", "target", "score")
 
 
+def batch_terms(segments: DataFrame, merged: DataFrame, most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS, **options) -> DataFrame:
+    """doc_id, seg_idx and the budgeted terms of every segment; equal texts are searched once."""
+    keyed = segments.withColumn("text_key", F.struct(F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b")))
+    once = keyed.groupBy("text_key").agg(F.first("text").alias("text")).select(F.col("text_key").alias("doc_id"), F.lit(0).alias("seg_idx"), "text")
+    found = within_budget(relevant_terms(once, merged, k=most_terms, **options), most_terms, most_chars)
+    return keyed.select("doc_id", "seg_idx", "text_key").join(found.drop("seg_idx").withColumnRenamed("doc_id", "text_key"), "text_key").drop("text_key")
+
+
 def within_budget(ranked: DataFrame, most_terms: int = MOST_TERMS, most_chars: int = MOST_CHARS) -> DataFrame:
     """The prefix by rank that keeps to the count and character budgets; the first term that
     does not fit ends it."""
