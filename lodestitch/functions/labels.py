@@ -67,3 +67,8 @@ def unique_name(name: Column, stamp_ms: Column) -> Column:
 def converted_name(name: Column, converted: Column) -> Column:
     """A PDF that is delivered as docx carries that suffix."""
     return F.when(converted & F.endswith(F.lower(name), F.lit(".pdf")), F.concat(F.regexp_replace(name, r"(?i)\.pdf$", ""), F.lit(".docx"))).otherwise(name)
+
+
+def effective_status(deleted: Column, status: Column) -> Column:
+    """enabled only for what is not deleted and has that status."""
+    return F.when(F.coalesce((deleted == "N") & (status == "enabled"), F.lit(False)), "enabled").otherwise("disabled")

@@ -124,25 +124,184 @@ def merge_groups(runs: DataFrame, longest: int | None = None) -> DataFrame:
     return grouped.groupBy("para_id", "group").agg(F.min("run_idx").alias("first_run"), F.count("*").alias("runs"), F.array_join(texts, "").alias("text"))
 
 
+def merge_short(runs: DataFrame, longest: int = 20, total: int = 1000) -> DataFrame:
+    """Short neighbouring runs (para_id, run_idx, text, hash, bounded) of one style in groups of at
+    most ``total`` characters, greedily: a run of at most ``longest`` joins the open group or opens
+    one; any other stands alone and closes it. Bounded runs close a group and are left out; runs
+    of nothing but signs are passed over. para_id, part, first_run, runs, text.
+    Conservative: 20 and 1000; strict: 5 and 10."""
+    shown = runs.where(F.col("bounded") | X.needs_translation(F.col("text")))
+    ordered = F.array_sort(F.collect_list(F.struct("run_idx", "text", "hash", "bounded")))
+    group = "struct<first_run:bigint,runs:int,text:string>"
+    start = F.struct(
+        F.lit(None).cast(f"array<{group}>").alias("done"), F.lit(0).cast("long").alias("first_run"), F.lit(0).alias("runs"), F.lit("").alias("text"), F.lit(None).cast("string").alias("hash")
+    ).withField("done", F.array().cast(f"array<{group}>"))
+
+    def step(acc: Column, x: Column) -> Column:
+        held = acc["runs"] > 0
+        fits = (F.length(x["text"]) <= longest) & (~held | x["hash"].eqNullSafe(acc["hash"])) & (F.length(acc["text"]) + F.length(x["text"]) <= total)
+        joins = ~x["bounded"] & fits
+        whole = lambda first, n, text: F.struct(first.cast("long").alias("first_run"), n.alias("runs"), text.alias("text"))
+        closed = F.when(held, F.array_append(acc["done"], whole(acc["first_run"], acc["runs"], acc["text"]))).otherwise(acc["done"])
+        alone = F.when(x["bounded"], closed).otherwise(F.array_append(closed, whole(x["run_idx"], F.lit(1), x["text"])))
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(alone).alias("done"),
+            F.when(joins & held, acc["first_run"]).otherwise(x["run_idx"].cast("long")).alias("first_run"),
+            F.when(joins, acc["runs"] + 1).otherwise(F.lit(0)).alias("runs"),
+            F.when(joins, F.concat(acc["text"], x["text"])).otherwise(F.lit("")).alias("text"),
+            F.when(joins, x["hash"]).alias("hash"),
+        )
+
+    def finish(acc: Column) -> Column:
+        last = F.struct(acc["first_run"].alias("first_run"), acc["runs"].alias("runs"), acc["text"].alias("text"))
+        return F.when(acc["runs"] > 0, F.array_append(acc["done"], last)).otherwise(acc["done"])
+
+    packed = shown.groupBy("para_id").agg(F.aggregate(ordered, start, step, finish).alias("g"))
+    return packed.select("para_id", F.posexplode("g").alias("part", "x")).select("para_id", "part", "x.*")
+
+
+#: Kinds of boundaries that keep a run apart.
+BOUNDARIES = "field bookmark hyperlink comment revision footnote endnote break tab drawing inline_shape math".split()
+
+
+def is_bounded(flags: Column) -> Column:
+    """Whether any kind of boundary is set in a map of flags (``has_`` and the kind)."""
+    return F.exists(F.map_values(flags), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def optimisation_rate(merged: Column, total: Column) -> Column:
+    """Share of runs that were merged, as text with one decimal."""
+    return F.when(total > 0, F.format_string("%.1f%%", 100.0 * merged / F.nullif(total, F.lit(0)))).otherwise(F.lit("0%"))
+
+
 def run_report(runs: DataFrame) -> DataFrame:
-    """One row: paragraphs, runs, spread of runs per paragraph, styles, problem paragraphs."""
-    per = runs.groupBy("para_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """One row: paragraphs, runs, runs by length, styles, bounded runs, problem paragraphs (many
+    runs, little text), and what merging promises as score and level."""
+    n = F.length("text")
+    per = runs.groupBy("para_id").agg(
+        F.count("*").alias("n"),
+        F.sum(n).alias("chars"),
+        F.count_if(n == 0).alias("len_0"),
+        F.count_if(n == 1).alias("len_1"),
+        F.count_if(n.between(2, 5)).alias("len_2_5"),
+        F.count_if(n.between(6, 20)).alias("len_6_20"),
+        F.count_if(n.between(21, 50)).alias("len_21_50"),
+        F.count_if(n > 50).alias("over_50"),
+        F.count_if(F.col("bounded")).alias("bounded"),
+    )
     styles = runs.agg(F.count_distinct("hash").alias("styles"))
-    between = lambda a, b: F.count_if(F.col("n").between(a, b))
     problem = (F.col("n") > 10) & (F.col("chars") < 100)
+    lengths = ["len_0", "len_1", "len_2_5", "len_6_20", "len_21_50", "over_50", "bounded"]
     stats = per.agg(
         F.count("*").alias("paragraphs"),
-        F.sum("n").alias("runs"),
-        F.round(F.avg("n"), 4).alias("runs_per_paragraph"),
-        between(1, 1).alias("with_1"),
-        between(2, 5).alias("with_2_5"),
-        between(6, 20).alias("with_6_20"),
-        between(21, 50).alias("with_21_50"),
-        F.count_if(F.col("n") > 50).alias("over_50"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("runs"),
+        F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 4).alias("runs_per_paragraph"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in lengths],
         F.count_if(problem).alias("problems"),
         F.count_if(problem & (F.col("n") > 20)).alias("severe"),
+    ).join(styles, F.lit(True))
+    points = [
+        (F.col("runs") > 5 * F.col("paragraphs"), 30),
+        (F.col("len_1") > 0.1 * F.col("runs"), 20),
+        (F.col("len_0") > 0.05 * F.col("runs"), 10),
+        (F.col("problems") > 0.1 * F.col("paragraphs"), 20),
+        (F.col("styles") < 0.5 * F.col("runs"), 20),
+    ]
+    score = sum((F.when(c, p).otherwise(0) for c, p in points), F.lit(0))
+    return stats.withColumn("score", score).withColumn("level", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 30, "medium").otherwise("low"))
+
+
+def slide_totals(texts: DataFrame) -> DataFrame:
+    """slide_id, source_chars, target_chars (trimmed) and scale of every slide of ``texts``
+    (slide_id, source, target)."""
+    chars = lambda c: F.sum(F.length(X.stripped(F.coalesce(c, F.lit("")))))
+    totals = texts.groupBy("slide_id").agg(chars(F.col("source")).alias("source_chars"), chars(F.col("target")).alias("target_chars"))
+    return totals.withColumn("scale", slide_scale(F.col("source_chars"), F.col("target_chars")))
+
+
+def distribute_near_spaces(runs: Column, target: Column) -> Column:
+    """``target`` over runs: by proportion if its length changed by at most 2; else whole words,
+    as many for each run, the first ones one more; with fewer words than runs, slices that end
+    at the blank before (or else after) an even cut. Slices follow each other and the last run
+    takes what is left; in the surveyed system they overlap where a cut moves."""
+    n, size = F.size(runs), F.length(target)
+    words = F.filter(F.split(target, f"[{X.SPACE}]+"), lambda w: w != "")
+    each, more = F.floor(F.size(words) / n).cast("int"), F.size(words) % n
+    first = lambda i: i * each + F.least(i, more)
+    by_words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, first(i) + 1, first(i + 1) - first(i)), " "))
+    width = F.floor(size / n).cast("int")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, i: Column) -> Column:
+        even = F.greatest((i + 1) * width, acc["at"])
+        before = F.length(F.regexp_extract(F.substring(target, acc["at"] + 2, even - acc["at"] - 1), r"(?s)^.* ", 0))
+        after = F.instr(F.substring(target, even + 1, size), " ")
+        cut = F.when((i == n - 1) | (even >= size), size).when(before > 0, acc["at"] + 1 + before).when(after > 0, even + after).otherwise(even)
+        return F.struct(F.array_append(acc["out"], F.substring(target, acc["at"] + 1, cut - acc["at"])).alias("out"), cut.alias("at"))
+
+    slices = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["out"])
+    total = F.aggregate(runs, F.lit(0), lambda a, x: a + F.length(x))
+    near = (total > 0) & (F.abs(size - total) <= 2)
+    return F.when(near, distribute_words(runs, target)).when(F.size(words) >= n, by_words).otherwise(slices)
+
+
+#: Marks beside which runs are joined without a blank.
+JOIN_MARKS = ".,;:!?"
+
+
+def join_spaced(parts: Column) -> Column:
+    """Trimmed parts in a row, a blank between two unless a mark ends the one or begins the other."""
+    shown = F.filter(F.transform(parts, lambda p: X.stripped(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    mark = lambda c: F.instr(F.lit(JOIN_MARKS), c) > 0
+
+    def step(acc: Column, part: Column) -> Column:
+        close = (acc == "") | mark(F.right(acc, F.lit(1))) | mark(F.left(part, F.lit(1)))
+        return F.concat(acc, F.when(close, F.lit("")).otherwise(F.lit(" ")), part)
+
+    return F.aggregate(shown, F.lit(""), step)
+
+
+def fit_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
+    """page, id, font, y1: fonts and lower edges of text boxes (page, id, x0, y0, x1, y1, font, source,
+    target) for their new texts. A text a fifth longer gets a smaller font (60 % at least) and, if
+    that is not enough, up to half its height more, down to the next box; where it would still
+    overlap, the box stays and the font may fall to 50 %. A text a fifth shorter gets a larger font
+    (120 % at most). A page's boxes meet in one array, as few stand on a page."""
+    page = Window.partitionBy("page")
+    seen = boxes.withColumn("all", F.collect_list(F.struct("id", "x0", "y0", "x1", "y1")).over(page))
+    others = F.filter("all", lambda b: b["id"] != F.col("id"))
+    overlaps = lambda bottom: F.exists(
+        others,
+        lambda b: (F.least(F.col("x1"), b["x1"]) - F.greatest(F.col("x0"), b["x0"]) > gap) & (F.least(bottom, b["y1"]) - F.greatest(F.col("y0"), b["y0"]) > gap),
     )
-    return stats.join(styles, F.lit(True))
+    r, height, size = length_ratio(F.col("source"), F.col("target")), F.col("y1") - F.col("y0"), F.col("font").cast("double")
+    whole = lambda c: F.floor(c).cast("double")
+    step = seen.withColumns({"r": r, "h": height, "chars": F.length(X.stripped(F.col("target"))), "small": F.greatest(whole(F.greatest(size * 0.6, size / r)), F.lit(1.0))})
+    per_line = F.greatest(F.floor((F.col("x1") - F.col("x0")) / (F.col("small") * 0.6)), F.lit(1))
+    step = step.withColumn("lines", F.greatest(F.floor(F.col("chars") / per_line) + 1, F.lit(1)))
+    step = step.withColumn("needed", F.col("lines") * F.col("small") * 1.2).withColumn("test", F.least("needed", F.col("h") * 1.5))
+    below = F.filter(others, lambda b: (b["y0"] > F.col("y0")) & (b["y0"] - F.col("y1") > 0))
+    safe = F.least(F.col("h"), F.lit(1e18)) + F.greatest(F.coalesce(F.array_min(F.transform(below, lambda b: b["y0"] - F.col("y1"))) - gap, F.lit(0.0)), F.lit(0.0))
+    step = step.withColumn("safe", safe).withColumn("hits", overlaps(F.col("y0") + F.col("test")))
+    safe_lines = F.greatest(F.floor(F.col("safe") / (F.col("small") * 1.2)), F.lit(1))
+    tight = F.col("hits") & (F.col("safe") < F.col("needed"))
+    longer, shorter = F.col("r") > 1.2, F.col("r") < 0.8
+    tall = F.when(F.col("needed") <= F.col("h"), F.col("needed")).when(tight, F.col("safe")).otherwise(F.col("test"))
+    tight_font = F.when(tight & (safe_lines < F.col("lines")), whole(F.greatest(size * 0.5, F.col("small") * safe_lines / F.col("lines")))).otherwise(F.col("small"))
+    new_font = F.when(longer, F.when(F.col("needed") > F.col("h"), tight_font).otherwise(F.col("small"))).when(
+        shorter, whole(F.least(size * 1.2, size / F.nullif(F.col("r"), F.lit(0.0))))
+    ).otherwise(size)
+    step = step.withColumn("new_font", F.coalesce(new_font, size)).withColumn("bottom", F.col("y0") + F.when(longer, tall).otherwise(F.col("h")))
+    still = overlaps(F.col("bottom"))
+    least_font = whole(F.greatest(size * 0.5, size / F.col("r")))
+    font = F.when(still & longer, least_font).otherwise(F.col("new_font"))
+    return step.select("page", "id", font.alias("font"), F.when(still, F.col("y1")).otherwise(F.col("bottom")).alias("y1"))
+
+
+def column_widths(cells: DataFrame) -> DataFrame:
+    """table_id, col, inches: a tenth of an inch for each character of a column's longest text, from
+    half an inch to two."""
+    return cells.groupBy("table_id", "col").agg(F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.max(F.length(F.coalesce("text", F.lit("")))) * 0.1)).alias("inches"))
 
 
 def overlapping(boxes: DataFrame, gap: float = 2.0) -> DataFrame:

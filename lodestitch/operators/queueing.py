@@ -12,6 +12,24 @@ MAX_LARGE, MAX_SMALL = 2, 4
 CALLS_PER_MINUTE = 1200
 
 
+def micros_of(df: DataFrame, column: str) -> Column:
+    """Microseconds of a time column; one without a zone is counted as it stands, so that no
+    clock change of the session's zone moves it."""
+    at = F.col(column)
+    if df.schema[column].dataType.typeName() == "timestamp":
+        return F.unix_micros(at)
+    seconds = F.unix_date(F.to_date(at)).cast("long") * 86_400 + F.hour(at) * 3_600 + F.minute(at) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
+def spaced_calls(calls: DataFrame, key: str, at: str = "ts", seconds: float = 0.05) -> DataFrame:
+    """For each call the microseconds since the one before it of its key, and whether that is
+    less than the least spacing."""
+    order = Window.partitionBy(key).orderBy(micros_of(calls, at))
+    gap = micros_of(calls, at) - F.lag(micros_of(calls, at)).over(order)
+    return calls.withColumn("gap", gap).withColumn("too_close", F.coalesce(F.col("gap") < int(seconds * 1_000_000), F.lit(False)))
+
+
 def admit(jobs: DataFrame, slots: int, per_tick: int | None = STARTS_PER_TICK) -> DataFrame:
     """The queued jobs that start now, oldest first: as many as slots and tick allow.
 
@@ -52,7 +70,7 @@ def admit_pdfs(queue: DataFrame, large_running: int = 0, small_running: int = 0)
 def calls_last_minute(calls: DataFrame, key: str, at: str = "ts", seconds: int = 60, limit: int = CALLS_PER_MINUTE) -> DataFrame:
     """For each call the calls of its key within the sliding window that ends with it, and
     whether the limit is passed."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    micros = micros_of(calls, at)
     frame = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, Window.currentRow)
     return calls.withColumn("in_window", F.count("*").over(frame)).withColumn("over_limit", F.col("in_window") > limit)
 

@@ -93,10 +93,15 @@ def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     RUNS_SQL
-    + """, p AS (SELECT para_id, count(*) AS n, sum(length(text)) AS c FROM r GROUP BY 1)
-    SELECT count(*) AS paragraphs, sum(n)::BIGINT AS runs, round(avg(n), 4) AS runs_per_paragraph, count(*) FILTER (n = 1) AS with_1, count(*) FILTER (n BETWEEN 2 AND 5) AS with_2_5,
-    count(*) FILTER (n BETWEEN 6 AND 20) AS with_6_20, count(*) FILTER (n BETWEEN 21 AND 50) AS with_21_50, count(*) FILTER (n > 50) AS over_50,
-    count(*) FILTER (n > 10 AND c < 100) AS problems, count(*) FILTER (n > 20 AND c < 100) AS severe, (SELECT count(DISTINCT hash) FROM r) AS styles FROM p"""
+    + """, p AS (SELECT para_id, count(*) AS n, sum(length(text)) AS c FROM r GROUP BY 1),
+    t AS (SELECT count(DISTINCT para_id) AS paragraphs, count(*) AS runs, round(count(*) / count(DISTINCT para_id)::DOUBLE, 4) AS runs_per_paragraph,
+      count(*) FILTER (length(text) = 0) AS len_0, count(*) FILTER (length(text) = 1) AS len_1, count(*) FILTER (length(text) BETWEEN 2 AND 5) AS len_2_5,
+      count(*) FILTER (length(text) BETWEEN 6 AND 20) AS len_6_20, count(*) FILTER (length(text) BETWEEN 21 AND 50) AS len_21_50, count(*) FILTER (length(text) > 50) AS over_50,
+      count(*) FILTER (bounded) AS bounded, count(DISTINCT hash) AS styles FROM r),
+    q AS (SELECT t.*, (SELECT count(*) FROM p WHERE n > 10 AND c < 100) AS problems, (SELECT count(*) FROM p WHERE n > 20 AND c < 100) AS severe FROM t),
+    s AS (SELECT *, CASE WHEN runs > 5 * paragraphs THEN 30 ELSE 0 END + CASE WHEN len_1 > 0.1 * runs THEN 20 ELSE 0 END + CASE WHEN len_0 > 0.05 * runs THEN 10 ELSE 0 END
+      + CASE WHEN problems > 0.1 * paragraphs THEN 20 ELSE 0 END + CASE WHEN styles < 0.5 * runs THEN 20 ELSE 0 END AS score FROM q)
+    SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level FROM s"""
 )
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.run_report(_runs(spark, sf_dir))
@@ -139,3 +144,75 @@ def run_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.upper(F.array_join("runs", ""))
     lengths = F.transform("runs", lambda x: F.length(x))
     return runs.select("conv_id", whole.alias("whole"), L.distribute_even_tail(lengths, whole).alias("parts"), L.distribute_words(F.col("runs"), whole).alias("words"))
+
+
+def _merge_sql(longest: int, total: int) -> str:
+    return RUNS_SQL.replace("WITH r", "WITH RECURSIVE r", 1) + f""", k AS (SELECT *, row_number() OVER (PARTITION BY para_id ORDER BY run_idx) AS k FROM r
+      WHERE bounded OR text <> '-'),
+    step AS (SELECT para_id, 0::BIGINT AS k, 0 AS part, false AS held, 0 AS size, NULL::VARCHAR AS style, NULL::BIGINT AS run_idx, '' AS text, false AS shown FROM k GROUP BY para_id UNION ALL
+      SELECT s.para_id, k.k, s.part + CASE WHEN NOT k.bounded AND (NOT s.held OR NOT joins) THEN 1 ELSE 0 END, NOT k.bounded AND joins,
+        CASE WHEN k.bounded OR NOT joins THEN 0 ELSE s.size + length(k.text) END, k.hash, k.run_idx, k.text, NOT k.bounded
+      FROM (SELECT s.*, k.k AS kk, length(k.text) <= {longest} AND (NOT s.held OR k.hash = s.style) AND s.size + length(k.text) <= {total} AS joins
+        FROM step s JOIN k ON k.para_id = s.para_id AND k.k = s.k + 1) s JOIN k ON k.para_id = s.para_id AND k.k = s.kk)
+    SELECT para_id, min(run_idx) AS first_run, count(*)::INTEGER AS runs, string_agg(text, '' ORDER BY run_idx) AS text FROM step WHERE shown GROUP BY para_id, part"""
+
+
+def _named_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _runs(spark, sf_dir).withColumn("text", F.when(F.col("text") == "", "-").otherwise(F.concat(F.lit("n"), "text")))
+
+
+NAMED = "CASE WHEN l_quantity < 3 THEN '-' ELSE 'n' || (l_quantity::INT)::VARCHAR END AS text"
+
+
+def _named(sql: str) -> str:
+    return sql.replace("CASE WHEN l_quantity < 3 THEN '' ELSE (l_quantity::INT)::VARCHAR END AS text", NAMED)
+
+
+@query(_named(_merge_sql(20, 1000)))
+def conservative_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.merge_short(_named_runs(spark, sf_dir)).drop("part")
+
+
+@query(_named(_merge_sql(5, 10)))
+def strict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.merge_short(_named_runs(spark, sf_dir), 5, 10).drop("part")
+
+
+@query(
+    """SELECT conv_id AS slide_id, sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')))::BIGINT AS source_chars, sum(length(upper(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) || '..'))::BIGINT AS target_chars
+    FROM conversations GROUP BY 1"""
+)
+def slide_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = T.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("slide_id"), F.col("text").alias("source"), F.concat("text", F.lit("..")).alias("target"))
+    return L.slide_totals(texts).drop("scale")
+
+
+@query(
+    """SELECT l_orderkey AS table_id, l_linenumber % 3 AS col, greatest(0.5, least(2.0, max(l_quantity::INT) * 0.1::DOUBLE)) AS inches FROM lineitem GROUP BY 1, 2"""
+)
+def page_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = T.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") % 3).alias("col"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("text")
+    )
+    return L.column_widths(cells)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS para_id, count(*) AS runs, count(*) FILTER (l_quantity > 25) AS merged FROM lineitem GROUP BY 1)
+    SELECT para_id, printf('%.1f%%', 100.0 * merged / runs) AS rate FROM c"""
+)
+def merge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("para_id")).agg(F.count("*").alias("runs"), F.count_if(F.col("l_quantity") > 25).alias("merged"))
+    return runs.select("para_id", L.optimisation_rate(F.col("merged"), F.col("runs")).alias("rate"))
+
+
+@query()
+def box_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of an order as the text boxes of a page, their new texts longer or shorter."""
+    x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 300).cast("double")
+    boxes = _lines(spark, sf_dir).select(
+        F.col("l_orderkey").alias("page"), F.col("place").alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 120).alias("x1"), (y0 + 30).alias("y1"),
+        (F.col("l_linenumber") + 8).alias("font"), F.repeat(F.lit("x"), F.col("l_quantity").cast("int")).alias("source"),
+        F.repeat(F.lit("y"), (F.col("l_partkey") % 90).cast("int")).alias("target"),
+    )
+    return L.fit_boxes(boxes)

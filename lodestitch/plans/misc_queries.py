@@ -167,14 +167,22 @@ def cleaned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.clean_result(X.strip_reasoning(noisy)).alias("text"))
 
 
+def _share_sql(text: str, chars: str) -> str:
+    return f"coalesce(len(regexp_extract_all({text}, '[{chars}]')) / nullif(len(regexp_extract_all({text}, '[^{X.LANGUAGE_IGNORED.replace(chr(39), chr(39) * 2)}]')), 0)::DOUBLE, 0)"
+
+
 @query(
-    """SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN 'chinese_to_english' ELSE 'preserve_original' END AS need FROM conversations WHERE length(text) > 0"""
+    f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '工业车辆' || text WHEN turn % 3 = 1 THEN '工' || substr(text, 1, 4) ELSE text END AS s,
+      CASE WHEN turn % 2 = 0 THEN text ELSE '叉车操作手册说明' || substr(text, 1, 6) END AS t FROM conversations)
+    SELECT conv_id, turn, CASE WHEN {_share_sql("s", X.CJK)} > 0.5 AND {_share_sql("t", "A-Za-z")} > 0.7 THEN 'chinese_to_english'
+      WHEN {_share_sql("t", X.CJK)} > 0.5 AND NOT {_share_sql("s", X.CJK)} > 0.5 THEN 'english_to_chinese' ELSE 'preserve_original' END AS need FROM t"""
 )
 def spacing_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spacing between a Chinese source and an English answer."""
-    source = F.when(F.col("role") == "user", F.lit("工业车辆")).otherwise(F.lit("plain words"))
-    target = F.regexp_replace(F.concat("text", F.lit(" word")), "[^A-Za-z ]", "")
-    return T.table(spark, sf_dir, "conversations").where(F.length("text") > 0).select("conv_id", "turn", "role", X.spacing_need(source, target).alias("need"))
+    """Spacing between sources and answers that are Chinese, mixed or neither."""
+    third, text = F.col("turn") % 3, F.col("text")
+    source = F.when(third == 0, F.concat(F.lit("工业车辆"), text)).when(third == 1, F.concat(F.lit("工"), F.substring(text, 1, 4))).otherwise(text)
+    target = F.when(F.col("turn") % 2 == 0, text).otherwise(F.concat(F.lit("叉车操作手册说明"), F.substring(text, 1, 6)))
+    return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.spacing_need(source, target).alias("need"))
 
 
 @query(

@@ -27,14 +27,22 @@ def query(sql: str | None = None):
     return register
 
 
-@query("SELECT lang, count(*) AS files, sum(length(text))::BIGINT AS chars FROM (SELECT coalesce(lang, 'none') AS lang, string_agg(replace(text, chr(10), ' '), chr(10) ORDER BY doc_id) || chr(10) AS text FROM documents GROUP BY 1) GROUP BY 1")
+#: Bytes that a file read whole should hold.
+WHOLE_BYTES = 16 << 20
+
+
+@query("SELECT coalesce(lang, 'none') AS lang, count(*) AS lines, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY 1")
 def whole_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text file per language, written and read whole."""
+    """Text files of a bounded size per language, written and read whole."""
     path = shared_path(spark, "texts")
     docs = T.table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
-    docs.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    files = 1 + (docs.agg(F.sum(F.octet_length("value"))).first()[0] or 0) // WHOLE_BYTES
+    dealt = docs.withColumn("file", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+    dealt.repartition(int(min(files, 1 << 16)), "lang", "file").sortWithinPartitions("lang", "file", "doc_id").select("lang", "file", "value").write.partitionBy("lang", "file").text(path)
     read = X.read_whole_text(spark, path)
-    return read.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+    return read.groupBy(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang")).agg(
+        F.sum(F.regexp_count("text", F.lit("\n"))).cast("long").alias("lines"), F.sum(F.length("text")).alias("chars")
+    )
 
 
 @query("SELECT conv_id AS doc_id, turn AS row, role, text FROM conversations")
@@ -68,9 +76,16 @@ def storage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(F.coalesce("category", F.lit("all")).alias("category"), "files")
 
 
-@query("SELECT p_brand AS base, 'source,target' || chr(10) || string_agg(p_name || ',' || p_type, chr(10) ORDER BY p_partkey DESC) AS lines FROM part GROUP BY 1")
+@query(
+    """WITH t AS (SELECT p_brand, p_partkey, replace(p_name, ' ', CASE p_partkey % 3 WHEN 0 THEN ',' WHEN 1 THEN ' "' ELSE ' ' END) AS a, p_type AS b FROM part),
+    q AS (SELECT *, CASE WHEN regexp_matches(a, '[",\r\n]') THEN '"' || replace(a, '"', '""') || '"' ELSE a END AS qa FROM t)
+    SELECT p_brand AS base, 'source,target' || chr(10) || string_agg(qa || ',' || b, chr(10) ORDER BY p_partkey DESC) AS lines FROM q GROUP BY 1"""
+)
 def glossary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = T.terms(spark, sf_dir)
+    """Term bases as csv; names hold commas and quotes here, so cells must be quoted."""
+    third = F.col("term_id") % 3
+    sign = F.when(third == 0, F.lit(",")).when(third == 1, F.lit(' "')).otherwise(F.lit(" "))
+    terms = T.terms(spark, sf_dir).withColumn("source", F.replace("source", F.lit(" "), sign))
     return X.export_glossary(terms.select("base").distinct(), terms)
 
 
@@ -125,4 +140,6 @@ def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first jobs of each priority queue start; the others wait for an end that never comes."""
     queued = T.jobs(spark, sf_dir).where("status = 'queued'").select(F.col("priority").alias("queue"), "id", "created_at", "status")
-    return _drain(spark, streams.admit_stream(_stream(spark, queued.coalesce(1), "queue"), Q.MAX_RUNNING), "started").select("queue", "id")
+    out = shared_path(spark, "started")
+    streams.admit_stream(_stream(spark, queued, "queue"), Q.MAX_RUNNING, out, shared_path(spark, "started-state")).awaitTermination()
+    return spark.read.parquet(f"{out}/started").select("queue", "id")

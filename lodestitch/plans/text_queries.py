@@ -43,7 +43,35 @@ CJK_COUNT = "len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]'))"
 WEIGHT_SQL = f"({CJK_COUNT} + 0.5::DOUBLE * (length(text) - {CJK_COUNT} - (length(text) - length(replace(text, ' ', '')))))"
 
 
-@query()
+_MARK, _BLANKS = "chr(1)", "chr(2)"
+
+
+def _sentences(text: str) -> str:
+    """Sentences as a list: after marks that blanks follow, and after CJK marks with any white space."""
+    spaced = f"regexp_replace({text}, '([.!?。！？;；:：…—]) +', '\\1' || {_BLANKS}, 'g')"
+    wide = f"regexp_replace({spaced}, '([。！？；：…—])[{X.SPACE}]*', '\\1' || {_MARK}, 'g')"
+    return f"string_split(replace(replace({wide}, {_MARK} || {_BLANKS}, {_MARK}), {_BLANKS}, {_MARK}), {_MARK})"
+
+
+def _parts_sql(limit: int) -> str:
+    """Paragraphs packed sentence by sentence: a running state per paragraph, one step a sentence."""
+    return f"""WITH RECURSIVE para AS (SELECT doc_id, i - 1 AS para, ps[i] AS body FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM
+      (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)) WHERE ps[i] <> '' AND NOT regexp_full_match(ps[i], '{PUNCT}')),
+    long AS (SELECT doc_id, para, {_sentences('body')} AS ss FROM para WHERE length(body) > {limit}),
+    step AS (SELECT doc_id, para, ss, 0 AS i, 0 AS part, 0 AS open_part, 0 AS size, false AS held FROM long UNION ALL
+      SELECT doc_id, para, ss, i + 1, CASE WHEN size + n <= {limit} OR NOT held THEN open_part ELSE open_part + 1 END,
+        CASE WHEN size + n <= {limit} THEN open_part ELSE open_part + 1 END,
+        CASE WHEN size + n <= {limit} THEN size + n WHEN held THEN n ELSE 0 END, size + n <= {limit} OR held
+      FROM (SELECT *, length(ss[i + 1]) AS n FROM step WHERE i < len(ss))),
+    packed AS (SELECT doc_id, para, part, true AS sub, string_agg(ss[i], ' ' ORDER BY i) AS text FROM step WHERE i > 0 GROUP BY doc_id, para, part
+      UNION ALL SELECT doc_id, para, 0, false, body FROM para WHERE length(body) <= {limit}),
+    parts AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY para, part) - 1)::INTEGER AS seg_idx, para::INTEGER AS para, sub, text FROM packed)"""
+
+
+@query(
+    _parts_sql(1000)
+    + f" SELECT doc_id, count(*) AS segments, sum({WEIGHT_SQL}) AS weighted, max(length(text))::BIGINT AS longest FROM parts GROUP BY doc_id"
+)
 def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: paragraphs to packed parts, with weighted counts per document."""
     parts = S.txt_segments(_documents(spark, sf_dir))
@@ -82,7 +110,7 @@ def word_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH c AS (SELECT conv_id, turn, text, len(regexp_extract_all(text, '[^{_q(X.LANGUAGE_IGNORED)}]')) AS n,
     len(regexp_extract_all(text, '[A-Za-z]')) AS a, {CJK_COUNT} AS z FROM conversations)
     SELECT conv_id, turn, n > 0 AND z / nullif(n, 0)::DOUBLE > 0.5 AS chinese, n > 0 AND a / nullif(n, 0)::DOUBLE > 0.7 AS english,
-    starts_with(text, 'I''m sorry,') OR starts_with(text, 'Sorry, I can') OR starts_with(text, 'Lo siento,') AS refusal FROM c"""
+    {" OR ".join(f"starts_with(text, '{_q(opening)}')" for opening in X.REFUSALS)} AS refusal FROM c"""
 )
 def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -91,15 +119,15 @@ def language_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, i AS part, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM
-    (SELECT doc_id, string_split(regexp_replace(text, '([.!?。！？;；:：…—]) +', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents))"""
+    f"""SELECT doc_id, i AS part, parts[i] AS sentence FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM
+    (SELECT doc_id, {_sentences("text")} AS parts FROM documents))"""
 )
 def sentence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _documents(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("p", "sentence"))
     return parts.select("doc_id", (F.col("p") + 1).cast("bigint").alias("part"), "sentence")
 
 
-@query()
+@query(_parts_sql(400) + " SELECT * FROM parts")
 def packed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.txt_segments(_documents(spark, sf_dir), limit=400)
 
@@ -195,14 +223,53 @@ def glossary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(T.terms(spark, sf_dir)))
 
 
-@query()
+LARGE_SQL = """WITH base AS (SELECT w AS source, min(item_id) AS term_id, 't:' || w AS target FROM
+      (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS w FROM benchmark) GROUP BY w),
+    terms AS (SELECT source, target, row_number() OVER (ORDER BY term_id, source) AS place FROM base),
+    seg AS (SELECT conv_id AS doc_id, turn AS seg_idx, text, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM conversations),
+    phrase AS (SELECT doc_id, seg_idx, n, i, array_to_string(w[i : i + n - 1], ' ') AS p FROM
+      (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest(CASE WHEN length(text) < 200 THEN [1, 2, 3, 4, 5] ELSE [1] END) AS n FROM seg) WHERE len(w) >= n)),
+    exact AS (SELECT doc_id, seg_idx, source, target, CASE WHEN p = source THEN 100.0 ELSE 95.0 END AS score,
+        [CASE WHEN p = source THEN 0 ELSE 1 END + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] AS o FROM phrase JOIN terms ON lower(p) = lower(source)
+      UNION ALL SELECT doc_id, seg_idx, source, target, 95.0, [1 + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] FROM phrase JOIN terms ON p = source),
+    pos AS (SELECT doc_id, seg_idx, word, min(i) AS posn FROM (SELECT doc_id, seg_idx, ws[i] AS word, i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM
+      (SELECT conv_id AS doc_id, turn AS seg_idx, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS ws FROM conversations))) GROUP BY ALL),
+    post AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(source), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS word, source, target, place FROM terms),
+    scored AS (SELECT doc_id, seg_idx, source, target, CASE WHEN word = lower(source) THEN 100.0 WHEN contains(lower(source), word) THEN 90.0 ELSE 0.0 END AS score, [4, 1, posn, place] AS o
+      FROM pos JOIN post USING (word)),
+    merged AS (SELECT doc_id, seg_idx, source, target, max(score) AS score, min(o) AS o FROM (SELECT * FROM exact UNION ALL SELECT * FROM scored WHERE score > 0) GROUP BY ALL),
+    whole AS (SELECT doc_id, seg_idx, count(DISTINCT source) >= 10 AS whole FROM exact GROUP BY ALL),
+    r AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY CASE WHEN coalesce(whole, false) THEN CASE WHEN o[1] < 4 THEN 1000.0 ELSE 0.0 END ELSE score END DESC, o) AS rank
+      FROM merged m LEFT JOIN whole USING (doc_id, seg_idx))
+    SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, score::DOUBLE AS score FROM r WHERE rank <= 10"""
+
+
+@query(LARGE_SQL)
 def glossary_large_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posting lists: benchmark and document words as a base of its own."""
+    """Exact finds and posting lists: the words of the benchmark as a base of their own."""
     words = T.table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.tokens(F.col("text"))).alias("source"))
-    base = words.groupBy("source").agg(F.min("item_id").alias("term_id")).select(F.lit("b").alias("base"), "term_id", "source", F.upper("source").alias("target"))
+    base = words.groupBy("source").agg(F.min("item_id").alias("term_id")).select(F.lit("b").alias("base"), "term_id", "source", F.concat(F.lit("t:"), "source").alias("target"))
     return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(base), fuzzy=False, small=0)
 
 
+@query(
+    TOPK_SQL
+    + """, b AS (SELECT *, sum(length(source) + length(target)) OVER (PARTITION BY doc_id, seg_idx ORDER BY rank) AS used FROM r WHERE rank <= 10)
+    SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, round(score, 6) AS score, used::BIGINT AS used FROM b WHERE used <= 90"""
+)
+def glossary_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgeted terms of every segment, searched once for equal texts."""
+    out = G.batch_terms(T.segments(spark, sf_dir), G.merge_bases(T.terms(spark, sf_dir)), most_chars=90, fuzzy=False)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query()
+def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed line by line (the older markdown way)."""
+    parts = _documents(spark, sf_dir).select("doc_id", F.posexplode(X.pack_lines(F.col("text"))).alias("part", "p"))
+    return parts.select("doc_id", "part", "p.text", "p.sub")
+
+
 @query(
     f"""SELECT word, count(*) AS terms, min(place) AS first FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(source), '[\\p{{L}}\\p{{N}}_]+')) AS word, place FROM {TERMS_SQL})
     WHERE length(word) >= 2 GROUP BY 1"""

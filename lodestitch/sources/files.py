@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Encodings in the order in which they are tried.
@@ -205,9 +205,46 @@ def import_glossary(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bases, terms
 
 
+def write_glossaries(exported: DataFrame, path: str) -> None:
+    """One file for each base of ``export_glossary``, in a folder of its name."""
+    exported.withColumnRenamed("lines", "value").repartition("base").write.partitionBy("base").option("lineSep", "\n").text(path)
+
+
+def fill_cells(cells: DataFrame, translated: DataFrame, translatable: Column) -> DataFrame:
+    """Workbook cells (doc_id, sheet, row, col, cell) with the translated items (doc_id, nth, text)
+    in place: the n-th cell that ``translatable`` accepts takes item n, row by row and sheet by
+    sheet. Fails where a document has another number of items than of such cells."""
+    order = Window.partitionBy("doc_id").orderBy("sheet", "row", "col")
+    marked = cells.withColumn("takes", F.coalesce(translatable, F.lit(False)))
+    numbered = marked.withColumn("nth", F.when(F.col("takes"), F.sum(F.col("takes").cast("int")).over(order) - 1))
+    filled = numbered.join(translated.withColumnRenamed("text", "item"), ["doc_id", "nth"], "full")
+    odd = F.col("cell").isNull() & F.col("row").isNull() | (F.col("takes") & F.col("item").isNull())
+    cell = F.when(odd, F.raise_error(F.concat(F.lit("items and cells differ in number: document "), F.col("doc_id").cast("string")))).otherwise(F.coalesce("item", "cell"))
+    return filled.select("doc_id", "sheet", "row", "col", cell.alias("cell"))
+
+
+def merge_chunks(chunks: DataFrame) -> DataFrame:
+    """doc_id, text: chunk files (doc_id, name, text) joined in the order of their names."""
+    parts = F.array_sort(F.collect_list(F.struct("name", "text")))
+    return chunks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
+
+
+def join_units(units: DataFrame, translated: DataFrame) -> DataFrame:
+    """XLIFF units (path, unit_id, source) with their targets by unit id; a unit without one keeps
+    its source."""
+    targets = translated.select("path", "unit_id", "target")
+    return units.join(targets, ["path", "unit_id"], "left").withColumn("target", F.coalesce("target", "source"))
+
+
+def csv_cell(cell: Column) -> Column:
+    """A cell as csv has it: null as empty, quoted where it holds a comma, quote or line end."""
+    cell = F.coalesce(cell, F.lit(""))
+    return F.when(cell.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+
+
 def export_glossary(bases: DataFrame, terms: DataFrame) -> DataFrame:
     """base, lines: a header and the terms, newest first, as csv text; bases without terms keep the header."""
-    row = F.concat_ws(",", F.coalesce("source", F.lit("")), F.coalesce("target", F.lit("")))
+    row = F.concat_ws(",", csv_cell(F.col("source")), csv_cell(F.col("target")))
     lines = terms.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("term_id", row.alias("line"))), asc=False).alias("rows"))
     body = F.transform(F.coalesce("rows", F.array().cast("array<struct<term_id:bigint,line:string>>")), lambda x: x["line"])
     return bases.join(lines, "base", "left").select("base", F.array_join(F.concat(F.array(F.lit("source,target")), body), "\n").alias("lines"))

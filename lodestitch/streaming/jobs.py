@@ -1,20 +1,21 @@
 """Streaming twins of the queue operators.
 
-Slots and sliding windows are keyed state: ``applyInPandasWithState`` keeps, per queue or key,
-only what the semantics need (running jobs, or the calls of the last window). Simple rates
-use event-time windows with a watermark.
+Sliding windows are keyed state: ``applyInPandasWithState`` keeps the calls of a key's last
+window. Waiting jobs are tables by epoch, as a queue has no bound. Simple rates use event-time
+windows with a watermark.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestitch.operators.queueing import CALLS_PER_MINUTE
+from lodestitch.operators.queueing import CALLS_PER_MINUTE, micros_of
 
 
 def windowed_counts(events: DataFrame, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -28,52 +29,59 @@ def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return counted.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def admit_stream(changes: DataFrame, slots: int) -> DataFrame:
-    """queue, id, created_at: jobs as they start. ``changes`` (queue, id, created_at, status) brings
-    queued jobs and ends (done, failed); each queue runs at most ``slots``, oldest first."""
+def admit_stream(changes: DataFrame, slots: int, out: str, checkpoint: str) -> object:
+    """Jobs as they start, under ``out``/started. ``changes`` (queue, id, created_at, status) brings
+    queued jobs and ends (done, failed); each queue runs at most ``slots``, oldest first.
+
+    What waits is a table that every micro-batch writes anew under its epoch, and the rank in a
+    queue is a window's (each task keeps its first rows), so no queue is held by one task; of
+    what runs only the number per queue is kept. A batch that is run again writes the same."""
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = lambda name, empty: spark.read.parquet(f"{out}/{name}/epoch={epoch - 1}") if epoch else empty
+        queued = batch.where("status = 'queued'").select("queue", "id", "created_at")
+        waiting = before("waiting", queued.limit(0)).unionByName(queued)
+        ends = batch.where("status != 'queued'").groupBy("queue").agg(F.count("*").alias("ends"))
+        ran = before("running", ends.select("queue", F.lit(0).cast("long").alias("running")).limit(0))
+        running = ran.join(ends, "queue", "full").select("queue", F.greatest(F.coalesce("running", F.lit(0)) - F.coalesce("ends", F.lit(0)), F.lit(0)).alias("running"))
+        order = Window.partitionBy("queue").orderBy("created_at", "id")
+        first = waiting.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= slots)
+        starts = first.join(running, "queue", "left").where(F.col("turn") <= slots - F.coalesce("running", F.lit(0))).select("queue", "id", "created_at")
+        starts.write.mode("overwrite").parquet(f"{out}/started/epoch={epoch}")
+        started = spark.read.schema(starts.schema).parquet(f"{out}/started/epoch={epoch}")
+        waiting.join(started, ["queue", "id", "created_at"], "left_anti").write.mode("overwrite").parquet(f"{out}/waiting/epoch={epoch}")
+        more = started.groupBy("queue").agg(F.count("*").alias("more"))
+        running.join(more, "queue", "full").select("queue", (F.coalesce("running", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("running")).write.mode("overwrite").parquet(
+            f"{out}/running/epoch={epoch}"
+        )
+
+    return changes.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start()
+
+
+def rate_stream(calls: DataFrame, limit: int = CALLS_PER_MINUTE, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """key, at (microseconds), in_window, over_limit per call; state holds the calls of a key's
+    last window, and goes once the watermark has passed that window."""
+    width = seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running, ids, times = state.get if state.exists else (0, [], [])
-        waiting = list(zip(times, ids))
-        for batch in batches:
-            for r in batch.itertuples():
-                if r.status == "queued":
-                    waiting.append((int(r.created_at), int(r.id)))
-                else:
-                    running = max(0, running - 1)
-        waiting.sort()
-        free = max(0, slots - running)
-        started, waiting = waiting[:free], waiting[free:]
-        state.update((running + len(started), [i for _, i in waiting], [t for t, _ in waiting]))
-        yield pd.DataFrame({"queue": [key[0]] * len(started), "id": [i for _, i in started], "created_at": [t for t, _ in started]})
-
-    keyed = changes.select("queue", "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_at"), "status")
-    return keyed.groupBy("queue").applyInPandasWithState(
-        step,
-        "queue string, id long, created_at long",
-        "running long, ids array<long>, times array<long>",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
-def rate_stream(calls: DataFrame, limit: int = CALLS_PER_MINUTE, seconds: int = 60) -> DataFrame:
-    """key, ts, in_window, over_limit per call; state holds the calls of the last window only."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        fresh = sorted(int(t) for b in batches for t in b["at"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = deque(state.get[0] if state.exists else [])
         out = []
-        for t in fresh:
-            held = [x for x in held if x >= t - seconds * 1_000_000]
+        for t in sorted(int(t) for b in batches for t in b["at"]):
+            while held and held[0] < t - width:
+                held.popleft()
             held.append(t)
             out.append((key[0], t, len(held), len(held) > limit))
-        state.update((held,))
+        state.update((list(held),))
+        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "at", "in_window", "over_limit"])
 
-    keyed = calls.select(F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return keyed.groupBy("key").applyInPandasWithState(
-        step, "key string, at long, in_window long, over_limit boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout
+    keyed = calls.withColumn("at", micros_of(calls, "ts")).withColumn("time", F.timestamp_micros("at")).withWatermark("time", late)
+    return keyed.select(F.col("key").cast("string").alias("key"), "at", "time").groupBy("key").applyInPandasWithState(
+        step, "key string, at long, in_window long, over_limit boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

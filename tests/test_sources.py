@@ -119,10 +119,10 @@ def test_admission_stream_keeps_slots(spark, tmp_path):
     schema = put(0, [("q", i, f"2024-01-01 00:00:0{i}", "queued") for i in range(5)])
     put(1, [("q", 0, "2024-01-01 00:01:00", "done")])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    started = streams.admit_stream(stream, 2)
-    out = started.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-    out.awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2]
+    for _ in range(2):  # a second start finds nothing new
+        streams.admit_stream(stream, 2, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/started").collect()) == [0, 1, 2]
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/waiting/epoch=1").collect()) == [3, 4]
 
 
 def test_without_corpus_operators(tmp_path):
