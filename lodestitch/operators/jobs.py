@@ -66,13 +66,15 @@ def of_tenant(jobs: DataFrame, members: DataFrame, tenant_id: int | None) -> Dat
     return jobs.join(members.where(F.col("tenant_id") == tenant_id).select("customer_id"), "customer_id", "left_semi")
 
 
-def matching(df: DataFrame, columns: list[str], keyword: str | None) -> DataFrame:
-    """Case-blind containment in any of the columns; ``%`` and ``_`` in the keyword are wildcards."""
+def matching(df: DataFrame, columns: list[str], keyword: str | None, case: bool = False) -> DataFrame:
+    """Containment in any of the columns, case-blind unless ``case`` is set; ``%`` and ``_`` in the
+    keyword are wildcards."""
     if not keyword:
         return df
     out = F.lit(False)
     for c in columns:
-        out = out | F.coalesce(F.col(c).ilike(f"%{keyword}%"), F.lit(False))
+        held = F.col(c).like(f"%{keyword}%") if case else F.col(c).ilike(f"%{keyword}%")
+        out = out | F.coalesce(held, F.lit(False))
     return df.where(out)
 
 

@@ -102,3 +102,10 @@ def translate_segments(segments: DataFrame, chain: list[Translator], retries: in
     done = translate(needed.where("need").select(*keys).distinct(), chain, retries)
     out = needed.join(done, keys, "left")
     return out.withColumn("translated", F.coalesce("translated", "text")).withColumn("status", F.coalesce("status", F.lit("skipped"))).drop("need")
+
+
+def with_originals(segments: DataFrame, done: DataFrame) -> DataFrame:
+    """doc_id, seg_idx, text: the translation of each segment, or its own text where that is
+    missing or empty."""
+    kept = F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("text"))
+    return segments.join(done.select("doc_id", "seg_idx", "translated"), ["doc_id", "seg_idx"], "left").select("doc_id", "seg_idx", kept.alias("text"))

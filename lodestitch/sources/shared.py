@@ -11,9 +11,12 @@ _own: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir`` (a temporary folder only where that is unset)."""
+    """A fresh path under ``spark.checkpoint.dir`` (a temporary folder only where that is unset,
+    and only in local mode)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="lodestitch-")
         _own[app] = root
