@@ -14,6 +14,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000
 
 _own_dir: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,18 +38,35 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut there,
     lost executors cost nothing that was written, and later readers see real sizes."""
-    path = fresh_path(df.sparkSession, label)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    system, at = _file_system(spark, path)
+    system.deleteOnExit(at)  # with the application, whose results alone read it
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
 
 
 def discard(*written: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more."""
     for df in written:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             if "/lodestitch/" in folder:
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+                system, at = _file_system(df.sparkSession, folder)
+                system.delete(at, True)
+
+
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all tables of ``materialize`` that are still there but those of ``keep``."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for f in df.inputFiles()}
+    for path in [p for p in _written if p.rsplit("/", 1)[1] not in kept]:
+        system, at = _file_system(spark, path)
+        system.delete(at, True)
+        _written.remove(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
