@@ -12,7 +12,7 @@ their label, weighted by a power of the similarity. All that are as near as the
 nearest vote too, so ties need no order.
 
 ``FIT_ROWS`` bounds the labelled sample (and with it all that reaches the driver or is
-broadcast: 2,048 vectors of 64 numbers). It is drawn by hash of the id from labels whose
+broadcast: 2,048 rows of 2,600 counts, and vectors of 64 numbers). It is drawn by hash of the id from labels whose
 ``crc32(doc_id) mod 4`` is not 2, copies of a text counting once. Labels are joined to
 documents for the fit alone; a score depends on the text only.
 
@@ -48,7 +48,7 @@ SLICE = 1 << 20
 _PUNCTUATION = [b for b in range(33, 127) if not chr(b).isalnum()]
 _N_CLASSES = 7 + len(_PUNCTUATION)
 _PAIRS = _N_CLASSES**2
-WORD_BUCKETS = 4096
+WORD_BUCKETS = 1024
 _BUCKETS = 12
 N_TERMS = _PAIRS + WORD_BUCKETS + 3 * _BUCKETS
 #: Where each kind of terms stands, and its weight: class bigrams, words, shape.
@@ -100,12 +100,15 @@ class Model:
         # right singular vectors by way of the rows' products: the sample has fewer rows than terms
         values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
         kept = [i for i in range(len(values) - 1, -1, -1) if values[i] > 1e-6][:axes]
-        self.axes = np.ascontiguousarray(weighted.T @ (left[:, kept] / np.sqrt(values[kept])), dtype=np.float32)
-        self.vectors = self.project(counts)
+        self.axes = np.ascontiguousarray(weighted.T @ (left[:, kept] / np.sqrt(values[kept])).astype(np.float32), dtype=np.float32)
+        self.vectors = _unit(weighted @ self.axes)
 
     def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return np.hstack([weight * _unit(x[:, first:end]) for first, end, weight in KINDS]).astype(np.float32)
+        x = np.log1p(counts, dtype=np.float32)
+        x *= self.idf
+        for first, end, weight in KINDS:  # in place: the sample's matrix is the largest thing that a driver holds here
+            x[:, first:end] *= weight / np.maximum(np.linalg.norm(x[:, first:end], axis=1, keepdims=True), 1e-9)
+        return x
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         return _unit(self._weighted(counts) @ self.axes)
@@ -151,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, axes: int =
         .mapInArrow(count, "key long, label double, counts array<float>")
         .toArrow()
     )
+    table = table.take(np.argsort(table["key"].to_numpy(), kind="stable"))
     counts = np.asarray(table["counts"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, N_TERMS)
-    order = np.argsort(table["key"].to_numpy(), kind="stable")
-    return Model(counts[order], table["label"].to_numpy()[order], axes, neighbours, power)
+    return Model(counts, table["label"].to_numpy(), axes, neighbours, power)
 
 
 def _scorer(docs: DataFrame, model: Model):
