@@ -15,13 +15,19 @@ Frequent bigrams and words would fill single partitions. A sample of documents n
 taken over all documents with map-side sums, broadcast (a fixed number of rows at most), and
 applied in the map tasks.
 
-Words are runs outside ASCII white space, A-Z lower-cased. Defined results: a text without
+``score_ngrams`` is the plain form for any order: count tables of all n-grams, partitioned by hash,
+are joined to the exploded n-grams of the documents, and each document's finds meet its text
+again and are summed. It moves every n-gram twice, the bigram form above moves a bigram once.
+
+Words are runs outside ASCII white space, A-Z lower-cased. Ids are whole numbers. Defined results: a text without
 words (null, empty) has 0 words and null scores; repeated rows are scored each on its own;
 an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -341,3 +347,69 @@ def score_documents(docs: DataFrame, train: DataFrame | None = None) -> DataFram
     rest = F.log(F.greatest(F.lit(total) - (F.col("n_words") if own else F.lit(0)), F.lit(1)))
     score = F.when(F.col("n_words") > 0, F.col("v") / NANO - F.col("backed") * rest)
     return summed.select("doc_id", "n_words", score.alias("log_score"), (score / F.nullif("n_words", F.lit(0))).alias("mean_log_score"))
+
+
+def _gram_keys(words: list[bytes], order: int) -> list[list[int]]:
+    """For n from 1 to ``order`` the signed 64-bit hashes of all n-grams, by first word."""
+    digest = lambda n, i: xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), n)
+    return [[h - (1 << 64) if h >> 63 else h for h in (digest(n, i) for i in range(len(words) - n + 1))] for n in range(1, order + 1)]
+
+
+def _words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def _exploded(order: int):
+    """uid, key, n: the distinct n-grams of each text with their numbers."""
+
+    def run(batches):
+        for batch in batches:
+            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text")):
+                found = Counter(k for keys in _gram_keys(_words_of(text.as_py()), order) for k in keys)
+                if found:
+                    yield _batch(["uid", "key", "n"], [np.full(len(found), uid, np.int64), np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))])
+
+    return run
+
+
+def _backed_off(order: int, total: int, own: bool):
+    """doc_id, n_words, log_score of texts with the counts (keys, left) of their n-grams elsewhere."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text, keys, left in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "keys", "left"))):
+                words, held, score = _words_of(text), dict(zip(keys or [], left or [])), 0.0
+                rest = max(total - (len(words) if own else 0), 1)
+                grams = _gram_keys(words, order)
+                for i in range(len(words)):
+                    most = min(order, i + 1)
+                    for n in range(most, 0, -1):
+                        seen = held.get(grams[n - 1][i - n + 1], 0)
+                        if n == 1 or seen > 0:
+                            before = rest if n == 1 else max(held.get(grams[n - 2][i - n + 1], 0), UNSEEN)
+                            score += (most - n) * np.log(BACKOFF) + np.log(max(seen, UNSEEN) / before)
+                            break
+                out.append((doc_id, len(words), float(score) if words else None))
+            ids, sizes, scores = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "log_score"])
+
+    return run
+
+
+def score_ngrams(docs: DataFrame, train: DataFrame | None = None, order: int = 3) -> DataFrame:
+    """As ``score_documents``, with n-grams up to ``order``."""
+    if order < 1:
+        raise ValueError("order must be positive")
+    own = train is None
+    keyed = shared.materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts")
+    explode = lambda df: df.mapInArrow(_exploded(order), "uid long, key long, n long")
+    corpus = keyed if own else train.select(F.lit(-1).cast("long").alias("uid"), "text")
+    total = corpus.select(F.sum(F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")))).first()[0] or 0
+    counts = shared.materialize(explode(corpus.select("uid", "text")).groupBy("key").agg(F.sum("n").alias("c")), "ngram-counts")
+    left = F.col("c") - (F.col("n") if own else F.lit(0))
+    finds = explode(keyed.select("uid", "text")).join(counts, "key").select("uid", "key", left.alias("left")).where("left > 0")
+    per_text = finds.groupBy("uid").agg(F.collect_list(F.struct("key", "left")).alias("f")).select("uid", F.col("f.key").alias("keys"), F.col("f.left").alias("left"))
+    scored = keyed.join(per_text, "uid", "left").select("doc_id", "text", "keys", "left")
+    out = scored.mapInArrow(_backed_off(order, total, own), "doc_id long, n_words long, log_score double")
+    return out.withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -204,8 +205,53 @@ def test_lm_scores(spark, docs, rows, head, other, monkeypatch):
         assert g[2] == w[2] or abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2]))
 
 
+def plain_ngram_scores(texts, train, order):
+    split = lambda t: (t or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))).split()
+    grams = lambda ws: Counter(tuple(ws[i : i + n]) for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    corpus = [split(t) for t in (texts if train is None else train)]
+    counts, total = sum((grams(ws) for ws in corpus), Counter()), sum(map(len, corpus))
+    for ws in map(split, texts):
+        own = grams(ws) if train is None else Counter()
+        c = lambda g: counts[g] - own[g]
+        s = 0.0
+        for i in range(len(ws)):
+            n = most = min(order, i + 1)
+            while n > 1 and c(tuple(ws[i - n + 1 : i + 1])) <= 0:
+                n -= 1
+            below = max(total - (len(ws) if train is None else 0), 1) if n == 1 else max(c(tuple(ws[i - n + 1 : i])), 0.5)
+            s += (most - n) * math.log(0.4) + math.log(max(c(tuple(ws[i - n + 1 : i + 1])), 0.5) / below)
+        yield len(ws), s if ws else None
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+@pytest.mark.parametrize("train", [None, ["alpha beta gamma alpha beta", None, "x x x"]])
+def test_lm_any_order(spark, docs, rows, order, train):
+    table = None if train is None else spark.createDataFrame([(t,) for t in train], "text string")
+    few = [r for r in rows if len(r[1] or "") < 10_000]
+    given = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
+    got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm_score.score_ngrams(given, table, order).collect()), key=key)
+    want = sorted(((r[0], n, s) for r, (n, s) in zip(few, plain_ngram_scores([r[1] for r in few], train, order))), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2] == w[2] or abs(g[2] - w[2]) < 1e-6 * max(1, abs(w[2])) for g, w in zip(got, want))
+    if order == 2:
+        fast = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm_score.score_documents(given, table).collect()), key=key)
+        assert all(g[2] == f[2] or abs(g[2] - f[2]) < 1e-6 * max(1, abs(f[2])) for g, f in zip(got, fast))
+
+
+def test_lm_flushes_keep_words_apart(monkeypatch):
+    monkeypatch.setattr(lm_score, "FLUSH", 5)
+    texts = ["a b c", None, "d", "e f g h i j k", "", "l m"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(6))], names=["text", "uid"])
+    uid, words, hashes = [], [], []
+    for rows_, lengths, found in lm_score._flushes([batch], ["uid"]):
+        uid += rows_["uid"]
+        words += list(lengths)
+        hashes += list(found)
+    assert uid == list(range(6)) and words == [3, 0, 1, 7, 0, 2] and hashes == [xxhash.xxh64_intdigest(c.encode(), 42) for c in "abcdefghijklm"]
+
+
 def test_lm_empty(empty):
-    assert lm_score.score_documents(empty).count() == 0
+    assert lm_score.score_documents(empty).count() == lm_score.score_ngrams(empty).count() == 0
 
 
 # ---- 4 ------------------------------------------------------------------------------
