@@ -70,12 +70,17 @@ def recent_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.recent_jobs(T.jobs(spark, sf_dir)).select("id", "customer_id", "status", "created_at", F.round("size", 2).alias("size"))
 
 
+def _with_failures(jobs: DataFrame) -> DataFrame:
+    """Jobs of which every eleventh has failed."""
+    return jobs.withColumn("status", F.when(F.col("id") % 11 == 0, "failed").otherwise(F.col("status")))
+
+
 @query(
-    f"""SELECT count(*) AS total, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'process') AS processing,
-    count(*) FILTER (status = 'failed') AS failed FROM {JOBS_SQL}"""
+    f"""SELECT count(*) AS total, count(*) FILTER (status = 'done' AND id % 11 <> 0) AS done, count(*) FILTER (status = 'process' AND id % 11 <> 0) AS processing,
+    count(*) FILTER (id % 11 = 0) AS failed FROM {JOBS_SQL}"""
 )
 def job_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.job_statistics(T.jobs(spark, sf_dir))
+    return J.job_statistics(_with_failures(T.jobs(spark, sf_dir)))
 
 
 @query(f"SELECT customer_id, count(*) AS finished FROM {JOBS_SQL} WHERE status = 'done' GROUP BY 1")
@@ -260,8 +265,8 @@ def job_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT *, CASE WHEN own >= 0 THEN own WHEN fb >= 0 THEN fb END AS s FROM e)
     SELECT l_orderkey, l_linenumber, CASE WHEN s IS NULL THEN '--' ELSE concat(s // 60, '分', s % 60, '秒') END AS elapsed,
     CASE WHEN own >= 0 THEN concat(own // 60, '分', own % 60, '秒') ELSE '--' END AS elapsed_admin,
-    CASE WHEN own < 60 THEN concat(own, '秒') WHEN own < 3600 THEN concat(own // 60, '分', own % 60, '秒')
-      ELSE concat(own // 3600, '小时', (own % 3600) // 60, '分') END AS tiers FROM f WHERE st IS NOT NULL"""
+    CASE WHEN own IS NULL THEN NULL WHEN own < 60 THEN concat(own, '秒') WHEN own < 3600 THEN concat(own // 60, '分', own % 60, '秒')
+      ELSE concat(own // 3600, '小时', (own % 3600) // 60, '分') END AS tiers FROM f"""
 )
 def elapsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = T.table(spark, sf_dir, "lineitem").join(T.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -269,7 +274,7 @@ def elapsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.when(third == 1, end - F.make_dt_interval(secs=(F.col("l_partkey") % 90000).cast("decimal(18,6)"))).when(
         third == 2, end + F.expr("INTERVAL 5 SECONDS")
     )
-    lines = lines.withColumn("st", start.cast("timestamp_ntz")).where("st IS NOT NULL")
+    lines = lines.withColumn("st", start.cast("timestamp_ntz"))
     return lines.select(
         "l_orderkey",
         "l_linenumber",
@@ -348,10 +353,10 @@ def zombie_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT id, CASE WHEN status = 'done' THEN 'none' ELSE status END AS status, CASE WHEN status = 'done' THEN 0.0 ELSE 50.0 END AS process FROM {JOBS_SQL}"""
+    f"""SELECT id, CASE WHEN status = 'done' OR id % 11 = 0 THEN 'none' ELSE status END AS status, CASE WHEN status = 'done' OR id % 11 = 0 THEN 0.0 ELSE 50.0 END AS process FROM {JOBS_SQL}"""
 )
 def restarted_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.restarted(T.jobs(spark, sf_dir).withColumn("process", F.lit(50.0))).select("id", "status", "process")
+    return Q.restarted(_with_failures(T.jobs(spark, sf_dir)).withColumn("process", F.lit(50.0))).select("id", "status", "process")
 
 
 @query(

@@ -63,9 +63,12 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col("a").cast("long").alias("doc_id"), F.col("b").cast("long").alias("row"), "role", F.replace("t", F.lit("\\n"), F.lit("\n")).alias("text"))
 
 
-@query("SELECT coalesce(category, 'all') AS category, n AS files FROM (SELECT source AS category, 1 AS n FROM documents GROUP BY source UNION ALL SELECT NULL, count(DISTINCT source) FROM documents)")
+@query(
+    """WITH s AS (SELECT source, length(count(*)::VARCHAR) + 1 AS bytes FROM documents GROUP BY source)
+    SELECT source AS category, 1::BIGINT AS files, bytes::BIGINT AS bytes FROM s UNION ALL SELECT 'all', count(*), sum(bytes)::BIGINT FROM s"""
+)
 def storage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files per category directory, found by listing, with the total."""
+    """Files and bytes per category directory, found by listing, with the total."""
     path = shared_path(spark, "store")
     docs = T.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").cast("string").alias("value"))
     docs.repartition("source").write.partitionBy("source").text(path)
@@ -73,7 +76,7 @@ def storage_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace("path", r"source=([^/]*)/(.*)$", "$1/t/u/d/$2").alias("path"), "length"
     )
     report = X.storage_report(files).where("(category is null) or (tenant is null)")
-    return report.select(F.coalesce("category", F.lit("all")).alias("category"), "files")
+    return report.select(F.coalesce("category", F.lit("all")).alias("category"), "files", "bytes")
 
 
 @query(
