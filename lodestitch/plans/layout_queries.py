@@ -46,13 +46,19 @@ def font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, p_retailprice AS h FROM part), s AS (SELECT *, least((595 - 20) / w, (842 - 20) / h) AS k FROM t)
-    SELECT p_partkey, round(10 + (575 - w * k) / 2, 4) AS x0, round(10 + (822 - h * k) / 2, 4) AS y0, round(10 + (575 - w * k) / 2 + w * k, 4) AS x1,
-    round(10 + (822 - h * k) / 2 + h * k, 4) AS y1 FROM s"""
+    """WITH t AS (SELECT p_partkey, p_partkey % 4 AS m, p_size * 10.0::DOUBLE AS w, p_retailprice AS h FROM part), s AS (SELECT *, least((595 - 20) / w, (842 - 20) / h) AS k FROM t),
+    b AS (SELECT p_partkey, CASE m WHEN 0 THEN 10 + (575 - w * k) / 2 WHEN 1 THEN 10 WHEN 2 THEN (595 - w) / 2 ELSE 1 END AS x0,
+      CASE m WHEN 0 THEN 10 + (822 - h * k) / 2 WHEN 1 THEN 10 WHEN 2 THEN (842 - h) / 2 ELSE 2 END AS y0,
+      CASE m WHEN 0 THEN 10 + (575 - w * k) / 2 + w * k WHEN 1 THEN 585 WHEN 2 THEN (595 - w) / 2 + w ELSE w END AS x1,
+      CASE m WHEN 0 THEN 10 + (822 - h * k) / 2 + h * k WHEN 1 THEN 832 WHEN 2 THEN (842 - h) / 2 + h ELSE h END AS y1 FROM s)
+    SELECT p_partkey, round(x0::DOUBLE, 4) AS x0, round(y0::DOUBLE, 4) AS y0, round(x1::DOUBLE, 4) AS x1, round(y1::DOUBLE, 4) AS y1 FROM b"""
 )
 def image_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    box = L.image_box("fit", F.col("p_size") * 10.0, F.col("p_retailprice"), F.lit(595.0), F.lit(842.0), 10.0)
-    out = T.table(spark, sf_dir, "part").select("p_partkey", box.alias("b"))
+    """A quarter of the images in each mode."""
+    w, h, page = F.col("p_size") * 10.0, F.col("p_retailprice"), (F.lit(595.0), F.lit(842.0))
+    own = F.struct(F.lit(1.0).alias("x0"), F.lit(2.0).alias("y0"), w.alias("x1"), h.alias("y1"))
+    boxes = [L.image_box(mode, w, h, *page, 10.0, own) for mode in ("fit", "stretch", "center", "custom")]
+    out = T.table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*boxes), (F.col("p_partkey") % 4 + 1).cast("int")).alias("b"))
     return out.select("p_partkey", *[F.round(f"b.{c}", 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
