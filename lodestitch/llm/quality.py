@@ -12,7 +12,7 @@ their label, weighted by a power of the similarity. All that are as near as the
 nearest vote too, so ties need no order.
 
 ``FIT_ROWS`` bounds the labelled sample (and with it all that reaches the driver or is
-broadcast: 2,048 rows of 2,600 counts, and vectors of 64 numbers). It is drawn by hash of the id from labels whose
+broadcast: 2,048 rows of 2,600 half-precision numbers, and vectors of 64 numbers). It is drawn by hash of the id from labels whose
 ``crc32(doc_id) mod 4`` is not 2, copies of a text counting once. Labels are joined to
 documents for the fit alone; a score depends on the text only.
 
@@ -89,29 +89,37 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _leading_axes(rows: np.ndarray, axes: int, turns: int = 12) -> np.ndarray:
+    """The leading right singular vectors, by subspace iteration: no square matrix is formed."""
+    width = min(axes + 16, *rows.shape)
+    basis = np.random.default_rng(SEED).standard_normal((rows.shape[1], width), dtype=np.float32)
+    for _ in range(turns if width else 0):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    _, values, turned = np.linalg.svd(rows @ basis, full_matrices=False)
+    return np.ascontiguousarray((basis @ turned.T)[:, :axes][:, values[:axes] > 1e-3])
+
+
 class Model:
     """Axes, labelled vectors and labels; small by construction."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, axes: int, neighbours: int, power: int):
+    def __init__(self, logs: np.ndarray, labels: np.ndarray, axes: int, neighbours: int, power: int):
+        """``logs``: log1p of the term counts of the labelled rows."""
         self.labels, self.neighbours, self.power = labels.astype(np.float64), min(neighbours, len(labels)), power
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.idf = (np.log((1 + len(labels)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-        weighted = self._weighted(counts)
-        # right singular vectors by way of the rows' products: the sample has fewer rows than terms
-        values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
-        kept = [i for i in range(len(values) - 1, -1, -1) if values[i] > 1e-6][:axes]
-        self.axes = np.ascontiguousarray(weighted.T @ (left[:, kept] / np.sqrt(values[kept])).astype(np.float32), dtype=np.float32)
+        self.idf = (np.log((1 + len(labels)) / (1 + (logs > 0).sum(axis=0))) + 1).astype(np.float32)
+        weighted = self._weighted(logs.astype(np.float32))
+        self.axes = _leading_axes(weighted, axes)
         self.vectors = _unit(weighted @ self.axes)
 
-    def _weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts, dtype=np.float32)
-        x *= self.idf
-        for first, end, weight in KINDS:  # in place: the sample's matrix is the largest thing that a driver holds here
-            x[:, first:end] *= weight / np.maximum(np.linalg.norm(x[:, first:end], axis=1, keepdims=True), 1e-9)
-        return x
+    def _weighted(self, logs: np.ndarray) -> np.ndarray:
+        """The rows' weighted terms, in place: the sample is the largest thing that a driver holds here."""
+        logs *= self.idf
+        for first, end, weight in KINDS:
+            logs[:, first:end] *= weight / np.maximum(np.linalg.norm(logs[:, first:end], axis=1, keepdims=True), 1e-9)
+        return logs
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(self._weighted(counts) @ self.axes)
+        return _unit(self._weighted(np.log1p(counts, dtype=np.float32)) @ self.axes)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not self.neighbours:
@@ -143,20 +151,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, axes: int =
 
     def count(batches):
         for batch in batches:
-            values = np.concatenate([terms(t.as_py()) for t in batch.column("text")] or [np.zeros(0, np.float32)])
-            counts = pa.FixedSizeListArray.from_arrays(pa.array(values), N_TERMS).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), counts], names=["key", "label", "counts"])
+            logs = [np.log1p(terms(t.as_py())).astype(np.float16).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(logs, pa.binary())], names=["key", "label", "logs"])
 
     table = (
         once.orderBy(F.xxhash64(F.lit(SEED), "one.doc_id"), "text_key")
         .limit(rows)
         .select(F.xxhash64(F.lit(SEED), "one.doc_id").alias("key"), "label", "one.text")
-        .mapInArrow(count, "key long, label double, counts array<float>")
+        .mapInArrow(count, "key long, label double, logs binary")
         .toArrow()
     )
-    table = table.take(np.argsort(table["key"].to_numpy(), kind="stable"))
-    counts = np.asarray(table["counts"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, N_TERMS)
-    return Model(counts, table["label"].to_numpy(), axes, neighbours, power)
+    order = np.argsort(table["key"].to_numpy(), kind="stable")
+    logs = np.stack([np.frombuffer(table["logs"][int(i)].as_buffer(), np.float16) for i in order]) if len(order) else np.zeros((0, N_TERMS), np.float16)
+    return Model(logs, table["label"].to_numpy()[order], axes, neighbours, power)
 
 
 def _scorer(docs: DataFrame, model: Model):

@@ -396,7 +396,7 @@ def test_quality_vote_equals_plain_vote():
     texts = [" ".join(rng.choices(words[: 5 + i % 30], k=rng.randrange(1, 40))) for i in range(60)] + ["", None, "! ! !", "word1"]
     counts = np.stack([quality.terms(t) for t in [*texts, texts[3], texts[3]]])  # ties among the labelled
     labels = np.array([rng.random() < 0.5 for _ in range(len(counts))], float)
-    model = quality.Model(counts[:40], labels[:40], 8, 5, 8)
+    model = quality.Model(np.log1p(counts[:40]), labels[:40], 8, 5, 8)
     vectors, asked = model.vectors.astype(float), model.project(counts).astype(float)
     for got, x in zip(model.score(counts), asked):
         near = [float(np.dot(x, v)) for v in vectors]
