@@ -88,7 +88,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFra
     posted = spread.select(F.col("fp").alias("a"), balls(inner // 2))
     variants = spread.select(F.col("fp").alias("b"), balls(inner - inner // 2))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    hits = posted.join(variants, (posted["key"] == variants["key"]) & (F.col("a") != F.col("b")) & close)
+    # Exploded rows are many times what the planner takes them for: never broadcast them.
+    hits = posted.hint("merge").join(variants, (posted["key"] == variants["key"]) & (F.col("a") != F.col("b")) & close)
     return hits.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
