@@ -126,3 +126,55 @@ SELECT f.doc_id, f.size, f.source_size, round(f.target, 6) AS target, f.size * (
 FROM moment f JOIN moment s ON f.doc_id IS NOT DISTINCT FROM s.doc_id AND f.source_size = s.source_size AND f.middle = s.middle AND f.size = s.size
 WHERE f.p = 0 AND s.p = 1
 """
+
+
+def _merkle_field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _merkle_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_merkle_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of an ASCII text, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda a, b: "
+    "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+
+def _merkle_tree(name: str, leaves: str) -> str:
+    """All nodes of the trees over ``leaves`` (tree, pos, n, digest), and their runs of siblings."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 16, n
+), {name}_runs AS (SELECT tree, level, pos // 16 AS parent, list(digest ORDER BY pos) AS run FROM {name} WHERE n > 1 GROUP BY ALL)"""
+
+
+OP13 = f"""
+WITH RECURSIVE l0 AS (
+  SELECT doc_id, coalesce('.' || source, '') AS tree, {_merkle_leaf("text")} AS digest,
+    CASE WHEN {_CRC.format("(doc_id::VARCHAR)")} % 5 = 0 THEN {_merkle_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS seen
+  FROM documents
+), l1 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER () AS r FROM l0
+), {_merkle_tree("t", "l1")},
+tops AS (SELECT tree AS name, '' AS tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_merkle_tree("u", "tops")},
+root AS (SELECT digest AS root FROM u WHERE n = 1),
+steps AS (
+  SELECT l1.r, x.level, (l1.pos // (16 ** x.level)::BIGINT % 16) AS place, x.run FROM l1 JOIN t_runs x ON x.tree = l1.tree AND x.parent = l1.pos // (16 ** (x.level + 1))::BIGINT
+  UNION ALL
+  SELECT l1.r, 100 + x.level, (s.pos // (16 ** x.level)::BIGINT % 16), x.run
+  FROM l1 JOIN tops s ON s.name = l1.tree JOIN u_runs x ON x.parent = s.pos // (16 ** (x.level + 1))::BIGINT
+), ordered AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY level) AS step, array_to_string(run[:place], '') AS before, array_to_string(run[place + 2:], '') AS after FROM steps
+), folded AS (
+  SELECT r, 0::BIGINT AS step, coalesce(seen, digest) AS digest FROM l1
+  UNION ALL
+  SELECT f.r, f.step + 1, sha256(o.before || f.digest || o.after) FROM folded f JOIN ordered o ON o.r = f.r AND o.step = f.step + 1
+), proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof, max(step) AS last FROM ordered GROUP BY r)
+SELECT l1.doc_id, l1.digest AS leaf, s.digest AS subroot, root.root, coalesce(p.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root.root AS verified
+FROM l1 JOIN tops s ON s.name = l1.tree CROSS JOIN root LEFT JOIN proofs p ON p.r = l1.r JOIN folded f ON f.r = l1.r AND f.step = coalesce(p.last, 0)
+"""
