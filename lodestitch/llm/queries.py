@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, line_dedup, lm_score, merkle, mixing, quality, sharding, simhash, sql, url_filter, warc
+from . import ann, decontam, divergence, line_dedup, lm_score, merkle, mixing, quality, sharding, simhash, sql, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
     "op13_merkle": op13_merkle,
 }
 
@@ -88,5 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": sql.url_sql(URL_RULES),
     "op9_line_dedup": sql.OP9,
     "op10_mixing": sql.OP10,
+    "op11_divergence": sql.divergence_sql(divergence.LEAST_DOCS, divergence.TOP_TERMS),
     "op13_merkle": sql.OP13,
 }

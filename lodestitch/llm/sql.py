@@ -178,3 +178,32 @@ steps AS (
 SELECT l1.doc_id, l1.digest AS leaf, s.digest AS subroot, root.root, coalesce(p.proof, sha256('')) AS proof_sha256, f.digest AS folded_root, f.digest = root.root AS verified
 FROM l1 JOIN tops s ON s.name = l1.tree CROSS JOIN root LEFT JOIN proofs p ON p.r = l1.r JOIN folded f ON f.r = l1.r AND f.step = coalesce(p.last, 0)
 """
+
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def divergence_sql(least_docs: int, top: int) -> str:
+    share = lambda count, n: f"(1 + (1000000000::HUGEINT * (({count}) + 5)) // (({n}) + 5 * terms))"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_folded("text")}, '{_TERM}') AS ws FROM documents
+), w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+terms AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {least_docs}),
+langs AS (SELECT l.lang, count(t.term) AS terms, coalesce(sum(t.total), 0) AS lang_n FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN terms t ON t.lang = l.lang GROUP BY l.lang),
+counted AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN terms t ON t.lang = w.lang AND t.term = w.term GROUP BY ALL),
+sums AS (SELECT lang, source, sum(c) AS n FROM counted GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+shares AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.c, 0) AS c, {share("coalesce(c.c, 0)", "g.n")} AS p, {share("t.total", "l.lang_n")} AS q
+  FROM groups g JOIN langs l ON l.lang = g.lang JOIN terms t ON t.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON y.lang = x.lang AND y.term = x.term GROUP BY ALL) s
+    ON s.lang = a.lang AND s.a = a.source AND s.b = b.source
+), over AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM over)
+) WHERE part = 'pair' OR rank <= {top}
+"""
