@@ -10,7 +10,8 @@ windows of ``WINDOW`` characters that overlap by ``OVERLAP``, whatever its lengt
 Reconciliation is global in a text: finds of all its windows are put at their places, one cut by a window's
 edge is united with those of its kind that it overlaps or touches, of contradicting ones the set with the largest summed
 gain stays, and what overlaps a rule's find goes. A find must have ``LEAST_GAIN`` over "outside", stand
-free of letters and digits, and pass its kind's check (at most 255 in an address, 12 to 19 digits and Luhn, 9 to 15 digits).
+free of letters and digits, and pass its kind's check (at most 255 in an address, 12 to 19 digits and Luhn, 9 to 15 digits);
+of a chain of digits that fails, the runs of groups that pass are taken.
 
 Defined results: a null text is empty and has no spans; ties and repeated rows are judged alike, each row by
 itself; an empty table gives no rows; other columns are not read. Offsets are code points, ends exclusive. The
@@ -43,8 +44,8 @@ LEAST_GAIN = 4.0
 FIT_DOCS = 4096
 FIT_WINDOWS = 512
 FIT_LENGTH = 64
-PLANTED = 1280
-EPOCHS = 7
+PLANTED = 2048
+EPOCHS = 10
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -53,6 +54,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: What a find of the tagger must look like.
 _FORMS = (
@@ -254,6 +256,15 @@ def _free(text: str, start: int, end: int) -> bool:
     return not (start and text[start - 1] in _FREE) and not (end < len(text) and text[end] in _FREE)
 
 
+def _cards_within(part: str) -> Iterator[tuple[int, int]]:
+    """Runs of a chain's groups of digits that are cards by themselves: what stands beside them failed the whole."""
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(part)]
+    for i, (start, _) in enumerate(groups):
+        for _, end in groups[i : i + 19]:
+            if (i, end) != (0, len(part)) and end - start <= 37 and _card(part[start:end]):
+                yield start, end
+
+
 def reconcile(text: str, finds: list[tuple[int, int, int, float, bool]], base: list[Span]) -> list[Span]:
     """The spans to add, of all windows' finds (start, end, kind, gain, cut by an edge)."""
     joined: list[list] = []
@@ -268,8 +279,10 @@ def reconcile(text: str, finds: list[tuple[int, int, int, float, bool]], base: l
         s = text[start:end]
         start, end = start + len(s) - len(s.lstrip()), end - (len(s) - len(s.rstrip()))
         part = text[start:end]
-        if gain >= LEAST_GAIN and _free(text, start, end) and _FORMS[kind].fullmatch(part) and _CHECKS[kind](part):
-            good[start, end, kind] = max(gain, good.get((start, end, kind), 0.0))
+        if gain >= LEAST_GAIN and _free(text, start, end) and _FORMS[kind].fullmatch(part):
+            for s, e in [(0, len(part))] if _CHECKS[kind](part) else _cards_within(part) if kind == 2 else ():
+                share = gain * (e - s) / len(part)
+                good[start + s, start + e, kind] = max(share, good.get((start + s, start + e, kind), 0.0))
     taken: list[list[int]] = []
     for s, _, e in base:
         if taken and s < taken[-1][1]:

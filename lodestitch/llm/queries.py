@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, divergence, line_dedup, lm_score, merkle, mixing, quality, sharding, simhash, sql, url_filter, warc
+from . import ann, decontam, divergence, line_dedup, lm_score, merkle, mixing, pii, quality, sharding, simhash, sql, url_filter, warc
 
 #: The URL rules of the registered query.
 URL_RULES = [
@@ -67,6 +67,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
     "op11_divergence": op11_divergence,
+    "op12_pii": op12_pii,
     "op13_merkle": op13_merkle,
 }
 
