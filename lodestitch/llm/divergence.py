@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +56,15 @@ def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict = defaultdict(Counter)
 
     def flush() -> Iterator[pa.RecordBatch]:
+        names = ["lang", "source", "term", "n", "docs"]
         for (lang, source), terms in counts.items():
             within, keys = docs[lang, source], list(terms)
             for i in range(0, len(keys), 50_000):
                 part = keys[i : i + 50_000]
-                columns = [[lang] * len(part), [source] * len(part), [t.decode() for t in part], [terms[t] for t in part], [within[t] for t in part]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _COUNT_TYPES)], names=["lang", "source", "term", "n", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[lang], [source], [None], [0], [0]], _COUNT_TYPES)], names=["lang", "source", "term", "n", "docs"])
+                numbers = [pa.array(list(map(c.__getitem__, part)), pa.int64()) for c in (terms, within)]
+                columns = [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary()).cast(pa.string()), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lang, source, None, 0, 0), [pa.string()] * 3 + [pa.int64()] * 2)], names=names)
         counts.clear()
         docs.clear()
 
@@ -80,9 +83,6 @@ def _map_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-_COUNT_TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-
-
 def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences of a term in a group and documents that have it; a row
     with a null term for every group."""
@@ -102,24 +102,26 @@ class _Tree:
 
     def __init__(self) -> None:
         self.lang: str | None = None
-        self.sources: list[str] = []
         self.keys: list[tuple[str, int]] = []
         self.weights: list[int] = []
-        self.shares = np.empty((64, 2), np.int64)
-        self.sums: dict[tuple[str, str, str], int] = {}
+        self.shares = np.empty((64, 2), np.int64)  # of the open path: p and p0
+        self.places = np.empty(64, np.int64)  # of its sources among the language's
+        self.sources: dict[str, int] = {}
+        self.sums: dict[int, np.ndarray] = {}  # by source: its corrections with those before it
 
     def insert(self, lang: str, path: list[tuple[str, int, int, int]], times: int) -> None:
-        keys = [(source, n) for source, n, _, _ in path]
+        """Adds a transaction; the language may only change after ``close(0)`` and ``taken``."""
         common = 0
-        if lang == self.lang:
-            while common < min(len(keys), len(self.keys)) and keys[common] == self.keys[common]:
-                common += 1
+        while common < min(len(path), len(self.keys)) and path[common][:2] == self.keys[common]:
+            common += 1
         self.close(common)
         self.lang = lang
-        if len(keys) > len(self.shares):
-            self.shares = np.concatenate([self.shares[:common], np.empty((2 * len(keys), 2), np.int64)])
+        if len(path) > len(self.places):
+            more = 2 * len(path) - len(self.places)
+            self.shares, self.places = np.concatenate([self.shares, np.empty((more, 2), np.int64)]), np.concatenate([self.places, np.empty(more, np.int64)])
         for source, n, p, p0 in path[common:]:
-            self.shares[len(self.keys)] = p, p0
+            at = len(self.keys)
+            self.shares[at], self.places[at] = (p, p0), self.sources.setdefault(source, len(self.sources))
             self.keys.append((source, n))
             self.weights.append(0)
         self.weights[-1] += times
@@ -127,40 +129,59 @@ class _Tree:
     def close(self, depth: int) -> None:
         """Settles the nodes below ``depth``: once each, against every ancestor."""
         while len(self.keys) > depth:
-            at = len(self.keys) - 1
-            (source, _), weight = self.keys.pop(), self.weights.pop()
-            if at:
-                self.weights[-1] += weight
-                p, p0 = self.shares[at]
-                above, absent = self.shares[:at, 0], self.shares[:at, 1]
-                changes = np.abs(above - p) - np.abs(above - p0) - np.abs(absent - p) + np.abs(absent - p0)
-                for (other, _), change in zip(self.keys, changes.tolist()):
-                    if change:
-                        key = (self.lang, other, source)
-                        self.sums[key] = self.sums.get(key, 0) + change * weight
+            end = len(self.keys)
+            start = max(depth, end - 256)  # nodes that are settled together
+            p, p0 = self.shares[:end, 0], self.shares[:end, 1]
+            own, own0 = p[start:, None], p0[start:, None]
+            changes = np.abs(p - own) - np.abs(p - own0) - np.abs(p0 - own) + np.abs(p0 - own0)
+            for at in range(end - 1, start - 1, -1):
+                self.keys.pop()
+                weight = self.weights.pop()
+                if at:
+                    self.weights[-1] += weight
+                    row = self.sums.get(int(self.places[at]))
+                    if row is None or len(row) < len(self.sources):
+                        grown = np.zeros(max(16, 2 * len(self.sources)), np.int64)
+                        grown[: 0 if row is None else len(row)] = 0 if row is None else row
+                        row = self.sums[int(self.places[at])] = grown
+                    row[self.places[:at]] += changes[at - start, :at] * weight
+
+    def cells(self) -> int:
+        return sum(map(len, self.sums.values()))
+
+    def taken(self) -> Iterator[tuple[str, str, str, int]]:
+        """lang, a, b, value: the corrections so far, which are forgotten."""
+        names = list(self.sources)
+        for b, row in self.sums.items():
+            for a in np.nonzero(row)[0].tolist():
+                yield self.lang, names[a], names[b], int(row[a])
+        self.sums.clear()
 
 
 #: Pairs of sources that a task sums before it hands them on.
-_PAIRS_HELD = 1_000_000
+_PAIRS_HELD = 4_000_000
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, a, b, value: summed corrections of a range of sorted transactions."""
     tree = _Tree()
 
-    def flush() -> pa.RecordBatch:
-        rows = [(*key, value) for key, value in tree.sums.items()]
-        tree.sums.clear()
+    def handed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=["lang", "a", "b", "value"])
+        while part := list(islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=["lang", "a", "b", "value"])
 
     for batch in batches:
         for lang, path, times in zip(*(c.to_pylist() for c in batch.columns)):
+            if lang != tree.lang:
+                tree.close(0)
+                yield from handed(tree.taken())
+                tree = _Tree()
             tree.insert(lang, [(x["source"], x["n"], x["p"], x["p0"]) for x in path], times)
-            if len(tree.sums) > _PAIRS_HELD:
-                yield flush()
+        if tree.cells() > _PAIRS_HELD:
+            yield from handed(tree.taken())
     tree.close(0)
-    yield flush()
+    yield from handed(tree.taken())
 
 
 def corrections(kept: DataFrame) -> DataFrame:
