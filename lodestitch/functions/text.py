@@ -148,7 +148,11 @@ def pack_parts(pieces: Column, limit: int) -> Column:
     def finish(acc: Column) -> Column:
         return F.when(acc["n"] > 0, F.array_append(acc["cuts"], F.struct(acc["at"].alias("at"), acc["n"].alias("n")))).otherwise(acc["cuts"])
 
-    return F.transform(F.aggregate(pieces, start, step, finish), lambda c: F.array_join(F.slice(pieces, c["at"] + 1, c["n"]), " "))
+    # Places are looked up one by one: ``slice`` would go over all pieces for every part.
+    joined = lambda p: lambda c: F.array_join(F.transform(F.sequence(c["at"], c["at"] + c["n"] - 1), lambda i: F.get(p, i)), " ")
+    # The pieces are bound to a variable: named inside the lambda, they would be computed again for every part.
+    parts = lambda p: F.transform(F.aggregate(p, start, step, finish), joined(p))
+    return F.get(F.transform(F.array(pieces), parts), F.lit(0))
 
 
 def pack_lines(text: Column, limit: int = 1000) -> Column:

@@ -261,41 +261,69 @@ def join_spaced(parts: Column) -> Column:
     return F.aggregate(shown, F.lit(""), step)
 
 
+#: Side of the grid cells in which boxes meet.
+CELL = 64.0
+
+
+def _spread(boxes: DataFrame, bottom: str = "y1") -> DataFrame:
+    """A row (cx, cy) for each grid cell that a box covers."""
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / CELL), F.floor(F.greatest(lo, hi) / CELL))
+    return boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", bottom)))
+
+
+def _reaching(boxes: DataFrame, bottom: str, others: DataFrame, gap: float) -> DataFrame:
+    """page, id of the boxes that, with that lower edge, overlap another one by more than ``gap`` both
+    ways. Boxes meet in grid cells, so a page is not gathered anywhere."""
+    mine = _spread(boxes, bottom).select("page", "cx", "cy", "id", "x0", "y0", "x1", F.col(bottom).alias("end"))
+    posted = _spread(others).select(*[F.col(c).alias(f"o_{c}") for c in ("page", "cx", "cy", "id", "x0", "y0", "x1", "y1")])
+    same = (F.col("page") == F.col("o_page")) & (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy")) & (F.col("id") != F.col("o_id"))
+    wide = F.least("x1", "o_x1") - F.greatest("x0", "o_x0") > gap
+    high = F.least("end", "o_y1") - F.greatest("y0", "o_y0") > gap
+    return mine.join(posted, same & wide & high, "left_semi").select("page", "id").distinct()
+
+
 def fit_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
     """page, id, font, y1: fonts and lower edges of text boxes (page, id, x0, y0, x1, y1, font, source,
-    target) for their new texts. A text a fifth longer gets a smaller font (60 % at least) and, if
-    that is not enough, up to half its height more, down to the next box; where it would still
-    overlap, the box stays and the font may fall to 50 %. A text a fifth shorter gets a larger font
-    (120 % at most). A page's boxes meet in one array, as few stand on a page."""
-    page = Window.partitionBy("page")
-    seen = boxes.withColumn("all", F.collect_list(F.struct("id", "x0", "y0", "x1", "y1")).over(page))
-    others = F.filter("all", lambda b: b["id"] != F.col("id"))
-    overlaps = lambda bottom: F.exists(
-        others,
-        lambda b: (F.least(F.col("x1"), b["x1"]) - F.greatest(F.col("x0"), b["x0"]) > gap) & (F.least(bottom, b["y1"]) - F.greatest(F.col("y0"), b["y0"]) > gap),
-    )
-    r, height, size = length_ratio(F.col("source"), F.col("target")), F.col("y1") - F.col("y0"), F.col("font").cast("double")
+    target) for their new texts. A text a fifth longer gets a smaller font (60 % at least). A box that is
+    then too high for its text shrinks; one that is too low grows by half (by 0.3 where it is alone on its page) at
+    most; where that would overlap another box it keeps its height, less what is missing to a gap of 2 to
+    the box below, and the font falls to 50 % at least. If it overlaps even so, the edge stays and the font is fitted by
+    length alone. A text a fifth shorter gets a larger font (120 % at most). An empty source or target and a font
+    that would vanish change nothing. (page, id) is a key; null coordinates meet no box."""
+    size, height, r = F.col("font").cast("double"), F.col("y1") - F.col("y0"), length_ratio(F.col("source"), F.col("target"))
     whole = lambda c: F.floor(c).cast("double")
-    step = seen.withColumns({"r": r, "h": height, "chars": F.length(X.stripped(F.col("target"))), "small": F.greatest(whole(F.greatest(size * 0.6, size / r)), F.lit(1.0))})
+    longer = F.coalesce(F.col("r") > 1.2, F.lit(False))
+    pages = boxes.groupBy("page").agg((F.count("*") == 1).alias("alone"))
+    step = boxes.select("page", "id", "x0", "y0", "x1", "y1", size.alias("size"), r.alias("r"), height.alias("h"), F.length(X.stripped(F.col("target"))).alias("chars"))
+    step = step.withColumn("small", whole(F.greatest(F.col("size") * 0.6, F.col("size") / F.nullif("r", F.lit(0.0)))))
+    step = step.withColumn("small", F.when(longer & (F.col("small") > 0), F.col("small")))
     per_line = F.greatest(F.floor((F.col("x1") - F.col("x0")) / (F.col("small") * 0.6)), F.lit(1))
     step = step.withColumn("lines", F.greatest(F.floor(F.col("chars") / per_line) + 1, F.lit(1)))
-    step = step.withColumn("needed", F.col("lines") * F.col("small") * 1.2).withColumn("test", F.least("needed", F.col("h") * 1.5))
-    below = F.filter(others, lambda b: (b["y0"] > F.col("y0")) & (b["y0"] - F.col("y1") > 0))
-    safe = F.least(F.col("h"), F.lit(1e18)) + F.greatest(F.coalesce(F.array_min(F.transform(below, lambda b: b["y0"] - F.col("y1"))) - gap, F.lit(0.0)), F.lit(0.0))
-    step = step.withColumn("safe", safe).withColumn("hits", overlaps(F.col("y0") + F.col("test")))
-    safe_lines = F.greatest(F.floor(F.col("safe") / (F.col("small") * 1.2)), F.lit(1))
-    tight = F.col("hits") & (F.col("safe") < F.col("needed"))
-    longer, shorter = F.col("r") > 1.2, F.col("r") < 0.8
-    tall = F.when(F.col("needed") <= F.col("h"), F.col("needed")).when(tight, F.col("safe")).otherwise(F.col("test"))
-    tight_font = F.when(tight & (safe_lines < F.col("lines")), whole(F.greatest(size * 0.5, F.col("small") * safe_lines / F.col("lines")))).otherwise(F.col("small"))
-    new_font = F.when(longer, F.when(F.col("needed") > F.col("h"), tight_font).otherwise(F.col("small"))).when(
-        shorter, whole(F.least(size * 1.2, size / F.nullif(F.col("r"), F.lit(0.0))))
-    ).otherwise(size)
-    step = step.withColumn("new_font", F.coalesce(new_font, size)).withColumn("bottom", F.col("y0") + F.when(longer, tall).otherwise(F.col("h")))
-    still = overlaps(F.col("bottom"))
-    least_font = whole(F.greatest(size * 0.5, size / F.col("r")))
-    font = F.when(still & longer, least_font).otherwise(F.col("new_font"))
-    return step.select("page", "id", font.alias("font"), F.when(still, F.col("y1")).otherwise(F.col("bottom")).alias("y1"))
+    step = step.withColumn("needed", F.col("lines") * F.col("small") * 1.2).withColumn("low", F.coalesce(F.col("needed") > F.col("h"), F.lit(False)))
+    step = step.join(pages, step["page"].eqNullSafe(pages["page"])).drop(pages["page"])
+    step = step.withColumn("test", F.col("y0") + F.least("needed", F.col("h") * F.when(F.col("alone"), 1.3).otherwise(1.5)))
+
+    # Only a box below that is nearer than the gap takes anything off the height.
+    strip = lambda c: F.floor(F.col(c) / gap)
+    edges = boxes.select(F.col("page").alias("e_page"), F.col("y0").alias("e_y0"), strip("y0").alias("strip")).distinct()
+    near = step.where("low and not alone").select("page", "id", "y0", "y1", F.explode(F.array(strip("y1"), strip("y1") + 1)).alias("strip"))
+    close = (F.col("page") == F.col("e_page")) & (near["strip"] == edges["strip"]) & (F.col("e_y0") > F.col("y0")) & (F.col("e_y0") > F.col("y1")) & (F.col("e_y0") < F.col("y1") + gap)
+    missing = near.join(edges, close).groupBy("page", "id").agg((F.min(F.col("e_y0") - F.col("y1")) - gap).alias("missing"))
+    hits = _reaching(step.where("low and not alone"), "test", boxes, gap).withColumn("hit", F.lit(True))
+    step = step.join(missing, ["page", "id"], "left").join(hits, ["page", "id"], "left")
+
+    tight, safe = F.coalesce("hit", F.lit(False)), F.col("h") + F.coalesce("missing", F.lit(0.0))
+    safe_lines = F.greatest(F.floor(safe / (F.col("small") * 1.2)), F.lit(1))
+    less = whole(F.greatest(F.col("size") * 0.5, F.col("small") * (safe_lines / F.col("lines"))))
+    tall = F.when(~F.col("low"), F.col("needed")).when(tight, safe).otherwise(F.col("test") - F.col("y0"))
+    larger = whole(F.least(F.col("size") * 1.2, F.col("size") / F.nullif("r", F.lit(0.0))))
+    fitted = F.when(F.col("small").isNotNull(), F.when(tight & (safe_lines < F.col("lines")), less).otherwise(F.col("small"))).when((F.col("r") > 0) & (F.col("r") < 0.8), larger)
+    step = step.withColumn("new_font", F.coalesce(fitted, F.col("size"))).withColumn("bottom", F.when(F.col("small").isNotNull(), F.col("y0") + tall).otherwise(F.col("y1")))
+    still = _reaching(step.where("small IS NOT NULL and not alone"), "bottom", boxes, gap).withColumn("still", F.lit(True))
+    least_font = whole(F.greatest(F.col("size") * 0.5, F.col("size") / F.nullif("r", F.lit(0.0))))
+    step = step.join(still, ["page", "id"], "left")
+    font = F.when(F.col("still"), least_font).otherwise(F.col("new_font"))
+    return step.select("page", "id", font.alias("font"), F.when(F.col("still"), F.col("y1")).otherwise(F.col("bottom")).alias("y1"))
 
 
 def column_widths(cells: DataFrame) -> DataFrame:
@@ -309,14 +337,12 @@ def overlapping(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
 
     Boxes are posted to the grid cells they cover, so only neighbours meet; a pair is
     reported in the one cell that holds the corner of its intersection."""
-    cell = 64.0
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    posted = boxes.withColumn("cx", F.explode(cells("x0", "x1"))).withColumn("cy", F.explode(cells("y0", "y1")))
+    posted = _spread(boxes)
     a, b = posted.alias("a"), posted.alias("b")
     x0, y0 = F.greatest("a.x0", "b.x0"), F.greatest("a.y0", "b.y0")
     x1, y1 = F.least("a.x1", "b.x1"), F.least("a.y1", "b.y1")
     same = (F.col("a.page") == F.col("b.page")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
-    home = (F.floor(x0 / cell) == F.col("a.cx")) & (F.floor(y0 / cell) == F.col("a.cy"))
+    home = (F.floor(x0 / CELL) == F.col("a.cx")) & (F.floor(y0 / CELL) == F.col("a.cy"))
     return a.join(b, same & (F.col("a.id") < F.col("b.id")) & (x1 - x0 > gap) & (y1 - y0 > gap) & home).select(
         F.col("a.page").alias("page"), F.col("a.id").alias("a"), F.col("b.id").alias("b")
     )

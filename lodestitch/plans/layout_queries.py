@@ -212,7 +212,23 @@ def merge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("para_id", L.optimisation_rate(F.col("merged"), F.col("runs")).alias("rate"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT l_orderkey AS page, place AS id, (l_partkey % 500)::DOUBLE AS x0, (l_suppkey % 300)::DOUBLE AS y0, (l_partkey % 500)::DOUBLE + 120 AS x1, (l_suppkey % 300)::DOUBLE + 30 AS y1,
+      (l_linenumber + 8)::DOUBLE AS size, l_quantity::INT AS n, (l_partkey % 90)::INT AS chars, count(*) OVER (PARTITION BY l_orderkey) = 1 AS alone,
+      CASE WHEN l_quantity::INT > 0 THEN (l_partkey % 90)::DOUBLE / l_quantity::INT END AS r FROM placed),
+    s AS (SELECT *, floor(greatest(size * 0.6::DOUBLE, size / r)) AS small FROM b WHERE r > 1.2),
+    l AS (SELECT *, greatest(floor(chars / greatest(floor(120 / (small * 0.6::DOUBLE)), 1)) + 1, 1) AS lines FROM s WHERE small > 0),
+    t AS (SELECT *, lines * small * 1.2::DOUBLE AS needed, y0 + least(lines * small * 1.2::DOUBLE, 30 * CASE WHEN alone THEN 1.3 ELSE 1.5 END::DOUBLE) AS test FROM l),
+    h AS (SELECT *, NOT alone AND needed > 30 AND EXISTS (SELECT 1 FROM b o WHERE o.page = t.page AND o.id <> t.id AND least(t.x1, o.x1) - greatest(t.x0, o.x0) > 2 AND least(t.test, o.y1) - greatest(t.y0, o.y0) > 2) AS tight,
+      coalesce((SELECT min(least(30, 30 + o.y0 - t.y1 - 2)) FROM b o WHERE o.page = t.page AND o.id <> t.id AND o.y0 > t.y0 AND o.y0 > t.y1), 30) AS safe FROM t),
+    f AS (SELECT *, greatest(floor(safe / (small * 1.2::DOUBLE)), 1) AS safe_lines FROM h),
+    g AS (SELECT *, CASE WHEN tight AND safe_lines < lines THEN floor(greatest(size * 0.5::DOUBLE, small * (safe_lines / lines))) ELSE small END AS fitted,
+      CASE WHEN needed <= 30 THEN y0 + needed WHEN tight THEN y0 + safe ELSE test END AS bottom FROM f),
+    c AS (SELECT *, NOT alone AND EXISTS (SELECT 1 FROM b o WHERE o.page = g.page AND o.id <> g.id AND least(g.x1, o.x1) - greatest(g.x0, o.x0) > 2 AND least(g.bottom, o.y1) - greatest(g.y0, o.y0) > 2) AS still FROM g)
+    SELECT page, id, CASE WHEN still THEN floor(greatest(size * 0.5::DOUBLE, size / r)) ELSE fitted END AS font, CASE WHEN still THEN y1 ELSE bottom END AS y1 FROM c
+    UNION ALL SELECT page, id, CASE WHEN r > 0 AND r < 0.8 THEN floor(least(size * 1.2::DOUBLE, size / r)) ELSE size END, y1 FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.page = b.page AND l.id = b.id)"""
+    .replace("FROM placed", f"FROM {LINES_SQL}")
+)
 def box_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of an order as the text boxes of a page, their new texts longer or shorter."""
     x0, y0 = (F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 300).cast("double")

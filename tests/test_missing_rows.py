@@ -213,12 +213,24 @@ def test_fit_boxes(spark):
     got = {(r.page, r.id): (r.font, r.y1) for r in L.fit_boxes(spark.createDataFrame(alone + near, columns)).collect()}
     assert got[1, 1] == (10.0, 20.0)  # about as long
     assert got[2, 1] == (12.0, 20.0)  # shorter: a larger font
-    # three times as long: font 6, 27 to a line, three lines of 7.2 are 21.6, half more height at most
-    assert got[3, 1] == (6.0, 18.0)
+    # three times as long: font 6, 27 to a line, three lines of 7.2 are 21.6; alone on its page, 0.3 more height at most
+    assert got[3, 1] == (6.0, pytest.approx(15.6))
     # 18 would reach into the box at 14: the height that is safe is 12, where one line fits, and the font falls to its half
     assert got[4, 1] == (5.0, 12.0) and got[4, 2] == (10.0, 40.0)
 
 
+def test_fit_boxes_keeps_a_gap_and_survives_empty_texts(spark):
+    columns = "page int, id int, x0 double, y0 double, x1 double, y1 double, font int, source string, target string"
+    # the box below starts 1 lower: 12 + 1 - 2 is safe, and one line of font 5 has to do
+    near = [(1, 1, 0.0, 0.0, 100.0, 12.0, 10, "x" * 20, "y" * 60), (1, 2, 0.0, 13.0, 100.0, 40.0, 10, "z", "z")]
+    # without a box in reach, half more height at most
+    wide = [(2, 1, 0.0, 0.0, 100.0, 12.0, 10, "x" * 20, "y" * 60), (2, 2, 300.0, 0.0, 400.0, 40.0, 10, "z", "z")]
+    odd = [(3, 1, 0.0, 0.0, 100.0, 12.0, 10, "x", ""), (3, 2, 0.0, 0.0, 100.0, 12.0, 10, "", "yy"), (3, 3, 0.0, 50.0, 100.0, 62.0, 1, "x", "yyyy"), (3, 4, 0.0, 70.0, 100.0, 82.0, 10, None, "y")]
+    got = {(r.page, r.id): (r.font, r.y1) for r in L.fit_boxes(spark.createDataFrame(near + wide + odd, columns)).collect()}
+    assert got[1, 1] == (5.0, 11.0) and got[2, 1] == (6.0, 18.0)
+    assert {k: v for k, v in got.items() if k[0] == 3} == {(3, 1): (10.0, 12.0), (3, 2): (10.0, 12.0), (3, 3): (1.0, 62.0), (3, 4): (10.0, 82.0)}
+
+
 def test_report_levels(spark):
     runs = [(p, i, "" if i == 0 else "a" if i < 8 else "text", str(i % 2), i == 3) for p in range(3) for i in range(12)]
     r = L.run_report(spark.createDataFrame(runs, "para_id int, run_idx int, text string, hash string, bounded boolean")).first()

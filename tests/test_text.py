@@ -6,6 +6,8 @@ import random
 import re
 import string
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +154,17 @@ def test_labels_and_times(spark):
 def test_days_left(spark, seconds, left):
     df = spark.sql(f"select timestamp_ntz'2024-01-01 00:00:00' n, timestamp_ntz'2024-01-01 00:00:00' + interval '{seconds}' second e")
     assert df.select(times.days_left(F.col("e"), F.col("n")).alias("v")).first().v == left
+
+
+def test_packing_grows_with_the_text(spark):
+    """Eight times the sentences take less than twelve times as long."""
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"Sentence number {i} of a text goes on for a while." for i in range(n)),)], "t string")
+        began = time.time()
+        parts = df.select(X.pack_sentences(F.col("t")).alias("p")).first()["p"]
+        assert " ".join(parts) == df.first()["t"] and max(map(len, parts)) <= 1100
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(16_000) < 12 * max(seconds(2_000), 0.3)
