@@ -89,6 +89,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also fold other scripts)."""
     return F.translate(text, UPPER, LOWER)

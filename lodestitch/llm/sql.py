@@ -94,7 +94,7 @@ WITH shown AS (
 ), p AS (SELECT r, page_id, host, list_filter(list_transform(string_split(bare, chr(10)), lambda x: trim(x, ' ')), lambda x: x != '') AS lines FROM shown),
 held AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
-common AS (SELECT host, list(line) AS gone FROM held JOIN totals USING (host) WHERE n >= {line_dedup.SUPPORT} AND n > {line_dedup.RATIO} * pages GROUP BY host),
+common AS (SELECT host, list(line) AS gone FROM held JOIN totals USING (host) WHERE n > {line_dedup.RATIO} * pages GROUP BY host),
 cut AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS kept FROM p LEFT JOIN common USING (host))
 SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, array_to_string(kept, chr(10)) AS text FROM cut
 """

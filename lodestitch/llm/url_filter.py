@@ -2,8 +2,8 @@
 
 A rule is ``host/path``; it fits its host and every subdomain, for URL paths that start
 with its path, and the longest fitting rule wins. The canonical key of a rule is its host with
-its path's directory; a URL has one for each host suffix and each directory above it, so their
-number depends on the URL and not on the list. The Bloom filter of the listed keys, whose size
+its path's directory; a URL has one for each host suffix and each directory above it, down to the greatest
+depth that the list holds, so a very long URL costs no more than that. The Bloom filter of the listed keys, whose size
 has a fixed upper bound, is probed on the page's own row, before any shuffle; pages without a
 possible hit are done. The others are joined to the listed directories, which removes false
 positives, and by the lengths that a directory lists to the exact rules. A saturated filter
@@ -92,14 +92,18 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?", 1)
 
 
-def _directories(host: Column, path: Column) -> Column:
-    """Canonical keys of a URL: each host suffix with each of the path's directories, and with
-    none. As many as the URL has labels times separators, whatever the list holds."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    cuts = F.split(path, "/")
-    paths = F.transform(cuts, lambda _, i: F.concat(F.array_join(F.slice(cuts, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
+def _directories(host: Column, path: Column, labels: int, separators: int) -> Column:
+    """Canonical keys of a URL: each host suffix of at most ``labels`` labels with each of the path's
+    directories of at most ``separators`` separators, and with none. Deeper ones than the list holds cannot be
+    listed, so a very long URL costs no more than its listed depth."""
+    parts = F.split(host, r"\.")
+    own = F.least(F.size(parts), F.lit(labels))
+    hosts = lambda p: F.transform(F.sequence(F.lit(1), own), lambda i: F.array_join(F.slice(p, -i, i), "."))
+    # The last piece is what stands behind the deepest directory that counts.
+    paths = lambda c: F.transform(c, lambda _, i: F.concat(F.array_join(F.slice(c, 1, i), "/"), F.when(i > 0, "/").otherwise("")))
+    cuts = F.split(path, "/", separators + 1)
+    each = lambda hs, ps: F.flatten(F.transform(hs, lambda h: F.transform(ps, lambda p: F.concat(h, p))))
+    return shared.let(hosts(parts), lambda hs: shared.let(shared.let(cuts, paths), lambda ps: each(hs, ps)))
 
 
 def judge_urls(
@@ -121,9 +125,13 @@ def judge_urls(
     directories = shared.materialize(
         listed.groupBy("directory").agg(F.collect_set(F.length("rule") - F.length("directory")).alias("tails")), "directories"
     )
+    labels, separators = directories.agg(
+        F.max(F.size(F.split(F.regexp_extract("directory", r"(?s)^([^/]*)", 1), r"\."))), F.max(F.length("directory") - F.length(F.replace("directory", F.lit("/"))))
+    ).first()
+    keys = lambda: _directories(F.col("host"), F.col("path"), labels or 1, separators or 0)
     words = spark.sparkContext.broadcast(build_filter(directories, "directory", directories.count(), max_blocks))
     asked = pages.select(F.col(key).alias(key), shared.host_of(F.col(url)).alias("host"), shared.path_of(F.col(url)).alias("path"))
-    hashes = F.transform(_directories(F.col("host"), F.col("path")), lambda k: F.xxhash64(k))
+    hashes = F.transform(keys(), lambda k: F.xxhash64(k))
     # The filter is probed on the page's own row; only rows that may be hit are shuffled.
     hashed = asked.withColumn("hashes", hashes)
     schema = T.StructType([*asked.schema.fields, T.StructField("possible", T.ArrayType(T.IntegerType()))])
@@ -131,7 +139,7 @@ def judge_urls(
     missed = probed.where(F.size("possible") == 0).select(key, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     hit = (
         probed.where(F.size("possible") > 0)
-        .select(key, "host", "path", "row", F.explode(F.transform("possible", lambda i: F.element_at(_directories(F.col("host"), F.col("path")), i + 1))).alias("directory"))
+        .select(key, "host", "path", "row", F.explode(shared.let(keys(), lambda ks: F.transform("possible", lambda i: F.element_at(ks, i + 1)))).alias("directory"))
     )
     rest = F.regexp_extract("directory", r"(?s)^[^/]*(.*)", 1)
     sized = hit.join(shared.maybe_broadcast(directories), "directory", "left").withColumn("rest", F.substring(F.col("path"), F.length(rest) + 1, F.length("path")))

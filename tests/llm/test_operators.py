@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -227,8 +228,7 @@ def plain_ngram_scores(texts, train, order):
 @pytest.mark.parametrize("train", [None, ["alpha beta gamma alpha beta", None, "x x x"]])
 def test_lm_any_order(spark, docs, rows, order, train):
     table = None if train is None else spark.createDataFrame([(t,) for t in train], "text string")
-    few = [r for r in rows if len(r[1] or "") < 10_000]
-    given = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 10_000)
+    few, given = rows, docs
     got = sorted(((r.doc_id, r.n_words, r.log_score) for r in lm_score.score_ngrams(given, table, order).collect()), key=key)
     want = sorted(((r[0], n, s) for r, (n, s) in zip(few, plain_ngram_scores([r[1] for r in few], train, order))), key=key)
     assert [g[:2] for g in got] == [w[:2] for w in want]
@@ -457,6 +457,18 @@ def test_url_rules(spark):
 # ---- 9 ------------------------------------------------------------------------------
 
 
+def test_url_empty_and_long(spark):
+    """An empty table of pages, and URLs of 20 KB in seconds: rules deeper and shallower than them."""
+    rules = spark.createDataFrame([("a.org/x/", "block"), ("a.org/x/x/y", "allow"), ("org/", "block"), ("b.a.org/" + "x/" * 12, "allow")], "rule string, verdict string")
+    pages = spark.createDataFrame([(i, "http://" + "s." * 30 + "b.a.org/" + "x/" * n) for i, n in enumerate((10_000, 12, 11, 2, 0))], "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert time.time() - began < 30
+    assert got == {0: ("b.a.org/" + "x/" * 12, "allow"), 1: ("b.a.org/" + "x/" * 12, "allow"), 2: ("a.org/x/", "block"), 3: ("a.org/x/", "block"), 4: ("org/", "block")}
+    empty = url_filter.judge_urls(pages.limit(0), rules)
+    assert empty.columns == ["page_id", "host", "path", "rule", "verdict"] and empty.collect() == []
+
+
 def test_line_dedup(spark):
     page = lambda body: f"<html><body><nav>Home</nav><p>{body}</p><div>Foot <b>er</b></div><script>var a = '<p>';</script></body></html>"
     pages = [(i, "http://Big.org/x", page(f"text {i}<br>shared {i % 2}")) for i in range(10)]
@@ -464,7 +476,8 @@ def test_line_dedup(spark):
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("lines", F.lit(0))
     got = {r.page_id: r for r in line_dedup.drop_boilerplate(df).collect()}
     assert got[3].text == "text 3" and got[3].n_lines == 4 and got[3].n_dropped == 3 and got[3].host == "big.org"
-    assert got[20].text == "" and got[20].n_dropped == 3 and got[30].text == ""  # a host of three pages is a host and got[31].n_lines == 0 and got[None].text == "z"
+    assert got[20].text == "" and got[20].n_dropped == 3 and got[30].text == ""  # a host of three pages is a host
+    assert got[31].n_lines == 0 and got[31].text == "" and got[None].text == "z" and got[None].n_dropped == 2
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
@@ -476,6 +489,21 @@ def plain_lines(html):
     return [x.strip(" ") for x in out.split("\n") if x.strip(" ")]
 
 
+def test_line_dedup_ratio_alone(spark):
+    pages = [(i, "http://three.org/", f"<p>only {i}</p>") for i in range(3)] + [(9, "http://one.org/", "<p>a</p><p>b</p>")]
+    got = {r.page_id: (r.n_dropped, r.text) for r in line_dedup.drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {0: (1, ""), 1: (1, ""), 2: (1, ""), 9: (2, "")}
+
+
+def test_line_dedup_long_pages(spark):
+    """Two pages of 20,000 shared lines, and one long line."""
+    body = "".join(f"<p>line {i}</p>" for i in range(20_000))
+    pages = [(1, "http://a.org/", body), (2, "http://a.org/", body + "<p>own</p>"), *[(3 + i, "http://a.org/", f"<p>{'x' * 300_000}{i}</p>") for i in range(2)]]
+    began = time.time()
+    got = {r.page_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, html string"), ratio=0.4).collect()}
+    assert got[1] == "" and got[2] == "own" and len(got[3]) == 300_001 and time.time() - began < 30
+
+
 @pytest.mark.parametrize("ratio,support", [(0.3, 2), (0.1, 2), (0.1, 1), (0.5, 3)])
 def test_line_dedup_equals_brute_force(spark, ratio, support):
     rng = random.Random(4)
