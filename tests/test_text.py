@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 import re
 import string
-
 import time
 
 import pytest
