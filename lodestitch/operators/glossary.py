@@ -1,17 +1,21 @@
 """Glossary retrieval: merge term bases, score terms against texts, keep the best.
 
-Words are scored once each, however often they occur. A small base (``SMALL`` terms at most,
-checked by a count) rides along as one array; characters that words and terms share are
-counted on bit masks over the base's alphabet, and the sequence matcher sees only pairs whose
-lengths and characters allow its threshold. A larger base is reached by an equi-join on its
-words (posting lists), so no pair is formed that does not share a word. Ties go by place in
+Words are scored once each, however often they occur, and no word meets all terms: pairs are
+found by equi-joins (``similar_terms``) that lose none. What contains the other shares its rarest
+gram; what has enough characters in common shares one of the rarest ones of both (a prefix-filtered
+set join). So a base may have any size. By default a base of over ``SMALL`` terms (checked by a count) is
+searched by its exact finds and whole words only, as the surveyed system does. Whole
+texts meet all terms that they contain in one pass of an automaton (``contained_terms``). Ties go by place in
 the text, then by the base's order, which is (base, term id, source) and needs no numbering.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,14 +75,6 @@ def tier_score(word: Column, word_chars: Column, term: Column, term_chars: Colum
 LEAST_RATIO = 0.6
 
 
-def may_be_similar(word: Column, word_chars: Column, term: Column, term_chars: Column, common: Column) -> Column:
-    """False only where the sequence similarity cannot exceed the threshold: a matcher pairs at
-    most the characters of a text that the other one has too."""
-    lengths = F.length(word) + F.length(term)
-    most = F.least(F.length(word) - (word_chars - common), F.length(term) - (term_chars - common))
-    return 2 * most > LEAST_RATIO * lengths
-
-
 @F.pandas_udf(T.DoubleType())
 def fuzzy_score(word: pd.Series, term: pd.Series) -> pd.Series:
     """60 times the sequence similarity of two texts if that is over 0.6, else 0."""
@@ -118,90 +114,222 @@ def _words(segments: DataFrame) -> DataFrame:
     return spread.groupBy("doc_id", "seg_idx", "word").agg(F.min("at").alias("at"))
 
 
-def _scored(pairs: DataFrame, fuzzy: bool) -> DataFrame:
-    """``score`` of pairs with word, source, tier and, for the sequence matcher, near."""
-    sure = pairs.where("tier > 0").withColumn("score", F.col("tier"))
-    if fuzzy:
-        left = pairs.where("tier = 0 and near").withColumn("score", fuzzy_score(F.col("word"), F.lower("source")))
-        sure = sure.unionByName(left.where("score > 0"))
-    return sure.drop("tier", "near")
-
-
-def _masks(chars: Column, alphabet: list[str]) -> list[Column]:
-    """The characters of a text that are in the alphabet, as bits of as many longs as it takes."""
-    bits = lambda part: F.aggregate(
-        chars, F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.coalesce(F.get(F.array(*[F.lit(1 << i) for i in range(len(part))]), F.instr(F.lit("".join(part)), c) - 1), F.lit(0)).cast("long"))
-    )
-    return [bits(alphabet[i : i + 62]) for i in range(0, max(1, len(alphabet)), 62)]
-
-
-def _small_base(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
+def _rare_first(rows: DataFrame, key: str, tokens: Column, counts: DataFrame) -> DataFrame:
+    """``rows`` with tokens, an array, the rarest in ``counts`` (token, df) first, and n, its length."""
+    spread = rows.select(key, F.explode(tokens).alias("token")).join(F.broadcast(counts), "token", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+    sorted_ = spread.groupBy(key).agg(F.transform(order, lambda x: x["token"]).alias("tokens"))
+    return rows.join(sorted_, key).withColumn("n", F.size("tokens"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, need, reach) -> DataFrame:
+    """Pairs of rows whose token sets (tokens, in one common order, and n; all other columns of both apart) have
+    at least ``need(n, n)`` tokens in common, with ``common``; ``reach(n)`` is the least and the greatest size of a partner.
+
+    Two such sets share a token among the first ``n - need + 1`` of each. The right side is posted under
+    these with its size, the left one asks for every size in reach; a pair is taken at its first common
+    token, so it comes once, and only where the tokens behind it can still be enough."""
+    lo, hi = reach(F.col("r_n"))
+    posts = right.withColumnsRenamed({"tokens": "r_tokens", "n": "r_n"})
+    posts = posts.select("*", F.posexplode(F.slice("r_tokens", F.lit(1), F.greatest(F.col("r_n") - need(lo, F.col("r_n")) + 1, F.lit(0)))).alias("j", "token"))
+    lo, hi = reach(F.col("n"))
+    asks = left.where(lo <= hi).withColumn("m", F.explode(F.sequence(lo, hi)))
+    asks = asks.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - need(F.col("n"), F.col("m")) + 1, F.lit(0)))).alias("i", "ask"))
+    enough = need(F.col("n"), F.col("r_n"))
+    room = F.least(F.col("n") - F.col("i"), F.col("r_n") - F.col("j"))
+    met = asks.join(posts, (asks["ask"] == posts["token"]) & (asks["m"] == posts["r_n"]) & (room >= enough))
+    met = met.withColumn("both", F.array_intersect("tokens", "r_tokens")).where((F.get("both", F.lit(0)) == F.col("token")) & (F.size("both") >= enough))
+    return met.withColumn("common", F.size("both")).drop("both", "tokens", "r_tokens", "i", "j", "ask", "token", "m")
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def _own_size(text: Column) -> Column:
+    return F.least(F.length(text), F.lit(3))
+
+
+def _within(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
+    """Pairs of rows where the text of ``inner`` is part of that of ``outer``: all its grams are among the outer
+    ones, and they meet on the rarest."""
+    of = lambda c: F.when(_own_size(F.col(c)) == 3, _grams(F.col(c), 3)).when(_own_size(F.col(c)) == 2, _grams(F.col(c), 2)).when(_own_size(F.col(c)) == 1, F.array(c))
+    sizes = [F.when(F.length(outer_text) >= n, _grams(F.col(outer_text), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
+    posts = outer.select(outer_text, F.explode(F.concat(*sizes)).alias("gram")).distinct()
+    counts = posts.groupBy("gram").agg(F.count("*").alias("df"))
+    asks = inner.select(inner_text).distinct().withColumn("grams", of(inner_text))
+    asks = asks.select(inner_text, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram")
+    asks = asks.groupBy(inner_text, "n").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).where("found = n").select(inner_text, "gram")
+    pairs = asks.join(posts, "gram").where(F.contains(outer_text, inner_text)).select(inner_text, outer_text)
+    return inner.join(pairs, inner_text).join(outer, outer_text)
+
+
+def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
+    """word, place, source, target, score: every pair of a distinct word (column word, lower case) and a term
+    that scores, by the tiers of ``tier_score`` and, with ``fuzzy``, the sequence similarity."""
+    known = terms.where("source != ''").select("place", "source", "target", F.lower("source").alias("low"))
+    words = words.select("word").where("word != ''").distinct()
+    out = ["word", "place", "source", "target", "score"]
+    inside = _within(words, "word", known, "low").withColumn("score", F.when(F.col("word") == F.col("low"), 100.0).otherwise(90.0)).select(*out)
+    around = _within(known, "low", words, "word").where("word != low").withColumn("score", F.lit(85.0)).select(*out)
+    apart = ~F.contains("low", "word") & ~F.contains("word", "low")
+
+    lows = known.select("low").distinct()
+    counts = lambda tokens: lows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+    def met(tokens, need, reach) -> DataFrame:
+        df = counts(tokens(F.col("low")))
+        mine, its = _rare_first(words, "word", tokens(F.col("word")), df), _rare_first(lows, "low", tokens(F.col("low")), df)
+        return overlap_join(mine, its, need, reach).where(apart)
+
+    half = lambda a, b: F.floor(F.greatest(a, b) / 2).cast("int") + 1
+    share = met(_chars, half, lambda n: (F.floor(n / 2).cast("int") + 1, 2 * n - 1)).withColumn("score", F.col("common") / F.greatest("n", "r_n") * 70.0)
+    found = inside.unionByName(around).unionByName(share.join(known, "low").select(*out))
+    if not fuzzy:
+        return found
+    # A matcher pairs at most the characters that both have, repeats counted: over 0.3 of all.
+    least = lambda a, b: F.floor((a + b) * (LEAST_RATIO / 2)).cast("int") + 1
+    near = met(_numbered_chars, least, lambda n: (F.floor(n * 3 / 7).cast("int") + 1, F.ceil(n * 7 / 3).cast("int") - 1))
+    fewer = F.size(F.array_intersect(_chars(F.col("word")), _chars(F.col("low")))) / F.greatest(F.size(_chars(F.col("word"))), F.size(_chars(F.col("low")))) <= 0.5
+    near = near.where(fewer).withColumn("score", fuzzy_score(F.col("word"), F.col("low"))).where("score > 0")
+    return found.unionByName(near.join(known, "low").select(*out))
+
+
+def _numbered_chars(s: Column) -> Column:
+    """Characters with the number of their occurrence, so that repeats are tokens of their own."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
+def _best_of_word(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
     """Per distinct word its best terms, by score and place."""
-    chars = terms.select(F.explode(_chars(F.lower("source"))).alias("c")).distinct()
-    alphabet = sorted(r["c"] for r in chars.collect())  # of at most SMALL terms
-    low = F.lower("source")
-    row = F.struct("place", "source", "target", low.alias("low"), F.size(_chars(low)).alias("n"), F.array(*_masks(_chars(low), alphabet)).alias("masks"))
-    base = terms.agg(F.array_sort(F.collect_list(row)).alias("base"))  # one row, at most SMALL terms
-    distinct = words.select("word").distinct()
-    distinct = distinct.select("word", F.size(_chars(F.col("word"))).alias("wn"), F.array(*_masks(_chars(F.col("word")), alphabet)).alias("wm"))
-    pairs = distinct.join(F.broadcast(base), F.lit(True)).select("word", "wn", "wm", F.posexplode("base").alias("nth", "t"))
-    both = [F.bit_count(F.col("wm")[i].bitwiseAND(F.col("t.masks")[i])) for i in range(-(-max(1, len(alphabet)) // 62))]
-    common = sum(both[1:], both[0])
-    pairs = pairs.select(
-        "word", "nth", F.col("t.source").alias("source"), F.col("t.target").alias("target"),
-        _tiers(F.col("word"), F.col("t.low"), common, F.greatest("wn", "t.n")).alias("tier"),
-        may_be_similar(F.col("word"), F.col("wn"), F.col("t.low"), F.col("t.n"), common).alias("near"),
-    )
-    best = Window.partitionBy("word").orderBy(F.desc("score"), "nth")
-    return _scored(pairs, fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
-
-
-def _large_base(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
-    pairs = words.select("word").distinct().join(inverted_index(terms), "word")
-    low, mine, its = F.lower("source"), _chars(F.col("word")), _chars(F.lower("source"))
-    pairs = pairs.withColumn("tier", tier_score(F.col("word"), mine, low, its))
-    return _scored(pairs.withColumn("near", may_be_similar(F.col("word"), F.size(mine), low, F.size(its), F.size(F.array_intersect(mine, its)))), fuzzy)
+    best = Window.partitionBy("word").orderBy(F.desc("score"), "place")
+    return similar_terms(words, terms, fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
 
 
-def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
+def _sharing_words(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
+    """Scores of words and the terms that have them as a word."""
+    pairs = words.select("word").distinct().join(inverted_index(terms), "word")
+    low = F.lower("source")
+    pairs = pairs.withColumn("score", tier_score(F.col("word"), _chars(F.col("word")), low, _chars(low)))
+    sure = pairs.where("score > 0")
+    return sure.unionByName(pairs.where("score = 0").withColumn("score", fuzzy_score(F.col("word"), low)).where("score > 0")) if fuzzy else sure
+
+
+#: Bytes of term texts that one automaton may hold; more terms are dealt to several, which pass over the texts in turn.
+AUTOMATON_BYTES = 16 << 20
+
+
+def _scanned(texts: DataFrame, terms: DataFrame, find, schema: str, most_bytes: int) -> DataFrame:
+    """What ``find(automaton, row)`` yields for every row of ``texts``. The automaton holds the terms' forms
+    (term_form); its values are lists of the sources (source) of a form. It reaches the tasks as its bounded list of terms
+    and is built once for each batch of work."""
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("source") + 16), F.lit(0))).first()[0]
+    parts, out = max(1, -(-size // most_bytes)), None
+    for part in range(parts):
+        own = terms.where(F.pmod(F.xxhash64("term_form"), F.lit(parts)) == part) if parts > 1 else terms
+        forms = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in own.select("term_form", "source").collect()])
+
+        def run(batches: Iterator[pd.DataFrame], forms=forms) -> Iterator[pd.DataFrame]:
+            automaton = ahocorasick.Automaton()
+            for form, source in forms.value:
+                if form in automaton:
+                    automaton.get(form).append(source)
+                else:
+                    automaton.add_word(form, [source])
+            if not len(automaton):
+                return
+            automaton.make_automaton()
+            for batch in batches:
+                yield pd.DataFrame([x for row in batch.to_dict("records") for x in find(automaton, row)], columns=columns)
+
+        columns = [f.name for f in T._parse_datatype_string(schema)]
+        found = texts.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def contained_terms(segments: DataFrame, merged: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """doc_id, seg_idx, source, target, place and score of every term that a text contains: 100 as it
+    stands, 95 in another case. One pass over a text finds all terms, however many and long."""
+    terms = merged.where("source != ''").select(F.lower("source").alias("term_form"), "source")
+
+    def find(automaton, row: dict) -> Iterator[tuple]:
+        text = row["text"] or ""
+        low, best = text.lower(), {}
+        even = len(low) == len(text)
+        for end, sources in automaton.iter(low):
+            for source in sources:
+                if best.get(source) != 100.0:
+                    same = text[end + 1 - len(source) : end + 1] == source if even else source in text
+                    best[source] = 100.0 if same else 95.0
+        for source, score in best.items():
+            yield row["doc_id"], row["seg_idx"], source, score
+
+    kept = segments.select("doc_id", "seg_idx", "text")
+    types = [kept.schema[c].dataType.simpleString() for c in ("doc_id", "seg_idx")]
+    found = _scanned(kept, terms, find, f"doc_id {types[0]}, seg_idx {types[1]}, source string, score double", most_bytes)
+    named = merged.select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
+    return found.join(named, "source").select("doc_id", "seg_idx", "source", "target", "place", "score")
+
+
+def text_scores(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS) -> DataFrame:
+    """doc_id, seg_idx, rank, source, target, score: the best k terms of each whole text, by
+    ``text_term_score`` without its last tier: terms that it contains, then the share of a term's words that it has."""
+    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), f"[{X.SPACE}]+"), lambda w: w != ""))
+    named = merged.where("source != ''").select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target", split("source").alias("words"))
+    posts = named.select("place", "source", "target", F.size("words").alias("of"), F.explode("words").alias("word"))
+    has = segments.select("doc_id", "seg_idx", F.explode(split("text")).alias("word")).join(posts, "word")
+    shared = has.groupBy("doc_id", "seg_idx", "source", "target", "place", "of").agg((F.count("*") / F.col("of") * 70.0).alias("score")).drop("of")
+    scored = contained_terms(segments, merged).unionByName(shared).groupBy("doc_id", "seg_idx", "source", "target", "place").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("doc_id", "seg_idx").orderBy(F.desc("score"), "place")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("doc_id", "seg_idx", "rank", "source", "target", "score")
+
+
+def _exact(segments: DataFrame, terms: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """Exact finds in text order: single words, then case-blind ones, then (texts under 200
-    characters) phrases of two to five words. ``stage`` and ``at`` keep the order."""
+    characters) phrases of two to five words. ``stage`` and ``at`` keep the order. The words of a text
+    with single blanks between and around them are scanned once for terms with blanks around."""
     raw = F.regexp_extract_all(F.col("text"), F.lit(f"[{X.WORD}]+"), 0)
-    base = segments.select("doc_id", "seg_idx", raw.alias("w"), (F.length("text") < 200).alias("short"))
-    at = lambda n, i: F.struct(n.alias("n"), i.alias("i"))
-    phrases = F.when(
-        F.col("short") & (F.size("w") >= 2),
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(2), F.least(F.lit(5), F.size("w"))),
-                lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(at(n, i).alias("at"), F.array_join(F.slice("w", i, n), " ").alias("p"))),
-            )
-        ),
-    ).otherwise(F.array().cast("array<struct<at:struct<n:int,i:int>,p:string>>"))
-    singles = F.transform("w", lambda x, i: F.struct(at(F.lit(1), i).alias("at"), x.alias("p")))
-    spread = base.select("doc_id", "seg_idx", F.explode(F.concat(singles, phrases)).alias("x")).select("doc_id", "seg_idx", "x.at", "x.p")
-    found = lambda joined, stage, score: joined.select(
-        "doc_id", "seg_idx", "source", "target", "place", F.when(F.col("at.n") == 1, stage).otherwise(stage + 2).alias("stage"), "at", F.lit(score).alias("score")
-    )
-    same = found(spread.join(terms, spread["p"] == terms["source"]), 0, 100.0)
-    blind = found(spread.join(terms, F.lower("p") == F.lower("source")), 1, 95.0)
-    order = F.struct("stage", "at", "place")
-    return same.unionByName(blind).groupBy("doc_id", "seg_idx", "source", "target", "place").agg(F.min(order).alias("o"), F.max("score").alias("score"))
-
-
-def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int = SMALL) -> DataFrame:
-    """doc_id, seg_idx, rank, source, target, score: the best k terms of each segment."""
+    texts = segments.select("doc_id", "seg_idx", F.concat(F.lit(" "), F.array_join(raw, " "), F.lit(" ")).alias("text"), (F.length("text") < 200).alias("short"))
+    forms = terms.select(F.concat(F.lit(" "), F.lower("source"), F.lit(" ")).alias("term_form"), "source")
+
+    def find(automaton, row: dict) -> Iterator[tuple]:
+        text, best = row["text"], {}
+        low = text.lower()
+        blanks = np.cumsum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+        even = len(low) == len(text)
+        for end, sources in automaton.iter(low):
+            n = sources[0].count(" ") + 1
+            i = int(blanks[end]) - n - (n > 1) + 1  # singles count from 0, phrases from 1
+            if n == 1 or (row["short"] and n <= 5):
+                for source in sources:
+                    same = text[end - len(source) : end] == source if even else f" {source} " in text
+                    order = (0 if same else 1) + (2 if n > 1 else 0), i
+                    best[source] = min(best.get(source, order), order)
+        for source, (stage, i) in best.items():
+            yield row["doc_id"], row["seg_idx"], source, stage, source.count(" ") + 1, i, 95.0 if stage % 2 else 100.0
+
+    types = [texts.schema[c].dataType.simpleString() for c in ("doc_id", "seg_idx")]
+    found = _scanned(texts, forms, find, f"doc_id {types[0]}, seg_idx {types[1]}, source string, stage int, n int, i int, score double", most_bytes)
+    order = F.struct("stage", F.struct("n", "i").alias("at"), "place").alias("o")
+    return found.join(terms, "source").select("doc_id", "seg_idx", "source", "target", "place", order, "score")
+
+
+def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int | None = SMALL) -> DataFrame:
+    """doc_id, seg_idx, rank, source, target, score: the best k terms of each segment. Bases of more than
+    ``small`` terms are searched by exact finds and whole words; ``small=None`` scores every term at any size."""
     k = min(MOST_TERMS, k)
     terms = merged.select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
     words = _words(segments)
     order = lambda place: F.min(F.struct(F.lit(4).alias("stage"), F.struct(F.lit(1).alias("n"), F.col("at").alias("i")).alias("at"), place.alias("place"))).alias("o")
-    if terms.count() <= small:
-        found = words.join(_small_base(words, terms, fuzzy), "word")
+    if small is None or terms.count() <= small:
+        found = words.join(_best_of_word(words, terms, fuzzy), "word")
         scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), order(F.col("in_word")))
         exact = None
     else:
         exact = _exact(segments, terms)
-        found = words.join(_large_base(words, terms, fuzzy), "word")
+        found = words.join(_sharing_words(words, terms, fuzzy), "word")
         scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), order(F.col("place")))
         both = scored.unionByName(exact.select("doc_id", "seg_idx", "source", "target", "score", "o"))
         scored = both.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), F.min("o").alias("o"))

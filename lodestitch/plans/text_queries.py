@@ -200,6 +200,27 @@ TOPK_SQL = f"""WITH terms AS (SELECT place, source, target, lower(source) AS low
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY score DESC, o) AS rank FROM m)"""
 
 
+LARGE_SQL = """WITH base AS (SELECT w AS source, min(item_id) AS term_id, 't:' || w AS target FROM
+      (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS w FROM benchmark) GROUP BY w),
+    terms AS (SELECT source, target, row_number() OVER (ORDER BY term_id, source) AS place FROM base),
+    seg AS (SELECT conv_id AS doc_id, turn AS seg_idx, text, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM conversations),
+    phrase AS (SELECT doc_id, seg_idx, n, i, array_to_string(w[i : i + n - 1], ' ') AS p FROM
+      (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest(CASE WHEN length(text) < 200 THEN [1, 2, 3, 4, 5] ELSE [1] END) AS n FROM seg) WHERE len(w) >= n)),
+    exact AS (SELECT doc_id, seg_idx, source, target, CASE WHEN p = source THEN 100.0 ELSE 95.0 END AS score,
+        [CASE WHEN p = source THEN 0 ELSE 1 END + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] AS o FROM phrase JOIN terms ON lower(p) = lower(source)
+      UNION ALL SELECT doc_id, seg_idx, source, target, 95.0, [1 + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] FROM phrase JOIN terms ON p = source),
+    pos AS (SELECT doc_id, seg_idx, word, min(i) AS posn FROM (SELECT doc_id, seg_idx, ws[i] AS word, i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM
+      (SELECT conv_id AS doc_id, turn AS seg_idx, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS ws FROM conversations))) GROUP BY ALL),
+    post AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(source), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS word, source, target, place FROM terms),
+    scored AS (SELECT doc_id, seg_idx, source, target, CASE WHEN word = lower(source) THEN 100.0 WHEN contains(lower(source), word) THEN 90.0 ELSE 0.0 END AS score, [4, 1, posn, place] AS o
+      FROM pos JOIN post USING (word)),
+    merged AS (SELECT doc_id, seg_idx, source, target, max(score) AS score, min(o) AS o FROM (SELECT * FROM exact UNION ALL SELECT * FROM scored WHERE score > 0) GROUP BY ALL),
+    whole AS (SELECT doc_id, seg_idx, count(DISTINCT source) >= 10 AS whole FROM exact GROUP BY ALL),
+    r AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY CASE WHEN coalesce(whole, false) THEN CASE WHEN o[1] < 4 THEN 1000.0 ELSE 0.0 END ELSE score END DESC, o) AS rank
+      FROM merged m LEFT JOIN whole USING (doc_id, seg_idx))
+    SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, score::DOUBLE AS score FROM r WHERE rank <= 10"""
+
+
 @query(TOPK_SQL + " SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, round(score, 6) AS score FROM r WHERE rank <= 10")
 def glossary_topk_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tiers that need no sequence similarity."""
@@ -217,39 +238,48 @@ def glossary_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.within_budget(out, most_chars=60).withColumn("score", F.round("score", 6))
 
 
+@query(
+    f"""WITH terms AS (SELECT place, source, target, list_distinct(list_filter(string_split_regex(lower(source), '[{X.SPACE}]+'), lambda w: w <> '')) AS tw FROM {TERMS_SQL}),
+    seg AS (SELECT conv_id AS doc_id, turn AS seg_idx, text, list_distinct(list_filter(string_split_regex(lower(text), '[{X.SPACE}]+'), lambda w: w <> '')) AS sw FROM conversations),
+    sc AS (SELECT doc_id, seg_idx, place, source, target, CASE WHEN contains(text, source) THEN 100.0 WHEN contains(lower(text), lower(source)) THEN 95.0
+      ELSE len(list_intersect(sw, tw)) / len(tw)::DOUBLE * 70.0 END::DOUBLE AS score FROM seg, terms),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY score DESC, place) AS rank FROM sc WHERE score > 0)
+    SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, round(score, 6) AS score FROM r WHERE rank <= 10"""
+)
+def glossary_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts against all terms in one pass of an automaton."""
+    return G.text_scores(T.segments(spark, sf_dir), G.merge_bases(T.terms(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+@query(
+    TOPK_SQL.split("seg AS")[0].replace("FROM " + TERMS_SQL, "FROM (SELECT source, target, row_number() OVER (ORDER BY term_id, source) AS place FROM base)").replace(
+        "WITH terms", LARGE_SQL.split("terms AS")[0].rstrip().rstrip(",") + ", terms"
+    )
+    + "seg AS"
+    + TOPK_SQL.split("seg AS")[1]
+    + " SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, round(score, 6) AS score FROM r WHERE rank <= 10"
+)
+def glossary_similar_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large base by similarity of every word and term, without a product of both."""
+    return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(_word_base(spark, sf_dir)), fuzzy=False, small=None).withColumn("score", F.round("score", 6))
+
+
 @query()
 def glossary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tiers, sequence similarity included."""
     return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(T.terms(spark, sf_dir)))
 
 
-LARGE_SQL = """WITH base AS (SELECT w AS source, min(item_id) AS term_id, 't:' || w AS target FROM
-      (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS w FROM benchmark) GROUP BY w),
-    terms AS (SELECT source, target, row_number() OVER (ORDER BY term_id, source) AS place FROM base),
-    seg AS (SELECT conv_id AS doc_id, turn AS seg_idx, text, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS w FROM conversations),
-    phrase AS (SELECT doc_id, seg_idx, n, i, array_to_string(w[i : i + n - 1], ' ') AS p FROM
-      (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest(CASE WHEN length(text) < 200 THEN [1, 2, 3, 4, 5] ELSE [1] END) AS n FROM seg) WHERE len(w) >= n)),
-    exact AS (SELECT doc_id, seg_idx, source, target, CASE WHEN p = source THEN 100.0 ELSE 95.0 END AS score,
-        [CASE WHEN p = source THEN 0 ELSE 1 END + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] AS o FROM phrase JOIN terms ON lower(p) = lower(source)
-      UNION ALL SELECT doc_id, seg_idx, source, target, 95.0, [1 + CASE WHEN n > 1 THEN 2 ELSE 0 END, n, i, place] FROM phrase JOIN terms ON p = source),
-    pos AS (SELECT doc_id, seg_idx, word, min(i) AS posn FROM (SELECT doc_id, seg_idx, ws[i] AS word, i FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM
-      (SELECT conv_id AS doc_id, turn AS seg_idx, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2) AS ws FROM conversations))) GROUP BY ALL),
-    post AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(source), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 2)) AS word, source, target, place FROM terms),
-    scored AS (SELECT doc_id, seg_idx, source, target, CASE WHEN word = lower(source) THEN 100.0 WHEN contains(lower(source), word) THEN 90.0 ELSE 0.0 END AS score, [4, 1, posn, place] AS o
-      FROM pos JOIN post USING (word)),
-    merged AS (SELECT doc_id, seg_idx, source, target, max(score) AS score, min(o) AS o FROM (SELECT * FROM exact UNION ALL SELECT * FROM scored WHERE score > 0) GROUP BY ALL),
-    whole AS (SELECT doc_id, seg_idx, count(DISTINCT source) >= 10 AS whole FROM exact GROUP BY ALL),
-    r AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id, seg_idx ORDER BY CASE WHEN coalesce(whole, false) THEN CASE WHEN o[1] < 4 THEN 1000.0 ELSE 0.0 END ELSE score END DESC, o) AS rank
-      FROM merged m LEFT JOIN whole USING (doc_id, seg_idx))
-    SELECT doc_id, seg_idx, rank::INTEGER AS rank, source, target, score::DOUBLE AS score FROM r WHERE rank <= 10"""
-
-
 @query(LARGE_SQL)
 def glossary_large_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact finds and posting lists: the words of the benchmark as a base of their own."""
+    return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(_word_base(spark, sf_dir)), fuzzy=False, small=0)
+
+
+def _word_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = T.table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.tokens(F.col("text"))).alias("source"))
-    base = words.groupBy("source").agg(F.min("item_id").alias("term_id")).select(F.lit("b").alias("base"), "term_id", "source", F.concat(F.lit("t:"), "source").alias("target"))
-    return G.relevant_terms(T.segments(spark, sf_dir), G.merge_bases(base), fuzzy=False, small=0)
+    base = words.groupBy("source").agg(F.min("item_id").alias("term_id"))
+    return base.select(F.lit("b").alias("base"), "term_id", "source", F.concat(F.lit("t:"), "source").alias("target"))
 
 
 @query(
