@@ -316,7 +316,11 @@ def identity_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.assemble_txt(done.withColumn("text", F.col("translated")))
 
 
-@query()
+@query(
+    f"""SELECT conv_id AS doc_id, turn AS seg_idx, CASE WHEN need THEN array_to_string(list_reverse(string_split(text, ' ')), ' ') ELSE text END AS translated, CASE WHEN need THEN 'done' ELSE 'skipped' END AS status,
+    CASE WHEN need THEN CASE WHEN ('0x' || substr(md5(text), 1, 8))::BIGINT / 4294967295::DOUBLE < 0.3 THEN 2 ELSE 1 END END AS attempts
+    FROM (SELECT *, text <> '' AND NOT regexp_full_match(text, '{PUNCT}') AS need FROM conversations)"""
+)
 def translate_with_failover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A translator that fails at times, then another; attempts and outcome per segment."""
     done = R.translate_segments(T.segments(spark, sf_dir), [R.flaky(0.3, R.reverse_words), R.identity], retries=2)
