@@ -146,3 +146,35 @@ def stream_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "started")
     streams.admit_stream(_stream(spark, queued, "queue"), Q.MAX_RUNNING, out, shared_path(spark, "started-state")).awaitTermination()
     return spark.read.parquet(f"{out}/started").select("queue", "id")
+
+
+_CHANGES_SQL = """c AS (SELECT o_orderpriority AS queue, o_orderkey AS id, o_orderdate AS created_at, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 60 END AS pages, o_orderkey % 6 AS tick FROM orders
+      WHERE o_orderstatus = 'O' AND o_orderkey % 11 <> 0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_CHANGES_SQL}, q AS (SELECT DISTINCT queue FROM c), t AS (SELECT queue, tick::BIGINT AS tick, list(struct_pack(created_at, id, pages) ORDER BY created_at, id) AS came FROM c GROUP BY 1, 2),
+    s AS (SELECT queue, -1::BIGINT AS tick, []::STRUCT(created_at TIMESTAMP, id BIGINT, pages BIGINT)[] AS waiting, []::STRUCT(created_at TIMESTAMP, id BIGINT, pages BIGINT)[] AS running, []::STRUCT(created_at TIMESTAMP, id BIGINT, pages BIGINT)[] AS started FROM q
+      UNION ALL
+      SELECT queue, tick, ordered[k + 1:], held || ordered[:k], ordered[:k] FROM (SELECT *, coalesce(list_max(list_filter(range(1, 6), lambda n: n <= len(ordered) AND len(held) + n <= 12 AND
+          len(list_filter(range(1, n + 1), lambda m: ordered[m].pages > 25 AND len(list_filter(held || ordered[:m], lambda x: x.pages > 25)) > 2
+            OR ordered[m].pages <= 25 AND len(list_filter(held || ordered[:m], lambda x: x.pages <= 25)) > 4 - len(list_filter(held || ordered[:m], lambda x: x.pages > 25)))) = 0)), 0) AS k
+        FROM (SELECT s.queue, s.tick + 1 AS tick, list_sort(s.waiting || coalesce(t.came, [])) AS ordered, list_filter(s.running, lambda x: NOT (x.id % 2 = 0 AND x.id % 5 = s.tick % 5)) AS held
+          FROM s LEFT JOIN t ON t.queue = s.queue AND t.tick = s.tick + 1 WHERE s.tick < 5)))
+    SELECT queue, tick, unnest(started).id AS id FROM s"""
+)
+def stream_admission_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six ticks of queues with ends: five starts a tick, two classes of documents, both languages known."""
+    orders = T.table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    pages = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 60)
+    lang = F.when(F.col("o_orderkey") % 11 != 0, "en")
+    job = orders.select(F.col("o_orderpriority").alias("queue"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), pages.alias("pages"), lang.alias("lang"), F.lit("fr").alias("target_lang"))
+    path, out, checkpoint = (shared_path(spark, x) for x in ("changes", "admitted", "admitted-state"))
+    for tick in range(6):
+        queued = job.where(F.col("id") % 6 == tick).withColumn("status", F.lit("queued"))
+        # Of the jobs with even ids a fifth is told to be done at each tick, running or not.
+        done = job.where((F.col("id") % 2 == 0) & (F.col("id") % 5 == (tick - 1) % 5)).withColumn("status", F.lit("done")) if tick else queued.limit(0)
+        queued.unionByName(done).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(queued.schema).parquet(path)
+        streams.admit_stream(stream, Q.MAX_RUNNING, out, checkpoint, per_tick=Q.STARTS_PER_TICK, languages=True).awaitTermination()
+    return spark.read.parquet(f"{out}/started").select("queue", F.col("epoch").cast("long").alias("tick"), "id")

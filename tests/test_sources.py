@@ -122,7 +122,7 @@ def test_admission_stream_keeps_slots(spark, tmp_path):
     for _ in range(2):  # a second start finds nothing new
         streams.admit_stream(stream, 2, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/started").collect()) == [0, 1, 2]
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/waiting/epoch=1").collect()) == [3, 4]
+    assert sorted(r.id for r in streams.waiting_jobs(spark, f"{tmp_path}/out").collect()) == [3, 4]
 
 
 def test_without_corpus_operators(tmp_path):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestitch.operators import schedule as W
+from lodestitch.streaming import jobs
 from lodestitch.streaming import state as streams
 
 START = datetime.datetime(2024, 1, 1)
@@ -110,3 +111,46 @@ def test_attempts(spark):
     assert got["denied"] == [(10, "primary", "again"), (11, "backup", "failed")] and got["backup"][-1] == (1, "backup", "done")
     assert [x[0] for x in got["sibling"]] == [0, 3, 8]  # the attempt at 15 comes after the job has failed at 12
     assert {(r.job, r.calls, r.state) for r in W.job_outcomes(made).collect()} == {("j", 4, "done"), ("k", 3, "failed"), ("l", 1, "done"), (None, 1, "done")}
+
+
+def plain_admission(ticks, slots, per_tick):
+    waiting, running, out = {}, {}, []
+    for tick, changes in enumerate(ticks):
+        for queue, i, at, status, pages in changes:
+            if status == "queued":
+                waiting.setdefault(queue, []).append((at, i, pages))
+            else:
+                running.get(queue, {}).pop(i, None)
+        for queue in waiting:
+            held = running.setdefault(queue, {})
+            for at, i, pages in sorted(waiting[queue], key=lambda x: x[:2])[:per_tick]:
+                large, small = (sum(p is not None and (p > 25) == want for p in held.values()) for want in (True, False))
+                place = pages is None or (large < 2 if pages > 25 else small < 4 - large)
+                if len(held) >= slots or not place:
+                    break
+                held[i] = pages
+                waiting[queue].remove((at, i, pages))
+                out.append((tick, queue, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("compact", [2, 16])
+def test_admission(spark, tmp_path, monkeypatch, compact):
+    """Ends, classes and late comers, with what waits written anew every so many ticks."""
+    monkeypatch.setattr(jobs, "COMPACT", compact)
+    rng = random.Random(5)
+    ticks, known = [], []
+    for tick in range(6):
+        came = [(rng.choice("ab"), 100 * tick + i, rng.randrange(50), "queued", rng.choice([None, 3, 40])) for i in range(9)]
+        ends = [(q, i, at, rng.choice(["done", "failed"]), p) for q, i, at, _, p in rng.sample(known, len(known) // 3)]
+        known += came
+        ticks.append(came + ends)
+    schema = "queue string, id long, at int, status string, pages int"
+    for changes in ticks:
+        df = spark.createDataFrame(changes, schema).withColumn("created_at", F.timestamp_seconds("at")).drop("at")
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        jobs.admit_stream(stream, 5, f"{tmp_path}/out", f"{tmp_path}/state", per_tick=3).awaitTermination()
+    got = sorted((r.epoch, r.queue, r.id) for r in spark.read.parquet(f"{tmp_path}/out/started").collect())
+    assert got == plain_admission(ticks, 5, 3)
+    assert len(list((tmp_path / "out" / "waiting").glob("epoch=*"))) <= 2
