@@ -12,7 +12,8 @@ All sizes follow the square root of the number n of distinct vectors, without a
 are ``pivots * sqrt(n)`` pivots (``MOST_PIVOTS`` at most, which bounds the broadcast), so a
 posting list holds ``prefix / pivots * sqrt(n)`` of n vectors; ``candidates * sqrt(n)`` vectors
 are reranked for a query; and a segment holds ``SEGMENT * sqrt(n)`` vectors. So a query's work
-and its copies grow with the root of the table, not with the table.
+and its copies grow with the root of the table, not with the table. The index is copied once for each block of
+``BLOCK_ROWS`` queries, which is as many as a task can hold beside a segment.
 
 Equal vectors are one class in the index, which carries the rows of its k + 1 smallest distinct
 ids, each at most k times. A query leaves out its own id, however often that stands, so k
@@ -44,7 +45,7 @@ SEGMENT = 36.0
 #: Pivots of a vector that are kept, in order.
 PREFIX = 64
 MOST_PIVOTS = 1 << 16
-BLOCK_ROWS = 1 << 14
+BLOCK_ROWS = 1 << 17
 SEED = 7
 
 
@@ -65,7 +66,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def _prefixes(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The numbers of each vector's nearest pivots, nearest first."""
     d = (pivots**2).sum(1)[None, :] - 2 * vectors @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")[:, :prefix].astype(np.int32)
+    near = np.sort(np.argpartition(d, prefix - 1, axis=1)[:, :prefix], axis=1) if prefix < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    order = np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(near, order, axis=1).astype(np.int32)
 
 
 def _inverted(prefixes: np.ndarray, n_pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
