@@ -12,7 +12,7 @@ from lodestitch.operators import jobs as J
 from lodestitch.operators import layout as L
 from lodestitch.operators import segmenting as S
 from lodestitch.operators import translation as R
-from lodestitch.plans.text_queries import TOPK_SQL
+from lodestitch.plans.text_queries import MD_SQL, PUNCT, TOPK_SQL, _sentences
 from lodestitch.sources import files
 from lodestitch.sources import tables as T
 from lodestitch.sources.shared import shared_path
@@ -208,13 +208,12 @@ def _hints_sql(text: str) -> str:
 HINTED_SQL = """CASE WHEN turn % 3 = 0 THEN 'Domain Hint: ' || text WHEN turn % 3 = 1 THEN text || chr(10) || '  ' || chr(10) || 'heavy machinery and construction equipment' || chr(10) || 'end ♦ ' ELSE '政府の公文書' || text END"""
 
 
-@query(f"SELECT conv_id, turn, {_hints_sql(HINTED_SQL)} AS text FROM conversations WHERE NOT contains(text, chr(10))")
+@query(f"SELECT conv_id, turn, {_hints_sql(HINTED_SQL)} AS text FROM conversations")
 def hints_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that repeat the prompt's hints, without them."""
     third, t = F.col("turn") % 3, F.col("text")
     hinted = F.when(third == 0, F.concat(F.lit("Domain Hint: "), t)).when(third == 1, F.concat(t, F.lit("\n  \nheavy machinery and construction equipment\nend ♦ "))).otherwise(F.concat(F.lit("政府の公文書"), t))
-    turns = T.table(spark, sf_dir, "conversations").where(~F.contains(t, F.lit("\n")))
-    return turns.select("conv_id", "turn", X.remove_hints(hinted).alias("text"))
+    return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", X.remove_hints(hinted).alias("text"))
 
 
 @query(
@@ -229,10 +228,18 @@ def leading_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "conversations").where(t.rlike("^[A-Za-z]")).select("conv_id", "turn", X.restore_numbering(source, target).alias("text"))
 
 
-@query("SELECT doc_id, text FROM documents")
+MD_PARTS_SQL = MD_SQL.replace("WITH l", "WITH RECURSIVE l", 1) + f""", e AS (SELECT doc_id, line AS para, c AS body, type IN ('text', 'table_row') AND c <> '' AND NOT regexp_full_match(c, '{PUNCT}') AND length(c) > 1000 AS long FROM t),
+    packed_from AS (SELECT doc_id, para, {_sentences("body")} AS ss FROM e WHERE long),
+    step AS (SELECT doc_id, para, ss, 0 AS i, 0 AS part, 0 AS open_part, 0 AS size, false AS held FROM packed_from UNION ALL
+      SELECT doc_id, para, ss, i + 1, CASE WHEN size + n <= 1000 OR NOT held THEN open_part ELSE open_part + 1 END, CASE WHEN size + n <= 1000 THEN open_part ELSE open_part + 1 END,
+        CASE WHEN size + n <= 1000 THEN size + n WHEN held THEN n ELSE 0 END, size + n <= 1000 OR held FROM (SELECT *, length(ss[i + 1]) AS n FROM step WHERE i < len(ss))),
+    parts AS (SELECT doc_id, para, part, string_agg(ss[i], ' ' ORDER BY i) AS text FROM step WHERE i > 0 GROUP BY doc_id, para, part UNION ALL SELECT doc_id, para, 0, body FROM e WHERE NOT long)"""
+
+
+@query(MD_PARTS_SQL + " SELECT doc_id, string_agg(text, chr(10) ORDER BY para, part) AS text FROM parts GROUP BY doc_id")
 def markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as markdown segments, put together again."""
-    return S.assemble_md(S.md_segments(T.table(spark, sf_dir, "documents").select("doc_id", "text"), limit=1 << 30))
+    """Documents as markdown segments, long lines in parts, put together again (no document here has a code block of several lines)."""
+    return S.assemble_md(S.md_segments(T.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @query(

@@ -10,6 +10,7 @@ from lodestitch.operators import queueing as Q
 from lodestitch.operators import segmenting as S
 from lodestitch.sources import files as X
 from lodestitch.sources import tables as T
+from lodestitch.sources import xliff as XL
 from lodestitch.sources.shared import shared_path
 from lodestitch.streaming import jobs as streams
 
@@ -178,3 +179,35 @@ def stream_admission_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(queued.schema).parquet(path)
         streams.admit_stream(stream, Q.MAX_RUNNING, out, checkpoint, per_tick=Q.STARTS_PER_TICK, languages=True).awaitTermination()
     return spark.read.parquet(f"{out}/started").select("queue", F.col("epoch").cast("long").alias("tick"), "id")
+
+
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') AS t FROM conversations), s AS (SELECT *, string_split(t, ' ') AS w FROM c)
+    SELECT conv_id::VARCHAR AS doc, turn::INTEGER AS place, 'u' || turn AS id, array_to_string(w[:1], ' ') || CASE WHEN turn % 2 = 0 THEN 'i' ELSE '' END || array_to_string(w[2:], ' ') AS source,
+      array_to_string(w[:1], ' ') || CASE WHEN turn % 2 = 0 THEN 'i' ELSE '' END || '♂' || array_to_string(w[2:], ' ') || '♂' AS marked,
+      CASE WHEN turn % 2 = 0 THEN 'ph' ELSE 'g' END AS tag, 'a<b "' || turn || '" & c' AS attribute, CASE WHEN turn % 2 = 0 THEN '&lt;run1&gt;i' ELSE '<x id="1">in</x>' END AS content, 2::BIGINT AS tags,
+      CASE WHEN turn % 3 <> 0 THEN '♂' || t || '♂' END AS target FROM s"""
+)
+def xliff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as XLIFF units with two inline tags each, written and read back with tags, attributes and positions."""
+    path = shared_path(spark, "xliff")
+    even = F.col("turn") % 2 == 0
+    words = F.split("text", " ")
+    mark = F.lit(XL.PLACEHOLDER)
+    first = F.struct(
+        F.when(even, "ph").otherwise("g").alias("tag"), F.create_map(F.lit("id"), F.concat(F.lit('a<b "'), "turn", F.lit('" & c'))).alias("attributes"),
+        F.when(even, "&lt;run1&gt;i").otherwise('<x id="1">in</x>').alias("content"), F.lit(1).alias("position"),
+    )
+    second = F.struct(F.lit("x").alias("tag"), F.create_map().cast("map<string,string>").alias("attributes"), F.lit("").alias("content"), F.lit(2).alias("position"))
+    units = T.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.concat(F.lit("u"), "turn").alias("id"),
+        F.concat(F.get(words, F.lit(0)), mark, F.array_join(F.slice(words, 2, F.size(words)), " "), mark).alias("marked"), F.array(first, second).alias("tags"),
+        F.when(F.col("turn") % 3 != 0, F.concat(mark, "text", mark)).alias("target"),
+    )
+    XL.write_units(units, path)
+    read = XL.read_units(spark, path, "part-*").withColumn("doc", F.regexp_extract("path", "doc=([^/]*)/", 1))
+    tag = F.get("tags", F.lit(0))
+    # The visible sign of a native code is read as text, in front of its mark.
+    shown = F.when(tag["tag"] == "ph", F.regexp_replace("target", f"^i{XL.PLACEHOLDER}", XL.PLACEHOLDER)).otherwise(F.col("target"))
+    turn = F.substring("id", 2, 20).cast("int").alias("place")
+    return read.select("doc", turn, "id", "source", "marked", tag["tag"].alias("tag"), tag["attributes"]["id"].alias("attribute"), tag["content"].alias("content"), F.size("tags").cast("long").alias("tags"), shown.alias("target"))

@@ -309,10 +309,14 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("word").agg(F.count("*").alias("terms"), F.min("place").cast("bigint").alias("first"))
 
 
-@query("SELECT doc_id, text || chr(10) || chr(10) AS text FROM documents WHERE NOT regexp_full_match(text, '" + PUNCT + "')")
+@query(
+    _parts_sql(1000)
+    + """, blocks AS (SELECT doc_id, para, sub, string_agg(text, '' ORDER BY seg_idx) AS block, max(para) OVER (PARTITION BY doc_id) AS last FROM parts GROUP BY doc_id, para, sub)
+    SELECT doc_id, string_agg(block || CASE WHEN sub AND para = last THEN chr(10) ELSE chr(10) || chr(10) END, '' ORDER BY para) AS text FROM blocks GROUP BY doc_id"""
+)
 def identity_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents through segmentation by paragraphs, identity translation and assembly."""
-    done = R.translate_segments(S.txt_segments(_documents(spark, sf_dir), limit=1 << 30), [R.identity])
+    """Documents through segmentation, with long paragraphs in parts, identity translation and assembly."""
+    done = R.translate_segments(S.txt_segments(_documents(spark, sf_dir)), [R.identity])
     return S.assemble_txt(done.withColumn("text", F.col("translated")))
 
 
