@@ -99,6 +99,16 @@ def needs_translation(text: Column) -> Column:
     return F.coalesce((text != "") & ~is_punctuation_only(text), F.lit(False))
 
 
+def md_needs_translation(text: Column) -> Column:
+    """As ``needs_translation``; a lone line end is nothing either."""
+    return needs_translation(text) & F.coalesce(text != "\n", F.lit(False))
+
+
+def cell_needs_translation(value: Column) -> Column:
+    """Workbook values: there, and more than punctuation."""
+    return F.coalesce(~is_punctuation_only(value.cast("string")), F.lit(False))
+
+
 def cjk_chars(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"[{CJK}]"))
 
@@ -416,6 +426,23 @@ def fill_prompt(template: Column, language: Column) -> Column:
     return F.replace(template, F.lit("{target_lang}"), language)
 
 
+#: Default wordings; callers give their own where a model needs another.
+MARKDOWN_RULE = " Translate only the text of this Markdown; headings, lists, code, links and all other marks stay as they are."
+CONTEXT_RULE = " Text in square brackets is context: use it to understand the rest, but neither translate nor repeat it. Answer in {target_lang} with the translation alone."
+#: Openings of neighbours' context in a segment (fixed values).
+CONTEXT_MARKS = ("[前文:", "[后文:")
+
+
+def build_prompt(template: Column, language: Column, text: Column, markdown: Column, slots: dict[str, Column] | None = None, markdown_rule: str = MARKDOWN_RULE, context_rule: str = CONTEXT_RULE) -> Column:
+    """A template for one segment: the markdown rule behind it for markdown, the context rule where the text
+    carries its neighbours, then named slots ({name}) and the language filled in; a null slot is empty."""
+    has_context = F.contains(text, F.lit(CONTEXT_MARKS[0])) | F.contains(text, F.lit(CONTEXT_MARKS[1]))
+    out = F.concat(template, F.when(markdown, markdown_rule).otherwise(""), F.when(has_context, context_rule).otherwise(""))
+    for name, value in (slots or {}).items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return fill_prompt(out, language)
+
+
 def normal_api_url(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("v1")), url).when(F.endswith(url, F.lit("/")), F.concat(url, F.lit("v1/"))).otherwise(F.concat(url, F.lit("/v1/")))
 

@@ -250,6 +250,17 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_requests(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``requests`` (owner, url, source_lang, languages) with ``duplicate``: whether a live job of the same owner, url and source
+    language has one of their target languages (jobs: owner, url, source_lang, language). A request's languages meet the jobs as
+    rows; nulls equal nothing."""
+    keys = ["owner", "url", "source_lang"]
+    known = live(jobs).select(*keys, "language").distinct()
+    asked = requests.select(*keys, "languages").distinct()
+    hit = asked.withColumn("language", F.explode("languages")).join(known, [*keys, "language"], "left_semi").select(*keys, "languages").distinct()
+    return requests.join(hit.withColumn("duplicate", F.lit(True)), [*keys, "languages"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
 def effective_settings(settings: DataFrame, tenant_id: int) -> DataFrame:
     """Settings with the tenant's values over the global ones; blank values fall through.
     One pass over the rows: the cascade is an aggregate, not a join."""

@@ -219,6 +219,14 @@ def slide_totals(texts: DataFrame) -> DataFrame:
     return totals.withColumn("scale", slide_scale(F.col("source_chars"), F.col("target_chars")))
 
 
+def slide_scales(source: DataFrame, target: DataFrame) -> DataFrame:
+    """As ``slide_totals``, of the texts (slide_id, text) of two files; a slide that one of them lacks has 0 characters there."""
+    chars = lambda df, name: df.groupBy("slide_id").agg(F.sum(F.length(X.stripped(F.coalesce("text", F.lit(""))))).alias(name))
+    both = chars(source, "source_chars").join(chars(target, "target_chars"), "slide_id", "full")
+    both = both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("source_chars", "target_chars")})
+    return both.withColumn("scale", slide_scale(F.col("source_chars"), F.col("target_chars")))
+
+
 def distribute_near_spaces(runs: Column, target: Column) -> Column:
     """``target`` over runs: by proportion if its length changed by at most 2; else whole words,
     as many for each run, the first ones one more; with fewer words than runs, slices that end

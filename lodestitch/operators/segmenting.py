@@ -138,3 +138,12 @@ def distinct_texts(segments: DataFrame) -> DataFrame:
 def line_chunks(lines: DataFrame, size: int = 1000) -> DataFrame:
     """Lines (doc_id, line) numbered into chunks of ``size``."""
     return lines.withColumn("chunk", F.floor(F.col("line") / size))
+
+
+def sampled_cjk_ratio(paragraphs: DataFrame, cells: DataFrame) -> DataFrame:
+    """doc_id, chars, cjk and ratio of a sample of each document: its first five paragraphs (doc_id, para, text) and the first
+    three by three cells of its first two tables (doc_id, tbl, row, col, text), trimmed. 0 for no characters."""
+    head = paragraphs.where("para < 5").select("doc_id", "text").unionByName(cells.where("tbl < 2 AND row < 3 AND col < 3").select("doc_id", "text"))
+    bare = X.stripped(F.coalesce("text", F.lit("")))
+    sums = head.groupBy("doc_id").agg(F.sum(F.length(bare)).alias("chars"), F.sum(X.cjk_chars(bare)).cast("bigint").alias("cjk"))
+    return sums.withColumn("ratio", F.coalesce(F.col("cjk") / F.nullif("chars", F.lit(0)), F.lit(0.0)))

@@ -181,11 +181,12 @@ def restore_placeholders(translated: Column, tags: Column, mark: str = PLACEHOLD
     return F.concat(F.array_join(inside, ""), F.array_join(rest, ""))
 
 
-def import_glossary(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+def import_glossary(cells: DataFrame, labels: dict[tuple[int, int], str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Glossary workbooks (path, row, col, cell of a template) as (bases, terms).
 
     Row 2 holds the title, row 4 the languages, terms start in row 6, columns A and B; pairs with
-    a blank side are left out. A workbook of fewer than 6 rows raises."""
+    a blank side are left out. A workbook of fewer than 6 rows raises, as does one whose ``labels`` (by row and
+    column, from 0) are others."""
     at = lambda r, c: F.max(F.when((F.col("row") == r) & (F.col("col") == c), F.trim("cell")))
     given = lambda x, default: F.coalesce(F.nullif(x, F.lit("")), F.lit(default))
     bases = cells.groupBy("path").agg(
@@ -196,6 +197,11 @@ def import_glossary(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     short = F.when(F.col("last_row") < 5, F.raise_error(F.concat(F.lit("fewer than 6 rows: "), F.col("path"))).cast("int")).otherwise(F.col("last_row"))
     bases = bases.withColumn("last_row", short)
+    for (row, col), label in (labels or {}).items():
+        seen = cells.groupBy("path").agg(at(row, col).alias("label"))
+        wrong = F.raise_error(F.concat(F.lit(f"label {label!r} is missing in row {row + 1}: "), F.col("path"))).cast("int")
+        checked = seen.select("path", F.when(F.coalesce(F.col("label") == label, F.lit(False)), F.lit(0)).otherwise(wrong).alias("_wrong"))
+        bases = bases.join(checked, "path").withColumn("last_row", F.col("last_row") + F.col("_wrong")).drop("_wrong")
     terms = (
         cells.where("row >= 5 AND col <= 1")
         .groupBy("path", "row")
