@@ -83,7 +83,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFra
     if parts not in (1, 2, 4):
         raise ValueError("parts must be 1, 2 or 4")
     width, inner = 64 // parts, radius // parts
-    spread = nodes.select("fp").repartition("fp")  # the written table may be a few files; a row becomes many
+    # The written table may be a few files, and a row becomes many: a number of tasks that does not go by the rows' size now.
+    spread = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     balls = lambda r: F.explode(F.concat(*[_ball(F.col("fp"), p, width, r) for p in range(parts)])).alias("key")
     posted = spread.select(F.col("fp").alias("a"), balls(inner // 2))
     variants = spread.select(F.col("fp").alias("b"), balls(inner - inner // 2))

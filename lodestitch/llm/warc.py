@@ -45,6 +45,8 @@ SEGMENT_CHUNKS = 1 << 20
 HELD_CHUNKS = 64
 #: Payload bytes that an archive should hold, before compression.
 ARCHIVE_BYTES = 24 << 20
+#: Tasks that write at most; beyond so many archives each task writes several, one after the other.
+MOST_TASKS = 20_000
 REVISIT_LEAST = 1000
 #: Record date and revisit profile, so that reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
@@ -124,12 +126,16 @@ def _render(segments: DataFrame) -> DataFrame:
 def write_archives(
     pages: DataFrame, path: str, *, least: int = REVISIT_LEAST, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES
 ) -> None:
-    """Write a WARC record per page to gzip archives under ``path``."""
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    """Write a WARC record per page to gzip archives under ``path``. Their number grows with the table, that of the
+    tasks only up to ``MOST_TASKS``: a task begins a new archive after so many records as fill one on average."""
+    rows, total = pages.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()
+    archives = max(1, -(-total // archive_bytes))
+    each = -(-(rows + total // segment_bytes + 1) // archives)
     segments = _segments(plan_records(pages, least), segment_bytes)
     run = F.floor((F.col("part") - 1) / RUN)
-    dealt = segments.repartition(max(1, -(-total // archive_bytes)), "uid", run).sortWithinPartitions("page_id", "uid", "part")
-    _render(dealt).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    dealt = segments.repartition(min(archives, MOST_TASKS), "uid", run).sortWithinPartitions("page_id", "uid", "part")
+    rolled = _render(dealt).write.option("maxRecordsPerFile", each if archives > MOST_TASKS else 0)
+    rolled.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 class _Input:

@@ -257,7 +257,9 @@ def test_lm_empty(empty):
 # ---- 4 ------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most_tasks", [20_000, 3])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, most_tasks):
+    monkeypatch.setattr(warc, "MOST_TASKS", most_tasks)  # with 3, a task writes several archives
     long, crlf = "é" * 700, "a\r\n\r\nWARC/1.1\r\n" * 120
     pages = [(1, "http://a/", long), (5, "http://b/\r\nX: y", long), (3, None, long), (2, "u", "short"), (4, "u", "short"), (6, "u", None), (7, "u", "")]
     pages += [(8, "u", crlf), (9, "u", "z" * 5000), (9, "u", "z" * 5000), (None, "u", long), (10, "u", "\x1f\x8b binary"), (11, "http://a/\tb", "x")]
@@ -267,6 +269,7 @@ def test_warc_round_trip(spark, tmp_path):
     out = warc.archive_round_trip(df, path, segment_bytes=999, archive_bytes=4000)
     table = out.collect()
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in table), key=key)
+    assert len(list((tmp_path / "warc").glob("part-*"))) > 6
     assert {r.url for r in table if r.page_id == 5} == {"http://b/%0D%0AX: y"} and {r.url for r in table if r.page_id == 11} == {"http://a/%09b"}
     keeper = {}
     for i, _, h in pages:
