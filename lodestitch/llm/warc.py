@@ -37,7 +37,7 @@ from . import shared
 CRLF = "\r\n"
 SEGMENT_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 16
-#: Segments of a payload that stay together.
+#: Segments of a payload that one task writes, to one archive unless that is full.
 RUN = 16
 #: Chunk numbers of a segment start at its number, from 0, times this.
 SEGMENT_CHUNKS = 1 << 20

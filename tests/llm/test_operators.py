@@ -288,7 +288,7 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch, most_tasks):
         whole[r.record_id] = whole.get(r.record_id, b"") + bytes(r.data)
         assert len(r.data) <= 100
         if r.sha1_so_far is None:  # began in another archive
-            assert r.segmented and r.chunk_no >= warc.RUN * warc.SEGMENT_CHUNKS
+            assert r.segmented and r.chunk_no >= (warc.RUN if most_tasks > 3 else 1) * warc.SEGMENT_CHUNKS  # an archive that is full cuts a run
         else:
             assert hashlib.sha1(whole[r.record_id]).hexdigest() == r.sha1_so_far
     said = [(h or "").encode() for (i, _, h), w in zip(pages, want) if w[3] == "response"] + [b""] * sum(w[3] == "revisit" for w in want)
