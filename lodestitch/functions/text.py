@@ -390,6 +390,21 @@ def remove_hints(text: Column, patterns: tuple[str, ...] = HINTS) -> Column:
     return stripped(F.replace(out, F.lit("♦"), F.lit("")))
 
 
+#: Targets that get the Latin font, font names that it replaces, and the font.
+ENGLISH_NAMES = ("english", "en", "eng")
+FONT_NAMES = ("arial", "simsun", "simhei", "microsoft", "calibri", "verdana", "tahoma", "宋体", "黑体", "微软雅黑", "新宋体", "仿宋", "楷体")
+LATIN_FONT = "Times New Roman"
+FONT_ATTRIBUTE = r'([A-Za-z:\-]*(?:font|family|typeface)[A-Za-z\-]*=")[^"]*(")'
+
+
+def english_fonts(content: Column, language: Column) -> Column:
+    """Markup whose fonts, in attributes and by name, are the Latin one, for English targets; content with
+    private-use characters keeps its fonts, as they may be icons. (In the surveyed system attributes stay by a slip.)"""
+    named = F.regexp_replace(F.regexp_replace(content, "(?i)" + FONT_ATTRIBUTE, f"$1{LATIN_FONT}$2"), f"(?i)(?:{'|'.join(FONT_NAMES)})", LATIN_FONT)
+    english = F.coalesce(F.lower(language).isin(*ENGLISH_NAMES), F.lit(False))
+    return F.when(english & ~has_private_use(content), named).otherwise(content)
+
+
 def is_abnormal(text: Column) -> Column:
     """Empty, a unit of up to ten characters four times on end, a tenth special signs, or only
     punctuation."""

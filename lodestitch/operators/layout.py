@@ -165,8 +165,9 @@ BOUNDARIES = "field bookmark hyperlink comment revision footnote endnote break t
 
 
 def is_bounded(flags: Column) -> Column:
-    """Whether any kind of boundary is set in a map of flags (``has_`` and the kind)."""
-    return F.exists(F.map_values(flags), lambda x: F.coalesce(x, F.lit(False)))
+    """Whether any kind of boundary is set in a map of flags (``has_`` and the kind); other flags do not count."""
+    kinds = F.array(*[F.lit(f"has_{kind}") for kind in BOUNDARIES])
+    return F.exists(kinds, lambda kind: F.coalesce(F.try_element_at(flags, kind), F.lit(False)))
 
 
 def optimisation_rate(merged: Column, total: Column) -> Column:

@@ -137,3 +137,41 @@ def expired_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = files.expired_files(listed, F.current_timestamp() + F.expr("INTERVAL 48 HOURS")).groupBy(category).agg(F.count("*").alias("expired"))
     early = files.expired_files(listed, F.current_timestamp()).groupBy(category).agg(F.count("*").alias("gone"))
     return docs.select(F.col("source").alias("category"), F.col("n").alias("rows_in")).join(late, "category", "left").join(early, "category", "left_anti")
+
+
+_MARKUP = """'<w:rFonts w:font-family="Arial" size="3"/> in Simsun or 宋体 ' || CASE WHEN turn % 4 = 0 THEN chr(61700) ELSE '' END || text"""
+
+
+@query(
+    f"""WITH m AS (SELECT conv_id, turn, {_MARKUP} AS c, CASE WHEN turn % 3 = 0 THEN 'EN' WHEN turn % 3 = 1 THEN 'English' ELSE 'de' END AS lang FROM conversations)
+    SELECT conv_id, turn, CASE WHEN lang <> 'de' AND NOT regexp_matches(c, '[{X.ICONS}]') THEN
+      regexp_replace(regexp_replace(c, '(?i){X.FONT_ATTRIBUTE}', '\\1{X.LATIN_FONT}\\2', 'g'), '(?i)(?:{"|".join(X.FONT_NAMES)})', '{X.LATIN_FONT}', 'g') ELSE c END AS content FROM m"""
+)
+def fonts_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup with fonts in attributes and by name, some of it with icons, for several targets."""
+    icon = F.when(F.col("turn") % 4 == 0, chr(61700)).otherwise("")
+    content = F.concat(F.lit('<w:rFonts w:font-family="Arial" size="3"/> in Simsun or 宋体 '), icon, F.col("text"))
+    language = F.when(F.col("turn") % 3 == 0, "EN").when(F.col("turn") % 3 == 1, "English").otherwise("de")
+    return _turns(spark, sf_dir).select("conv_id", "turn", X.english_fonts(content, language).alias("content"))
+
+
+@query(
+    """SELECT l_orderkey AS para_id, count(*) AS runs, count(*) FILTER (l_linenumber % 4 = 1 OR l_linenumber % 5 = 2) AS bounded FROM lineitem GROUP BY 1"""
+)
+def bounded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with a boundary of any kind; a flag of another name is none."""
+    n = F.col("l_linenumber")
+    flags = F.map_from_arrays(F.array(F.lit("has_tab"), F.lit("has_math"), F.lit("is_bold")), F.array(n % 4 == 1, F.when(n % 5 == 2, True), n % 2 == 0))
+    return T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("para_id")).agg(F.count("*").alias("runs"), F.count_if(L.is_bounded(flags)).alias("bounded"))
+
+
+@query(
+    """SELECT p_brand AS base, 'source,target' || chr(10) || string_agg(p_name || ',' || p_type, chr(10) ORDER BY p_partkey DESC) || chr(10) AS text FROM part GROUP BY 1"""
+)
+def glossary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A csv file for each term base, written and read back."""
+    path = shared_path(spark, "glossaries")
+    terms = T.terms(spark, sf_dir)
+    files.write_glossaries(files.export_glossary(terms.select("base").distinct(), terms), path)
+    read = files.read_bytes(spark, path, "part-*")
+    return read.select(F.regexp_replace(F.regexp_extract("path", "base=([^/]*)/", 1), "%23", "#").alias("base"), F.col("content").cast("string").alias("text"))
