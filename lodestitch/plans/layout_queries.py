@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestitch.functions import text as X
 from lodestitch.operators import layout as L
 from lodestitch.sources import tables as T
 
@@ -142,12 +143,30 @@ def text_box_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.table_scale(cells, 3.7731).withColumn("scale", F.round("scale", 4))
 
 
-@query()
+_JOINED_SQL = "array_to_string(runs, '')"
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT conv_id, list(text ORDER BY turn) AS runs FROM conversations GROUP BY 1),
+    w AS (SELECT *, list_transform(runs, lambda x: length(x)) AS lens, len(runs) AS n, length(whole) AS size, list_filter(string_split_regex(whole, '[{X.SPACE}]+'), lambda x: x <> '') AS ws FROM
+      (SELECT *, CASE conv_id % 3 WHEN 0 THEN translate({_JOINED_SQL}, 'aeiou', 'AEIOU') WHEN 1 THEN {_JOINED_SQL} || ' and some more words at the end' ELSE substr({_JOINED_SQL}, 1, 7) END AS whole FROM r)),
+    t AS (SELECT *, list_sum(lens)::BIGINT AS total FROM w),
+    e AS (SELECT conv_id, 0 AS i, 0::BIGINT AS used, []::VARCHAR[] AS parts FROM t UNION ALL
+      SELECT conv_id, i + 1, used + take, parts || [substr(whole, used + 1, take)] FROM (SELECT e.*, t.whole, CASE WHEN lens[i + 1] = 0 THEN 0 WHEN i = n - 1 THEN size - used
+        ELSE least(greatest(1, floor(size * lens[i + 1] / nullif(total, 0)::DOUBLE)::BIGINT), size - used) END AS take FROM e JOIN t ON t.conv_id = e.conv_id WHERE i < n)),
+    c AS (SELECT *, list_transform(range(0, n + 1), lambda i: coalesce(list_sum(list_transform(lens[:i], lambda x: floor(size * x / nullif(total, 0)::DOUBLE)::BIGINT)), 0)::BIGINT) AS cuts FROM t)
+    SELECT c.conv_id, c.whole, e.parts, CASE WHEN n = 1 THEN [whole]
+      WHEN total > 0 AND abs(size - total) <= 2 THEN list_transform(range(0, n), lambda i: substr(whole, cuts[i + 1] + 1, CASE WHEN i = n - 1 THEN size ELSE cuts[i + 2] - cuts[i + 1] END))
+      WHEN len(ws) >= n THEN list_transform(range(0, n), lambda i: CASE WHEN i = n - 1 THEN array_to_string(ws[i + 1:], ' ') ELSE ws[i + 1] END)
+      ELSE list_transform(range(0, n), lambda i: substr(whole, i * (size // n) + 1, CASE WHEN i = n - 1 THEN size ELSE size // n END)) END AS words
+    FROM c JOIN e ON e.conv_id = c.conv_id AND e.i = c.n"""
+)
 def run_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as runs, their upper-case text spread over them again."""
+    """Turns of a conversation as runs, their text, as long as it was, longer or shorter, spread over them again."""
     runs = T.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     runs = runs.select("conv_id", F.transform("t", lambda x: x["text"]).alias("runs"))
-    whole = F.upper(F.array_join("runs", ""))
+    joined, third = F.array_join("runs", ""), F.col("conv_id") % 3
+    whole = F.when(third == 0, F.translate(joined, "aeiou", "AEIOU")).when(third == 1, F.concat(joined, F.lit(" and some more words at the end"))).otherwise(F.substring(joined, 1, 7))
     lengths = F.transform("runs", lambda x: F.length(x))
     return runs.select("conv_id", whole.alias("whole"), L.distribute_even_tail(lengths, whole).alias("parts"), L.distribute_words(F.col("runs"), whole).alias("words"))
 
