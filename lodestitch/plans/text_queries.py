@@ -293,7 +293,25 @@ def glossary_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.round("score", 6))
 
 
-@query()
+def _needed(x: str) -> str:
+    return f"{x} <> '' AND NOT regexp_full_match({x}, '{PUNCT}')"
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT doc_id, i, ls[i] AS c FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, length(c) > 1000 AS long FROM l WHERE ({_needed("c")}) OR {_strip("c")} = ''),
+    s AS (SELECT doc_id, 0::BIGINT AS k, 0 AS gid, 0::BIGINT AS size, true AS fresh FROM documents UNION ALL
+      SELECT s.doc_id, n.k, CASE WHEN long OR fresh OR size + length(c) > 1000 THEN gid + 1 ELSE gid END, CASE WHEN long THEN 0 WHEN fresh OR size + length(c) > 1000 THEN length(c) + 1 ELSE size + length(c) + 1 END, long
+      FROM s JOIN kept n ON n.doc_id = s.doc_id AND n.k = s.k + 1),
+    placed AS (SELECT kept.*, s.gid FROM kept JOIN s ON s.doc_id = kept.doc_id AND s.k = kept.k),
+    cut AS (SELECT doc_id, gid, {_sentences("c")} AS ss FROM placed WHERE long),
+    step AS (SELECT doc_id, gid, ss, 0 AS i, 0 AS part, 0 AS open_part, 0 AS size, false AS held FROM cut UNION ALL
+      SELECT doc_id, gid, ss, i + 1, CASE WHEN size + n <= 1000 OR NOT held THEN open_part ELSE open_part + 1 END, CASE WHEN size + n <= 1000 THEN open_part ELSE open_part + 1 END,
+        CASE WHEN size + n <= 1000 THEN size + n WHEN held THEN n ELSE 0 END, size + n <= 1000 OR held FROM (SELECT *, length(ss[i + 1]) AS n FROM step WHERE i < len(ss))),
+    p AS (SELECT doc_id, gid, part, string_agg(ss[i], ' ' ORDER BY i) AS t, true AS sub FROM step WHERE i > 0 GROUP BY ALL
+      UNION ALL SELECT doc_id, gid, 0, string_agg(c || chr(10), '' ORDER BY k), false FROM placed WHERE NOT long GROUP BY doc_id, gid)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY gid, part) - 1)::INTEGER AS part, CASE WHEN {_needed("t")} THEN t ELSE '' END AS text, sub FROM p"""
+)
 def line_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed line by line (the older markdown way)."""
     parts = _documents(spark, sf_dir).select("doc_id", F.posexplode(X.pack_lines(F.col("text"))).alias("part", "p"))
