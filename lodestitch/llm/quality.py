@@ -147,20 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, axes: int =
         .limit(2 * rows)  # copies of a text fall away below
     )
     texts = docs.select("doc_id", "text").join(F.broadcast(shared.materialize(chosen, "labels")), "doc_id")
-    once = texts.groupBy(F.xxhash64("text").alias("text_key")).agg(F.min(F.struct("doc_id", "text")).alias("one"), F.avg("label").alias("label"))
+    keyed = texts.select("doc_id", "label", F.xxhash64("text").alias("text_key"), "text")
 
     def count(batches):
+        """Texts become term counts of one size where they are read, and do not travel."""
         for batch in batches:
             logs = [np.log1p(terms(t.as_py())).astype(np.float16).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label"), pa.array(logs, pa.binary())], names=["key", "label", "logs"])
-
-    table = (
-        once.orderBy(F.xxhash64(F.lit(SEED), "one.doc_id"), "text_key")
-        .limit(rows)
-        .select(F.xxhash64(F.lit(SEED), "one.doc_id").alias("key"), "label", "one.text")
-        .mapInArrow(count, "key long, label double, logs binary")
-        .toArrow()
-    )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(logs, pa.binary())], names=["doc_id", "label", "text_key", "logs"])
+
+    counted = keyed.mapInArrow(count, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, label double, text_key long, logs binary")
+    once = counted.groupBy("text_key").agg(F.min(F.struct("doc_id", "logs")).alias("one"), F.avg("label").alias("label"))
+    key = F.xxhash64(F.lit(SEED), "one.doc_id").alias("key")
+    table = once.select(key, "text_key", "label", "one.logs").orderBy("key", "text_key").limit(rows).select("key", "label", "logs").toArrow()
     order = np.argsort(table["key"].to_numpy(), kind="stable")
     logs = np.stack([np.frombuffer(table["logs"][int(i)].as_buffer(), np.float16) for i in order]) if len(order) else np.zeros((0, N_TERMS), np.float16)
     return Model(logs, table["label"].to_numpy()[order], axes, neighbours, power)
