@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestitch.functions import text as X
+from lodestitch.sources.shared import shared_path
 
 SMALL = 1000
 PER_WORD = 5
@@ -114,32 +115,52 @@ def _words(segments: DataFrame) -> DataFrame:
     return spread.groupBy("doc_id", "seg_idx", "word").agg(F.min("at").alias("at"))
 
 
-def _rare_first(rows: DataFrame, key: str, tokens: Column, counts: DataFrame) -> DataFrame:
-    """``rows`` with tokens, an array, the rarest in ``counts`` (token, df) first, and n, its length."""
-    spread = rows.select(key, F.explode(tokens).alias("token")).join(F.broadcast(counts), "token", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
-    sorted_ = spread.groupBy(key).agg(F.transform(order, lambda x: x["token"]).alias("tokens"))
-    return rows.join(sorted_, key).withColumn("n", F.size("tokens"))
+#: Tokens that a mask of bits holds, and masks of a row; a base with more distinct tokens compares arrays.
+MASK_BITS, MOST_MASKS = 62, 4
 
 
-def overlap_join(left: DataFrame, right: DataFrame, need, reach) -> DataFrame:
-    """Pairs of rows whose token sets (tokens, in one common order, and n; all other columns of both apart) have
-    at least ``need(n, n)`` tokens in common, with ``common``; ``reach(n)`` is the least and the greatest size of a partner.
+def _ranks(tokens: DataFrame) -> DataFrame:
+    """token, rank: the rarest of ``tokens`` (token) first. Their number is that of characters in use, not of rows."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).collect()
+    ordered = [(r["token"], i) for i, r in enumerate(sorted(counts, key=lambda r: (r["df"], r["token"])))]
+    return tokens.sparkSession.createDataFrame(ordered, "token string, rank int")
+
+
+def _rare_first(rows: DataFrame, key: str, tokens: Column, ranks: DataFrame, masks: int) -> DataFrame:
+    """``rows`` (key) with tokens, the ranks of their tokens in order and -1 for unknown ones in front, n, their number,
+    and ``masks`` columns of bits by rank."""
+    spread = rows.select(key, F.explode(tokens).alias("token")).join(F.broadcast(ranks), "token", "left")
+    out = spread.groupBy(key).agg(F.array_sort(F.collect_list(F.coalesce("rank", F.lit(-1)))).alias("tokens")).withColumn("n", F.size("tokens"))
+    bits = lambda k: f"aggregate(tokens, 0L, (m, t) -> m | CASE WHEN t BETWEEN {k * MASK_BITS} AND {(k + 1) * MASK_BITS - 1} THEN shiftleft(1L, t - {k * MASK_BITS}) ELSE 0L END)"
+    return out.withColumns({f"m{k}": F.expr(bits(k)) for k in range(masks)})
+
+
+def overlap_join(left: DataFrame, right: DataFrame, need, reach, masks: int) -> DataFrame:
+    """Pairs of rows of ``_rare_first`` whose token sets have at least ``need(n, n)`` tokens in common, with
+    ``common``; ``reach(n)`` is the least and the greatest size of a partner.
 
     Two such sets share a token among the first ``n - need + 1`` of each. The right side is posted under
-    these with its size, the left one asks for every size in reach; a pair is taken at its first common
+    these with its size, the left one asks for every size in reach; a pair is taken at its rarest common
     token, so it comes once, and only where the tokens behind it can still be enough."""
     lo, hi = reach(F.col("r_n"))
-    posts = right.withColumnsRenamed({"tokens": "r_tokens", "n": "r_n"})
+    posts = right.withColumnsRenamed({"tokens": "r_tokens", "n": "r_n", **{f"m{k}": f"r_m{k}" for k in range(masks)}})
     posts = posts.select("*", F.posexplode(F.slice("r_tokens", F.lit(1), F.greatest(F.col("r_n") - need(lo, F.col("r_n")) + 1, F.lit(0)))).alias("j", "token"))
+    below = lambda k: f"CASE WHEN token >= {(k + 1) * MASK_BITS} THEN {(1 << MASK_BITS) - 1}L WHEN token < {k * MASK_BITS} THEN 0L ELSE shiftleft(1L, token - {k * MASK_BITS}) - 1L END"
+    posts = posts.withColumns({f"below{k}": F.expr(below(k)) for k in range(masks)})
     lo, hi = reach(F.col("n"))
     asks = left.where(lo <= hi).withColumn("m", F.explode(F.sequence(lo, hi)))
-    asks = asks.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - need(F.col("n"), F.col("m")) + 1, F.lit(0)))).alias("i", "ask"))
+    asks = asks.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - need(F.col("n"), F.col("m")) + 1, F.lit(0)))).alias("i", "ask")).where("ask >= 0")
     enough = need(F.col("n"), F.col("r_n"))
-    room = F.least(F.col("n") - F.col("i"), F.col("r_n") - F.col("j"))
-    met = asks.join(posts, (asks["ask"] == posts["token"]) & (asks["m"] == posts["r_n"]) & (room >= enough))
-    met = met.withColumn("both", F.array_intersect("tokens", "r_tokens")).where((F.get("both", F.lit(0)) == F.col("token")) & (F.size("both") >= enough))
-    return met.withColumn("common", F.size("both")).drop("both", "tokens", "r_tokens", "i", "j", "ask", "token", "m")
+    met = (F.col("ask") == F.col("token")) & (F.col("m") == F.col("r_n")) & (F.least(F.col("n") - F.col("i"), F.col("r_n") - F.col("j")) >= enough)
+    helpers = ["tokens", "r_tokens", "i", "j", "ask", "token", "m", *[f"{x}{k}" for x in ("m", "r_m", "below") for k in range(masks)]]
+    if masks:
+        both = [F.col(f"m{k}").bitwiseAND(F.col(f"r_m{k}")) for k in range(masks)]
+        common = sum((F.bit_count(x) for x in both[1:]), F.bit_count(both[0]))
+        for k, x in enumerate(both):
+            met = met & (x.bitwiseAND(F.col(f"below{k}")) == 0)
+        return asks.drop("tokens").join(posts.drop("r_tokens"), met & (common >= enough)).withColumn("common", common.cast("int")).drop(*helpers)
+    pairs = asks.join(posts, met).withColumn("both", F.array_intersect("tokens", "r_tokens"))
+    return pairs.where((F.get("both", F.lit(0)) == F.col("token")) & (F.size("both") >= enough)).withColumn("common", F.size("both")).drop("both", *helpers)
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -165,22 +186,23 @@ def _within(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str
 
 
 def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
-    """word, place, source, target, score: every pair of a distinct word (column word, lower case) and a term
+    """word, place, source, target, score: every pair of a word (column word, distinct, lower case) and a term
     that scores, by the tiers of ``tier_score`` and, with ``fuzzy``, the sequence similarity."""
     known = terms.where("source != ''").select("place", "source", "target", F.lower("source").alias("low"))
-    words = words.select("word").where("word != ''").distinct()
+    words = words.select("word").where("word != ''")
     out = ["word", "place", "source", "target", "score"]
     inside = _within(words, "word", known, "low").withColumn("score", F.when(F.col("word") == F.col("low"), 100.0).otherwise(90.0)).select(*out)
     around = _within(known, "low", words, "word").where("word != low").withColumn("score", F.lit(85.0)).select(*out)
     apart = ~F.contains("low", "word") & ~F.contains("word", "low")
 
     lows = known.select("low").distinct()
-    counts = lambda tokens: lows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
     def met(tokens, need, reach) -> DataFrame:
-        df = counts(tokens(F.col("low")))
-        mine, its = _rare_first(words, "word", tokens(F.col("word")), df), _rare_first(lows, "low", tokens(F.col("low")), df)
-        return overlap_join(mine, its, need, reach).where(apart)
+        ranks = _ranks(lows.select(F.explode(tokens(F.col("low"))).alias("token")))
+        masks = -(-max(1, ranks.count()) // MASK_BITS)
+        masks = masks if masks <= MOST_MASKS else 0
+        mine, its = _rare_first(words, "word", tokens(F.col("word")), ranks, masks), _rare_first(lows, "low", tokens(F.col("low")), ranks, masks)
+        return overlap_join(mine, its, need, reach, masks).where(apart)
 
     half = lambda a, b: F.floor(F.greatest(a, b) / 2).cast("int") + 1
     share = met(_chars, half, lambda n: (F.floor(n / 2).cast("int") + 1, 2 * n - 1)).withColumn("score", F.col("common") / F.greatest("n", "r_n") * 70.0)
@@ -201,10 +223,18 @@ def _numbered_chars(s: Column) -> Column:
     return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several joins read is computed once."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _best_of_word(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
     """Per distinct word its best terms, by score and place."""
     best = Window.partitionBy("word").orderBy(F.desc("score"), "place")
-    return similar_terms(words, terms, fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
+    distinct = _written(words.select("word").distinct(), "words")
+    return similar_terms(distinct, _written(terms, "terms"), fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
 
 
 def _sharing_words(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
