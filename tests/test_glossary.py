@@ -18,8 +18,10 @@ def terms_of(spark, sources):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("fuzzy", [True, False])
-def test_similar_terms_are_those_of_a_product(spark, seed, fuzzy):
+@pytest.mark.parametrize(("fuzzy", "masks"), [(True, 4), (False, 4), (True, 0)])
+def test_similar_terms_are_those_of_a_product(spark, monkeypatch, seed, fuzzy, masks):
+    """With masks of bits, and with arrays as for large alphabets."""
+    monkeypatch.setattr(G, "MOST_MASKS", masks)
     rng = random.Random(seed)
     letters = ["abc", "abcdefgh", "aä工é b-"][seed - 1]
     word = lambda most: "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
