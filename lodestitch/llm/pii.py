@@ -158,8 +158,10 @@ def labelled_windows(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_windows: int
     texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
     share = min(1.0, fit_docs / max(1, docs.count()))
     chosen = texts.where(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    cut = chosen.mapInArrow(_sampled, "found boolean, window string, tags binary, h long").dropDuplicates(["window"])
-    first = lambda found: [(r["window"], np.frombuffer(bytes(r["tags"]), np.int8)) for r in cut.where(F.col("found") == found).orderBy("h", "window").limit(fit_windows).collect()]
+    cut = chosen.mapInArrow(_sampled, "found boolean, window string, tags binary, h long")
+    # The least of equal windows, so that the sample does not depend on arrival.
+    once = cut.groupBy("found", "window").agg(F.min(F.struct("h", "tags")).alias("x")).select("found", "window", "x.h", "x.tags")
+    first = lambda found: [(r["window"], np.frombuffer(bytes(r["tags"]), np.int8)) for r in once.where(F.col("found") == found).orderBy("h", "window").limit(fit_windows).collect()]
     return first(True), first(False)
 
 
