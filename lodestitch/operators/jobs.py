@@ -241,8 +241,8 @@ def latest_per_key(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def valid_code(codes: DataFrame, now: str, minutes: int = 10) -> DataFrame:
-    """The newest code of each user that is at most ``minutes`` old."""
-    fresh = codes.where(F.timestamp_diff("SECOND", F.col("ts"), stamp(now)).between(0, minutes * 60))
+    """The newest code of each user that is at most ``minutes`` old, to the microsecond."""
+    fresh = codes.where(F.timestamp_diff("MICROSECOND", F.col("ts"), stamp(now)).between(0, minutes * 60_000_000))
     return latest_per_key(fresh, "user_id", "ts", "event_id")
 
 

@@ -162,3 +162,10 @@ def test_layout(spark):
     runs = [(1, 0, "a", "h", False), (1, 1, "b", "h", False), (1, 2, "", "h", False), (1, 3, "c", "h", False), (1, 4, "d", "h", True), (1, 5, "e", "g", False)]
     merged = L.merge_groups(spark.createDataFrame(runs, "para_id int, run_idx int, text string, hash string, bounded boolean"))
     assert sorted((r.first_run, r.text) for r in merged.collect()) == [(0, "ab"), (2, ""), (3, "c"), (4, "d"), (5, "e")]
+
+
+def test_valid_code_is_exact_to_the_microsecond(spark):
+    """Neither half a second to come nor half a second too old counts."""
+    rows = [(1, 1, "2024-01-30 00:00:00.5"), (2, 2, "2024-01-28 23:59:59.5"), (3, 3, "2024-01-29 00:00:00"), (4, 4, "2024-01-30 00:00:00"), (1, 5, "2024-01-29 12:00:00")]
+    codes = spark.createDataFrame(rows, "user_id long, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(r["event_id"] for r in J.valid_code(codes, "2024-01-30 00:00:00", 1440).collect()) == [3, 4, 5]
