@@ -171,8 +171,9 @@ def is_bounded(flags: Column) -> Column:
 
 
 def optimisation_rate(merged: Column, total: Column) -> Column:
-    """Share of runs that were merged, as text with one decimal."""
-    return F.when(total > 0, F.format_string("%.1f%%", 100.0 * merged / F.nullif(total, F.lit(0)))).otherwise(F.lit("0%"))
+    """Share of runs that were merged (counts), as text with one decimal, half up."""
+    tenths = F.floor((merged.cast("long") * 2000 + total) / F.nullif(total.cast("long") * 2, F.lit(0)))
+    return F.when(total > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("%"))).otherwise(F.lit("0%"))
 
 
 def run_report(runs: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ def page_column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT l_orderkey AS para_id, count(*) AS runs, count(*) FILTER (l_quantity > 25) AS merged FROM lineitem GROUP BY 1)
-    SELECT para_id, printf('%.1f%%', 100.0 * merged / runs) AS rate FROM c"""
+    SELECT para_id, printf('%d.%d%%', tenths // 10, tenths % 10) AS rate FROM (SELECT para_id, (2000 * merged + runs) // (2 * runs) AS tenths FROM c)"""
 )
 def merge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("para_id")).agg(F.count("*").alias("runs"), F.count_if(F.col("l_quantity") > 25).alias("merged"))
