@@ -146,10 +146,14 @@ def finished_per_user(jobs: DataFrame) -> DataFrame:
 
 
 def storage_per_user(jobs: DataFrame, quota: float) -> DataFrame:
-    """Summed sizes, never below 0, with the share of the quota as text."""
-    used = F.greatest(F.coalesce(F.sum("size"), F.lit(0.0)), F.lit(0.0))
-    share = F.format_string("%.2f", F.lit(0.0) if not quota else 100.0 * F.col("used") / quota)
-    return live(jobs).groupBy("customer_id").agg(used.alias("used")).select("customer_id", F.round("used", 2).alias("used"), share.alias("percent"))
+    """Summed sizes, never below 0, with the share of the quota as text, both half up. Sizes count to a millionth
+    (what is no number or over 22 digits counts nothing), so sums are exact and do not depend on their order."""
+    size = F.col("size").try_cast("decimal(28,6)")
+    used = F.greatest(F.coalesce(F.sum(size), F.lit(0)), F.lit(0))
+    summed = live(jobs).groupBy("customer_id").agg(used.cast("decimal(38,6)").alias("used"))
+    hundredths = F.expr(f"(20000 * used + {quota:.6f}BD) div (2 * {quota:.6f}BD)") if quota else F.lit(0)
+    share = F.concat(F.expr("h div 100").cast("string"), F.lit("."), F.lpad((F.col("h") % 100).cast("string"), 2, "0"))
+    return summed.withColumn("h", hundredths).select("customer_id", F.round("used", 2).cast("double").alias("used"), share.alias("percent"))
 
 
 def storage_repair(jobs: DataFrame, members: DataFrame) -> DataFrame:

@@ -89,8 +89,9 @@ def finished_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT customer_id, round(greatest(sum(size), 0), 2) AS used, printf('%.2f', 100.0 * greatest(sum(size), 0) / 1e7::DOUBLE) AS percent
-    FROM {JOBS_SQL} GROUP BY 1"""
+    f"""WITH u AS (SELECT customer_id, greatest(coalesce(sum(size::DECIMAL(28,6)), 0), 0)::DECIMAL(38,6) AS s FROM {JOBS_SQL} GROUP BY 1),
+    h AS (SELECT *, ((20000 * (s * 1000000)::HUGEINT + 10000000000000) // 20000000000000)::BIGINT AS h FROM u)
+    SELECT customer_id, round(s, 2)::DOUBLE AS used, printf('%d.%02d', h // 100, h % 100) AS percent FROM h"""
 )
 def storage_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.storage_per_user(T.jobs(spark, sf_dir), 1e7)
