@@ -292,26 +292,94 @@ def _reaching(boxes: DataFrame, bottom: str, others: DataFrame, gap: float) -> D
     return mine.join(posted, same & wide & high, "left_semi").select("page", "id").distinct()
 
 
-def fit_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
+#: Boxes of a page that meet within one row; those of fuller pages meet in grid cells.
+PAGE_BOXES = 64
+
+
+def fit_boxes(boxes: DataFrame, gap: float = 2.0, most: int = PAGE_BOXES) -> DataFrame:
     """page, id, font, y1: fonts and lower edges of text boxes (page, id, x0, y0, x1, y1, font, source,
     target) for their new texts. A text a fifth longer gets a smaller font (60 % at least). A box that is
     then too high for its text shrinks; one that is too low grows by half (by 0.3 where it is alone on its page) at
     most; where that would overlap another box it keeps its height, less what is missing to a gap of 2 to
     the box below, and the font falls to 50 % at least. If it overlaps even so, the edge stays and the font is fitted by
     length alone. A text a fifth shorter gets a larger font (120 % at most). An empty source or target and a font
-    that would vanish change nothing. (page, id) is a key; null coordinates meet no box."""
+    that would vanish change nothing. (page, id) is a key; null coordinates meet no box.
+
+    Pages of at most ``most`` boxes are gathered, a row each, and shuffled once; of fuller ones no page is gathered
+    anywhere. Both give the same."""
+    full = boxes.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("page").alias("full_page"))
+    if full.isEmpty():
+        return _fit_small(boxes, gap)
+    is_full = F.col("page").eqNullSafe(F.col("full_page"))
+    return _fit_small(boxes.join(full, is_full, "left_anti"), gap).unionByName(_fit_large(boxes.join(full, is_full, "left_semi"), gap))
+
+
+def _measured(boxes: DataFrame) -> DataFrame:
+    """What a box's fitting needs of the box alone: small, lines, needed and low, beside its place."""
     size, height, r = F.col("font").cast("double"), F.col("y1") - F.col("y0"), length_ratio(F.col("source"), F.col("target"))
-    whole = lambda c: F.floor(c).cast("double")
     longer = F.coalesce(F.col("r") > 1.2, F.lit(False))
-    pages = boxes.groupBy("page").agg((F.count("*") == 1).alias("alone"))
     step = boxes.select("page", "id", "x0", "y0", "x1", "y1", size.alias("size"), r.alias("r"), height.alias("h"), F.length(X.stripped(F.col("target"))).alias("chars"))
-    step = step.withColumn("small", whole(F.greatest(F.col("size") * 0.6, F.col("size") / F.nullif("r", F.lit(0.0)))))
+    step = step.withColumn("small", _whole(F.greatest(F.col("size") * 0.6, F.col("size") / F.nullif("r", F.lit(0.0)))))
     step = step.withColumn("small", F.when(longer & (F.col("small") > 0), F.col("small")))
     per_line = F.greatest(F.floor((F.col("x1") - F.col("x0")) / (F.col("small") * 0.6)), F.lit(1))
     step = step.withColumn("lines", F.greatest(F.floor(F.col("chars") / per_line) + 1, F.lit(1)))
-    step = step.withColumn("needed", F.col("lines") * F.col("small") * 1.2).withColumn("low", F.coalesce(F.col("needed") > F.col("h"), F.lit(False)))
+    return step.withColumn("needed", F.col("lines") * F.col("small") * 1.2).withColumn("low", F.coalesce(F.col("needed") > F.col("h"), F.lit(False)))
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c).cast("double")
+
+
+def _test(alone: Column) -> Column:
+    return F.col("y0") + F.least("needed", F.col("h") * F.when(alone, 1.3).otherwise(1.5))
+
+
+def _fitted(step: DataFrame) -> DataFrame:
+    """``step`` (_measured, with test, hit and missing, which may be null) with new_font and bottom."""
+    tight, safe = F.coalesce("hit", F.lit(False)), F.col("h") + F.coalesce("missing", F.lit(0.0))
+    safe_lines = F.greatest(F.floor(safe / (F.col("small") * 1.2)), F.lit(1))
+    less = _whole(F.greatest(F.col("size") * 0.5, F.col("small") * (safe_lines / F.col("lines"))))
+    tall = F.when(~F.col("low"), F.col("needed")).when(tight, safe).otherwise(F.col("test") - F.col("y0"))
+    larger = _whole(F.least(F.col("size") * 1.2, F.col("size") / F.nullif("r", F.lit(0.0))))
+    fitted = F.when(F.col("small").isNotNull(), F.when(tight & (safe_lines < F.col("lines")), less).otherwise(F.col("small"))).when((F.col("r") > 0) & (F.col("r") < 0.8), larger)
+    return step.withColumn("new_font", F.coalesce(fitted, F.col("size"))).withColumn("bottom", F.when(F.col("small").isNotNull(), F.col("y0") + tall).otherwise(F.col("y1")))
+
+
+def _final(step: DataFrame) -> DataFrame:
+    """page, id, font and y1 of ``_fitted`` boxes with still, which may be null."""
+    least_font = _whole(F.greatest(F.col("size") * 0.5, F.col("size") / F.nullif("r", F.lit(0.0))))
+    font = F.when(F.col("still"), least_font).otherwise(F.col("new_font"))
+    return step.select("page", "id", font.alias("font"), F.when(F.col("still"), F.col("y1")).otherwise(F.col("bottom")).alias("y1"))
+
+
+def _fit_small(boxes: DataFrame, gap: float) -> DataFrame:
+    """``fit_boxes`` where the boxes of a page fit into a row."""
+    step = _measured(boxes)
+    place = F.struct(*[c for c in step.columns if c != "page"]).alias("box")
+    pages = step.groupBy("page").agg(F.collect_list(place).alias("boxes"))
+    edges = F.transform("boxes", lambda b: F.struct(*[b[c].alias(c) for c in ("id", "x0", "y0", "x1", "y1")]))
+    step = pages.select("page", edges.alias("others"), F.explode("boxes").alias("box")).select("page", "others", "box.*")
+    alone = F.size("others") == 1
+    meets = F.col("page").isNotNull() & ~alone
+    below = F.transform("others", lambda o: F.when((o["y0"] > F.col("y0")) & (o["y0"] > F.col("y1")) & (o["y0"] < F.col("y1") + gap), o["y0"] - F.col("y1")))
+
+    def reaches(end: str) -> Column:
+        placed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col(end).isNotNull()
+        over = lambda o: (F.least("x1", o["x1"]) - F.greatest("x0", o["x0"]) > gap) & (F.least(end, o["y1"]) - F.greatest("y0", o["y0"]) > gap)
+        known = lambda o: o["x0"].isNotNull() & o["y0"].isNotNull() & o["x1"].isNotNull() & o["y1"].isNotNull()
+        return placed & F.exists("others", lambda o: F.coalesce((o["id"] != F.col("id")) & over(o) & known(o), F.lit(False)))
+
+    step = step.withColumn("test", _test(alone))
+    step = step.withColumns({"missing": F.when(meets & F.col("low"), F.array_min(below) - gap), "hit": F.when(meets & F.col("low"), reaches("test"))})
+    return _final(_fitted(step).withColumn("still", F.when(meets & F.col("small").isNotNull(), reaches("bottom"))))
+
+
+def _fit_large(boxes: DataFrame, gap: float) -> DataFrame:
+    """``fit_boxes`` where pages may have any number of boxes."""
+    step = _measured(boxes)
+    pages = boxes.groupBy("page").agg((F.count("*") == 1).alias("alone"))
     step = step.join(pages, step["page"].eqNullSafe(pages["page"])).drop(pages["page"])
-    step = step.withColumn("test", F.col("y0") + F.least("needed", F.col("h") * F.when(F.col("alone"), 1.3).otherwise(1.5)))
+    step = step.withColumn("test", _test(F.col("alone")))
 
     # Only a box below that is nearer than the gap takes anything off the height.
     strip = lambda c: F.floor(F.col(c) / gap)
@@ -320,20 +388,9 @@ def fit_boxes(boxes: DataFrame, gap: float = 2.0) -> DataFrame:
     close = (F.col("page") == F.col("e_page")) & (near["strip"] == edges["strip"]) & (F.col("e_y0") > F.col("y0")) & (F.col("e_y0") > F.col("y1")) & (F.col("e_y0") < F.col("y1") + gap)
     missing = near.join(edges, close).groupBy("page", "id").agg((F.min(F.col("e_y0") - F.col("y1")) - gap).alias("missing"))
     hits = _reaching(step.where("low and not alone"), "test", boxes, gap).withColumn("hit", F.lit(True))
-    step = step.join(missing, ["page", "id"], "left").join(hits, ["page", "id"], "left")
-
-    tight, safe = F.coalesce("hit", F.lit(False)), F.col("h") + F.coalesce("missing", F.lit(0.0))
-    safe_lines = F.greatest(F.floor(safe / (F.col("small") * 1.2)), F.lit(1))
-    less = whole(F.greatest(F.col("size") * 0.5, F.col("small") * (safe_lines / F.col("lines"))))
-    tall = F.when(~F.col("low"), F.col("needed")).when(tight, safe).otherwise(F.col("test") - F.col("y0"))
-    larger = whole(F.least(F.col("size") * 1.2, F.col("size") / F.nullif("r", F.lit(0.0))))
-    fitted = F.when(F.col("small").isNotNull(), F.when(tight & (safe_lines < F.col("lines")), less).otherwise(F.col("small"))).when((F.col("r") > 0) & (F.col("r") < 0.8), larger)
-    step = step.withColumn("new_font", F.coalesce(fitted, F.col("size"))).withColumn("bottom", F.when(F.col("small").isNotNull(), F.col("y0") + tall).otherwise(F.col("y1")))
+    step = _fitted(step.join(missing, ["page", "id"], "left").join(hits, ["page", "id"], "left"))
     still = _reaching(step.where("small IS NOT NULL and not alone"), "bottom", boxes, gap).withColumn("still", F.lit(True))
-    least_font = whole(F.greatest(F.col("size") * 0.5, F.col("size") / F.nullif("r", F.lit(0.0))))
-    step = step.join(still, ["page", "id"], "left")
-    font = F.when(F.col("still"), least_font).otherwise(F.col("new_font"))
-    return step.select("page", "id", font.alias("font"), F.when(F.col("still"), F.col("y1")).otherwise(F.col("bottom")).alias("y1"))
+    return _final(step.join(still, ["page", "id"], "left"))
 
 
 def column_widths(cells: DataFrame) -> DataFrame:

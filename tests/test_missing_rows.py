@@ -223,3 +223,19 @@ def test_report_levels(spark):
     runs = [(p, i, "" if i == 0 else "a" if i < 8 else "text", str(i % 2), i == 3) for p in range(3) for i in range(12)]
     r = L.run_report(spark.createDataFrame(runs, "para_id int, run_idx int, text string, hash string, bounded boolean")).first()
     assert (r.paragraphs, r.runs, r.len_0, r.len_1, r.len_2_5, r.styles, r.bounded, r.problems, r.severe, r.score, r.level) == (3, 36, 3, 21, 12, 2, 3, 3, 0, 100, "high")
+
+
+def test_fit_boxes_of_small_and_full_pages_agree(spark):
+    """Pages gathered in a row give what grid cells give, with nulls, and either way in one table."""
+    rng = random.Random(7)
+    at = lambda most: None if rng.random() < 0.03 else float(rng.randrange(most))
+    rows = []
+    for page in [None, *range(60)]:
+        for i in range(rng.choice((1, 2, 5, 12))):
+            x, y = at(200), at(90)
+            rows.append((page, i, x, y, None if x is None else x + 60, None if y is None else y + 14, 10, "x" * rng.randrange(1, 40), "y" * rng.randrange(90)))
+    boxes = spark.createDataFrame(rows, "page int, id int, x0 double, y0 double, x1 double, y1 double, font int, source string, target string")
+    got = [sorted(map(tuple, L.fit_boxes(boxes, most=most).collect()), key=repr) for most in (0, 4, 64)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    plan = L.fit_boxes(boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
