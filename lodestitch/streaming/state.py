@@ -18,6 +18,8 @@ from lodestitch.operators.queueing import micros_of
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR = 3_600_000_000
+#: A part of a cache is read in one go where it holds at most so many entries for each key that a micro-batch asks for.
+WHOLE = 4
 
 
 def state_session(spark: SparkSession) -> SparkSession:
@@ -42,43 +44,67 @@ class TtlCache(StatefulProcessor):
         self.counts = handle.getValueState("counts", "held long, turn long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, turn = self.counts.get() if self.counts.exists() else (0, 0)
-        last = 0
-        for row in sorted(rows, key=lambda r: (r["at"], r["id"])):
-            name, at = (row["key"],), row["at"]
-            entry = self.entries.getValue(name) if self.entries.containsKey(name) else None
+        """Every call of the store is a round trip, so an entry is read and written once for a micro-batch; where the store
+        holds little beside what is asked for, it is read in one go."""
+        held, turn = self.counts.get() or (0, 0)
+        rows = sorted(rows, key=lambda r: (r["at"], r["id"]))
+        last, known, changed = 0, {}, set()
+        whole = held <= WHOLE * len({row["key"] for row in rows})
+        if whole:
+            known = {k[0]: tuple(v) for k, v in self.entries.iterator()} if held else {}
+        for row in rows:
+            name, at = row["key"], row["at"]
+            if name not in known:
+                known[name] = None if whole else self.entries.getValue((name,))
+            entry = known[name]
             hit = entry is not None and at - (entry[1] if self.sliding else entry[0]) <= self.ttl
             if hit:
-                self.entries.updateValue(name, (entry[0], at, entry[2]))
+                known[name] = (entry[0], at, entry[2])
             else:
                 if entry is not None:
                     held -= 1  # an entry that has run out goes, and is loaded behind all others
-                    self.entries.removeKey(name)
+                    known[name] = None
                 if held >= self.most:
-                    oldest = sorted((v[2], k) for k, v in self.entries.iterator())[: max(1, self.most // 2)]
-                    for _, gone in oldest:
-                        self.entries.removeKey(tuple(gone))
-                    held -= len(oldest)
+                    held -= self._halve(known, changed, name)
                 turn += 1
-                self.entries.updateValue(name, (at, at, turn))
+                known[name] = (at, at, turn)
                 held += 1
+            changed.add(name)
             last = max(last, at)
             yield Row(cache=key[0], id=row["id"], hit=hit)
+        for name in changed:
+            self.entries.updateValue((name,), known[name])
         self.counts.update((held, turn))
         self.handle.registerTimer((last + self.ttl) // 1000 + 1)
 
+    def _halve(self, known: dict, changed: set, name: str) -> int:
+        """Takes out the half that was loaded first, and ``name`` if it has run out; the number of that half."""
+        for x in changed - {name}:
+            self.entries.updateValue((x,), known[x])
+        changed.clear()
+        self.entries.removeKey((name,))
+        oldest = sorted((v[2], k[0]) for k, v in self.entries.iterator())[: max(1, self.most // 2)]
+        for _, gone in oldest:
+            self.entries.removeKey((gone,))
+            known[gone] = None
+        return len(oldest)
+
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """What has run out by now goes; the next look is when the first of the rest runs out."""
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held, turn = self.counts.get()
-        ends = [(v[1 if self.sliding else 0] + self.ttl, k) for k, v in self.entries.iterator()]
-        for _, gone in (e for e in ends if e[0] < now):
-            self.entries.removeKey(tuple(gone))
-            held -= 1
-        self.counts.update((held, turn))
-        left = [end for end, _ in ends if end >= now]
+        turn = self.counts.get()[1]
+        found = [(v[1 if self.sliding else 0] + self.ttl, tuple(k), tuple(v)) for k, v in self.entries.iterator()]
+        left = [e for e in found if e[0] >= now]
+        if len(left) < len(found) - len(left):
+            self.entries.clear()
+            for _, name, entry in left:
+                self.entries.updateValue(name, entry)
+        else:
+            for _, gone, _ in (e for e in found if e[0] < now):
+                self.entries.removeKey(gone)
+        self.counts.update((len(left), turn))
         if left:
-            self.handle.registerTimer(min(left) // 1000 + 1)
+            self.handle.registerTimer(min(left)[0] // 1000 + 1)
         return iter(())
 
     def close(self) -> None:
