@@ -140,7 +140,8 @@ class JobLife(StatefulProcessor):
         self.life = handle.getValueState("life", "state string, submitted long, started long, since long, worked long, remote boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        state, submitted, started, since, worked, remote = self.life.get() if self.life.exists() else (None, None, None, None, 0, False)
+        state, submitted, started, since, worked, remote = self.life.get() or (None, None, None, None, 0, False)
+        begun = False
         for row in sorted(rows, key=lambda r: (r["at"], r["id"])):
             at, event = row["at"], row["event"]
             if state in ("running", "paused") and not remote and at > (end := max(submitted + self.limit, started)):
@@ -157,9 +158,10 @@ class JobLife(StatefulProcessor):
             if event == "submit":
                 submitted = at
             if event == "start":
-                started = at
-                self.handle.registerTimer(max(submitted + self.limit, started) // 1000 + 1)
+                started, begun = at, True
             yield Row(job=key[0], at=at, state=state, worked=worked)
+        if begun and state in ("running", "paused") and not remote:
+            self.handle.registerTimer(max(submitted + self.limit, started) // 1000 + 1)
         if state is not None:
             self.life.update((state, submitted, started, since, worked, remote))
 

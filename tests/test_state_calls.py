@@ -82,3 +82,15 @@ def test_cache(most, sliding):
             assert store.calls - before <= 2 * len({k for k, _ in rows[at : at + 100]}) + 4
     assert got == list(plain_hits(rows, 200, most, sliding))
     assert store.value[0] == len(store.map) <= most
+
+
+def test_job_ended_in_a_batch_needs_no_timer():
+    store, life = Store(), S.JobLife(6 * S.HOUR)
+    life.init(store)
+    rows = [Row(id=i, at=i, event=e) for i, e in enumerate(["submit", "start", "pause", "resume", "done"])]
+    assert [r["state"] for r in life.handleInputRows(("j",), iter(rows), None)] == ["queued", "running", "paused", "running", "done"]
+    assert store.calls == 2 and not store.timers
+    other, life = Store(), S.JobLife(6 * S.HOUR)
+    life.init(other)
+    list(life.handleInputRows(("j",), iter(rows[:3]), None))
+    assert other.timers == [6 * S.HOUR // 1000 + 1]
