@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import ahocorasick
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -316,34 +315,28 @@ def text_scores(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS) ->
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("doc_id", "seg_idx", "rank", "source", "target", "score")
 
 
-def _exact(segments: DataFrame, terms: DataFrame, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+#: Most words of a term that is found as a phrase.
+PHRASE = 5
+
+
+def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
     """Exact finds in text order: single words, then case-blind ones, then (texts under 200
-    characters) phrases of two to five words. ``stage`` and ``at`` keep the order. The words of a text
-    with single blanks between and around them are scanned once for terms with blanks around."""
+    characters) phrases of two to five words. ``stage`` and ``at`` keep the order. Words and phrases are rows that
+    meet the terms by an equi-join on lower case, so neither terms nor texts are held by the driver or by a Python worker."""
     raw = F.regexp_extract_all(F.col("text"), F.lit(f"[{X.WORD}]+"), 0)
-    texts = segments.select("doc_id", "seg_idx", F.concat(F.lit(" "), F.array_join(raw, " "), F.lit(" ")).alias("text"), (F.length("text") < 200).alias("short"))
-    forms = terms.select(F.concat(F.lit(" "), F.lower("source"), F.lit(" ")).alias("term_form"), "source")
-
-    def find(automaton, row: dict) -> Iterator[tuple]:
-        text, best = row["text"], {}
-        low = text.lower()
-        blanks = np.cumsum(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-        even = len(low) == len(text)
-        for end, sources in automaton.iter(low):
-            n = sources[0].count(" ") + 1
-            i = int(blanks[end]) - n - (n > 1) + 1  # singles count from 0, phrases from 1
-            if n == 1 or (row["short"] and n <= 5):
-                for source in sources:
-                    same = text[end - len(source) : end] == source if even else f" {source} " in text
-                    order = (0 if same else 1) + (2 if n > 1 else 0), i
-                    best[source] = min(best.get(source, order), order)
-        for source, (stage, i) in best.items():
-            yield row["doc_id"], row["seg_idx"], source, stage, source.count(" ") + 1, i, 95.0 if stage % 2 else 100.0
-
-    types = [texts.schema[c].dataType.simpleString() for c in ("doc_id", "seg_idx")]
-    found = _scanned(texts, forms, find, f"doc_id {types[0]}, seg_idx {types[1]}, source string, stage int, n int, i int, score double", most_bytes)
-    order = F.struct("stage", F.struct("n", "i").alias("at"), "place").alias("o")
-    return found.join(terms, "source").select("doc_id", "seg_idx", "source", "target", "place", order, "score")
+    words = segments.select("doc_id", "seg_idx", raw.alias("raw"), (F.length("text") < 200).alias("short"))
+    forms = terms.select("source", "place", "target", F.lower("source").alias("form"))
+    n = F.size(F.split("source", " ", -1))
+    singles = words.select("doc_id", "seg_idx", F.posexplode("raw").alias("i", "phrase")).withColumn("n", F.lit(1))
+    sizes = words.where("short").withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(PHRASE)))).where("size(raw) >= n")
+    phrases = sizes.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("raw") - F.col("n") + 1)))
+    phrases = phrases.select("doc_id", "seg_idx", "i", F.array_join(F.expr("slice(raw, i, n)"), " ").alias("phrase"), "n")
+    asked = singles.unionByName(phrases).withColumn("form", F.lower("phrase"))
+    same = F.when(F.col("phrase") == F.col("source"), 0).otherwise(1)
+    first = F.min(F.struct((same + F.when(F.col("n") > 1, 2).otherwise(0)).alias("stage"), "n", "i")).alias("f")
+    found = asked.join(forms, "form").where(F.col("n") == n).groupBy("doc_id", "seg_idx", "source", "target", "place").agg(first)
+    order = F.struct("f.stage", F.struct("f.n", "f.i").alias("at"), "place").alias("o")
+    return found.select("doc_id", "seg_idx", "source", "target", "place", order, F.when(F.col("f.stage") % 2 == 1, 95.0).otherwise(100.0).alias("score"))
 
 
 def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int | None = SMALL) -> DataFrame:

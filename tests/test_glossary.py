@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +69,25 @@ def test_text_scores_take_the_share_of_words(spark):
     segments = spark.createDataFrame([(1, 0, "The red  LAMP of oak"), (1, 1, "nothing here")], "doc_id int, seg_idx int, text string")
     got = [(r.source, round(r.score, 6)) for r in G.text_scores(segments, terms_of(spark, ["red lamp", "lamp", "oak lamp shade", "LAMP", "lamps"])).orderBy("rank").collect()]
     assert got == [("LAMP", 100.0), ("lamp", 95.0), ("red lamp", 70.0), ("oak lamp shade", round(140 / 3, 6))]
+
+
+def test_large_base_without_python_or_driver(spark):
+    """Exact finds of words and phrases are joins: no task's Python and no driver holds the base."""
+    sources = ["alpha", "Alpha", "ALPHA beta", "beta gamma", "a b c d e", "a b c d e f", "gamma  delta", "", "beta"]
+    base = spark.createDataFrame([("b", i, s, f"T{i}") for i, s in enumerate(sources)], "base string, term_id long, source string, target string")
+    texts = {(1, 0): "alpha BETA, gamma; a-b c d E f", (1, 1): "ALPHA beta" + " x" * 120, (2, 0): "", (2, 1): "Alpha Alpha alpha"}
+    segments = spark.createDataFrame([(*k, t) for k, t in texts.items()], "doc_id int, seg_idx int, text string")
+    terms = G.merge_bases(base).select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
+    want = set()
+    for k, text in texts.items():
+        words = re.findall(r"\w+", text)
+        for s in sources:
+            for n in range(1, 6 if len(text) < 200 else 2):
+                found = [(0 if p == s else 1, i) for i in range(len(words) - n + 1) if (p := " ".join(words[i : i + n])).lower() == s.lower()]
+                if found:
+                    worse, i = min(found)
+                    want.add((*k, s, worse + 2 * (n > 1), n, i + (n > 1), 95.0 if worse else 100.0))
+    exact = G._exact(segments, terms)
+    assert {(r.doc_id, r.seg_idx, r.source, r.o.stage, r.o["at"].n, r.o["at"].i, r.score) for r in exact.collect()} == want
+    found = G.relevant_terms(segments, G.merge_bases(base), fuzzy=False, small=0)
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
