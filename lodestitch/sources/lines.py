@@ -20,13 +20,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     table = shared_path(spark, "lines")
     raw.write.parquet(table)
     rows = spark.read.schema(raw.schema).parquet(table)
-    blocks = rows.groupBy("path", "block", "size").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    # A split is read by one task from its first line to its last, so its lines have consecutive turns.
+    blocks = rows.groupBy("path", "block", "size").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.sum(F.octet_length("text") + 1).alias("bytes"))
     file = Window.partitionBy("path").orderBy("block")
     before = F.coalesce(F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     whole = Window.partitionBy("path")
-    offsets = blocks.select("path", "block", before.alias("before"), F.sum("n").over(whole).alias("lines"), (F.sum("bytes").over(whole) > F.col("size")).alias("open"))
-    nth = F.row_number().over(Window.partitionBy("path", "block").orderBy("turn")) - 1
-    placed = rows.join(offsets, ["path", "block"]).withColumn("line", F.col("before") + nth)
+    offsets = blocks.select("path", "block", before.alias("before"), "first", F.sum("n").over(whole).alias("lines"), (F.sum("bytes").over(whole) > F.col("size")).alias("open"))
+    # A row for each split, as a table of its own: where it is small it is broadcast, and the lines stay where they are.
+    table = shared_path(spark, "line-offsets")
+    offsets.write.parquet(table)
+    offsets = spark.read.schema(offsets.schema).parquet(table)
+    placed = rows.join(offsets, ["path", "block"]).withColumn("line", F.col("before") + F.col("turn") - F.col("first"))
     return placed.select("path", "line", "text", (F.col("open") & (F.col("line") == F.col("lines") - 1)).alias("last"))
 
 

@@ -117,3 +117,19 @@ def test_replaced_lines_and_resumed_chunks(spark, tmp_path):
     whole = L.work_on_chunks(lines, work, table)
     assert seen == [3, 2]  # the chunks of the first run are not worked on again
     assert {r.line: r.text for r in whole.where(F.col("path") == paths["b.txt"]).collect()} == {0: "ONE\r", 1: "two\r"[:3], 2: "", 3: "last without end"}
+
+
+def test_numbered_lines_stay_where_they_are(spark, tmp_path):
+    """Lines are numbered by their splits' offsets: none is shuffled or sorted for it."""
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+    (tmp_path / "b.txt").write_text("x\n\ny")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = L.numbered_lines(spark, f"file://{tmp_path}")
+        rows = sorted((r.path[-5:], r.line, r.text, r.last) for r in lines.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [("a.txt", i, f"line {i}", False) for i in range(3000)] + [("b.txt", 0, "x", False), ("b.txt", 1, "", False), ("b.txt", 2, "y", True)]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
