@@ -3,8 +3,9 @@
 Two texts are linked where their sets of 5-word shingles have a similarity of at least 0.8;
 of each component of links one row stays. SimHash is no candidate filter for this: at 0.8 two
 64-bit fingerprints differ in about ten bits, and balls of that radius cannot be posted. So
-candidates come from min-hashes, 32 bands of 6: a pair at 0.8 is missed by all bands with a
-chance of 6e-5, one at 0.9 with 1e-10. Every candidate is verified on the whole sets.
+the balls of ``simhash.links`` around the sets' fingerprints bring the first candidates, those within
+3 bits, and what lies beyond their reach comes from min-hashes, 32 bands of 6: a pair at 0.8 is missed by all
+bands with a chance of 6e-5, one at 0.9 with 1e-10. Every candidate is verified on the whole sets.
 
 Equal sets are one node. A bucket of a band is linked as a star around one of its nodes first;
 after that only pairs that are still in different components can change the result. Those are
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import shared
+from . import shared, simhash
 from .simhash import _FOLD, SEED, components
 
 SHINGLE = 5
@@ -62,6 +63,14 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
+def print_of(found: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles' hashes, as a signed long; zero for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), SLICE):
+        ones += np.unpackbits(found[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found)).view(np.int64)[0])
+
+
 def _parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((found & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES).astype(np.uint8) & 1).view(np.int64)
 
@@ -89,7 +98,7 @@ def prefix(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """doc_id, fp (the set's name), n, bands, sketch and shingles of every row."""
+    """doc_id, fp (the set's name), n, print (its SimHash), bands, sketch and shingles of every row."""
     keyed = prefix if exact else bands
 
     def run(batches):
@@ -104,13 +113,13 @@ def _sets(docs: DataFrame, exact: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), pa.array(map(node_of, found), pa.int64()), pa.array(map(len, found), pa.int64()),
-                        lists(keys), lists(sketches), lists([s.view(np.int64) for s in found]),
+                        pa.array(map(print_of, found), pa.int64()), lists(keys), lists(sketches), lists([s.view(np.int64) for s in found]),
                     ],
-                    names=["doc_id", "fp", "n", "bands", "sketch", "shingles"],
+                    names=["doc_id", "fp", "n", "print", "bands", "sketch", "shingles"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, n bigint, bands array<bigint>, sketch array<bigint>, shingles array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, n bigint, print bigint, bands array<bigint>, sketch array<bigint>, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -144,9 +153,23 @@ def _sketches_allow() -> Column:
     return ((whole + part) * apart <= (whole - part) * (F.col("a_n") + F.col("b_n"))) & (bits <= BIT_GAPS)
 
 
+def ball_pairs(sets: DataFrame) -> DataFrame:
+    """Candidates (a < b) of nodes by ball hashing: nodes of equal fingerprints, each with the first of them, and the
+    first nodes of fingerprints that ``simhash.links`` finds within 3 bits."""
+    nodes = shared.materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("print").alias("print")), "prints")
+    heads = shared.materialize(nodes.groupBy("print").agg(F.min(F.struct("fp", "n")).alias("head")).select("print", F.col("head.fp").alias("a"), F.col("head.n").alias("a_n")), "print-heads")
+    equal = nodes.join(heads, "print").select("a", "a_n", F.col("fp").alias("b"), F.col("n").alias("b_n"))
+    close = shared.materialize(simhash.links(heads.select(F.col("print").alias("fp"))).withColumnsRenamed({"a": "left", "b": "right"}), "ball-links")
+    other = heads.select(F.col("print").alias("right"), F.col("a").alias("b"), F.col("a_n").alias("b_n"))
+    near = close.join(heads.withColumnRenamed("print", "left"), "left").join(other, "right").select("a", "a_n", "b", "b_n")
+    pairs = shared.materialize(_pairs(equal.unionByName(near)), "ball-pairs")
+    shared.discard(nodes, heads, close)
+    return pairs
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Similar pairs (a < b) of nodes that have the components of all similar pairs of ``sets``
-    (written: fp, n, bands, sketch, shingles) that share a band."""
+    (written: fp, n, print, bands, sketch, shingles) within a ball, or that share a band."""
     nodes = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     posts = shared.materialize(nodes.select("fp", "n", F.explode("bands").alias("key")), "bands")
     # Another node leads in each band, so that one odd copy is not the centre of all stars.
@@ -154,7 +177,9 @@ def links(sets: DataFrame) -> DataFrame:
     heads = posts.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "fp", "n")).alias("head"), F.count("*").alias("rows")).where("rows > 1")
     shared_keys = shared.materialize(heads.select("key", F.col("head.fp").alias("a"), F.col("head.n").alias("a_n")), "band-heads")
     close = shared.materialize(posts.join(shared_keys, "key").select("key", "a", "a_n", F.col("fp").alias("b"), F.col("n").alias("b_n")), "band-members")
-    stars = _verified(_pairs(close), sets)
+    balls = ball_pairs(sets)
+    first = shared.materialize(_pairs(close).union(balls).distinct(), "first-pairs")
+    stars = _verified(first, sets)
     rooted = components(stars)
     members = close.select("key", F.col("b").alias("fp"), F.col("b_n").alias("n")).join(rooted.withColumnRenamed("node", "fp"), "fp", "left")
     members = members.withColumn("root", F.coalesce("root", "fp"))
@@ -170,9 +195,9 @@ def links(sets: DataFrame) -> DataFrame:
         for c in ("a", "b")
     )
     apart = _pairs(left.join(right, "key").where(F.expr("a < b and a_root != b_root") & _sketches_allow()))
-    # What a star has asked already is not asked again.
-    rest = _verified(apart.join(_pairs(close), ["a", "b"], "left_anti"), sets)
-    shared.discard(posts, shared_keys, close, still, drawn)
+    # What a ball or a star has asked already is not asked again.
+    rest = _verified(apart.join(first, ["a", "b"], "left_anti"), sets)
+    shared.discard(posts, shared_keys, close, still, drawn, balls, first)
     return stars.union(rest)
 
 

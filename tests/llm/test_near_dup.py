@@ -92,3 +92,27 @@ def test_stage_with_null_and_repeated_ids(spark):
     got = [where[r.text] for r in kept.collect()]
     assert kept.columns == docs.columns and len(got) == len(set(got)) == len(set(roots))
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_balls_bring_candidates(spark):
+    """Ball hashing is a step of its own: sets within 3 bits of their SimHash are asked by it, bands or not."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(9000)}" for _ in range(600)]
+    rows = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base[1:]), " ".join(f"v{rng.randrange(9000)}" for _ in range(300)), None, "one"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = near_dup.shared.materialize(near_dup._sets(docs), "test-sets")
+    nodes = {r.fp: near_dup.shingles(rows[r.doc_id]) for r in sets.select("fp", "doc_id").collect()}
+    prints = {fp: near_dup.print_of(s) for fp, s in nodes.items()}
+    size = lambda a, b: 5 * min(len(nodes[a]), len(nodes[b])) >= 4 * max(len(nodes[a]), len(nodes[b]))
+    want = {(a, b) for a in nodes for b in nodes if a < b and bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 3 and size(a, b)}
+    got = {tuple(r) for r in near_dup.ball_pairs(sets).collect()}
+
+    def tied(pairs):
+        of = {x: {x} for x in nodes}
+        for a, b in pairs:
+            both = of[a] | of[b]
+            of.update(dict.fromkeys(both, both))
+        return {frozenset(x) for x in of.values()}
+
+    # Of equal fingerprints the first node alone meets others.
+    assert len(want) >= 3 and got <= want and tied(got) == tied(want)
