@@ -170,47 +170,70 @@ def _own_size(text: Column) -> Column:
     return F.least(F.length(text), F.lit(3))
 
 
-def _within(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
-    """Pairs of rows where the text of ``inner`` is part of that of ``outer``: all its grams are among the outer
-    ones, and they meet on the rarest."""
+def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs of texts (one distinct column each) where that of ``inner`` is part of that of ``outer``: all its grams are
+    among the outer ones, and they meet on the rarest. What is asked for is a written table, so a small one goes to
+    where the outer texts are, and their grams stay there."""
+    inner_text, outer_text = inner.columns[0], outer.columns[0]
     of = lambda c: F.when(_own_size(F.col(c)) == 3, _grams(F.col(c), 3)).when(_own_size(F.col(c)) == 2, _grams(F.col(c), 2)).when(_own_size(F.col(c)) == 1, F.array(c))
     sizes = [F.when(F.length(outer_text) >= n, _grams(F.col(outer_text), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]
-    posts = outer.select(outer_text, F.explode(F.concat(*sizes)).alias("gram")).distinct()
+    posts = outer.select(outer_text, F.explode(F.concat(*sizes)).alias("gram"))
     counts = posts.groupBy("gram").agg(F.count("*").alias("df"))
-    asks = inner.select(inner_text).distinct().withColumn("grams", of(inner_text))
+    asks = inner.withColumn("grams", of(inner_text))
     asks = asks.select(inner_text, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(counts, "gram")
     asks = asks.groupBy(inner_text, "n").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).where("found = n").select(inner_text, "gram")
-    pairs = asks.join(posts, "gram").where(F.contains(outer_text, inner_text)).select(inner_text, outer_text)
-    return inner.join(pairs, inner_text).join(outer, outer_text)
+    return _written(asks, "asks").join(posts, "gram").where(F.contains(outer_text, inner_text)).select(inner_text, outer_text)
 
 
-def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
+def _char_set(s: Column) -> Column:
+    """The distinct characters of a text in order: the share of common ones depends on these alone."""
+    return F.array_join(F.array_sort(_chars(s)), "")
+
+
+def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool, best: int | None = None) -> DataFrame:
     """word, place, source, target, score: every pair of a word (column word, distinct, lower case) and a term
-    that scores, by the tiers of ``tier_score`` and, with ``fuzzy``, the sequence similarity."""
+    that scores, by the tiers of ``tier_score`` and, with ``fuzzy``, the sequence similarity.
+
+    Shares of common characters are found once for each set of characters, of which there are far fewer than words.
+    With ``best`` these come only for the best so many terms of a set, by share and place. The best terms
+    of a word, that many, are still all there: a term that contains the word or is part of it scores more than any share, so what
+    stands before a term by share stands before it by score too."""
     known = terms.where("source != ''").select("place", "source", "target", F.lower("source").alias("low"))
     words = words.select("word").where("word != ''")
+    lows = known.select("low").distinct()
     out = ["word", "place", "source", "target", "score"]
-    inside = _within(words, "word", known, "low").withColumn("score", F.when(F.col("word") == F.col("low"), 100.0).otherwise(90.0)).select(*out)
-    around = _within(known, "low", words, "word").where("word != low").withColumn("score", F.lit(85.0)).select(*out)
+    inside = _within(words, lows).withColumn("score", F.when(F.col("word") == F.col("low"), 100.0).otherwise(90.0))
+    around = _within(lows, words).where("word != low").withColumn("score", F.lit(85.0))
     apart = ~F.contains("low", "word") & ~F.contains("word", "low")
 
-    lows = known.select("low").distinct()
-
-    def met(tokens, need, reach) -> DataFrame:
-        ranks = _ranks(lows.select(F.explode(tokens(F.col("low"))).alias("token")))
+    def met(left: DataFrame, right: DataFrame, tokens, need, reach) -> DataFrame:
+        ranks = _ranks(right.select(F.explode(tokens(F.col(right.columns[0]))).alias("token")))
         masks = -(-max(1, ranks.count()) // MASK_BITS)
         masks = masks if masks <= MOST_MASKS else 0
-        mine, its = _rare_first(words, "word", tokens(F.col("word")), ranks, masks), _rare_first(lows, "low", tokens(F.col("low")), ranks, masks)
-        return overlap_join(mine, its, need, reach, masks).where(apart)
+        mine, its = (_rare_first(x, x.columns[0], tokens(F.col(x.columns[0])), ranks, masks) for x in (left, right))
+        return overlap_join(mine, its, need, reach, masks)
 
     half = lambda a, b: F.floor(F.greatest(a, b) / 2).cast("int") + 1
-    share = met(_chars, half, lambda n: (F.floor(n / 2).cast("int") + 1, 2 * n - 1)).withColumn("score", F.col("common") / F.greatest("n", "r_n") * 70.0)
-    found = inside.unionByName(around).unionByName(share.join(known, "low").select(*out))
+    spelt, listed = words.withColumn("word_set", _char_set(F.col("word"))), known.withColumn("low_set", _char_set(F.col("low")))
+    # Few sets meet many: they are dealt out by number, which is not merged to a few tasks for its few bytes.
+    sets = spelt.select("word_set").distinct().repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word_set")
+    share = met(sets, listed.select("low_set").distinct(), _chars, half, lambda n: (F.floor(n / 2).cast("int") + 1, 2 * n - 1))
+    share = share.select("word_set", "low_set", (F.col("common") / F.greatest("n", "r_n") * 70.0).alias("score"))
+    if best is not None:
+        turn = lambda of, *order: F.row_number().over(Window.partitionBy(of).orderBy(*order)) <= best
+        top = lambda rows, of, *order: rows.withColumn("kept", turn(of, *order)).where("kept").drop("kept")
+        listed = top(listed, "low_set", "place")
+        share = top(share.join(listed.groupBy("low_set").agg(F.min("place").alias("first")), "low_set"), "word_set", F.desc("score"), "first").drop("first")
+        share = top(share.join(listed, "low_set"), "word_set", F.desc("score"), "place")
+    else:
+        share = share.join(listed, "low_set")
+    found = inside.unionByName(around).join(known, "low").select(*out)
+    found = found.unionByName(spelt.join(share, "word_set").where(apart).select(*out))
     if not fuzzy:
         return found
     # A matcher pairs at most the characters that both have, repeats counted: over 0.3 of all.
     least = lambda a, b: F.floor((a + b) * (LEAST_RATIO / 2)).cast("int") + 1
-    near = met(_numbered_chars, least, lambda n: (F.floor(n * 3 / 7).cast("int") + 1, F.ceil(n * 7 / 3).cast("int") - 1))
+    near = met(words, lows, _numbered_chars, least, lambda n: (F.floor(n * 3 / 7).cast("int") + 1, F.ceil(n * 7 / 3).cast("int") - 1)).where(apart)
     fewer = F.size(F.array_intersect(_chars(F.col("word")), _chars(F.col("low")))) / F.greatest(F.size(_chars(F.col("word"))), F.size(_chars(F.col("low")))) <= 0.5
     near = near.where(fewer).withColumn("score", fuzzy_score(F.col("word"), F.col("low"))).where("score > 0")
     return found.unionByName(near.join(known, "low").select(*out))
@@ -233,7 +256,7 @@ def _best_of_word(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
     """Per distinct word its best terms, by score and place."""
     best = Window.partitionBy("word").orderBy(F.desc("score"), "place")
     distinct = _written(words.select("word").distinct(), "words")
-    return similar_terms(distinct, _written(terms, "terms"), fuzzy).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
+    return similar_terms(distinct, _written(terms, "terms"), fuzzy, PER_WORD).withColumn("in_word", F.row_number().over(best)).where(F.col("in_word") <= PER_WORD)
 
 
 def _sharing_words(words: DataFrame, terms: DataFrame, fuzzy: bool) -> DataFrame:
@@ -347,8 +370,10 @@ def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS,
     words = _words(segments)
     order = lambda place: F.min(F.struct(F.lit(4).alias("stage"), F.struct(F.lit(1).alias("n"), F.col("at").alias("i")).alias("at"), place.alias("place"))).alias("o")
     if small is None or terms.count() <= small:
-        found = words.join(_best_of_word(words, terms, fuzzy), "word")
-        scored = found.groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), order(F.col("in_word")))
+        found = words.join(_best_of_word(segments.select(F.explode(X.tokens(F.col("text"))).alias("word")), terms, fuzzy), "word")
+        # Place of the word, then that of the term, in one number: it is summed up by hash, and a segment's rows meet once.
+        found = found.select("doc_id", "seg_idx", "source", "target", "score", (F.col("at").cast("long") * (PER_WORD + 1) + F.col("in_word")).alias("o"))
+        scored = found.repartition("doc_id", "seg_idx").groupBy("doc_id", "seg_idx", "source", "target").agg(F.max("score").alias("score"), F.min("o").alias("o"))
         exact = None
     else:
         exact = _exact(segments, terms)

@@ -40,6 +40,23 @@ def test_similar_terms_are_those_of_a_product(spark, monkeypatch, seed, fuzzy, m
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_words_of_one_character_set_are_compared_once(spark, monkeypatch):
+    """40 anagrams ask once; the best terms of each word are those of all its terms, ties and contained terms included."""
+    rng, asked, join = random.Random(5), [], G.overlap_join
+    monkeypatch.setattr(G, "overlap_join", lambda left, *rest: (asked.append(left.count()), join(left, *rest))[1])
+    words = sorted({"".join(rng.sample("abcdefg", 7)) for _ in range(40)})
+    sources = sorted({"".join(rng.sample("abcdefghij", rng.randint(2, 9))) for _ in range(80)}) + [w[:6] for w in words[:4]] + [words[0] + "x"]
+    terms = terms_of(spark, sources).select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
+    found = G._best_of_word(spark.createDataFrame([(w,) for w in words], "word string"), terms, fuzzy=False).collect()
+    assert asked == [1]
+    score = lambda w, s: next((x for x, hit in ((100.0, w == s), (90.0, s.find(w) >= 0), (85.0, w.find(s) >= 0)) if hit), 70.0 * len(set(w) & set(s)) / max(len(set(w)), len(set(s))))
+    places = {s: i for i, s in reversed(list(enumerate(sources)))}
+    for w in words:
+        want = sorted((-x, i, s) for s, i in places.items() if (x := score(w, s)) > 35.0)[:5]
+        got = sorted((r.in_word, r.source, r.score) for r in found if r.word == w)
+        assert [(s, round(-x, 6)) for x, _, s in want] == [(s, round(x, 6)) for _, s, x in got]
+
+
 def test_no_nested_loops(spark):
     words = spark.createDataFrame([(1, 0, "some words here")], "doc_id int, seg_idx int, text string")
     plan = G.relevant_terms(words, terms_of(spark, ["word", "here"]))._jdf.queryExecution().optimizedPlan().toString()
