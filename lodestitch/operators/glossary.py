@@ -3,8 +3,8 @@
 Words are scored once each, however often they occur, and no word meets all terms: pairs are
 found by equi-joins (``similar_terms``) that lose none. What contains the other shares its rarest
 gram; what has enough characters in common shares one of the rarest ones of both (a prefix-filtered
-set join). So a base may have any size. By default a base of over ``SMALL`` terms (checked by a count) is
-searched by its exact finds and whole words only, as the surveyed system does. Whole
+set join). So a base may have any size, and its size changes no result: all terms are scored. The surveyed system searches
+a base of over 1,000 terms by its exact finds and whole words only; that is left to callers who ask for it (``small``). Whole
 texts meet all terms that they contain in one pass of an automaton (``contained_terms``). Ties go by place in
 the text, then by the base's order, which is (base, term id, source) and needs no numbering.
 """
@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from lodestitch.functions import text as X
 from lodestitch.sources.shared import shared_path
 
-SMALL = 1000
 PER_WORD = 5
 MOST_TERMS = 10
 MOST_CHARS = 1000
@@ -362,9 +361,9 @@ def _exact(segments: DataFrame, terms: DataFrame) -> DataFrame:
     return found.select("doc_id", "seg_idx", "source", "target", "place", order, F.when(F.col("f.stage") % 2 == 1, 95.0).otherwise(100.0).alias("score"))
 
 
-def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int | None = SMALL) -> DataFrame:
-    """doc_id, seg_idx, rank, source, target, score: the best k terms of each segment. Bases of more than
-    ``small`` terms are searched by exact finds and whole words; ``small=None`` scores every term at any size."""
+def relevant_terms(segments: DataFrame, merged: DataFrame, k: int = MOST_TERMS, fuzzy: bool = True, small: int | None = None) -> DataFrame:
+    """doc_id, seg_idx, rank, source, target, score: the best k terms of each segment. Every term is scored, whatever the size
+    of the base; only where a caller names ``small`` are bases of more terms searched by exact finds and whole words."""
     k = min(MOST_TERMS, k)
     terms = merged.select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
     words = _words(segments)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestitch.operators import glossary as G
+from lodestitch.plans import registry
+from tests.compare import differences
 from tests.test_operators import plain_word_score
 
 BASE = "base string, term_id long, source string, target string"
@@ -108,3 +111,33 @@ def test_large_base_without_python_or_driver(spark):
     assert {(r.doc_id, r.seg_idx, r.source, r.o.stage, r.o["at"].n, r.o["at"].i, r.score) for r in exact.collect()} == want
     found = G.relevant_terms(segments, G.merge_bases(base), fuzzy=False, small=0)
     assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def spelt(n: int) -> list[str]:
+    """n different names of the letters a to f."""
+    rng = random.Random(11)
+    return sorted({"".join(rng.choice("abcdef") for _ in range(rng.randint(3, 9))) for _ in range(4 * n)})[:n]
+
+
+@pytest.mark.parametrize("fuzzy", [True, False])
+def test_one_more_term_changes_no_other(spark, fuzzy):
+    """A base of 1,000 terms and one of 1,001, the last of which no text comes near."""
+    names = spelt(1000)
+    segments = spark.createDataFrame([(1, 0, "bade cabbed fade Abced"), (1, 1, names[3].upper()), (2, 0, "dea " + names[500][:-1])], "doc_id int, seg_idx int, text string")
+    found = [sorted(map(tuple, G.relevant_terms(segments, terms_of(spark, x), fuzzy=fuzzy).collect())) for x in (names, [*names, "工具"])]
+    assert found[0] == found[1] and {r[1] for r in found[0]} == {0, 1} and any(r[5] < 85.0 for r in found[0])
+
+
+@pytest.mark.parametrize("name", ["glossary_budget", "glossary_topk_native", "glossary_batch", "term_lists"])
+def test_large_bases_match_sql(spark, tmp_path, name):
+    """A base of 1,200 names; the tables of the test data have 64 at most."""
+    rng, names = random.Random(12), spelt(1200)
+    parts = [(i, n.title() if i % 3 == 0 else n, f"Brand#{i % 7}", rng.choice(["SMALL", "PROMO"])) for i, n in enumerate([*names, *names[:200]])]
+    word = lambda: rng.choice([rng.choice(names), "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8)))])
+    turns = [(c, t, "user", " ".join(word() for _ in range(rng.randint(0, 12)))) for c in range(12) for t in range(3)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("part", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert not differences(spark, registry.QUERIES[name], registry.ORACLE_SQL[name], str(tmp_path), con)
