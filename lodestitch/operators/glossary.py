@@ -133,13 +133,15 @@ def _rare_first(rows: DataFrame, key: str, tokens: Column, ranks: DataFrame, mas
     return out.withColumns({f"m{k}": F.expr(bits(k)) for k in range(masks)})
 
 
-def overlap_join(left: DataFrame, right: DataFrame, need, reach, masks: int) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, need, reach, masks: int, own=None) -> DataFrame:
     """Pairs of rows of ``_rare_first`` whose token sets have at least ``need(n, n)`` tokens in common, with
-    ``common``; ``reach(n)`` is the least and the greatest size of a partner.
+    ``common``; ``reach(n)`` is the least and the greatest size of a partner. ``own(n, n)``, of further columns of the
+    left side too, asks for no fewer than ``need`` where a row wants more.
 
     Two such sets share a token among the first ``n - need + 1`` of each. The right side is posted under
     these with its size, the left one asks for every size in reach; a pair is taken at its rarest common
     token, so it comes once, and only where the tokens behind it can still be enough."""
+    own = own or need
     lo, hi = reach(F.col("r_n"))
     posts = right.withColumnsRenamed({"tokens": "r_tokens", "n": "r_n", **{f"m{k}": f"r_m{k}" for k in range(masks)}})
     posts = posts.select("*", F.posexplode(F.slice("r_tokens", F.lit(1), F.greatest(F.col("r_n") - need(lo, F.col("r_n")) + 1, F.lit(0)))).alias("j", "token"))
@@ -147,8 +149,8 @@ def overlap_join(left: DataFrame, right: DataFrame, need, reach, masks: int) ->
     posts = posts.withColumns({f"below{k}": F.expr(below(k)) for k in range(masks)})
     lo, hi = reach(F.col("n"))
     asks = left.where(lo <= hi).withColumn("m", F.explode(F.sequence(lo, hi)))
-    asks = asks.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - need(F.col("n"), F.col("m")) + 1, F.lit(0)))).alias("i", "ask")).where("ask >= 0")
-    enough = need(F.col("n"), F.col("r_n"))
+    asks = asks.select("*", F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.col("n") - own(F.col("n"), F.col("m")) + 1, F.lit(0)))).alias("i", "ask")).where("ask >= 0")
+    enough = own(F.col("n"), F.col("r_n"))
     met = (F.col("ask") == F.col("token")) & (F.col("m") == F.col("r_n")) & (F.least(F.col("n") - F.col("i"), F.col("r_n") - F.col("j")) >= enough)
     helpers = ["tokens", "r_tokens", "i", "j", "ask", "token", "m", *[f"{x}{k}" for x in ("m", "r_m", "below") for k in range(masks)]]
     if masks:
@@ -205,12 +207,13 @@ def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool, best: int | N
     around = _within(lows, words).where("word != low").withColumn("score", F.lit(85.0))
     apart = ~F.contains("low", "word") & ~F.contains("word", "low")
 
-    def met(left: DataFrame, right: DataFrame, tokens, need, reach) -> DataFrame:
+    def met(left: DataFrame, right: DataFrame, tokens, need, reach, own=None, wants: DataFrame | None = None) -> DataFrame:
         ranks = _ranks(right.select(F.explode(tokens(F.col(right.columns[0]))).alias("token")))
         masks = -(-max(1, ranks.count()) // MASK_BITS)
         masks = masks if masks <= MOST_MASKS else 0
         mine, its = (_rare_first(x, x.columns[0], tokens(F.col(x.columns[0])), ranks, masks) for x in (left, right))
-        return overlap_join(mine, its, need, reach, masks)
+        mine = mine if wants is None else mine.join(wants, left.columns[0], "left")
+        return overlap_join(mine, its, need, reach, masks, own)
 
     half = lambda a, b: F.floor(F.greatest(a, b) / 2).cast("int") + 1
     spelt, listed = words.withColumn("word_set", _char_set(F.col("word"))), known.withColumn("low_set", _char_set(F.col("low")))
@@ -218,9 +221,9 @@ def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool, best: int | N
     sets = spelt.select("word_set").distinct().repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word_set")
     share = met(sets, listed.select("low_set").distinct(), _chars, half, lambda n: (F.floor(n / 2).cast("int") + 1, 2 * n - 1))
     share = share.select("word_set", "low_set", (F.col("common") / F.greatest("n", "r_n") * 70.0).alias("score"))
+    turn = lambda of, *order: F.row_number().over(Window.partitionBy(of).orderBy(*order)) <= best
+    top = lambda rows, of, *order: rows.withColumn("kept", turn(of, *order)).where("kept").drop("kept")
     if best is not None:
-        turn = lambda of, *order: F.row_number().over(Window.partitionBy(of).orderBy(*order)) <= best
-        top = lambda rows, of, *order: rows.withColumn("kept", turn(of, *order)).where("kept").drop("kept")
         listed = top(listed, "low_set", "place")
         share = top(share.join(listed.groupBy("low_set").agg(F.min("place").alias("first")), "low_set"), "word_set", F.desc("score"), "first").drop("first")
         share = top(share.join(listed, "low_set"), "word_set", F.desc("score"), "place")
@@ -232,7 +235,13 @@ def similar_terms(words: DataFrame, terms: DataFrame, fuzzy: bool, best: int | N
         return found
     # A matcher pairs at most the characters that both have, repeats counted: over 0.3 of all.
     least = lambda a, b: F.floor((a + b) * (LEAST_RATIO / 2)).cast("int") + 1
-    near = met(words, lows, _numbered_chars, least, lambda n: (F.floor(n * 3 / 7).cast("int") + 1, F.ceil(n * 7 / 3).cast("int") - 1)).where(apart)
+    wants, own = None, None
+    if best is not None:
+        # What is below a word's last place even if all common characters are paired need not be met.
+        found = _written(top(found, "word", F.desc("score"), "place"), "found")
+        wants = found.groupBy("word").agg(F.count("*").alias("held"), F.min("score").alias("last")).where(F.col("held") == best).select("word", "last")
+        own = lambda a, b: F.greatest(least(a, b), F.ceil(F.coalesce("last", F.lit(0.0)) * (a + b) / 120.0 - 1e-6).cast("int"))
+    near = met(words, lows, _numbered_chars, least, lambda n: (F.floor(n * 3 / 7).cast("int") + 1, F.ceil(n * 7 / 3).cast("int") - 1), own, wants).where(apart)
     fewer = F.size(F.array_intersect(_chars(F.col("word")), _chars(F.col("low")))) / F.greatest(F.size(_chars(F.col("word"))), F.size(_chars(F.col("low")))) <= 0.5
     near = near.where(fewer).withColumn("score", fuzzy_score(F.col("word"), F.col("low"))).where("score > 0")
     return found.unionByName(near.join(known, "low").select(*out))

@@ -60,6 +60,20 @@ def test_words_of_one_character_set_are_compared_once(spark, monkeypatch):
         assert [(s, round(-x, 6)) for x, _, s in want] == [(s, round(x, 6)) for _, s, x in got]
 
 
+def test_best_terms_by_sequence_are_those_of_a_product(spark):
+    """Words of many repeats: sequences score where few characters are common; some words have five better terms, some have not."""
+    rng = random.Random(9)
+    spell = lambda rare: "".join(rng.choice("aaaa" + rare) for _ in range(rng.randint(4, 12)))
+    words, sources = (sorted({spell(rare) for rare in both for _ in range(30)}) for both in (("bcd", "efgh", "xyz"), ("bce", "fghi", "uvw")))
+    terms = terms_of(spark, sources).select(F.struct("base_place", "term_id", "source").alias("place"), "source", "target")
+    found = G._best_of_word(spark.createDataFrame([(w,) for w in words], "word string"), terms, fuzzy=True).collect()
+    top = {w: sorted((-plain_word_score(w, s), at, s) for at, s in enumerate(sources) if plain_word_score(w, s) > 0)[:5] for w in words}
+    want = {(w, i, s, round(-score, 6)) for w in words for i, (score, _, s) in enumerate(top[w], 1)}
+    assert {(r.word, r.in_word, r.source, round(r.score, 6)) for r in found} == want
+    by_sequence = lambda w, s: len(set(w) & set(s)) / max(len(set(w)), len(set(s))) <= 0.5 and w not in s and s not in w
+    assert 10 < sum(by_sequence(w, s) for w, _, s, _ in want) < len(want) - 10
+
+
 def test_no_nested_loops(spark):
     words = spark.createDataFrame([(1, 0, "some words here")], "doc_id int, seg_idx int, text string")
     plan = G.relevant_terms(words, terms_of(spark, ["word", "here"]))._jdf.queryExecution().optimizedPlan().toString()
